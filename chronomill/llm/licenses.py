@@ -12,9 +12,11 @@ row; null doc_id is an id like any other; an empty table gives no rows; other co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Base phrases with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 # Longer notices with the method's own labels.
@@ -27,13 +29,19 @@ TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-grant",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
 }
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words_of(text: Column) -> Column:
-    """Words in their original case: the pattern takes A-Z as it takes a-z, so lower-casing would not move a border."""
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
+def split_words(docs: DataFrame) -> DataFrame:
+    """Adds parts, lead and n_words: the text split at its gaps, in its own case, word i being parts[lead + i].
+
+    A gap holds A-Z as little as it holds a-z, so lower-casing would not move a border. A gap at either end of the text
+    leaves an empty part there.
+    """
+    parts = docs.withColumn("parts", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), GAP))
+    empty = lambda i: (F.element_at("parts", i) == "").cast("int")
+    return parts.withColumn("lead", empty(1)).withColumn("n_words", F.greatest(F.size("parts") - F.col("lead") - empty(-1), F.lit(0)))
 
 
 def template_pairs(spark: SparkSession) -> DataFrame:
@@ -47,28 +55,29 @@ def template_pairs(spark: SparkSession) -> DataFrame:
 
 
 def pair_hits(docs: DataFrame) -> DataFrame:
-    """One row per document key, template and place where a word pair of the text is one of the template."""
+    """One row per row of docs (at -1, no label) and per place where a word pair of a text is one of a template."""
     small = lambda c: F.translate(c, UPPER, LOWER)
+    word = lambda i: F.when(F.col("at") >= 0, F.get("parts", F.col("lead") + F.col("at") + i))
     exploded = (
-        docs.select("doc_id", "key", words_of(F.col("text")).alias("words"))
-        .select("doc_id", "key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 2)).alias("at"))
-        .where("size(words) >= 2")
-        .select("doc_id", "key", "at", F.get("words", F.col("at")).alias("a"), F.get("words", F.col("at") + 1).alias("b"))
-        .withColumn("hash", F.xxhash64(F.lower("a"), F.lower("b")))
+        split_words(docs.select("doc_id", "key", "text"))
+        .select("doc_id", "key", "parts", "lead", "n_words", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n_words") - 2, F.lit(-1)))).alias("at"))
+        .select("doc_id", "key", "n_words", "at", word(0).alias("a"), word(1).alias("b"))
+        .withColumn("hash", F.when(F.col("at") >= 0, F.xxhash64(F.lower("a"), F.lower("b"))))
     )
     pairs = F.broadcast(template_pairs(docs.sparkSession))
     same = (F.col("hash") == F.col("t_hash")) & (small(F.col("a")) == F.col("t_a")) & (small(F.col("b")) == F.col("t_b"))
-    return exploded.join(pairs, same).select("doc_id", "key", "label", "base", "t_words", "t_pairs", "t_at", "at")
+    hits = exploded.join(pairs, same, "left").where((F.col("at") < 0) | F.col("label").isNotNull())
+    return hits.select("doc_id", "key", "n_words", "at", "label", "base", "t_words", "t_pairs", "t_at")
 
 
-def spans(docs: DataFrame, reach: int = 3, least: float = 0.75) -> DataFrame:
-    """Verified spans: doc_id, key, label, base, start, end (words, end exclusive), coverage.
+def spans(hits: DataFrame, reach: int = 3, least: float = 0.75) -> DataFrame:
+    """Verified spans of pair_hits(): doc_id, key, label, base, start, end (words, end exclusive), coverage.
 
     Base phrases stand where all their pairs lie on one diagonal. The other templates merge diagonals at most
     ``reach`` apart and need the share ``least`` of their pairs.
     """
     per_diagonal = (
-        pair_hits(docs)
+        hits.where("label is not null")
         .groupBy("doc_id", "key", "label", "base", "t_words", "t_pairs", (F.col("at") - F.col("t_at")).alias("diagonal"))
         .agg(F.collect_set("t_at").alias("seen"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     )
@@ -98,7 +107,8 @@ def scan_licenses(docs: DataFrame, reach: int = 3, least: float = 0.75) -> DataF
     one scan, whose spans are told apart by a hash of the text.
     """
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    found = spans(keyed, reach, least).distinct()
+    hits = written(pair_hits(keyed), "license-hits")
+    found = spans(hits, reach, least)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     is_base = F.col("base")
     per_doc = found.groupBy("doc_id", "key").agg(
@@ -109,7 +119,7 @@ def scan_licenses(docs: DataFrame, reach: int = 3, least: float = 0.75) -> DataF
         joined("label").alias("labels"),
         F.max("coverage").alias("score"),
     )
-    counted = keyed.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    counted = hits.where("at < 0").select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"))
     p = per_doc.withColumnRenamed("doc_id", "p_id").withColumnRenamed("key", "p_key")
     return counted.join(p, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("key") == F.col("p_key")), "left").select(
         "doc_id",
