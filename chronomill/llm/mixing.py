@@ -26,7 +26,9 @@ CHUNKS = 256
 
 def word_count(text: Column) -> Column:
     """How many runs of characters other than space and tab to carriage return the text holds."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    parts = F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+")
+    empty = lambda i: (F.element_at(parts, i) == "").cast("int")
+    return F.greatest(F.size(parts) - empty(1) - empty(-1), F.lit(0)).cast("long")
 
 
 def measured(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, mixing
+from . import ann, chat, licenses, mixing, packing, prefixes, quality, simhash, sstable, tiff
 from .common import table
 
 
@@ -23,4 +23,55 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_chat_format": op2_chat_format, "op3_source_mix": op3_source_mix}
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op6_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_media(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2))
+
+
+def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the resampling keeps."""
+    all_rows = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return all_rows.where("kept").select("doc_id", "n_features", "score", "gumbel_key")
+
+
+def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep_tables=False)
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_chat_format,
+        op3_source_mix,
+        op4_nearest_neighbours,
+        op5_token_packing,
+        op6_tiff_media,
+        op7_simhash_near_dedup,
+        op8_token_sstable,
+        op9_quality_resampling,
+        op10_prefix_token_counts,
+    )
+}
