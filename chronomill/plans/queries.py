@@ -158,9 +158,9 @@ def paginate_files(spark, sf_dir):
     return listing.page(Tables(spark, sf_dir).orders, ["o_orderdate", "o_orderkey"], 10, 20).select("o_orderkey", "o_orderdate")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_orderkey, l_linenumber LIMIT 25 OFFSET 5")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 25 OFFSET 5")
 def paginate_functions(spark, sf_dir):
-    return listing.page(Tables(spark, sf_dir).lineitem, ["l_orderkey", "l_linenumber"], 25, 5, l_returnflag="R").select("l_orderkey", "l_linenumber", "l_partkey")
+    return listing.page(Tables(spark, sf_dir).lineitem, ["l_orderkey", "l_linenumber", "l_partkey"], 25, 5, l_returnflag="R").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("""SELECT o_orderkey AS id, count(l_orderkey) AS n_hunks, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linestatus, l_linenumber, l_partkey), '') AS hunks
@@ -253,10 +253,10 @@ def overwrite_merge(spark, sf_dir):
     return rollup.carried_forward(e.where("event_id % 2 = 0"), new, new)
 
 
-@query("SELECT DISTINCT user_id AS path FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 5")
+@query("SELECT DISTINCT user_id AS path FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 30")
 def list_difference(spark, sf_dir):
     e = Tables(spark, sf_dir).events.withColumn("path", F.col("user_id"))
-    return diffs.path_difference(e.where("event_type = 'view'"), e.where("event_type = 'purchase' and value > 5"))
+    return diffs.path_difference(e.where("event_type = 'view'"), e.where("event_type = 'purchase' and value > 30"))
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
@@ -462,7 +462,7 @@ def resolve_calls(spark, sf_dir):
 
 
 @query("""SELECT l_suppkey AS file, 'digraph CallGraph {' || chr(10) || string_agg(chr(9) || '"' || l_returnflag || ':' || l_linenumber || ':' || l_orderkey || '" -> "' || l_suppkey || ':' || l_linestatus || ':' || l_partkey || ':' || l_orderkey || '"', chr(10)
-ORDER BY l_linenumber, l_orderkey, l_partkey) || chr(10) || '}' || chr(10) AS dot FROM lineitem GROUP BY l_suppkey""")
+ORDER BY l_linenumber, l_orderkey, l_partkey, l_returnflag, l_linestatus) || chr(10) || '}' || chr(10) AS dot FROM lineitem GROUP BY l_suppkey""")
 def dot_edges(spark, sf_dir):
     e = Tables(spark, sf_dir).lineitem.select(F.col("l_suppkey").alias("path"), F.col("l_returnflag").alias("name"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("column"), F.col("l_linestatus").alias("callee"), F.col("l_partkey").alias("call_line"), F.col("l_orderkey").alias("call_column"))
     return calls.dot_graph(e, ["path"]).withColumnRenamed("path", "file")
