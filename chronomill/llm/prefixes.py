@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .tokens import BYTE_LEVEL, CONTRACTIONS, Encoder, encoder, groups, in_class
 
-LARGEST_CACHE = 400_000
+LARGEST_CACHE = 1_200_000
+LARGEST_PAIRS = 400_000
 LONGEST_KEPT = 48
 #: White space of the split pattern.
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -61,17 +63,18 @@ class PrefixCounter:
         for (a, b), r in self.ranks.items():
             if a + b not in self.halves:
                 self.halves[a + b], self.formed[a + b] = (a, b), r
-        lengths: dict[bytes, set[int]] = {}
+        #: Finds all tokens of two bytes or more in a string of bytes (as characters), the longest first at each end.
+        self.finder = ahocorasick.Automaton()
         for t in self.vocab:
-            if len(t) > 1:
-                lengths.setdefault(t[-2:], set()).add(len(t))
-        #: How long tokens that end with two bytes can be, longest first.
-        self.by_end = {e: sorted(n, reverse=True) for e, n in lengths.items()}
+            if len(t) > 1 and self.formed.get(t, -1) >= 0:
+                self.finder.add_word(t.decode("latin-1"), t)
+        self.finder.make_automaton()
         letter, number = in_class("L"), in_class("N")
         joined = CONTRACTIONS.strip("|")
         self.units = re.compile(rf"(?:\s*[^\S ])?(?:{joined})|\s*(?:[{letter}]+|[{number}]+|[^\s{letter}{number}]+)|\s+").findall
         self.contraction = re.compile(rf"(?:{joined})\Z").match
         self.selves: dict[bytes, bool] = {}
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.cache: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -105,19 +108,33 @@ class PrefixCounter:
 
     def counts(self, data: bytes) -> list[int]:
         """count[i] of the prefixes of one piece, i = 0 .. len(data)."""
-        count, last = [0], [b""]
-        vocab, by_end, compatible = self.vocab, self.by_end, self.compatible
-        for i in range(1, len(data) + 1):
-            for n in by_end.get(data[i - 2 : i] if i > 1 else b"", ()):
-                if n > i:
-                    continue
-                token = data[i - n : i]
-                if token in vocab and (compatible(last[i - n], token) if n < i else self.whole(token)):
-                    break
+        n = len(data)
+        count, last = [0] * (n + 1), [b""] * (n + 1)
+        compatible, pairs = self.compatible, self.pairs
+        if len(pairs) > LARGEST_PAIRS:
+            pairs.clear()
+        done = 0  # the prefixes up to here have their last token
+        single = [data[i : i + 1] for i in range(n)]
+        for end, token in self.finder.iter(data.decode("latin-1")):
+            end += 1
+            if end == done:
+                continue
+            for i in range(done + 1, end):
+                count[i], last[i] = count[i - 1] + 1, single[i - 1]
+            done = end - 1
+            start = end - len(token)
+            if start:
+                both = (last[start], token)
+                fits = pairs.get(both)
+                if fits is None:
+                    fits = pairs[both] = compatible(*both)
             else:
-                n, token = 1, data[i - 1 : i]
-            count.append(count[i - n] + 1)
-            last.append(token)
+                fits = self.whole(token)
+            if fits:
+                count[end], last[end] = count[start] + 1, token
+                done = end
+        for i in range(done + 1, n + 1):
+            count[i], last[i] = count[i - 1] + 1, single[i - 1]
         return count
 
     def whole(self, token: bytes) -> bool:
