@@ -110,10 +110,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     distinct, queries = points(vectors, every, k)
     asked = written(queries, "ann-queries")
     marked = distinct.join(asked.select("point").distinct().withColumn("asked", F.lit(True)), "point", "left").select("point", "length", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
-    # One small fit per vector length: at most FIT vectors in all.
-    sizes = {r["length"]: r["n"] for r in distinct.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(100).collect()}
+    # One small fit per vector length, which embeddings have few of; a few vectors of a length are one block.
+    sizes = {r["length"]: r["n"] for r in distinct.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()}
     fits, reach = {}, {}
     for length, n in sizes.items():
+        if n <= 256:
+            continue
         sample = np.array([r[0] for r in distinct.where(F.col("length") == length).orderBy("point").select("vector").limit(max(1000, FIT // len(sizes))).collect()])
         blocks = max(3, min(80, n // 64), n // BLOCK_ROWS)
         fits[length] = Curves(sample, blocks, curves)
@@ -125,19 +127,18 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
             ids, lengths, asks = (np.array(batch.column(i).to_pylist()) for i in (0, 1, 3))
             lists = batch.column(2)
             for length in np.unique(lengths):
-                if int(length) not in fits:
-                    continue
                 rows = np.flatnonzero(lengths == length)
                 x = np.array([lists[int(i)].as_py() for i in rows])
                 raw = [r.tobytes() for r in x]
-                c, r, base = fits[int(length)], reach[int(length)], number[int(length)] * curves
-                for curve in range(curves):
-                    block = c.block(x, curve)
+                c, r, base = fits.get(int(length)), reach.get(int(length), 0), number[int(length)] * curves
+                blocks = c.blocks if c else 1
+                for curve in range(curves if c else 1):
+                    block = c.block(x, curve) if c else np.zeros(len(rows), np.int64)
                     q = np.flatnonzero(asks[rows])
                     cells, who, role = [block], [np.arange(len(rows))], [np.zeros(len(rows), bool)]
                     for step in range(-r, r + 1):
                         to = block[q] + step
-                        ok = (to >= 0) & (to < c.blocks)
+                        ok = (to >= 0) & (to < blocks)
                         cells.append(to[ok])
                         who.append(q[ok])
                         role.append(np.ones(int(ok.sum()), bool))

@@ -81,7 +81,8 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, int]:
     target are left out; closing slots (slot from ``slots`` on) settle what is missing.
     """
     spark = targets.sparkSession
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
+    total, sources = targets.agg(F.sum("target"), F.count(F.lit(1))).first()
+    total = total or 0.0
     block = max(1, -(-int(total) // slots))
     n = -(-int(total) // block)
     # The cumulative shares as intervals, spread over cells so that points find theirs by an equi-join.
@@ -116,7 +117,7 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, int]:
     closing = (
         shares.join(have, "source_no", "left")
         .withColumn("rank", F.expr(f"explode(filter(sequence(0L, greatest(ceil(limit / {block}L), 1L)), r -> r >= coalesce(have, 0L) and r * {block}L < limit))"))
-        .select((F.lit(n) + F.col("rank")).cast("long").alias("slot"), "source_no", "rank", F.least(F.lit(block).cast("long"), left).alias("words"))
+        .select((F.lit(n) + F.col("rank") * sources + F.col("source_no")).cast("long").alias("slot"), "source_no", "rank", F.least(F.lit(block).cast("long"), left).alias("words"))
     )
     return kept.unionByName(closing), block
 
@@ -176,10 +177,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
         .groupBy("doc_id", "source", "size")
         .agg(F.round(F.sum("taken") / (F.first("size") * F.count(F.lit(1)))).cast("int").alias("copies"))
         .where("copies > 0")
-        .select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), "copies")
+        .select(F.col("doc_id").alias("_chronomill_k_id"), F.col("source").alias("_chronomill_k_source"), F.col("size").alias("_chronomill_k_size"), F.col("copies").alias("_chronomill_copies"))
     )
     names = docs.columns
-    sized = docs.withColumn("k_words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("k_words") == F.col("k_size"))
-    repeated = sized.where("k_words > 0").join(taken, same).withColumn("k_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(names).unionByName(sized.where("k_words = 0").select(names))
+    sized = docs.withColumn("_chronomill_k_words", word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_chronomill_k_id")) & F.col("source").eqNullSafe(F.col("_chronomill_k_source")) & (F.col("_chronomill_k_words") == F.col("_chronomill_k_size"))
+    repeated = sized.where("_chronomill_k_words > 0").join(taken, same).withColumn("_chronomill_k_copy", F.explode(F.sequence(F.lit(1), F.col("_chronomill_copies"))))
+    return repeated.select(names).unionByName(sized.where("_chronomill_k_words = 0").select(names))

@@ -1 +1,55 @@
-SQL = {}
+"""SQL for the queries that it can express, written on its own: no hashes, blocks or slots, but the same rows."""
+
+from __future__ import annotations
+
+from .licenses import BASE, TEMPLATES
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _phrase(phrase: str, label: str) -> str:
+    test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+    return f"SELECT r, i - 1 AS start, '{label}' AS label FROM p WHERE {test}"
+
+
+def _pairs() -> str:
+    rows = []
+    for phrase, label in TEMPLATES.items():
+        w = phrase.split()
+        rows += [f"('{label}', {len(w) - 1}, {j}, '{a}', '{b}')" for j, (a, b) in enumerate(zip(w, w[1:]))]
+    return ", ".join(rows)
+
+
+OP1 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+base AS ({" UNION ALL ".join(_phrase(*x) for x in BASE.items())}),
+t(label, pairs, j, a, b) AS (VALUES {_pairs()}),
+votes AS (SELECT DISTINCT p.r, t.label, t.pairs, p.i - 1 - t.j AS diagonal, t.j FROM p JOIN t ON w[i] = t.a AND w[i + 1] = t.b),
+diagonals AS (SELECT DISTINCT r, label, diagonal FROM votes),
+starts AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER l <= 3 THEN 0 ELSE 1 END AS fresh FROM diagonals WINDOW l AS (PARTITION BY r, label ORDER BY diagonal)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY r, label ORDER BY diagonal) AS run FROM starts),
+found AS (SELECT v.r, v.label, count(DISTINCT v.j) / CAST(any_value(v.pairs) AS DOUBLE) AS coverage FROM votes v JOIN runs u ON u.r = v.r AND u.label = v.label AND u.diagonal = v.diagonal GROUP BY v.r, v.label, u.run),
+kept AS (SELECT * FROM found WHERE coverage >= 0.75),
+b AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM (SELECT r, label, 1.0::DOUBLE AS coverage FROM base UNION ALL SELECT * FROM kept) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN every e ON e.r = d.r"""
+
+OP2 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|\|[A-Za-z0-9_]{1,64}\|>|</?SYS>>|/?INST\])')) AS escapes, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text) AS l, CAST(sum(12 + length(role) + 1 + length(text) + escapes + 10 + 1) AS BIGINT) AS formatted_chars FROM n GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(l) AS BIGINT) AS loss_chars, sha256(l) AS loss_sha256, formatted_chars FROM g"""
+
+OP3 = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, CAST(CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, CAST(n AS DOUBLE) * 2 AS cap, CAST(sum(n) OVER () AS DOUBLE) * 1.5::DOUBLE AS total FROM s),
+f AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, CAST(n AS BIGINT) AS source_size, CASE WHEN cap / weight <= level THEN cap ELSE weight * first_value(level) OVER (ORDER BY cap / weight <= level, cap / weight, k) END AS target FROM f),
+o AS (SELECT d.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY size = 0, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+      FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(least(place + size, goal) - place, 0) + greatest(least(source_size + place + size, goal) - source_size - place, 0) AS BIGINT) AS taken FROM o"""
+
+SQL = {"op1_license_scan": OP1, "op2_chat_format": OP2, "op3_source_mix": OP3}

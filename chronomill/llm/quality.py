@@ -146,6 +146,6 @@ def resample(docs: DataFrame, labels: DataFrame, loss: float = LOSS, scale: floa
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the resampling keeps."""
-    rejected = resample(docs, labels).where("not kept").select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).distinct()
+    rejected = resample(docs, labels).where("not kept").select(F.col("doc_id").alias("_chronomill_r_id"), F.col("text_hash").alias("_chronomill_r_hash")).distinct()
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("r_id")) & (text == F.col("r_hash")), "left_anti")
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_chronomill_r_id")) & (text == F.col("_chronomill_r_hash")), "left_anti")

@@ -277,14 +277,14 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
     names = docs.columns
     grouped = similar_groups(docs, k, similarity)
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
-    hashed = docs.withColumn("k_text", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_hash"))
+    kept = first.select(F.col("k.doc_id").alias("_chronomill_k_id"), F.col("k.text_hash").alias("_chronomill_k_hash"))
+    hashed = docs.withColumn("_chronomill_k_text", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").eqNullSafe(F.col("_chronomill_k_id")) & (F.col("_chronomill_k_text") == F.col("_chronomill_k_hash"))
     # How many rows are alike in id and text: only those that are go through the removal of repeated rows.
-    alike = grouped.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("k_n")).select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), "k_n")
-    counted = written(kept.join(alike, F.col("k_id").eqNullSafe(F.col("a_id")) & (F.col("k_hash") == F.col("a_hash"))).select("k_id", "k_hash", "k_n"), "similar-kept")
-    single = hashed.join(counted.where("k_n = 1"), same, "left_semi").select(names)
-    if not counted.where("k_n > 1").limit(1).count():
+    alike = grouped.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_chronomill_k_n")).select(F.col("doc_id").alias("_chronomill_a_id"), F.col("text_hash").alias("_chronomill_a_hash"), "_chronomill_k_n")
+    counted = written(kept.join(alike, F.col("_chronomill_k_id").eqNullSafe(F.col("_chronomill_a_id")) & (F.col("_chronomill_k_hash") == F.col("_chronomill_a_hash"))).select("_chronomill_k_id", "_chronomill_k_hash", "_chronomill_k_n"), "similar-kept")
+    single = hashed.join(counted.where("_chronomill_k_n = 1"), same, "left_semi").select(names)
+    if not counted.where("_chronomill_k_n > 1").limit(1).count():
         return single
-    several = hashed.join(counted.where("k_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "k_text"]).select(names)
+    several = hashed.join(counted.where("_chronomill_k_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "_chronomill_k_text"]).select(names)
     return single.unionByName(several)

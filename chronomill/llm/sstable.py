@@ -177,6 +177,16 @@ def opened(uri: str) -> tuple[Shard, object]:
     return Shard(source, source.size()), source
 
 
+def _place(fs: pafs.FileSystem, trial: str, name: str) -> None:
+    """Gives a finished file its name; where another run of the task has been first, that file holds the same."""
+    try:
+        fs.move(trial, name)
+    except OSError:
+        if fs.get_file_info(name).type != pafs.FileType.File:
+            raise
+        fs.delete_file(trial)
+
+
 def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = None, shards: int | None = None) -> DataFrame:
     """Encodes, sorts and writes the documents; returns the manifest, itself a written table.
 
@@ -206,7 +216,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
         if writer is not None:
             size = writer.close()
             sink.close()
-            fs.move(trial, name)
+            _place(fs, trial, name)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": f"{folder}/{name.rsplit('/', 1)[1]}", "n_docs": writer.entries, "n_ids": writer.ids, "file_bytes": size}])
 
     manifest = f"{folder}-manifest"
