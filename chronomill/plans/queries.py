@@ -571,14 +571,17 @@ def natural_ids(spark, sf_dir):
 @query("""WITH n AS (SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id FROM events GROUP BY user_id) SELECT * FROM n""")
 def stream_current_states(spark, sf_dir):
     """The stream form: all events as one available-now batch through the streaming aggregate."""
-    from ..streaming.ingest import current_states
+    import tempfile
+    import uuid
 
+    from ..streaming.ingest import current_states, latest_table
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/current-states-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
-    name = f"current_states_{abs(hash(sf_dir))}"
-    q = current_states(stream.select(F.col("user_id").alias("path"), "ts", "event_id"), order=["ts", "event_id"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("path").alias("user_id"), "event_id")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").alias("path"), "ts", "event_id")
+    latest_table(current_states(stream, order=["ts", "event_id"]), f"{folder}/out", f"{folder}/log").awaitTermination()
+    result = spark.read.parquet(f"{folder}/out")
+    return result.where(F.col("n") == result.agg(F.max("n")).first()[0]).select(F.col("path").alias("user_id"), "event_id")
 
 
 GO = 'package main\n\n// main\nfunc main() {\n\tif a && b {\n\t\tfmt.Println(add(1, 2))\n\t}\n}\n\nfunc add(a int, b int) int { return a + b }\n'

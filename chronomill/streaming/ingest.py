@@ -35,3 +35,12 @@ def current_states(stream: DataFrame, path: str = "path", order: list[str] | Non
 def windowed_counts(stream: DataFrame, time: str, width: str, late: str, by: list[str]) -> DataFrame:
     """Events per window and group, late rows accepted within the watermark."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *by, "n")
+
+
+def latest_table(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Starts a query that writes a streaming aggregate's whole result as Parquet, a folder per batch: folder/n=0, ..."""
+
+    def batch(result: DataFrame, number: int) -> None:
+        result.write.mode("overwrite").parquet(f"{folder}/n={number}")
+
+    return rows.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
