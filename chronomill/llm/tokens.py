@@ -23,7 +23,7 @@ UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ſ‐-‧€]")
 #: Fixed value: the split pattern of byte-level pre-tokenizers that use the default one.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d|"
-LARGEST_CACHE = 800_000
+LARGEST_CACHE = 1_200_000
 LONGEST_KEPT = 64
 
 
@@ -135,7 +135,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def groups(texts: list, most_chars: int = 200_000):
+def groups(texts: list, most_chars: int = 800_000):
     """Index ranges of consecutive texts that together stay near most_chars."""
     start, chars = 0, 0
     for i, t in enumerate(texts):
