@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import partitions, written
 
-CURVES = 24
+CURVES = 32
 DIMS, GRID_BITS = 8, 8
 FIT = 20_000
 BLOCK_ROWS = 2048
@@ -106,7 +107,9 @@ def points(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, DataFrame
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id ``every`` divides."""
-    spark = vectors.sparkSession
+    # Floats travel as they are and are widened where they meet; every product is of doubles.
+    narrow = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind = np.float32 if narrow else np.float64
     distinct, queries = points(vectors, every, k)
     asked = written(queries, "ann-queries")
     marked = distinct.join(asked.select("point").distinct().withColumn("asked", F.lit(True)), "point", "left").select("point", "length", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
@@ -129,7 +132,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
             for length in np.unique(lengths):
                 rows = np.flatnonzero(lengths == length)
                 x = np.array([lists[int(i)].as_py() for i in rows])
-                raw = [r.tobytes() for r in x]
+                raw = [r.tobytes() for r in x.astype(kind)]
                 c, r, base = fits.get(int(length)), reach.get(int(length), 0), number[int(length)] * curves
                 blocks = c.blocks if c else 1
                 for curve in range(curves if c else 1):
@@ -151,7 +154,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     def meet(table: pa.Table) -> pa.Table:
         asks = np.array(table.column("asks").to_pylist(), bool)
         ids = table.column("point").to_numpy()
-        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(ids), -1)
+        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64)
         cand, cand_ids, ask, ask_ids = x[~asks], ids[~asks], x[asks], ids[asks]
         who, found, scores = [], [], []
         most = min(k + 5, len(cand))
