@@ -618,3 +618,82 @@ def source_reports(spark, sf_dir):
     from ..sources.analysis import file_analysis
 
     return file_report(file_analysis(_sources(spark)))
+
+
+@query("""SELECT o_orderkey AS id, 'files changed: ' || count(l_orderkey) || chr(10) || 'insertions: ' || coalesce(sum(l_linenumber), 0) || chr(10) || 'deletions: ' || coalesce(sum(l_partkey % 7), 0) || chr(10) || 'total line changes: ' || (coalesce(sum(l_linenumber), 0) + coalesce(sum(l_partkey % 7), 0))
+|| chr(10) || 'files:' || coalesce(chr(10) || string_agg(DISTINCT '  - p' || l_suppkey, chr(10) ORDER BY '  - p' || l_suppkey), '') || chr(10) || 'hunks:'
+|| coalesce(chr(10) || string_agg('  - -:' || l_linenumber || '..' || (l_linenumber + 2) || ' -> p' || l_suppkey || ':' || l_partkey || '..' || (l_partkey + 3), chr(10) ORDER BY l_linenumber * 1000000 + l_partkey * 10, l_suppkey), '') AS report
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey HAVING count(*) > 1) GROUP BY o_orderkey""")
+def diff_reports(spark, sf_dir):
+    """The text of every order as a diff whose hunks are its lines; orders with lines alike have no one order of them."""
+    from ..operators.reports import diff_report
+
+    t = Tables(spark, sf_dir)
+    alike = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").count().where("count > 1").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    orders = t.orders.join(alike, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("id"))
+    d = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("insertions"), (F.col("l_partkey") % 7).alias("deletions"))
+    counted = orders.join(diffs.diff_stats(d, ["id"]), "id", "left").na.fill(0)
+    path = F.concat(F.lit("p"), F.col("l_suppkey"))
+    hunks = t.lineitem.select(F.col("l_orderkey").alias("id"), F.lit(None).cast("string").alias("old_path"), path.alias("new_path"), F.col("l_linenumber").alias("old_start_line"), (F.col("l_linenumber") + 2).alias("old_end_line"), F.col("l_partkey").alias("new_start_line"), (F.col("l_partkey") + 3).alias("new_end_line"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 10).alias("hunk_no"))
+    return diff_report(counted, t.lineitem.select(F.col("l_orderkey").alias("id"), path.alias("path")), hunks, "id")
+
+
+@query("""SELECT o_orderkey, 1 + o_custkey % 7 + o_custkey % 5 + o_custkey % 3 AS cyclomatic, 1 + o_custkey % 7 + o_custkey % 2 + o_custkey % 3 AS single_branch, to_timestamp(o_orderkey * 86400)::TIMESTAMP AS committed_at, CAST(o_custkey AS INTEGER) AS narrow FROM orders""")
+def counters_and_times(spark, sf_dir):
+    c = F.col("o_custkey")
+    o = Tables(spark, sf_dir).orders
+    return o.select(
+        "o_orderkey",
+        halstead.cyclomatic(c % 7, c % 5, c % 3).alias("cyclomatic"),
+        halstead.cyclomatic_match_as_single_branch(c % 7, c % 2, c % 3).alias("single_branch"),
+        F.timestamp_seconds(F.col("o_orderkey") * 86400).cast("timestamp_ntz").alias("committed_at"),
+        c.cast("int").alias("narrow"),
+    )
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, printf('length=%d, vocabulary=%d, calculated_length=%.3f, volume=%.3f, difficulty=%.3f, effort=%.3f, time=%.3f, bugs=%.6f', a + 8, 6, 10.0::DOUBLE, (a + 8) * log2(6), 2.0::DOUBLE, 2 * (a + 8) * log2(6), 2 * (a + 8) * log2(6) / 18, (a + 8) * log2(6) / 3000) AS text FROM c""")
+def halstead_texts(spark, sf_dir):
+    a = F.col("l_quantity").cast("long")
+    m = halstead.derived(F.lit(2).cast("long"), F.lit(4).cast("long"), a, F.lit(8).cast("long"))
+    return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", halstead.halstead_text(m).alias("text"))
+
+
+def _history_folder() -> str:
+    """A small repository made on the spot."""
+    import os
+    import subprocess
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="history-")
+    who = {f"GIT_{r}_{k}": v for r in ("AUTHOR", "COMMITTER") for k, v in (("NAME", "A"), ("EMAIL", "a@example.com"), ("DATE", "2024-01-01T00:00:00Z"))}
+    git = lambda *args: subprocess.run(["git", "-C", folder, *args], check=True, capture_output=True, env=os.environ | who)
+    git("init", "-q", "-b", "main")
+    for message, name, content in (("Start", "a.go", GO), ("Fix merge", "b.ml", OCAML), ("More", "c.py", PYTHON), ("Change", "a.go", GO + "\n// end\n")):
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+            f.write(content)
+        git("add", "-A")
+        git("commit", "-q", "-m", message)
+    return folder
+
+
+@query()
+def gitlog_deltas(spark, sf_dir):
+    """The git source over a small repository."""
+    from ..sources import gitlog
+
+    return gitlog.read(spark, _history_folder(), "deltas").drop("commit_hash", "old_blob_oid", "new_blob_oid")
+
+
+@query()
+def ingested_timeline(spark, sf_dir):
+    """A small repository through the whole ingest: each version with its totals."""
+    import tempfile
+
+    from .catalog import Catalog
+    from .ingest import ingest
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    catalog = Catalog.open(spark, f"{base}/store-{abs(hash(tempfile.mkdtemp()))}")
+    codebase = ingest(catalog, _history_folder(), url="https://host.test/golang-sample")
+    return catalog.table("versions").where(F.col("codebase_id") == codebase).select("seq", "message", "is_fix", "metrics.files", "metrics.total_lines_of_code", "metrics.total_cyclomatic")

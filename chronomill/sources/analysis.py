@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import halstead, text
 from ..operators import tokens as token_ops
+from ..shipping import ship
 from . import go_source, ocaml_source, python_source
 from .entities import Analysis
 
@@ -68,6 +69,7 @@ def parsed(sources: DataFrame, compat: bool = False) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 yield pa.RecordBatch.from_pylist([_row(*row, compat)], schema=_ARROW)
 
+    ship(sources.sparkSession)
     once = sources.select("content_key", "language", "text").dropDuplicates(["content_key", "language"])
     return once.mapInArrow(run, SCHEMA)
 

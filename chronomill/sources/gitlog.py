@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shipping import ship
+
 EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"  # fixed value: git's empty tree
 SCHEMAS = {
     "commits": "seq int, commit_hash string, parent_hash string, message string, author_name string, author_email string, committed_at timestamp",
@@ -176,5 +178,6 @@ class GitLog(DataSource):
 
 
 def read(spark, path: str, table: str, from_seq: int = 0):
+    ship(spark)
     spark.dataSource.register(GitLog)
     return spark.read.format("gitlog").option("path", path).option("table", table).option("fromSeq", str(from_seq)).load()
