@@ -3,7 +3,8 @@
 Two generative models over hashed byte trigrams (a word that repeats the one before it is written as a mark first):
 ``raw`` counts every document of the corpus, ``target`` the good ones of a bounded sample of labelled documents. A
 document's score is its log ratio of target to raw per trigram, drawn towards 0 for short texts. The held-out half of
-the sample sets the cut: the score that all but ``loss`` of its good documents reach. Documents are then resampled
+the sample sets the cut, where the share of its good documents lost, ``GOOD_WEIGHT`` times, and the share of its bad
+ones kept are least together; without bad ones, the score that all but ``LOSS`` of the good ones reach. Documents are then resampled
 without replacement by Gumbel top-k: key = scale * (score - cut) + Gumbel noise from a hash of the document, k = how
 many documents reach the cut. So the choice is random only close to the cut.
 
@@ -30,6 +31,7 @@ from .common import written
 BUCKETS = 1 << 16
 SAMPLE = 20_000
 LOSS = 0.01
+GOOD_WEIGHT = 5.0
 SHORT = 100
 SCALE = 200.0
 
@@ -127,13 +129,29 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, loss: float = LOSS, scale: float = SCALE) -> DataFrame:
+def best_cut(good: np.ndarray, bad: np.ndarray, weight: float = GOOD_WEIGHT, loss: float = LOSS) -> float:
+    """The cut at which losing good (below it) and keeping bad cost least; the lowest of equally good ones."""
+    if not len(bad):
+        return float(np.quantile(good, loss))
+    cuts = np.unique(np.concatenate([good, bad, [np.nextafter(max(bad.max(), good.max()), np.inf)]]))
+    lost = np.searchsorted(np.sort(good), cuts, side="left") / len(good)
+    kept = 1 - np.searchsorted(np.sort(bad), cuts, side="left") / len(bad)
+    best = int(np.argmin(weight * lost + kept))
+    # Between the last bad score that goes and the first that stays there is room: its middle.
+    below = np.concatenate([good, bad])
+    below = below[below < cuts[best]]
+    return float((cuts[best] + below.max()) / 2) if len(below) else float(cuts[best])
+
+
+def resample(docs: DataFrame, labels: DataFrame, scale: float = SCALE) -> DataFrame:
     """doc_id, text_hash, n_features, score, gumbel_key, kept of every row."""
     sample = written(labelled_sample(labels), "quality-sample")
     raw, target = corpus_counts(docs, sample)
     scores = written(scored(docs, log_ratios(raw, target) if target.sum() else np.zeros(BUCKETS)), "quality-scores")
-    good = scores.join(F.broadcast(sample.where("good and held_out")), F.col("doc_id") == F.col("l_id")).select("score").limit(SAMPLE).toPandas()["score"].to_numpy()
-    cut = float(np.quantile(good, loss)) if len(good) and target.sum() else -1e300
+    # One score per id of the sample, so at most SAMPLE rows.
+    known = scores.join(F.broadcast(sample.where("held_out").select("l_id", "good")), F.col("doc_id") == F.col("l_id")).groupBy("l_id", "good").agg(F.min("score").alias("score")).toPandas()
+    good, bad = (known["score"][known["good"] == flag].to_numpy() for flag in (True, False))
+    cut = best_cut(good, bad) if len(good) and target.sum() else -1e300
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(17)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     if cut == -1e300:
         return scores.withColumn("gumbel_key", -F.log(-F.log(u))).withColumn("kept", F.lit(True))
