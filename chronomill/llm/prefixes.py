@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import BYTE_LEVEL, CONTRACTIONS, Encoder, encoder, groups, in_class
+from .tokens import BYTE_LEVEL, CONTRACTIONS, Encoder, encoder, groups, in_class, parts
 
 LARGEST_CACHE = 1_200_000
 LARGEST_PAIRS = 400_000
@@ -199,15 +199,15 @@ class PrefixCounter:
     def table(self, text: str) -> bytes:
         specials = [s for s in self.encoder.specials if s in text]
         if not specials:
-            return self._joined(self.ordinary(text))
+            return b"".join(self._joined(self.ordinary(p)) for p in (parts(text) if self.encoder.plain(text) else [text]))
         out = b""
-        parts = re.split("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")", text)
-        for k in range(0, len(parts), 2):
-            own = self._joined(self.ordinary(parts[k]))
-            if k + 1 == len(parts):
+        split = re.split("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")", text)
+        for k in range(0, len(split), 2):
+            own = self._joined(self.ordinary(split[k]))
+            if k + 1 == len(split):
                 return out + own
-            special = parts[k + 1]
-            run = self._joined(self.ordinary(parts[k] + special[:-1]))
+            special = split[k + 1]
+            run = self._joined(self.ordinary(split[k] + special[:-1]))
             total = lambda d: int(np.frombuffer(d, np.int8).sum())
             out += run + bytes([(total(own) + 1 - total(run)) & 255])
         return out

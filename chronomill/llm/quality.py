@@ -33,22 +33,30 @@ SAMPLE = 20_000
 LOSS = 0.01
 GOOD_WEIGHT = 5.0
 SHORT = 100
+STRETCH = 1 << 20
 SCALE = 200.0
 
 
-def marked(raw: bytes) -> bytes:
+def marked(raw: bytes, before: bytes = b"") -> bytes:
     words = raw.split(b" ")
-    return b" ".join([b"\x01" if a == b and a else a for a, b in zip(words, [b"", *words])])
-
-
-def features(raw: bytes) -> np.ndarray:
-    """The buckets of a text's byte trigrams."""
-    data = np.frombuffer(marked(raw), np.uint8).astype(np.uint32)
-    if len(data) < 3:
-        return np.zeros(0, np.uint32)
-    mixed = data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)
-    mixed ^= mixed >> np.uint32(15)
-    return mixed * np.uint32(0x2C1B3C6D) >> np.uint32(16)
+    return b" ".join([b"\x01" if a == b and a else a for a, b in zip(words, [before, *words])])
+
+
+def features(raw: bytes) -> Iterator[np.ndarray]:
+    """The buckets of a text's byte trigrams, a bounded stretch of the text at a time; stretches end at a blank."""
+    start, before, tail = 0, b"", b""
+    while start < len(raw):
+        stop = raw.find(b" ", start + STRETCH)
+        stop = len(raw) if stop < 0 or len(raw) - start <= STRETCH else stop + 1
+        text = tail + marked(raw[start:stop], before)
+        before, tail = raw[start : stop - 1].rsplit(b" ", 1)[-1], text[-2:]
+        start = stop
+        data = np.frombuffer(text, np.uint8).astype(np.uint32)
+        if len(data) < 3:
+            continue
+        mixed = data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)
+        mixed ^= mixed >> np.uint32(15)
+        yield mixed * np.uint32(0x2C1B3C6D) >> np.uint32(16)
 
 
 def labelled_sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -72,10 +80,11 @@ def corpus_counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.nd
         counts = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             for raw, good in zip(batch.column(0), batch.column(1).to_pylist()):
-                c = np.bincount(features(raw.as_py()), minlength=BUCKETS)
-                counts[0] += c
-                if good:
-                    counts[1] += c
+                for f in features(raw.as_py()):
+                    c = np.bincount(f, minlength=BUCKETS)
+                    counts[0] += c
+                    if good:
+                        counts[1] += c
         used = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[0][used]), pa.array(counts[1][used])], names=["bucket", "raw", "target"])
 
@@ -100,9 +109,9 @@ def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
         for batch in batches:
             n, score = [], []
             for raw in batch.column(1):
-                f = features(raw.as_py())
-                n.append(len(f))
-                score.append(float(ratios[f].sum()) / (len(f) + SHORT))
+                sums = [(len(f), float(ratios[f].sum())) for f in features(raw.as_py())]
+                n.append(sum(x for x, _ in sums))
+                score.append(sum(x for _, x in sums) / (n[-1] + SHORT))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "text_hash", "n_features", "score"])
 
     return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, n_features long, score double")

@@ -29,6 +29,7 @@ ids only is null); repeated rows are rows of their own; an empty table gives no
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
@@ -45,6 +46,9 @@ from .components import components
 SEED = 42
 LARGEST_BUCKET = 4096
 PIVOTS = 8
+#: Bytes of a text that are split into words at once.
+STRETCH = 1 << 20
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 ALL = (1 << 64) - 1
 
 
@@ -62,29 +66,53 @@ def _bit_table() -> np.ndarray:
     return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def shingle_hashes(text: str | None, k: int) -> bytes:
-    """The big-endian XXH64 values of the text's shingles; A-Z count as a-z."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return b""
-    if len(words) <= k:
-        return xxhash.xxh64_digest(b" ".join(words), SEED)
-    line = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    ends = starts + lengths
-    cuts = map(slice, starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    return b"".join(map(xxhash.xxh64_digest, map(line.__getitem__, cuts), repeat(SEED)))
-
-
-def majority(hashes: np.ndarray, table: np.ndarray) -> int:
-    """The fingerprint of hashes given as an n x 8 array of bytes, most significant first."""
-    n = len(hashes)
-    if not n:
-        return 0
-    places = hashes.astype(np.int64) + np.arange(8) * 256
-    counts = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ table
-    return int.from_bytes(np.packbits(counts.ravel() * 2 > n).tobytes(), "big")
+def stretches(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a bounded stretch of it at a time."""
+    start = 0
+    while start < len(raw):
+        gap = GAP.search(raw, start + STRETCH) if len(raw) - start > STRETCH else None
+        stop = gap.start() if gap else len(raw)
+        yield raw[start:stop].split()
+        start = stop
+
+
+def shingle_hashes(text: str | None, k: int) -> Iterator[bytes]:
+    """The big-endian XXH64 values of the text's shingles, a stretch at a time; A-Z count as a-z."""
+    held: list[bytes] = []  # the last k - 1 words, or all while they are fewer than k
+    some = False
+    for words in stretches((text or "").encode("utf-8", "surrogatepass").lower()):
+        words = held + words
+        if len(words) < k:
+            held = words
+            continue
+        line = b" ".join(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        cuts = map(slice, starts[: len(words) - k + 1].tolist(), (starts + lengths)[k - 1 :].tolist())
+        yield b"".join(map(xxhash.xxh64_digest, map(line.__getitem__, cuts), repeat(SEED)))
+        held, some = words[len(words) - k + 1 :], True
+    if held and not some:
+        yield xxhash.xxh64_digest(b" ".join(held), SEED)
+
+
+def remixed(raw: bytes) -> np.ndarray:
+    """Other hashes made of XXH64 values, as n x 8 bytes."""
+    x = np.frombuffer(raw, ">u8").astype(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str | None, k: int, second: bool, table: np.ndarray) -> list[int]:
+    """The signed fingerprints of a text: a bit is set if it is in over half of the hashes."""
+    counts, n = np.zeros((1 + second, 2048), np.int64), 0
+    for raw in shingle_hashes(text, k):
+        hashes = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+        n += len(hashes)
+        for i, h in enumerate([hashes, remixed(raw)] if second else [hashes]):
+            counts[i] += np.bincount((h.astype(np.int64) + np.arange(8) * 256).ravel(), minlength=2048)
+    bits = [(c.reshape(8, 256) @ table).ravel() * 2 > n for c in counts]
+    return [signed(int.from_bytes(np.packbits(b).tobytes(), "big")) for b in bits]
 
 
 def fingerprints(docs: DataFrame, k: int = 3, second: bool = False) -> DataFrame:
@@ -93,17 +121,8 @@ def fingerprints(docs: DataFrame, k: int = 3, second: bool = False) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bit_table()
         for batch in batches:
-            f0, f1 = [], []
-            for text in batch.column(1):
-                raw = shingle_hashes(text.as_py(), k)
-                f0.append(signed(majority(np.frombuffer(raw, np.uint8).reshape(-1, 8), table)))
-                if second:
-                    x = np.frombuffer(raw, ">u8").astype(np.uint64)
-                    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-                    f1.append(signed(majority((x ^ (x >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8), table)))
-                else:
-                    f1.append(0)
+            rows = [fingerprint(text.as_py(), k, second, table) for text in batch.column(1)]
+            f0, f1 = [r[0] for r in rows], [r[1] if second else 0 for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(f0, pa.int64()), pa.array(f1, pa.int64())], names=["doc_id", "text_hash", "f0", "f1"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))

@@ -25,6 +25,9 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d|"
 LARGEST_CACHE = 1_200_000
 LONGEST_KEPT = 64
+#: Longer texts are worked on in parts, cut before white space, where no piece can reach across.
+PART_CHARS = 1 << 20
+BORDER = re.compile(r"(?<=[^\t\n\r ])[\t\n\r ]")
 
 
 def in_class(major: str) -> str:
@@ -49,6 +52,15 @@ def compiled(pattern: str) -> re.Pattern:
     return re.compile(re.sub(r"\\p\{(\w)\}", lambda m: f"[{in_class(m[1])}]", inside))
 
 
+def parts(text: str, size: int = PART_CHARS) -> list[str]:
+    """The text in parts of about this size; white space that starts a part belongs to the piece after it."""
+    out, start = [], 0
+    while len(text) - start > size and (m := BORDER.search(text, start + size)):
+        out.append(text[start : m.start()])
+        start = m.start()
+    return [*out, text[start:]] if start else [text]
+
+
 class Encoder:
     """encode(texts) gives for each text its ids as packed little-endian unsigned integers of ``width`` bytes."""
 
@@ -106,6 +118,18 @@ class Encoder:
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of each text; null counts as empty."""
+        if len(texts) == 1 and texts[0] and len(texts[0]) > PART_CHARS and self.plain(texts[0]):
+            return [b"".join(self._encode([p])[0] for p in parts(texts[0]))]
+        long = [i for i, t in enumerate(texts) if t and len(t) > PART_CHARS]
+        if not long or len(texts) == 1:
+            return self._encode(texts)
+        out = self._encode([None if t and len(t) > PART_CHARS else t for t in texts])
+        for i in long:
+            out[i] = self.encode([texts[i]])[0]
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cache = self.cache
         if len(cache) > LARGEST_CACHE:
             cache.clear()
