@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import BYTE_LEVEL, CONTRACTIONS, Encoder, encoder, groups, in_class, parts
+from .tokens import BYTE_LEVEL, CONTRACTIONS, LETTERS, Cache, Encoder, encoder, groups, in_class, parts
 
 LARGEST_CACHE = 1_200_000
 LARGEST_PAIRS = 400_000
@@ -38,13 +38,6 @@ LONGEST_KEPT = 48
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def byte_letters() -> dict[str, int]:
-    """The characters that byte-level vocabularies write bytes as: printable bytes as themselves, others from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class PrefixCounter:
     """table(text): the changes of the token count, one signed byte per character."""
 
@@ -53,7 +46,7 @@ class PrefixCounter:
         pattern, lower = self.encoder._split()
         if pattern != BYTE_LEVEL or lower:
             raise ValueError("prefix counts need a byte-level BPE with the default split pattern")
-        model, letters = self.encoder.config["model"], byte_letters()
+        model, letters = self.encoder.config["model"], {c: b for b, c in LETTERS.items()}
         raw = lambda token: bytes(letters[c] for c in token)
         self.vocab = {raw(t) for t in model["vocab"]}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -75,7 +68,7 @@ class PrefixCounter:
         self.contraction = re.compile(rf"(?:{joined})\Z").match
         self.selves: dict[bytes, bool] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache(lambda u: self.deltas(self.unit(u)), LONGEST_KEPT)
 
     def merged(self, data: bytes) -> list[bytes]:
         """The encoding of a short string by its merges."""
@@ -213,24 +206,9 @@ class PrefixCounter:
         return out
 
     def _joined(self, units: list[str]) -> bytes:
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, units))
-        except KeyError:
-            pass
-        if len(cache) > LARGEST_CACHE:
-            cache.clear()
-        long = []
-        for u in set(units).difference(cache):
-            cache[u] = self.deltas(self.unit(u))
-            if len(u) > LONGEST_KEPT:
-                long.append(u)
-        out = b"".join(map(cache.__getitem__, units))
-        for u in long:
-            del cache[u]
-        return out
-
-
+        if len(self.cache) > LARGEST_CACHE:
+            self.cache.clear()
+        return b"".join(map(self.cache.__getitem__, units))
 
 
 @lru_cache(maxsize=2)

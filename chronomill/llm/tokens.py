@@ -2,7 +2,7 @@
 
 Byte-pair encodings split a text into pieces by a pattern and encode each piece alone. Where the pattern is one of the
 two forms below and the text holds only characters on whose class every Unicode version agrees, pieces are found by
-the same pattern, and pieces not seen before go to the library together; any other text goes to the library whole.
+the same pattern, and pieces not seen before go to the library's model; any other text goes to the library whole.
 Caches are per Python worker and bounded.
 """
 
@@ -11,7 +11,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +33,16 @@ PART_CHARS = 1 << 20
 BORDER = re.compile(r"(?<=[^\t\n\r ])[\t\n\r ]")
 
 
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as: printable bytes as themselves, others from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+LETTERS = byte_letters()
+
+
 def in_class(major: str) -> str:
     """The characters that UNSAFE lets through of one major category, as the inside of a bracket expression."""
     codes = [c for c in range(0x24F + 1) if unicodedata.category(chr(c))[0] == major]
@@ -61,6 +74,20 @@ def parts(text: str, size: int = PART_CHARS) -> list[str]:
     return [*out, text[start:]] if start else [text]
 
 
+class Cache(dict):
+    """What ``make`` gives for a string, kept for strings that aren't longer than ``longest``."""
+
+    def __init__(self, make: Callable[[str], bytes], longest: int):
+        super().__init__()
+        self.make, self.longest = make, longest
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
+
+
 class Encoder:
     """encode(texts) gives for each text its ids as packed little-endian unsigned integers of ``width`` bytes."""
 
@@ -77,7 +104,7 @@ class Encoder:
         self.width = self.dtype.itemsize
         pattern, self.lower = self._split()
         self.find = compiled(pattern).findall if pattern else None
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache(self.piece, LONGEST_KEPT)
 
     def _split(self) -> tuple[str | None, bool]:
         c = self.config
@@ -110,12 +137,12 @@ class Encoder:
         """Whether pieces can be found here."""
         return self.find is not None and (text.isascii() and text.isprintable() or not UNSAFE.search(text)) and not any(s in text for s in self.specials)
 
-    def pieces(self, words: list[str]) -> list[bytes]:
-        """The ids of pieces that the pattern has found, by one call of the library."""
-        done = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(done.ids, self.dtype).tobytes()
-        ends = np.cumsum(np.bincount(np.array(done.word_ids, np.int64), minlength=len(words))) * self.width
-        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    def piece(self, word: str) -> bytes:
+        """The ids of a piece that the pattern has found, by the library's model: its bytes written as its letters."""
+        ids = array("HI"[self.width // 4], [t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(LETTERS))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; null counts as empty."""
@@ -130,28 +157,10 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > LARGEST_CACHE:
-            cache.clear()
-        found: list[list[str] | None] = []
-        missing: set[str] = set()
-        for t in texts:
-            t = t or ""
-            if self.plain(t):
-                words = self.find(t.lower() if self.lower else t)
-                missing.update(set(words).difference(cache))
-                found.append(words)
-            else:
-                found.append(None)
-        if missing:
-            new = list(missing)
-            cache.update(zip(new, self.pieces(new)))
-        get = cache.__getitem__
-        out = [self.whole(t or "") if words is None else b"".join(map(get, words)) for t, words in zip(texts, found)]
-        for w in missing:
-            if len(w) > LONGEST_KEPT:
-                cache.pop(w, None)
-        return out
+        if len(self.cache) > LARGEST_CACHE:
+            self.cache.clear()
+        get, find = self.cache.__getitem__, self.find
+        return [b"".join(map(get, find(t.lower() if self.lower else t))) if self.plain(t) else self.whole(t) for t in (t or "" for t in texts)]
 
 
 @lru_cache(maxsize=4)
