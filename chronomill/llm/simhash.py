@@ -14,10 +14,12 @@ verified on their bits. Pivots of two kinds are used:
 - fixed pseudo-random fingerprints, for the table that discards and, sorted by its first column, bounds what is looked
   at within a block's bucket.
 
-Buckets are handled without making their pairs: one row (node, root) per linked member. A bucket of over
+Buckets are handled without making their pairs: one row (node, root) per linked member. At radius 3 a bucket of over
 ``LARGEST_BUCKET`` fingerprints is dealt anew on finer blocks of its remaining coordinates (any pair within 3 bits
-still agrees on 5 of 8), which for 64 bits leaves at most 2^12 different fingerprints. Equal fingerprints are one
-node, so copies cost nothing.
+still agrees on 5 of 8), which for 64 bits leaves at most 2^12 different fingerprints. At the wide radius, where no
+such blocks exist, it is compared whole: in salted blocks that all meet ``ROOTS`` chosen members, and then, since
+members of one component need no further link, each member outside the bucket's largest component with all others.
+Equal fingerprints are one node, so copies cost nothing.
 
 Beyond what blocks can do exactly (the wide radius of similarity 0.8), ``similar_groups`` takes two fingerprints of 64
 bits and 64 fixed random choices of 24 coordinates, an approximate search of stated recall.
@@ -45,6 +47,8 @@ from .components import components
 
 SEED = 42
 LARGEST_BUCKET = 4096
+#: About how many members of a larger bucket meet all others first.
+ROOTS = 64
 PIVOTS = 8
 #: Bytes of a text that are split into words at once.
 STRETCH = 1 << 20
@@ -172,12 +176,14 @@ def bucket_links(f0: np.ndarray, f1: np.ndarray, radius: int) -> list[tuple[int,
     first = table[:, 0]
     root = np.full(len(f0), -1)
     links = []
+    left = len(f0)  # members without a root
     for start in range(len(f0)):
         if root[start] >= 0:
             continue
         root[start] = start
+        left -= 1
         queue = [start]
-        while queue:
+        while queue and left:
             i = queue.pop()
             lo, hi = np.searchsorted(first, first[i] - radius, "left"), np.searchsorted(first, first[i] + radius, "right")
             open_ = lo + np.flatnonzero(root[lo:hi] < 0)
@@ -186,6 +192,7 @@ def bucket_links(f0: np.ndarray, f1: np.ndarray, radius: int) -> list[tuple[int,
             near = open_[np.abs(table[open_] - table[i]).max(axis=1) <= radius]
             near = near[np.bitwise_count(f0[near] ^ f0[i]) + np.bitwise_count(f1[near] ^ f1[i]) <= radius]
             root[near] = start
+            left -= len(near)
             queue += near.tolist()
             links += [(int(order[j]), int(order[start])) for j in near]
     return links
@@ -206,32 +213,77 @@ def _list_links(lists: DataFrame, radius: int) -> DataFrame:
     return lists.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long")
 
 
+def _word(a: str, b: str) -> Column:
+    return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
+
+
+def _components_of(edges: DataFrame) -> DataFrame:
+    """node, root, as words, of edges (a0, a1, b0, b1)."""
+    return components(edges.select(_word("a0", "a1").alias("a"), _word("b0", "b1").alias("b")))
+
+
+def _large_links(many: DataFrame, known: DataFrame, radius: int) -> list[DataFrame]:
+    """Link tables of whole buckets over ``LARGEST_BUCKET``: rows (t, k0, k1, f0, f1, n), n members each; known has edges found elsewhere.
+
+    Rows and compared pairs grow with members times those outside the bucket's largest component.
+    """
+    key, half = ["t", "k0", "k1"], max(1, LARGEST_BUCKET // 2)
+    member = F.struct("f0", "f1")
+    dealt = lambda salt, n: F.pmod(F.xxhash64("f0", "f1", F.lit(salt)), n)
+    lists = lambda rows, by: _list_links(rows.groupBy(by).agg(F.collect_list(member).alias("members")).select("members"), radius)
+    blocks = many.withColumn("blocks", F.ceil(F.col("n") / half)).withColumn("block", dealt(1, F.col("blocks")))
+    blocks = written(blocks, "near-large")
+    place = [*key, "block", "f0", "f1"]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    roots = blocks.where(dealt(2, F.col("n")) < ROOTS).withColumn("own", F.col("block")).withColumn("block", every).where("block <> own")
+    stars = written(lists(blocks.select(place).union(roots.select(place)), [*key, "block"]), "near-stars")
+    labels = _components_of(known.union(stars))
+    named = blocks.withColumn("node", _word("f0", "f1")).join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    named = written(named.select(*place, "blocks", "label"), "near-named")
+    main = named.groupBy(*key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("m"))
+    main = written(main.where("m > 0").withColumn("parts", F.ceil(F.col("m") / half)).drop("m"), "near-main")
+    if not main.limit(1).count():
+        return [stars]
+    open_ = named.join(main, key)
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    rest = open_.where("label <> main").withColumn("part", dealt(3, F.col("parts"))).withColumn("block", every)
+    meets = open_.withColumn("part", part).select(*place, "part").union(rest.select(*place, "part"))
+    return [stars, lists(meets, [*key, "block", "part"])]
+
+
 def _bucket_level(rows: DataFrame, radius: int, masks: list[int], bits: int, depth: int, name: str) -> list[DataFrame]:
-    """Link tables from rows (t, k0, k1, f0, f1), their key being (t, k0, k1) with mask number t."""
+    """Link tables from rows (t, k0, k1, f0, f1), their key being (t, k0, k1) with mask number t.
+
+    Buckets over ``LARGEST_BUCKET`` are dealt anew ``depth`` times, which only loses nothing at radius 3, and then compared whole.
+    """
     key = ["t", "k0", "k1"]
     member = F.struct("f0", "f1")
     sizes = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("x"), F.max(member).alias("y")).where("n > 1"), f"{name}-sizes")
     x0, x1, y0, y1 = (F.col(c) for c in ("x.f0", "x.f1", "y.f0", "y.f1"))
     two = sizes.where("n = 2").where((largest_difference(x0, y0) <= radius) & (distance(x0, x1, y0, y1) <= radius))
     out = [two.select(x0.alias("a0"), x1.alias("a1"), y0.alias("b0"), y1.alias("b1"))]
-    limit = LARGEST_BUCKET if depth else 1 << 62
+    limit = LARGEST_BUCKET
     some = rows.join(sizes.where((F.col("n") > 2) & (F.col("n") <= limit)).select(key), key)
     lists = some.groupBy(key).agg(F.collect_list(member).alias("members")).select("members")
     out.append(_list_links(lists, radius))
-    if depth and sizes.where(F.col("n") > limit).limit(1).count():
-        many = rows.join(sizes.where(F.col("n") > limit).select(key), key)
-        next_masks, of = [], []
-        for t, m in enumerate(masks):
-            for f in finer(m, bits):
-                of.append((t, len(next_masks), signed(f & ALL), signed(f >> 64 & ALL)))
-                next_masks.append(f)
-        # 56 rows per mask: bounded by the parameters.
-        table = F.broadcast(rows.sparkSession.createDataFrame(of, "t int, s int, m0 long, m1 long"))
-        fine = many.join(table, "t").select(
-            F.col("s").alias("t"), F.col("f0").bitwiseAND(F.col("m0")).alias("k0"), F.col("f1").bitwiseAND(F.col("m1")).alias("k1"), "f0", "f1"
-        )
-        out += _bucket_level(fine, radius, next_masks, bits, depth - 1, name)
-    return out
+    larger = sizes.where((F.col("n") > 2) & (F.col("n") > limit))
+    if not larger.limit(1).count():
+        return out
+    if not depth:
+        known = written(out[0].union(out[1]), f"{name}-small")
+        return [known, *_large_links(rows.join(larger.select(*key, "n"), key), known, radius)]
+    many = rows.join(larger.select(key), key)
+    next_masks, of = [], []
+    for t, m in enumerate(masks):
+        for f in finer(m, bits):
+            of.append((t, len(next_masks), signed(f & ALL), signed(f >> 64 & ALL)))
+            next_masks.append(f)
+    # 56 rows per mask: bounded by the parameters.
+    table = F.broadcast(rows.sparkSession.createDataFrame(of, "t int, s int, m0 long, m1 long"))
+    fine = many.join(table, "t").select(
+        F.col("s").alias("t"), F.col("f0").bitwiseAND(F.col("m0")).alias("k0"), F.col("f1").bitwiseAND(F.col("m1")).alias("k1"), "f0", "f1"
+    )
+    return out + _bucket_level(fine, radius, next_masks, bits, depth - 1, name)
 
 
 def links(nodes: DataFrame, radius: int, masks: list[int], bits: int, depth: int) -> DataFrame:
@@ -257,10 +309,9 @@ def links(nodes: DataFrame, radius: int, masks: list[int], bits: int, depth: int
 def _grouped(prints: DataFrame, radius: int, masks: list[int], bits: int, depth: int) -> DataFrame:
     """prints with root, a name of the row's component, and component_id, the smallest doc_id in it."""
     nodes = written(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("least_id")), "near-nodes")
-    word = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
     edges = links(nodes.select("f0", "f1"), radius, masks, bits, depth)
-    roots = components(edges.select(word("a0", "a1").alias("a"), word("b0", "b1").alias("b")))
-    known = nodes.withColumn("node", word("f0", "f1")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = _components_of(edges)
+    known = nodes.withColumn("node", _word("f0", "f1")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_print = known.join(named, "root").select(F.col("f0").alias("n0"), F.col("f1").alias("n1"), "root", "component_id")
     return prints.join(by_print, (F.col("f0") == F.col("n0")) & (F.col("f1") == F.col("n1"))).drop("n0", "n1")
@@ -285,7 +336,7 @@ def radius_of(similarity: float, bits: int) -> int:
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, choices: int = 64, size: int = 24) -> DataFrame:
     """doc_id, text_hash, f0, f1, root, component_id by 128-bit fingerprints whose estimated similarity is at least ``similarity``."""
     prints = written(fingerprints(docs, k, second=True), "similar-prints")
-    return _grouped(prints, radius_of(similarity, 128), random_masks(choices, size, 128), 128, depth=2)
+    return _grouped(prints, radius_of(similarity, 128), random_masks(choices, size, 128), 128, depth=0)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
