@@ -5,6 +5,10 @@ run is cut into blocks by key ranges. A query meets the vectors of its own block
 (a fixed share of the run, so that recall doesn't fall with the size), and the best of all curves are merged and
 ranked by the inner product of the original vectors in double precision.
 
+A curve brings together what is near in place, which is the largest inner product only among vectors of equal norm.
+Vectors of a length whose norms differ by more than ``EVEN`` are compared whole: blocks of vectors meet blocks of queries,
+each (block, block) a bounded group, and the answers are exact.
+
 Ranges of keys and the scale of the grid are fitted on at most ``FIT`` vectors; every vector is indexed. Equal vectors
 are one point with its smallest ids, so copies of a vector share one place. Each (curve, block) is one bounded group.
 
@@ -29,6 +33,9 @@ CURVES = 32
 DIMS, GRID_BITS = 8, 8
 FIT = 20_000
 BLOCK_ROWS = 2048
+#: The largest ratio of norms that counts as equal, and the vectors and queries of a group where norms aren't.
+EVEN = 1.01
+WHOLE_ROWS = 8192
 SEED = 7
 
 
@@ -114,10 +121,15 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     asked = written(queries, "ann-queries")
     marked = distinct.join(asked.select("point").distinct().withColumn("asked", F.lit(True)), "point", "left").select("point", "length", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
     # One small fit per vector length, which embeddings have few of; a few vectors of a length are one block.
-    sizes = {r["length"]: r["n"] for r in distinct.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()}
-    fits, reach = {}, {}
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    measures = [F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("asked"), F.min(norm).alias("low"), F.max(norm).alias("high")]
+    stats = {r["length"]: r for r in marked.groupBy("length").agg(*measures).orderBy("length").collect()}
+    sizes = {length: r["n"] for length, r in stats.items()}
+    fits, reach, grids = {}, {}, {}
     for length, n in sizes.items():
-        if n <= 256:
+        r = stats[length]
+        if n <= 256 or not 0 < r["low"] <= r["high"] <= r["low"] * EVEN < float("inf"):
+            grids[length] = (-(-n // WHOLE_ROWS), max(1, -(-r["asked"] // WHOLE_ROWS)))
             continue
         sample = np.array([r[0] for r in distinct.where(F.col("length") == length).orderBy("point").select("vector").limit(max(1000, FIT // len(sizes))).collect()])
         blocks = max(3, min(80, n // 64), n // BLOCK_ROWS)
@@ -133,11 +145,27 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
                 rows = np.flatnonzero(lengths == length)
                 x = np.array([lists[int(i)].as_py() for i in rows])
                 raw = [r.tobytes() for r in x.astype(kind)]
-                c, r, base = fits.get(int(length)), reach.get(int(length), 0), number[int(length)] * curves
-                blocks = c.blocks if c else 1
-                for curve in range(curves if c else 1):
-                    block = c.block(x, curve) if c else np.zeros(len(rows), np.int64)
-                    q = np.flatnonzero(asks[rows])
+                base = number[int(length)] * curves
+
+                def rows_of(curve, cells, role, who, rows=rows, raw=raw):
+                    return pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(who), curve, np.int32)), pa.array(cells.astype(np.int32)), pa.array(role), pa.array(ids[rows][who]), pa.array([raw[i] for i in who], pa.binary())],
+                        names=["curve", "block", "asks", "point", "vector"],
+                    )
+
+                q = np.flatnonzero(asks[rows])
+                if int(length) in grids:
+                    blocks, parts = grids[int(length)]
+                    everyone = np.arange(len(rows))
+                    for part in range(parts):
+                        yield rows_of(base, ids[rows] % blocks * parts + part, np.zeros(len(rows), bool), everyone)
+                    for block in range(blocks if len(q) else 0):
+                        yield rows_of(base, block * parts + ids[rows][q] // blocks % parts, np.ones(len(q), bool), q)
+                    continue
+                c, r = fits[int(length)], reach[int(length)]
+                blocks = c.blocks
+                for curve in range(curves):
+                    block = c.block(x, curve)
                     cells, who, role = [block], [np.arange(len(rows))], [np.zeros(len(rows), bool)]
                     for step in range(-r, r + 1):
                         to = block[q] + step
@@ -145,11 +173,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
                         cells.append(to[ok])
                         who.append(q[ok])
                         role.append(np.ones(int(ok.sum()), bool))
-                    who_ = np.concatenate(who)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(who_), base + curve, np.int32)), pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.concatenate(role)), pa.array(ids[rows][who_]), pa.array([raw[i] for i in who_], pa.binary())],
-                        names=["curve", "block", "asks", "point", "vector"],
-                    )
+                    yield rows_of(base + curve, np.concatenate(cells), np.concatenate(role), np.concatenate(who))
 
     def meet(table: pa.Table) -> pa.Table:
         asks = np.array(table.column("asks").to_pylist(), bool)

@@ -44,6 +44,17 @@ def test_recall_without_structure(spark):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("sigma, rows_of_group", [(0.25, 8192), (1.0, 100)])
+def test_recall_with_unequal_norms(spark, monkeypatch, sigma, rows_of_group):
+    monkeypatch.setattr(ann, "WHOLE_ROWS", rows_of_group)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(4000, 64))
+    v *= (rng.lognormal(sigma=sigma, size=4000) / np.linalg.norm(v, axis=1))[:, None]
+    rows = list(enumerate(v.tolist()))
+    got, want = run(spark, rows), brute(*zip(*rows), 20, 20)
+    assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
+
+
 def test_copies_ties_and_odd_vectors(spark):
     same = [0.5, 0.5, 0.0]
     rows = [(i, same) for i in range(100)] + [(200 + i, [1.0, i / 10, 0.0]) for i in range(5)]
