@@ -620,22 +620,36 @@ def source_reports(spark, sf_dir):
     return file_report(file_analysis(_sources(spark)))
 
 
+def _order_reports(t: Tables, orders: DataFrame) -> DataFrame:
+    from ..operators.reports import diff_report
+
+    orders = orders.select(F.col("o_orderkey").alias("id"))
+    d = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("insertions"), (F.col("l_partkey") % 7).alias("deletions"))
+    counted = orders.join(diffs.diff_stats(d, ["id"]), "id", "left").na.fill(0)
+    path = F.concat(F.lit("p"), F.col("l_suppkey"))
+    hunks = t.lineitem.select(F.col("l_orderkey").alias("id"), F.lit(None).cast("string").alias("old_path"), path.alias("new_path"), F.col("l_linenumber").alias("old_start_line"), (F.col("l_linenumber") + 2).alias("old_end_line"), F.col("l_partkey").alias("new_start_line"), (F.col("l_partkey") + 3).alias("new_end_line"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 10).alias("hunk_no"))
+    return diff_report(counted, t.lineitem.select(F.col("l_orderkey").alias("id"), path.alias("path")), hunks, "id")
+
+
 @query("""SELECT o_orderkey AS id, 'files changed: ' || count(l_orderkey) || chr(10) || 'insertions: ' || coalesce(sum(l_linenumber), 0) || chr(10) || 'deletions: ' || coalesce(sum(l_partkey % 7), 0) || chr(10) || 'total line changes: ' || (coalesce(sum(l_linenumber), 0) + coalesce(sum(l_partkey % 7), 0))
 || chr(10) || 'files:' || coalesce(chr(10) || string_agg(DISTINCT '  - p' || l_suppkey, chr(10) ORDER BY '  - p' || l_suppkey), '') || chr(10) || 'hunks:'
 || coalesce(chr(10) || string_agg('  - -:' || l_linenumber || '..' || (l_linenumber + 2) || ' -> p' || l_suppkey || ':' || l_partkey || '..' || (l_partkey + 3), chr(10) ORDER BY l_linenumber * 1000000 + l_partkey * 10, l_suppkey), '') AS report
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey HAVING count(*) > 1) GROUP BY o_orderkey""")
 def diff_reports(spark, sf_dir):
     """The text of every order as a diff whose hunks are its lines; orders with lines alike have no one order of them."""
-    from ..operators.reports import diff_report
-
     t = Tables(spark, sf_dir)
     alike = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").count().where("count > 1").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    orders = t.orders.join(alike, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("id"))
-    d = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("insertions"), (F.col("l_partkey") % 7).alias("deletions"))
-    counted = orders.join(diffs.diff_stats(d, ["id"]), "id", "left").na.fill(0)
-    path = F.concat(F.lit("p"), F.col("l_suppkey"))
-    hunks = t.lineitem.select(F.col("l_orderkey").alias("id"), F.lit(None).cast("string").alias("old_path"), path.alias("new_path"), F.col("l_linenumber").alias("old_start_line"), (F.col("l_linenumber") + 2).alias("old_end_line"), F.col("l_partkey").alias("new_start_line"), (F.col("l_partkey") + 3).alias("new_end_line"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 10).alias("hunk_no"))
-    return diff_report(counted, t.lineitem.select(F.col("l_orderkey").alias("id"), path.alias("path")), hunks, "id")
+    return _order_reports(t, t.orders.join(alike, "o_orderkey", "left_anti"))
+
+
+@query("""SELECT o_orderkey AS id, 'files changed: ' || count(l_orderkey) || chr(10) || 'insertions: ' || coalesce(sum(l_linenumber), 0) || chr(10) || 'deletions: ' || coalesce(sum(l_partkey % 7), 0) || chr(10) || 'total line changes: ' || (coalesce(sum(l_linenumber), 0) + coalesce(sum(l_partkey % 7), 0))
+|| chr(10) || 'files:' || coalesce(chr(10) || string_agg(DISTINCT '  - p' || l_suppkey, chr(10) ORDER BY '  - p' || l_suppkey), '') || chr(10) || 'hunks:'
+|| coalesce(chr(10) || string_agg('  - -:' || l_linenumber || '..' || (l_linenumber + 2) || ' -> p' || l_suppkey || ':' || l_partkey || '..' || (l_partkey + 3), chr(10) ORDER BY l_linenumber * 1000000 + l_partkey * 10, '  - -:' || l_linenumber || '..' || (l_linenumber + 2) || ' -> p' || l_suppkey || ':' || l_partkey || '..' || (l_partkey + 3)), '') AS report
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def diff_reports_of_all(spark, sf_dir):
+    """The text of every order, as in diff_reports; lines alike in their place are in order of their text."""
+    t = Tables(spark, sf_dir)
+    return _order_reports(t, t.orders)
 
 
 @query("""SELECT o_orderkey, 1 + o_custkey % 7 + o_custkey % 5 + o_custkey % 3 AS cyclomatic, 1 + o_custkey % 7 + o_custkey % 2 + o_custkey % 3 AS single_branch, to_timestamp(o_orderkey * 86400)::TIMESTAMP AS committed_at, CAST(o_custkey AS INTEGER) AS narrow FROM orders""")
