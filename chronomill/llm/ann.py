@@ -119,7 +119,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     kind = np.float32 if narrow else np.float64
     distinct, queries = points(vectors, every, k)
     asked = written(queries, "ann-queries")
-    marked = distinct.join(asked.select("point").distinct().withColumn("asked", F.lit(True)), "point", "left").select("point", "length", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
+    marked = distinct.join(asked.select("point").distinct().withColumn("asked", F.lit(True)), "point", "left").select("point", "length", "vector", F.coalesce("asked", F.lit(False)).alias("asked"), "first_id")
     # One small fit per vector length, which embeddings have few of; a few vectors of a length are one block.
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     measures = [F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("asked"), F.min(norm).alias("low"), F.max(norm).alias("high")]
@@ -140,7 +140,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lengths, asks = (np.array(batch.column(i).to_pylist()) for i in (0, 1, 3))
-            lists = batch.column(2)
+            lists, firsts = batch.column(2), batch.column(4).to_numpy()
             for length in np.unique(lengths):
                 rows = np.flatnonzero(lengths == length)
                 x = np.array([lists[int(i)].as_py() for i in rows])
@@ -149,8 +149,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
 
                 def rows_of(curve, cells, role, who, rows=rows, raw=raw):
                     return pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(who), curve, np.int32)), pa.array(cells.astype(np.int32)), pa.array(role), pa.array(ids[rows][who]), pa.array([raw[i] for i in who], pa.binary())],
-                        names=["curve", "block", "asks", "point", "vector"],
+                        [pa.array(np.full(len(who), curve, np.int32)), pa.array(cells.astype(np.int32)), pa.array(role), pa.array(ids[rows][who]), pa.array([raw[i] for i in who], pa.binary()), pa.array(firsts[rows][who])],
+                        names=["curve", "block", "asks", "point", "vector", "first_id"],
                     )
 
                 q = np.flatnonzero(asks[rows])
@@ -177,24 +177,27 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
 
     def meet(table: pa.Table) -> pa.Table:
         asks = np.array(table.column("asks").to_pylist(), bool)
-        ids = table.column("point").to_numpy()
+        ids, firsts = table.column("point").to_numpy(), table.column("first_id").to_numpy()
         x = np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64)
-        cand, cand_ids, ask, ask_ids = x[~asks], ids[~asks], x[asks], ids[asks]
+        cand, cand_ids, cand_firsts, ask, ask_ids = x[~asks], ids[~asks], firsts[~asks], x[asks], ids[asks]
         who, found, scores = [], [], []
-        most = min(k + 5, len(cand))
+        most = min(k + 1, len(cand))
+        # How far two orders of summing a product can be apart.
+        slack = 4 * x.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(cand, axis=1).max(initial=0) * np.linalg.norm(ask, axis=1)
         for start in range(0, len(ask) if most else 0, 256):
             q = ask[start : start + 256]
             s = q @ cand.T
-            best = np.argpartition(-s, most - 1, axis=1)[:, :most]
+            cut = np.partition(s, len(cand) - most, axis=1)[:, len(cand) - most] - slack[start : start + 256]
             for i in range(len(q)):
-                exact = (cand[best[i]] * q[i]).sum(axis=1)  # one order of summing, wherever a vector stands
-                order = np.lexsort((cand_ids[best[i]], -exact))[: k + 1]
+                best = np.flatnonzero(~(s[i] < cut[i]))  # all that reach the last place, ties too
+                exact = (cand[best] * q[i]).sum(axis=1)  # one order of summing, wherever a vector stands
+                order = np.lexsort((cand_firsts[best], -exact))[: k + 1]
                 who.append(ask_ids[start + i])
-                found.append(cand_ids[best[i]][order])
+                found.append(cand_ids[best][order])
                 scores.append(exact[order])
         return pa.table({"asked": pa.array(who, pa.int64()), "found": pa.array(found, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64()))})
 
-    rows = marked.mapInArrow(spread, "curve int, block int, asks boolean, point long, vector binary")
+    rows = marked.mapInArrow(spread, "curve int, block int, asks boolean, point long, vector binary, first_id long")
     lists = rows.groupBy("curve", "block").applyInArrow(meet, "asked long, found array<long>, scores array<double>")
     pairs = lists.select("asked", F.explode(F.arrays_zip("found", "scores")).alias("p")).select("asked", F.col("p.found").alias("point"), F.col("p.scores").alias("score"))
     once = pairs.groupBy("asked", "point").agg(F.max("score").alias("score"))

@@ -65,6 +65,12 @@ def test_copies_ties_and_odd_vectors(spark):
         assert [s for _, s in r] == pytest.approx([s for _, s in want[q]])
 
 
+def test_ties_of_different_vectors_go_to_smaller_ids(spark):
+    rows = [(i, [1.0, *np.eye(200)[(i * 7) % 200]]) for i in range(200)]
+    got, want = run(spark, rows), brute(*zip(*rows), 20, 20)
+    assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
+
+
 def test_empty_and_single(spark):
     assert run(spark, []) == {} and run(spark, [(20, [1.0])]) == {}
 
