@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronomill.llm import ann
@@ -34,25 +35,46 @@ def test_recall_on_the_table(spark, small):
     assert np.mean(hits) >= 0.9
 
 
-def test_recall_without_structure(spark):
+def recall(spark, vectors, **kw):
+    """The mean share of the true 20 nearest that is found; scores must be exact."""
+    x = vectors.astype(np.float32)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    got = ann.nearest(spark.createDataFrame(table), **kw).toPandas().groupby("query_id")
+    wide, hits = x.astype(float), []
+    for q, r in got:
+        s = wide @ wide[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -s))[:20]
+        hits.append(len(set(want) & set(r["vec_id"])) / 20)
+        assert np.allclose(r.sort_values("rank")["score"], s[r.sort_values("rank")["vec_id"]])
+    assert len(hits) == -(-len(x) // 20)
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("n, sigma", [(500, 0.0), (500, 1.0), (10_000, 0.0), (10_000, 0.5), (10_000, 1.0)])
+def test_recall_without_structure(spark, n, sigma):
     rng = np.random.default_rng(4)
-    v = rng.normal(size=(4000, 64))
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    rows = list(enumerate(v.tolist()))
-    got, want = run(spark, rows), brute(*zip(*rows), 20, 20)
-    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]
-    assert np.mean(hits) >= 0.9
+    v = rng.normal(size=(n, 64))
+    v *= (rng.lognormal(sigma=sigma, size=n) / np.linalg.norm(v, axis=1))[:, None]
+    found = recall(spark, v)
+    assert found == 1 if n == 500 else found >= 0.9
 
 
-@pytest.mark.parametrize("sigma, rows_of_group", [(0.25, 8192), (1.0, 100)])
-def test_recall_with_unequal_norms(spark, monkeypatch, sigma, rows_of_group):
-    monkeypatch.setattr(ann, "WHOLE_ROWS", rows_of_group)
-    rng = np.random.default_rng(9)
-    v = rng.normal(size=(4000, 64))
-    v *= (rng.lognormal(sigma=sigma, size=4000) / np.linalg.norm(v, axis=1))[:, None]
-    rows = list(enumerate(v.tolist()))
-    got, want = run(spark, rows), brute(*zip(*rows), 20, 20)
-    assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
+def test_recall_with_clusters_and_small_tiles(spark):
+    """Many tiles, windows larger than a tile and queries dealt into parts; half of the vectors nearly alike."""
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.normal(size=(40, 24)), 250, axis=0) + 0.3 * rng.normal(size=(10_000, 24))
+    v[::2] = 0.001 * rng.normal(size=(5000, 24)) + 1
+    assert recall(spark, v, tile=24 * 128) >= 0.9
+
+
+def test_pairs_compared_are_a_share(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40_000, 16))
+    fit = ann.Curves(x[:20_000], 16, 256)
+    counts = np.stack([np.bincount(p, minlength=256) for p in fit.places(x).T]).ravel()
+    pairs = counts[fit.visits(x[::2000], len(x), 20)].sum(axis=1)
+    assert pairs.mean() < 0.5 * len(x)
 
 
 def test_copies_ties_and_odd_vectors(spark):
@@ -66,7 +88,7 @@ def test_copies_ties_and_odd_vectors(spark):
 
 
 def test_ties_of_different_vectors_go_to_smaller_ids(spark):
-    rows = [(i, [1.0, *np.eye(200)[(i * 7) % 200]]) for i in range(200)]
+    rows = [(i, [1.0, *np.eye(300)[(i * 7) % 300]]) for i in range(300)]
     got, want = run(spark, rows), brute(*zip(*rows), 20, 20)
     assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
 
