@@ -53,7 +53,7 @@ o AS (SELECT d.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS go
 SELECT doc_id, size, source_size, target, CAST(greatest(least(place + size, goal) - place, 0) + greatest(least(source_size + place + size, goal) - source_size - place, 0) AS BIGINT) AS taken FROM o"""
 
 OP4 = """WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
-AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, c -> c <> 0)) > 0),
+AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x) AS score FROM v q JOIN v ON len(v.x) = len(q.x) AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
