@@ -1,27 +1,38 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions only.
 
-Slot k of the mix lies at the golden-ratio point frac((k + 1/2) / phi). The points map through the sources' cumulative
-targets, so every stretch of the schedule holds each source in its share. The documents of a source, in the order of a
-hash, form a stream of words that is cut into blocks of equally many words and runs at most twice; the r-th slot of a
-source takes its r-th block. A source ends at its target; what the points left it short is settled by closing slots at
-the schedule's end. All ranks and positions are two-level (counts per bucket, then ranks within), so that a hot source
-never meets in one task.
+The schedule has ``SLOTS`` = 2^m slots. Slot k lies at its van der Corput point, the number whose binary digits are those
+of k in reverse; the points map through the sources' cumulative targets, and each slot goes to the source whose
+interval holds its point. So every stretch of the schedule holds each source in its share, and the whole of it gives a
+source as many slots as there are multiples of 2^-m in its interval.
+
+The documents of a source, in the order of a hash, form a stream of words that is cut into blocks of equally many words
+(all words of the mix over the slots, within one) and runs at most twice; the r-th slot that a source draws takes its r-th
+block. What isn't drawn isn't taken, so a source takes its target within one block.
+
+Sources may be many: their order, cumulative targets and the level of the reshared excess are two-level sums (per
+bucket of neighbouring sources, then within), as are the ranks of slots and the places of documents, so that neither
+many sources nor a hot one meet in one task. Rows alike in doc_id, source and size are one row with a count until the end.
 
 Defined cases: null text has size 0, null source is a source of its own (last), null doc_id is an id like any other;
-rows that are alike are rows of their own; documents of size 0 are taken 0 times; an empty table, or one without
-words, takes nothing; other columns are ignored.
+rows that are alike are rows of their own and get neighbouring places; documents of size 0 are taken 0 times; a very
+long text is one document that many blocks share; an empty table, or one without words, takes nothing; other columns
+are ignored. ``mixed_documents`` adds columns whose names start with ``_chronomill_`` for its own use.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-GOLDEN = 0.6180339887498949
-SLOTS = 65536
+BITS = 18
+SLOTS = 1 << BITS
 CHUNKS = 256
+#: Sources that share a bucket of their order, and buckets of their fill ratio to a doubling.
+NEIGHBOURS, STEPS = 4096, 64
 
 
 def word_count(text: Column) -> Column:
@@ -32,138 +43,136 @@ def word_count(text: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")
-    )
+    """doc_id, source, size, alike (how many rows have these)."""
+    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    return rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("alike"))
+
+
+def prefix(rows: DataFrame, group: list[str], bucket: str, order: list, value: Column, out: str) -> DataFrame:
+    """Adds the sum of value over all rows of the group that come before, by bucket and then by order.
+
+    Sums per bucket are added up first, so a window holds a bucket's rows or a group's buckets, never all rows.
+    """
+    sums = rows.groupBy(*group, bucket).agg(F.sum(value).alias("_chronomill_sum"))
+    over = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*group, bucket, F.coalesce(F.sum("_chronomill_sum").over(over), F.lit(0)).alias("_chronomill_start"))
+    local = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_chronomill_inside", F.coalesce(F.sum(value).over(local), F.lit(0)))
+    both = inside.join(starts, [*group, bucket])
+    return both.withColumn(out, F.col("_chronomill_start") + F.col("_chronomill_inside")).drop("_chronomill_start", "_chronomill_inside")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """One row per source: source, source_no, source_size, target.
 
     Targets share ``share`` times all words by weight; none exceeds ``most`` times its source, the excess going to the
-    others by weight: target = min(most * size, level * weight) at the level that uses everything up. The windows
-    without partitions run over one row per source.
+    others by weight: target = min(most * size, level * weight) at the level that uses everything up. Sizes and weights
+    are whole numbers, so their sums are the same in any order.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    fill = Window.orderBy("ratio", "source_no")
-    below, above = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"))
+    # Ranges of sources in their order; the partition's number is fixed by writing.
+    ranges = by_source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranges = written(ranges, "mix-sources")
+    numbered = prefix(ranges, [], "range", [F.col("source").asc_nulls_last()], F.lit(1), "source_no")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
-    levels = (
-        by_source.withColumn("source_no", (F.row_number().over(order) - 1).cast("long"))
+    filled = (
+        numbered.withColumn("source_no", F.col("source_no").cast("long"))
         .withColumn("weight", w)
         .withColumn("cap", F.col("source_size") * F.lit(float(most)))
         .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / F.sum("weight").over(above))
-        .withColumn("capped", F.col("ratio") <= F.col("level"))
-        .withColumn("rest", F.min(F.when(~F.col("capped"), F.struct("ratio", "source_no", "level"))).over(everything)["level"])
+        .withColumn("step", F.floor(F.log2(F.col("ratio") + 1) * STEPS))
     )
+    filled = written(filled, "mix-filled")
+    order = ["ratio", "source_no"]
+    below = prefix(filled, [], "step", order, F.col("cap"), "caps_below")
+    levels = prefix(below, [], "step", order, F.col("weight"), "weights_below")
+    words, all_weights = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = float(words or 0) * share
+    levels = levels.withColumn("level", (F.lit(total) - F.col("caps_below")) / (F.lit(all_weights or 0.0) - F.col("weights_below")))
+    levels = written(levels.withColumn("capped", F.col("ratio") <= F.col("level")), "mix-levels")
+    first = levels.where(~F.col("capped")).agg(F.min(F.struct("ratio", "source_no", "level"))["level"]).first()[0]
     return levels.select(
         "source",
         "source_no",
         F.col("source_size").cast("long").alias("source_size"),
-        F.when(F.col("capped"), F.col("cap")).otherwise(F.col("rest") * F.col("weight")).alias("target"),
+        F.when(F.col("capped"), F.col("cap")).otherwise(F.lit(first).cast("double") * F.col("weight")).alias("target"),
     )
 
 
-def prefix(counts: DataFrame, group: str, bucket: str, value: str, out: str) -> DataFrame:
-    """Adds to each (group, bucket) the sum of value over the group's smaller buckets; buckets are few by design."""
-    w = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
+def reversed_bits(k: Column, bits: int) -> Column:
+    """The number whose ``bits`` binary digits are those of k in reverse."""
+    return F.conv(F.reverse(F.lpad(F.bin(k), bits, "0")), 2, 10).cast("long")
 
 
-def schedule(targets: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, int]:
-    """The mix's slots (slot, source_no, rank, words) and the words of a whole block.
-
-    rank counts a source's slots from 0; words is below a block's only in a source's last slot. Slots past a source's
-    target are left out; closing slots (slot from ``slots`` on) settle what is missing.
-    """
-    spark = targets.sparkSession
-    total, sources = targets.agg(F.sum("target"), F.count(F.lit(1))).first()
-    total = total or 0.0
-    block = max(1, -(-int(total) // slots))
-    n = -(-int(total) // block)
-    # The cumulative shares as intervals, spread over cells so that points find theirs by an equi-join.
-    cells = 1024
-    order = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
-    shares = (
-        targets.where("target > 0")
-        .withColumn("hi", F.sum("target").over(order) / F.lit(total or 1.0))
-        .withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy("source_no")))
-        .withColumn("last", F.lead("source_no").over(Window.orderBy("source_no")).isNull())
-        .withColumn("hi", F.when(F.col("last"), F.lit(2.0)).otherwise(F.col("hi")))
-        .withColumn("limit", F.round("target").cast("long"))
-    )
-    spread = shares.withColumn(
-        "cell",
-        F.explode(F.sequence(F.floor(F.col("lo") * cells).cast("long"), F.floor(F.least("hi", F.lit(0.9999999)) * cells).cast("long"))),
-    )
-    points = spark.range(n).select(
-        F.col("id").alias("slot"), (((F.col("id") + 0.5) * GOLDEN) % 1.0).alias("u"), F.floor(F.col("id") * CHUNKS / max(n, 1)).cast("long").alias("chunk")
-    ).withColumn("cell", F.floor(F.col("u") * cells).cast("long"))
-    drawn = points.join(spread, "cell").where("u >= lo and u < hi").select("slot", "chunk", "source_no", "limit")
-    starts = prefix(drawn.groupBy("source_no", "chunk").agg(F.count(F.lit(1)).alias("n")), "source_no", "chunk", "n", "before")
-    local = Window.partitionBy("source_no", "chunk").orderBy("slot")
-    ranked = (
-        drawn.withColumn("r", F.row_number().over(local) - 1)
-        .join(starts.select("source_no", "chunk", "before"), ["source_no", "chunk"])
-        .select("slot", "source_no", "limit", (F.col("before") + F.col("r")).cast("long").alias("rank"))
-    )
-    left = F.col("limit") - F.col("rank") * block
-    kept = ranked.where(left > 0).select("slot", "source_no", "rank", F.least(F.lit(block).cast("long"), left).alias("words"))
-    have = starts.groupBy("source_no").agg(F.sum("n").alias("have"))
-    closing = (
-        shares.join(have, "source_no", "left")
-        .withColumn("rank", F.expr(f"explode(filter(sequence(0L, greatest(ceil(limit / {block}L), 1L)), r -> r >= coalesce(have, 0L) and r * {block}L < limit))"))
-        .select((F.lit(n) + F.col("rank") * sources + F.col("source_no")).cast("long").alias("slot"), "source_no", "rank", F.least(F.lit(block).cast("long"), left).alias("words"))
-    )
-    return kept.unionByName(closing), block
+def schedule(targets: DataFrame, bits: int = BITS) -> tuple[DataFrame, int]:
+    """The mix's slots (slot, source_no, rank; rank counts a source's slots from 0) and all words of the mix."""
+    slots = 1 << bits
+    goals = targets.select("source_no", F.round("target").cast("long").alias("goal"), F.floor(F.col("source_no") / NEIGHBOURS).alias("near"))
+    total = goals.agg(F.sum("goal")).first()[0] or 0
+    if not total:
+        return targets.sparkSession.createDataFrame([], "slot long, source_no long, rank long"), 0
+    before = prefix(goals, [], "near", ["source_no"], F.col("goal"), "before")
+    # The points in [before, before + goal) / total, as multiples of 1 / slots.
+    least = lambda words: F.expr(f"({slots}L * ({words}) + {total - 1}L) div {total}L")
+    held = before.withColumn("lo", least("cast(before as bigint)")).withColumn("hi", least("cast(before as bigint) + goal"))
+    points = held.where("hi > lo").select("source_no", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("point"))
+    drawn = points.select("source_no", reversed_bits(F.col("point"), bits).alias("slot"))
+    chunked = written(drawn.withColumn("chunk", F.floor(F.col("slot") * CHUNKS / slots).cast("long")), "mix-slots")
+    return prefix(chunked, ["source_no"], "chunk", ["slot"], F.lit(1), "rank").select("slot", "source_no", F.col("rank").cast("long").alias("rank")), total
 
 
 def positioned(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each document with words and its place ``at`` in its source's stream, ordered by the md5 of the id."""
+    """Each document with words and its place ``at`` in its source's stream, ordered by the md5 of the id.
+
+    A source has about as many buckets as the square root of all rows, one at least for 16^3.
+    """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    digits = max(3, math.ceil(math.log(max(sizes.count(), 1), 16) / 2))
     keyed = (
         sizes.where("size > 0")
         .withColumn("key", key)
         .join(targets.select(F.col("source").alias("s"), "source_no", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
-        .withColumn("bucket", F.substring("key", 1, 3))
-    )
-    starts = prefix(keyed.groupBy("source_no", "bucket").agg(F.sum("size").alias("n")), "source_no", "bucket", "n", "before")
-    local = Window.partitionBy("source_no", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        keyed.withColumn("in_bucket", F.coalesce(F.sum("size").over(local), F.lit(0)).cast("long"))
-        .join(starts.select("source_no", "bucket", "before"), ["source_no", "bucket"])
-        .select("doc_id", "source", "size", "source_no", "source_size", "target", (F.col("before") + F.col("in_bucket")).alias("at"))
+        .withColumn("bucket", F.substring("key", 1, digits))
     )
+    placed = prefix(keyed, ["source_no"], "bucket", ["key", "doc_id", "size"], F.col("size") * F.col("alike"), "first")
+    each = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1)).alias("copy"))
+    return each.select("doc_id", "source", "size", "source_no", "source_size", "target", (F.col("first") + F.col("copy") * F.col("size")).cast("long").alias("at"))
+
 
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, bits: int = BITS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_slot, last_slot of every document, by joining slots with blocks.
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every document, by joining slots with blocks."""
+    Block r of a source holds the words from r * total / 2^bits on, rounded down, of its stream, which ends after two
+    rounds. first_slot and last_slot are the slots that take the document's words; null where none does.
+    """
     sizes = written(measured(docs), "mix-sizes")
     targets = written(source_targets(sizes, weights, share), "mix-targets")
-    slots, block = schedule(targets)
-    places = positioned(sizes, targets)
-    start = F.col("epoch") * F.col("source_size") + F.col("at")
+    slots, total = schedule(targets, bits)
+    places = written(positioned(sizes, targets), "mix-places")
+    n, t = f"{1 << bits}L", f"{max(total, 1)}L"
     pieces = (
         places.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
-        .withColumn("lo", start)
-        .withColumn("hi", F.least(F.col("lo") + F.col("size"), F.round("target").cast("long")))
-        .where("hi > lo")
-        .withColumn("rank", F.expr(f"explode(sequence(lo div {block}L, (hi - 1L) div {block}L))"))
-        .withColumn("words", F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block))
+        .withColumn("lo", F.col("epoch") * F.col("source_size") + F.col("at"))
+        .withColumn("hi", F.col("lo") + F.col("size"))
+        # Block r holds word w if r * t div n <= w < (r + 1) * t div n; no slot is drawn past the target and a block.
+        .where(F.col("lo") < F.col("target") + F.expr(f"4 * ({t} div {n} + 1)"))
+        .withColumn("rank", F.expr(f"explode(sequence(((lo + 1L) * {n} - 1L) div {t}, (hi * {n} - 1L) div {t}))"))
+        .withColumn("words", F.expr(f"least(hi, (rank + 1L) * {t} div {n}) - greatest(lo, rank * {t} div {n})"))
+    )
+    joined = pieces.where("words > 0").join(slots, ["source_no", "rank"])
+    taken = joined.groupBy("source_no", "at").agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot", "last_slot"]
+    with_words = places.join(taken, ["source_no", "at"], "left").select(columns)
+    without = (
+        sizes.where("size = 0")
+        .join(targets.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))))
     )
-    taken = pieces.join(slots.select("source_no", "rank"), ["source_no", "rank"]).select("doc_id", "source", "size", "source_size", "target", "source_no", "at", "words")
-    all_rows = taken.unionByName(places.withColumn("words", F.lit(0).cast("long")))
-    with_words = all_rows.groupBy("source_no", "at", "doc_id", "source", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"))
-    without = sizes.where("size = 0").join(
-        targets.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))
+    nothing = F.lit(None).cast("long")
+    return with_words.unionByName(
+        without.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), nothing.alias("first_slot"), nothing.alias("last_slot"))
     )
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return with_words.select(columns).unionByName(without.withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:

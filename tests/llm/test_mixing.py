@@ -35,9 +35,11 @@ def check(df, rows):
     for r in got:
         assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == size[r["source"]]
         assert r["target"] == pytest.approx(want[r["source"]])
+        assert (r["first_slot"] is None) == (r["taken"] == 0)
         taken[r["source"]] += r["taken"]
+    block = sum(want.values()) / mixing.SLOTS
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 1
+        assert abs(taken[s] - t) <= block + 1
     return sorted((tuple(r) for r in got), key=repr)
 
 
@@ -57,19 +59,48 @@ def test_no_words_at_all(spark, documents):
     assert [r["taken"] for r in mixing.mix(documents((1, None, None), (2, " ", "a"))).collect()] == [0, 0]
 
 
-def test_slots_follow_shares(spark, small):
-    sizes_ = mixing.measured(spark.read.parquet(f"{small}/documents.parquet"))
-    t = mixing.source_targets(sizes_)
-    slots, block = mixing.schedule(t, 2000)
-    want = {r["source_no"]: r["target"] for r in t.collect()}
-    total = sum(want.values())
-    rows = [(r["slot"], r["source_no"], r["rank"], r["words"]) for r in slots.collect()]
-    assert len({s for s, *_ in rows}) == len(rows)
-    for source, target in want.items():
-        ranks = sorted(r for _, n, r, _ in rows if n == source)
-        assert ranks == list(range(len(ranks))) and sum(w for _, n, _, w in rows if n == source) == round(target)
-        early = sum(1 for s, n, *_ in rows if n == source and s < 1000)
-        assert abs(early - 1000 * target / total) < 8
+@pytest.mark.parametrize("bits", [4, 11])
+def test_slots_are_drawn_by_points(spark, small, bits):
+    t = mixing.source_targets(mixing.measured(spark.read.parquet(f"{small}/documents.parquet")))
+    slots, total = mixing.schedule(t, bits)
+    goals = {r["source_no"]: round(r["target"]) for r in t.collect()}
+    assert total == sum(goals.values())
+    ends, at = [], 0
+    for n in sorted(goals):
+        ends.append((at, at + goals[n], n))
+        at += goals[n]
+    rank, want = defaultdict(int), []
+    for k in range(1 << bits):
+        point = int(format(k, f"0{bits}b")[::-1], 2) * total
+        n = next(n for lo, hi, n in ends if lo << bits <= point < hi << bits)
+        want.append((k, n, rank[n]))
+        rank[n] += 1
+    assert sorted(tuple(r) for r in slots.select("slot", "source_no", "rank").collect()) == want
+
+
+def test_taken_words_follow_the_slots(spark, small):
+    """With few slots, blocks are large: a document whose block no slot draws isn't taken."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = mixing.mix(docs, bits=6).collect()
+    taken, goal = defaultdict(int), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        goal[r["source"]] = (r["target"], r["source_size"])
+    block = sum(t for t, _ in goal.values()) / 64
+    assert any(abs(taken[s] - t) > 1 for s, (t, _) in goal.items())
+    for s, (t, size) in goal.items():
+        whole = round(taken[s] / block)
+        assert abs(taken[s] - t) <= block + 1 and (taken[s] == 2 * size or abs(taken[s] - whole * block) <= 1)
+
+
+def test_many_sources_are_numbered_in_order(spark, documents):
+    rows = [(i, "a b c " * (i % 7), f"s{i % 500}") for i in range(1500)]
+    check(mixing.mix(documents(*rows)), rows)
+
+
+def test_very_long_text(spark, documents):
+    rows = [(1, "word " * 1_200_000, "a"), (2, "x y", "b"), (3, "word " * 3000, "c")]
+    check(mixing.mix(documents(*rows)), rows)
 
 
 def test_rows_are_repeated(spark, odd):
