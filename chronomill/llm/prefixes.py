@@ -7,28 +7,33 @@ in which a prefix ends don't depend on what follows, except for white space, whi
 character after it; a run of white space is therefore counted with the piece after it as one unit.
 
 A text's table holds one signed byte per character: the change of the count from one prefix to the next. The count of
-a prefix is a sum over the table, so questions about truncation and budgets need no encoding.
+a prefix is a sum over the table, so questions about truncation and budgets need no encoding. ``prefix_tables`` stores
+the tables, compressed, as a written table; ``answers`` reads it and tells of each document its token count, the longest
+prefix within a token limit (where to truncate) and the tokens of its first characters (what a budget must hold).
 
 Units are cached per Python worker (bounded). Special strings in texts are single tokens, as the library has it; a
-prefix that ends within one counts its characters as ordinary text.
+prefix that ends within one counts its characters as ordinary text. A change that a signed byte can't hold, which needs a
+vocabulary with tokens of over 127 bytes that merge at once, is an error and never wraps.
 
-Defined cases: null text counts as empty (0 tokens, an empty table); repeated rows and null ids are rows like any
-other; an empty table gives no rows; other columns are ignored.
+Defined cases: null text counts as empty (0 tokens, an empty table); a very long text is counted in stretches cut at
+white space and its table is one value; repeated rows and null ids are rows like any other; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .tokens import BYTE_LEVEL, CONTRACTIONS, LETTERS, Cache, Encoder, encoder, groups, in_class, parts
 
 LARGEST_CACHE = 1_200_000
@@ -38,6 +43,12 @@ LONGEST_KEPT = 48
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def signed_byte(change: int) -> int:
+    if not -128 <= change <= 127:
+        raise OverflowError(f"a count changes by {change} at one character")
+    return change & 255
+
+
 class PrefixCounter:
     """table(text): the changes of the token count, one signed byte per character."""
 
@@ -169,7 +180,7 @@ class PrefixCounter:
     def deltas(self, counts: list[int]) -> bytes:
         out, last = bytearray(), 0
         for c in counts:
-            out.append((c - last) & 255)
+            out.append(signed_byte(c - last))
             last = c
         return bytes(out)
 
@@ -201,8 +212,8 @@ class PrefixCounter:
                 return out + own
             special = split[k + 1]
             run = self._joined(self.ordinary(split[k] + special[:-1]))
-            total = lambda d: int(np.frombuffer(d, np.int8).sum())
-            out += run + bytes([(total(own) + 1 - total(run)) & 255])
+            total = lambda d: int(np.frombuffer(d, np.int8).sum(dtype=np.int64))
+            out += run + bytes([signed_byte(total(own) + 1 - total(run))])
         return out
 
     def _joined(self, units: list[str]) -> bytes:
@@ -216,30 +227,50 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 512, keep_tables: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and, if kept, prefix_table (zlib-compressed) of every document."""
+def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_bytes and prefix_table (compressed) of every document, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c, small = counter(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in groups(texts):
-                n, tables = [], []
-                for t in texts[a:b]:
-                    table = c.table(t or "")
-                    n.append(int(np.frombuffer(table, np.int8).sum(dtype=np.int64)))
-                    tables.append(zlib.compress(table, 1) if keep_tables else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(tables, pa.binary())], names=["doc_id", "n_bytes", "n_tokens", "prefix_table"])
+                tables = [small.compress(c.table(t or "")) for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(tables, pa.binary())], names=["doc_id", "n_bytes", "prefix_table"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, prefix_table binary")
-    columns = ["doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")]
-    return counted.select(*columns, *["prefix_table"] * keep_tables)
+    return written(rows.mapInArrow(run, "doc_id long, n_bytes long, prefix_table binary"), "prefix-tables")
+
+
+def answers(tables: DataFrame, limit: int = 512, head: int = 2048) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, limit_chars and head_tokens of every stored table.
+
+    limit_chars is the most characters that a prefix of at most ``limit`` tokens can have, head_tokens how many tokens the
+    first ``head`` characters have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for table in batch.column(2):
+                counts = prefix_counts(table.as_py())
+                rows.append((int(counts[-1]), longest_within(counts, limit), int(counts[: head + 1][-1])))
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "n_bytes", "n_tokens", "limit_chars", "head_tokens"])
+
+    read = tables.select("doc_id", "n_bytes", "prefix_table").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, limit_chars long, head_tokens long")
+    return read.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "limit_chars", "head_tokens")
 
 
 def prefix_counts(table: bytes) -> np.ndarray:
     """The token counts of the prefixes of 0, 1, 2, ... characters."""
-    return np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(table), np.int8), dtype=np.int64)])
+    changes = np.frombuffer(zstandard.ZstdDecompressor().decompress(table), np.int8)
+    return np.concatenate([[0], np.cumsum(changes, dtype=np.int64)])
+
+
+def longest_within(counts: np.ndarray, limit: int) -> int:
+    """The longest prefix of at most ``limit`` tokens; 0 for a negative limit."""
+    return len(counts) - 1 - int(np.argmax(counts[::-1] <= limit)) if limit >= 0 else 0
 
 
 def tokens_in_prefix(table: Column, chars: Column) -> Column:
@@ -261,6 +292,6 @@ def longest_prefix(table: Column, budget: Column) -> Column:
     def longest(tables, budgets):
         import pandas as pd
 
-        return pd.Series([None if t is None or pd.isna(k) else int(np.flatnonzero(prefix_counts(t) <= k)[-1]) if k >= 0 else 0 for t, k in zip(tables, budgets)], dtype="Int64")
+        return pd.Series([None if t is None or pd.isna(k) else longest_within(prefix_counts(t), k) for t, k in zip(tables, budgets)], dtype="Int64")
 
     return longest(table, budget)

@@ -50,7 +50,7 @@ def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefixes.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep_tables=False)
+    return prefixes.answers(prefixes.prefix_tables(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
 def tokenizer(name: str) -> str:

@@ -12,10 +12,14 @@ A key is one byte (0 for a null id, else 1) and the id as 8 big-endian bytes wit
 id order. ``Shard.get`` asks the filter, searches the index by halving and reads the blocks that can hold the key.
 
 Shards are written by one task each from range-partitioned rows in ascending (doc_id, text hash) order, under another
-name first and then moved, so a task that runs twice leaves the same file. The folder is a URI that pyarrow opens.
-
-Defined cases: null text counts as empty (one end id); null ids come first; repeated rows are entries of their own and
-``get`` returns them all; an empty table gives no shards and no rows; other columns are ignored.
+name first and then moved, so a task that runs twice leaves the same file. There are as many as keep them near
+``SHARD_ROWS`` documents, so a task holds that many key hashes, one block and one batch of texts whatever the input. Rows
+alike are dealt out by their place in the input, so an id that very many rows have goes to several shards. The folder is a
+URI that pyarrow opens.
+
+Defined cases: null text counts as empty (one end id); a very long text is a block of its own; null ids come first;
+repeated rows are entries of their own and ``get`` returns all that its shard has; an empty table gives no shards and no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -39,6 +44,7 @@ from .common import new_folder, partitions
 from .tokens import as_u32, encoder, groups
 
 BLOCK_BYTES = 64 * 1024
+SHARD_ROWS = 50_000
 BITS, PROBES = 10, 7
 MAGIC = b"CMSSTAB1"
 INDEX = struct.Struct("<9s9sQIIQ")
@@ -73,8 +79,11 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def probes(key: bytes, bits: int) -> list[int]:
-    a, b = xxhash.xxh64_intdigest(key, 0), xxhash.xxh64_intdigest(key, 1) | 1
+def hashes(key: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(key, 0), xxhash.xxh64_intdigest(key, 1) | 1
+
+
+def probes(a: int, b: int, bits: int) -> list[int]:
     return [(a + i * b) % bits for i in range(PROBES)]
 
 
@@ -82,14 +91,18 @@ class ShardWriter:
     def __init__(self, sink, width: int):
         self.sink, self.width, self.at = sink, width, 0
         self.small = zstandard.ZstdCompressor(level=1)
-        self.index, self.keys = [], []
+        self.index, self.keys = [], array("Q")
         self.entries = self.ids = 0
+        self.newest = None
         self._open()
 
     def _open(self) -> None:
         self.block, self.size, self.first, self.last, self.in_block, self.before = [], 0, None, b"", 0, self.ids
 
     def add(self, key: bytes, value: bytes) -> None:
+        if key != self.newest:
+            self.keys.extend(hashes(key))
+            self.newest = key
         if self.first is None:
             self.first, shared = key, 0
         else:
@@ -100,8 +113,6 @@ class ShardWriter:
         self.in_block += 1
         self.entries += 1
         self.ids += len(value) // self.width
-        if not self.keys or self.keys[-1] != key:
-            self.keys.append(key)
         if self.size >= BLOCK_BYTES:
             self.flush()
 
@@ -115,10 +126,10 @@ class ShardWriter:
 
     def close(self) -> int:
         self.flush()
-        bits = max(64, BITS * len(self.keys) + 7 & ~7)
+        bits = max(64, BITS * (len(self.keys) // 2) + 7 & ~7)
         bloom = bytearray(bits // 8)
-        for key in self.keys:
-            for p in probes(key, bits):
+        for a, b in zip(self.keys[::2], self.keys[1::2]):
+            for p in probes(a, b, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         index = b"".join(self.index)
         self.sink.write(index)
@@ -139,6 +150,7 @@ class Shard:
         self.index = list(INDEX.iter_unpack(self._read(i_at, i_len)))
         self.lasts = [x[1] for x in self.index]
         self.bloom = self._read(b_at, b_len)
+        self.kept: tuple = (None, [], [])
 
     def _read(self, at: int, n: int) -> bytes:
         self.source.seek(at)
@@ -155,20 +167,35 @@ class Shard:
             yield key, data[at : at + n]
             at += n
 
+    def opened_block(self, k: int) -> tuple[list[bytes], list[bytes]]:
+        """Keys and values of a block; the last one asked for stays in memory."""
+        if self.kept[0] != k:
+            entries = list(self.block(k))
+            self.kept = (k, [x for x, _ in entries], [v for _, v in entries])
+        return self.kept[1:]
+
     def scan(self) -> Iterator[tuple[int | None, bytes]]:
         for k in range(len(self.index)):
-            for key, value in self.block(k):
+            for key, value in zip(*self.opened_block(k)):
                 yield id_of(key), value
 
-    def get(self, doc_id: int | None) -> list[bytes]:
-        key, bits = key_of(doc_id), len(self.bloom) * 8
-        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in probes(key, bits)):
-            return []
-        out, k = [], bisect_left(self.lasts, key)
+    def may_hold(self, key: bytes) -> bool:
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in probes(*hashes(key), len(self.bloom) * 8))
+
+    def find(self, doc_id: int | None) -> Iterator[bytes]:
+        """The values of a document: asks the filter, then halves the index and the block's keys."""
+        key = key_of(doc_id)
+        k = bisect_left(self.lasts, key) if self.may_hold(key) else len(self.index)
         while k < len(self.index) and self.index[k][0] <= key:
-            out += [v for x, v in self.block(k) if x == key]
+            keys, values = self.opened_block(k)
+            i = bisect_left(keys, key)
+            while i < len(keys) and keys[i] == key:
+                yield values[i]
+                i += 1
             k += 1
-        return out
+
+    def get(self, doc_id: int | None) -> list[bytes]:
+        return list(self.find(doc_id))
 
 
 def opened(uri: str) -> tuple[Shard, object]:
@@ -194,9 +221,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "sstable")
-    shards = shards or partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("hash", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(shards, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    shards = shards or max(partitions(spark), -(-docs.count() // SHARD_ROWS))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(shards, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -227,29 +254,35 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every entry, read from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of every entry, read from the files, and found: the entries that a lookup of
+    its id gives in its shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard, source = opened(uri)
                 dtype = np.dtype(f"<u{shard.width}")
+                lookups, other = opened(uri)
                 rows: list[tuple] = []
+                newest, found = (), 0
                 for doc, ids in shard.scan():
                     n = len(ids) // shard.width
-                    rows.append((doc, start, n, zlib.crc32(as_u32(ids, dtype))))
+                    if newest != (doc,):
+                        newest, found = (doc,), sum(1 for _ in lookups.find(doc))
+                    rows.append((doc, start, n, zlib.crc32(as_u32(ids, dtype)), found))
                     start += n
                     if len(rows) == 4096:
                         yield _rows(rows)
                         rows = []
                 source.close()
+                other.close()
                 yield _rows(rows)
 
     spark = manifest.sparkSession
     spread = manifest.select("uri", "ids_before").repartition(partitions(spark), "uri")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, found long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32", "found"])

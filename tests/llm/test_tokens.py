@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from conftest import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,11 +20,11 @@ TEXTS = ["", "a b", "don't 'RE I'M  it's", "  x\n\n 's\n's  'sad", "<|endoftext|
 words = st.lists(st.sampled_from(["'s", "'re", " ", "  ", "\n", "\t", "the", "The", "xyzzy", "É", "ß", "12", "!", "--", "<|endoftext|>", " ", "日", "İ"]), max_size=12).map("".join)
 
 
-def plain(path, text):
-    return Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTES, WORDS)}
 
 
-LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTES, WORDS)}
+def plain(path, text):
+    return LIBRARY[path].encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
@@ -48,26 +49,50 @@ def counts(text):
 
 @pytest.mark.parametrize("text", [t for t in TEXTS if len(t) < 1000])
 def test_every_prefix(text):
-    assert prefixes.prefix_counts(zlib.compress(prefixes.counter(BYTES).table(text))).tolist() == counts(text)
+    assert prefixes.prefix_counts(zstandard.compress(prefixes.counter(BYTES).table(text))).tolist() == counts(text)
 
 
 @settings(max_examples=100, deadline=None)
 @given(words)
 def test_every_prefix_of_any_text(text):
-    assert prefixes.prefix_counts(zlib.compress(prefixes.counter(BYTES).table(text))).tolist() == counts(text)
+    assert prefixes.prefix_counts(zstandard.compress(prefixes.counter(BYTES).table(text))).tolist() == counts(text)
 
 
 def test_prefix_query(spark, odd, none):
-    got = prefixes.count_tokens(odd, BYTES, limit=10)
-    want = sorted(((d, len((t or "").encode()), len(plain(BYTES, t or "")), len(plain(BYTES, t or "")) > 10) for d, t, _ in ODD), key=repr)
-    assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == want
-    assert prefixes.count_tokens(none, BYTES).count() == 0
+    tables = prefixes.prefix_tables(odd, BYTES)
+    got = prefixes.answers(tables, limit=10, head=9)
+    want = []
+    for d, t, _ in ODD:
+        t = t or ""
+        n, most = len(plain(BYTES, t)), min(len(t), 200)
+        # Within 200 characters every one of these texts passes the limit, if it does at all.
+        fits = len(t) if n <= 10 else max(i for i in range(most + 1) if len(plain(BYTES, t[:i])) <= 10)
+        want.append((d, len(t.encode()), n, n > 10, fits, len(plain(BYTES, t[:9]))))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert prefixes.answers(prefixes.prefix_tables(none, BYTES)).count() == 0
     text = next(t for d, t, _ in ODD if d == 6)
-    asked = got.where("doc_id = 6").select(prefixes.tokens_in_prefix(F.col("prefix_table"), F.lit(9)).alias("n"), prefixes.longest_prefix(F.col("prefix_table"), F.lit(5)).alias("c")).first()
+    asked = tables.where("doc_id = 6").select(prefixes.tokens_in_prefix(F.col("prefix_table"), F.lit(9)).alias("n"), prefixes.longest_prefix(F.col("prefix_table"), F.lit(5)).alias("c")).first()
     c = counts(text)
     assert asked["n"] == c[9] and asked["c"] == max(i for i, n in enumerate(c) if n <= 5)
 
 
+def test_stored_answers_equal_the_library(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = {r["doc_id"]: r for r in prefixes.answers(prefixes.prefix_tables(docs, BYTES)).collect()}
+    n = lambda t: len(LIBRARY[BYTES].encode(t, add_special_tokens=False).ids)
+    for r in docs.collect():
+        text, a = r["text"] or "", got[r["doc_id"]]
+        assert a["n_tokens"] == n(text) and a["head_tokens"] == n(text[:2048])
+        cut = a["limit_chars"]
+        assert n(text[:cut]) <= 512 and (cut == len(text) or all(n(text[:i]) > 512 for i in range(cut + 1, min(cut + 40, len(text)) + 1)))
+
+
+def test_changes_never_wrap():
+    with pytest.raises(OverflowError):
+        prefixes.signed_byte(128)
+    assert prefixes.signed_byte(-128) == 128
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -130,7 +155,11 @@ def test_least_squares_fills_windows():
 def test_shards(spark, odd, none, tmp_path):
     manifest = sstable.write_shards(odd, WORDS, 2, folder=f"file://{tmp_path}/s", shards=3)
     rows = sorted(((d is not None, d, plain(WORDS, t or "") + [2]) for d, t, _ in ODD), key=lambda r: (r[0], r[1] or 0))
-    got = [tuple(r) for r in sstable.read_shards(manifest).collect()]
+    both = sstable.read_shards(manifest).collect()
+    got = [tuple(r)[:4] for r in both]
+    alike = [d for d, *_ in ODD]
+    assert all(r["found"] == alike.count(r["doc_id"]) for r in both if alike.count(r["doc_id"]) == 1)
+    assert all(1 <= r["found"] <= alike.count(r["doc_id"]) for r in both)
     assert sorted((d is not None, d or 0, n, c) for d, _, n, c in got) == sorted((k, d or 0, len(i), crc(i)) for k, d, i in rows)
     at = 0
     for (d, start, n, _), (_, want, _) in zip(sorted(got, key=lambda r: r[1]), rows):
@@ -148,6 +177,30 @@ def test_shards(spark, odd, none, tmp_path):
         source.close()
 
 
+def test_shards_grow_in_number_with_the_rows(spark, documents, monkeypatch, tmp_path):
+    monkeypatch.setattr(sstable, "SHARD_ROWS", 50)
+    rows = [(7, f"same id {i % 3}") for i in range(400)] + [(i, "x " * i) for i in range(400)]
+    manifest = sstable.write_shards(documents(*rows), WORDS, 2, folder=f"file://{tmp_path}/m")
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 150 and sum(sizes) == 800
+    got = [tuple(r)[:4] for r in sstable.read_shards(manifest).orderBy("start").collect()]
+    want = sorted((d, len(plain(WORDS, t) + [2]), crc(plain(WORDS, t) + [2])) for d, t in rows)
+    assert sorted((d, n, c) for d, _, n, c in got) == want and [d for d, *_ in got] == [d for d, *_ in want]
+    assert [s for _, s, *_ in got] == [0, *np.cumsum([n for _, _, n, _ in got])[:-1].tolist()]
+
+
+def test_a_block_of_one_very_long_value():
+    import io
+
+    sink = io.BytesIO()
+    w = sstable.ShardWriter(sink, 2)
+    values = {1: b"ab" * 3_000_000, 2: b"", 3: b"cd"}
+    for k, v in values.items():
+        w.add(sstable.key_of(k), v)
+    shard = sstable.Shard(sink, w.close())
+    assert all(shard.get(k) == [v] for k, v in values.items())
+
+
 def test_shard_blocks_and_filter():
     import io
 
@@ -162,6 +215,5 @@ def test_shard_blocks_and_filter():
     assert all(shard.get(k) == [k.to_bytes(8, "little", signed=True) * 20] for k in keys[::97])
     misses = [k for k in range(-2999, 9000, 3)]
     assert all(shard.get(k) == [] for k in misses[::7])
-    bits = len(shard.bloom) * 8
-    passed = sum(all(shard.bloom[p >> 3] >> (p & 7) & 1 for p in sstable.probes(sstable.key_of(k), bits)) for k in misses)
+    passed = sum(shard.may_hold(sstable.key_of(k)) for k in misses)
     assert passed < 0.05 * len(misses)
