@@ -13,21 +13,17 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 
-#: Rows of whole texts in an Arrow batch: Spark's own 10,000 hold tens of megabytes each in JVM and Python.
-TEXT_ROWS = 2000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own if all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="chronomill-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = f"file://{local}"
@@ -48,6 +44,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def spread_join(rows: DataFrame, named: DataFrame, key: str, by: list[str], salts: int = 64) -> DataFrame:
+    """rows.join(named, key) where named has one row a key but very many rows may share one.
+
+    A key's rows are dealt out by a hash of ``by``; named is copied only to the (key, salt) that occur.
+    """
+    salt = "_chronomill_salt"
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)))
+    known = salted.select(key, salt).distinct().join(named, key)
+    return salted.join(known, [key, salt]).drop(salt)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,6 +1,6 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is a partial aggregation and a join; nothing is collected but a count and a checksum. Each round's edges are
+Every step is a partial aggregation and a join that deals out the neighbours of a hub; nothing is collected but a count and a checksum. Each round's edges are
 written to the shared folder, so the lineage stays short and a lost executor costs one round at most.
 """
 
@@ -9,21 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def _linked_to_least(edges: DataFrame) -> DataFrame:
     """Large star: every larger neighbour of u is linked to the least of u and its neighbours."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+    return spread_join(both.where("v > u"), least, "u", ["v"]).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
 
 
 def _smaller_to_least(edges: DataFrame) -> DataFrame:
     """Small star: the smaller neighbours of u, and u, are linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    moved = spread_join(down, least, "u", ["v"]).select(F.col("m").alias("a"), F.col("v").alias("b"))
     return moved.union(least.select("m", "u")).toDF("a", "b").where("a <> b").distinct()
 
 

@@ -21,8 +21,7 @@ such blocks exist, it is compared whole: in salted blocks that all meet ``ROOTS`
 members of one component need no further link, each member outside the bucket's largest component with all others.
 Equal fingerprints are one node, so copies cost nothing.
 
-Beyond what blocks can do exactly (the wide radius of similarity 0.8), ``similar_groups`` takes two fingerprints of 64
-bits and 64 fixed random choices of 24 coordinates, an approximate search of stated recall.
+Beyond what blocks can do exactly, the wide radius of similarity 0.8, see ``similar``.
 
 Defined cases: null text counts as empty and, like every text without words, has fingerprint zero; fewer words than a
 shingle: the whole sequence is the one shingle; null ids take part but never name a component (a component of null
@@ -42,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 from .components import components
 
 SEED = 42
@@ -99,38 +98,28 @@ def shingle_hashes(text: str | None, k: int) -> Iterator[bytes]:
         yield xxhash.xxh64_digest(b" ".join(held), SEED)
 
 
-def remixed(raw: bytes) -> np.ndarray:
-    """Other hashes made of XXH64 values, as n x 8 bytes."""
-    x = np.frombuffer(raw, ">u8").astype(np.uint64)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
-
-
-def fingerprint(text: str | None, k: int, second: bool, table: np.ndarray) -> list[int]:
-    """The signed fingerprints of a text: a bit is set if it is in over half of the hashes."""
-    counts, n = np.zeros((1 + second, 2048), np.int64), 0
+def fingerprint(text: str | None, k: int, table: np.ndarray) -> int:
+    """The signed fingerprint of a text: a bit is set if it is in over half of the hashes."""
+    counts, n = np.zeros(2048, np.int64), 0
     for raw in shingle_hashes(text, k):
         hashes = np.frombuffer(raw, np.uint8).reshape(-1, 8)
         n += len(hashes)
-        for i, h in enumerate([hashes, remixed(raw)] if second else [hashes]):
-            counts[i] += np.bincount((h.astype(np.int64) + np.arange(8) * 256).ravel(), minlength=2048)
-    bits = [(c.reshape(8, 256) @ table).ravel() * 2 > n for c in counts]
-    return [signed(int.from_bytes(np.packbits(b).tobytes(), "big")) for b in bits]
+        counts += np.bincount((hashes.astype(np.int64) + np.arange(8) * 256).ravel(), minlength=2048)
+    bits = (counts.reshape(8, 256) @ table).ravel() * 2 > n
+    return signed(int.from_bytes(np.packbits(bits).tobytes(), "big"))
 
 
-def fingerprints(docs: DataFrame, k: int = 3, second: bool = False) -> DataFrame:
-    """doc_id, text_hash, f0, f1 of every row; f1 is the fingerprint of remixed hashes, or 0 without ``second``."""
+def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
+    """doc_id, f0, f1 of every row; f1 is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bit_table()
         for batch in batches:
-            rows = [fingerprint(text.as_py(), k, second, table) for text in batch.column(1)]
-            f0, f1 = [r[0] for r in rows], [r[1] if second else 0 for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(f0, pa.int64()), pa.array(f1, pa.int64())], names=["doc_id", "text_hash", "f0", "f1"])
+            f0 = [fingerprint(text.as_py(), k, table) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f0, pa.int64())], names=["doc_id", "f0"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, f0 long, f1 long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, f0 long").withColumn("f1", F.lit(0).cast("long"))
 
 
 def exact_masks(radius: int = 3, bits: int = 64) -> list[int]:
@@ -140,12 +129,6 @@ def exact_masks(radius: int = 3, bits: int = 64) -> list[int]:
     return [sum(c) for c in combinations(blocks, 3)]
 
 
-def random_masks(choices: int, size: int, bits: int) -> list[int]:
-    """Fixed pseudo-random choices of ``size`` out of ``bits`` bits."""
-    rng = np.random.default_rng(SEED)
-    return [sum(1 << int(b) for b in rng.choice(bits, size, replace=False)) for _ in range(choices)]
-
-
 def finer(mask: int, bits: int) -> list[int]:
     """The mask with each choice of 5 out of 8 blocks of the bits that it leaves free."""
     free = [b for b in range(bits) if not mask >> b & 1]
@@ -313,8 +296,8 @@ def _grouped(prints: DataFrame, radius: int, masks: list[int], bits: int, depth:
     roots = _components_of(edges)
     known = nodes.withColumn("node", _word("f0", "f1")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = known.join(named, "root").select(F.col("f0").alias("n0"), F.col("f1").alias("n1"), "root", "component_id")
-    return prints.join(by_print, (F.col("f0") == F.col("n0")) & (F.col("f1") == F.col("n1"))).drop("n0", "n1")
+    by_print = spread_join(known.select("f0", "root"), named, "root", ["f0"])
+    return spread_join(prints, by_print, "f0", ["doc_id"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
@@ -322,39 +305,3 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     prints = written(fingerprints(docs, k), "near-prints")
     grouped = _grouped(prints, radius, exact_masks(radius), 64, depth=1)
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def radius_of(similarity: float, bits: int) -> int:
-    """How many of the bits may differ where the Jaccard similarity that SimHash estimates is at least ``similarity``.
-
-    A pair of sets of Jaccard similarity s has a cosine of about 2 s / (1 + s); the share of bits that differ is its
-    angle over pi.
-    """
-    return int(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
-
-
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, choices: int = 64, size: int = 24) -> DataFrame:
-    """doc_id, text_hash, f0, f1, root, component_id by 128-bit fingerprints whose estimated similarity is at least ``similarity``."""
-    prints = written(fingerprints(docs, k, second=True), "similar-prints")
-    return _grouped(prints, radius_of(similarity, 128), random_masks(choices, size, 128), 128, depth=0)
-
-
-def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, one of each group: the one with the smallest id; of rows alike in id and text, one.
-
-    Rows with a null id are kept only where their group has no other row.
-    """
-    names = docs.columns
-    grouped = similar_groups(docs, k, similarity)
-    first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("_chronomill_k_id"), F.col("k.text_hash").alias("_chronomill_k_hash"))
-    hashed = docs.withColumn("_chronomill_k_text", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").eqNullSafe(F.col("_chronomill_k_id")) & (F.col("_chronomill_k_text") == F.col("_chronomill_k_hash"))
-    # How many rows are alike in id and text: only those that are go through the removal of repeated rows.
-    alike = grouped.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_chronomill_k_n")).select(F.col("doc_id").alias("_chronomill_a_id"), F.col("text_hash").alias("_chronomill_a_hash"), "_chronomill_k_n")
-    counted = written(kept.join(alike, F.col("_chronomill_k_id").eqNullSafe(F.col("_chronomill_a_id")) & (F.col("_chronomill_k_hash") == F.col("_chronomill_a_hash"))).select("_chronomill_k_id", "_chronomill_k_hash", "_chronomill_k_n"), "similar-kept")
-    single = hashed.join(counted.where("_chronomill_k_n = 1"), same, "left_semi").select(names)
-    if not counted.where("_chronomill_k_n > 1").limit(1).count():
-        return single
-    several = hashed.join(counted.where("_chronomill_k_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "_chronomill_k_text"]).select(names)
-    return single.unionByName(several)

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from chronomill.llm import prefixes, quality, simhash, tokens
+from chronomill.llm import prefixes, quality, similar, simhash, tokens
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -32,9 +32,11 @@ def test_parts_of_texts(texts, size, monkeypatch):
 @pytest.mark.parametrize("size", [1, 40, 300])
 def test_stretches_of_fingerprints(texts, size, monkeypatch):
     bits = simhash._bit_table()
-    want = [simhash.fingerprint(t, k, True, bits) for t in texts for k in (1, 3, 5)]
+    both = lambda t, k: (simhash.fingerprint(t, k, bits), *(list(x) for x in similar.Signer(k).sign(t)))
+    want = [both(t, k) for t in texts for k in (1, 3, 5)]
     monkeypatch.setattr(simhash, "STRETCH", size)
-    assert [simhash.fingerprint(t, k, True, bits) for t in texts for k in (1, 3, 5)] == want
+    monkeypatch.setattr(similar, "STRETCH", size)
+    assert [both(t, k) for t in texts for k in (1, 3, 5)] == want
 
 
 @pytest.mark.parametrize("size", [1, 40, 300])
@@ -48,7 +50,7 @@ def test_stretches_of_features(texts, size, monkeypatch):
 def test_a_very_long_text(spark, documents):
     text = "some words of a long text " * 100_000
     docs = documents((1, text))
-    assert simhash.near_duplicates(docs).count() == 1
+    assert simhash.near_duplicates(docs).count() == 1 and similar.deduplicated(docs).count() == 1
     tables = prefixes.prefix_tables(docs, BYTES)
     assert prefixes.answers(tables).first()["n_tokens"] == len(tokens.encoder(BYTES).whole(text)) // 2
     assert len(prefixes.prefix_counts(tables.first()["prefix_table"])) == len(text) + 1
