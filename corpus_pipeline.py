@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomill.llm import mixing, packing, quality, simhash
+from chronomill.llm import mixing, packing, quality, similar
 from chronomill.llm.common import table, written
 from chronomill.llm.queries import tokenizer
 
@@ -22,7 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    return simhash.deduplicated(docs).select(COLUMNS)
+    return similar.deduplicated(docs).select(COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
