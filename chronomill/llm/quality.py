@@ -2,19 +2,22 @@
 
 Two generative models over hashed byte trigrams (a word that repeats the one before it is written as a mark first):
 ``raw`` counts every document of the corpus, ``target`` the good ones of a bounded sample of labelled documents. A
-document's score is its log ratio of target to raw per trigram, drawn towards 0 for short texts. The held-out half of
-the sample sets the cut, where the share of its good documents lost, ``GOOD_WEIGHT`` times, and the share of its bad
-ones kept are least together; without bad ones, the score that all but ``LOSS`` of the good ones reach. Documents are then resampled
-without replacement by Gumbel top-k: key = scale * (score - cut) + Gumbel noise from a hash of the document, k = how
-many documents reach the cut. So the choice is random only close to the cut.
+document's score is its log ratio of target to raw per trigram, drawn towards 0 for short texts, and its importance
+weight is exp(score / ``TEMPERATURE``). Documents are resampled without replacement in proportion to their weights, by
+Gumbel top-k: key = score / TEMPERATURE + Gumbel noise from a hash of the document, and the k largest keys stay.
+
+k is the share ``share`` of all documents, or, by default, what the target itself asks for: as many documents as have a
+score that all but ``LOSS`` of the held-out half of the target's documents reach. Bad labels play no part. At this
+temperature the noise decides only among documents whose scores lie within a few hundredths of the k-th.
 
 The corpus counts, two numbers for each of 65,536 buckets, are summed by Spark and held on the driver; the sample has
 at most ``SAMPLE`` rows, so it and the table of ratios are sent to all executors. The k-th key is found by counting
 keys in ever finer ranges, with nothing but counts on the driver.
 
-Defined cases: null text counts as empty and has score 0; null ids are never labelled; of several labels of an id the
-least counts; without usable labels nothing is rejected; repeated rows share key and fate, and rows that tie at the
-k-th key all stay; an empty table gives no rows; other columns are ignored.
+Defined cases: null text counts as empty and has score 0; a very long text is read in stretches; null ids are never
+labelled; of several labels of an id the least counts; without usable good labels, or with none held out, nothing is
+rejected; repeated rows share key and fate, and rows that tie at the k-th key all stay; an empty table gives no rows;
+other columns are ignored. ``good_documents`` adds columns whose names start with ``_chronomill_`` for its own use.
 """
 
 from __future__ import annotations
@@ -30,11 +33,10 @@ from .common import written
 
 BUCKETS = 1 << 16
 SAMPLE = 20_000
-LOSS = 0.01
-GOOD_WEIGHT = 5.0
+LOSS = 0.001
 SHORT = 100
 STRETCH = 1 << 20
-SCALE = 200.0
+TEMPERATURE = 0.005
 
 
 def marked(raw: bytes, before: bytes = b"") -> bytes:
@@ -138,34 +140,22 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return lo
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray, weight: float = GOOD_WEIGHT, loss: float = LOSS) -> float:
-    """The cut at which losing good (below it) and keeping bad cost least; the lowest of equally good ones."""
-    if not len(bad):
-        return float(np.quantile(good, loss))
-    cuts = np.unique(np.concatenate([good, bad, [np.nextafter(max(bad.max(), good.max()), np.inf)]]))
-    lost = np.searchsorted(np.sort(good), cuts, side="left") / len(good)
-    kept = 1 - np.searchsorted(np.sort(bad), cuts, side="left") / len(bad)
-    best = int(np.argmin(weight * lost + kept))
-    # Between the last bad score that goes and the first that stays there is room: its middle.
-    below = np.concatenate([good, bad])
-    below = below[below < cuts[best]]
-    return float((cuts[best] + below.max()) / 2) if len(below) else float(cuts[best])
-
-
-def resample(docs: DataFrame, labels: DataFrame, scale: float = SCALE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = TEMPERATURE, loss: float = LOSS) -> DataFrame:
     """doc_id, text_hash, n_features, score, gumbel_key, kept of every row."""
     sample = written(labelled_sample(labels), "quality-sample")
     raw, target = corpus_counts(docs, sample)
-    scores = written(scored(docs, log_ratios(raw, target) if target.sum() else np.zeros(BUCKETS)), "quality-scores")
-    # One score per id of the sample, so at most SAMPLE rows.
-    known = scores.join(F.broadcast(sample.where("held_out").select("l_id", "good")), F.col("doc_id") == F.col("l_id")).groupBy("l_id", "good").agg(F.min("score").alias("score")).toPandas()
-    good, bad = (known["score"][known["good"] == flag].to_numpy() for flag in (True, False))
-    cut = best_cut(good, bad) if len(good) and target.sum() else -1e300
+    scores = scored(docs, log_ratios(raw, target) if target.sum() else np.zeros(BUCKETS))
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(17)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    if cut == -1e300:
-        return scores.withColumn("gumbel_key", -F.log(-F.log(u))).withColumn("kept", F.lit(True))
-    keyed = written(scores.withColumn("gumbel_key", F.lit(scale) * (F.col("score") - F.lit(cut)) - F.log(-F.log(u))), "quality-keys")
-    k = keyed.where(F.col("score") >= F.lit(cut)).count()
+    keyed = written(scores.withColumn("gumbel_key", F.col("score") / F.lit(temperature) - F.log(-F.log(u))), "quality-keys")
+    if share is not None:
+        k = round(share * keyed.count())
+    else:
+        # One score per held-out good id of the sample, so at most SAMPLE rows.
+        held = F.broadcast(sample.where("held_out and good").select("l_id"))
+        known = keyed.join(held, F.col("doc_id") == F.col("l_id")).groupBy("l_id").agg(F.min("score").alias("score")).toPandas()["score"]
+        if not len(known) or not target.sum():
+            return keyed.withColumn("kept", F.lit(True))
+        k = keyed.where(F.col("score") >= F.lit(float(np.quantile(known, loss, method="lower")))).count()
     if not k:
         return keyed.withColumn("kept", F.lit(False))
     return keyed.withColumn("kept", F.col("gumbel_key") >= F.lit(kth_largest(keyed, "gumbel_key", k)))
