@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import BASE, TEMPLATES
+from .licenses import BASE, templates
 from .mixing import BITS
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -15,21 +15,22 @@ def _phrase(phrase: str, label: str) -> str:
 
 def _pairs() -> str:
     rows = []
-    for phrase, label in TEMPLATES.items():
-        w = phrase.split()
-        rows += [f"('{label}', {len(w) - 1}, {j}, '{a}', '{b}')" for j, (a, b) in enumerate(zip(w, w[1:]))]
+    for label, w in templates():
+        rows += [f"('{label}', {len(w) - 1}, {min(8, max(1, len(w) // 4))}, {j}, '{a}', '{b}')" for j, (a, b) in enumerate(zip(w, w[1:]))]
     return ", ".join(rows)
 
 
 OP1 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
 p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 base AS ({" UNION ALL ".join(_phrase(*x) for x in BASE.items())}),
-t(label, pairs, j, a, b) AS (VALUES {_pairs()}),
-votes AS (SELECT DISTINCT p.r, t.label, t.pairs, p.i - 1 - t.j AS diagonal, t.j FROM p JOIN t ON w[i] = t.a AND w[i + 1] = t.b),
-diagonals AS (SELECT DISTINCT r, label, diagonal FROM votes),
-starts AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER l <= 3 THEN 0 ELSE 1 END AS fresh FROM diagonals WINDOW l AS (PARTITION BY r, label ORDER BY diagonal)),
-runs AS (SELECT *, sum(fresh) OVER (PARTITION BY r, label ORDER BY diagonal) AS run FROM starts),
-found AS (SELECT v.r, v.label, count(DISTINCT v.j) / CAST(any_value(v.pairs) AS DOUBLE) AS coverage FROM votes v JOIN runs u ON u.r = v.r AND u.label = v.label AND u.diagonal = v.diagonal GROUP BY v.r, v.label, u.run),
+t(label, pairs, drift, j, a, b) AS (VALUES {_pairs()}),
+votes AS (SELECT DISTINCT p.r, t.label, t.pairs, t.drift, p.i - 1 - t.j AS diagonal, t.j FROM p JOIN t ON w[i] = t.a AND w[i + 1] = t.b),
+enough AS (SELECT r, label FROM votes GROUP BY r, label, pairs HAVING count(DISTINCT j) >= 0.75 * pairs),
+starts AS (SELECT DISTINCT r, label, diagonal FROM votes SEMI JOIN enough USING (r, label)),
+held AS (SELECT s.r, s.label, s.diagonal, any_value(v.pairs) AS pairs, count(DISTINCT v.j) AS n, list([-v.j] ORDER BY v.diagonal + v.j, -v.j) AS js
+         FROM starts s JOIN votes v ON v.r = s.r AND v.label = s.label AND v.diagonal BETWEEN s.diagonal AND s.diagonal + v.drift GROUP BY s.r, s.label, s.diagonal),
+found AS (SELECT r, label, len(list_reduce(list_concat([CAST([] AS BIGINT[])], js), lambda a, x: list_concat(list_concat(list_filter(a, lambda y: y < -x[1]), [-x[1]]), a[len(list_filter(a, lambda y: y < -x[1])) + 2:]))) / CAST(pairs AS DOUBLE) AS coverage
+          FROM held WHERE n >= 0.75 * pairs),
 kept AS (SELECT * FROM found WHERE coverage >= 0.75),
 b AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
 every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM (SELECT r, label, 1.0::DOUBLE AS coverage FROM base UNION ALL SELECT * FROM kept) GROUP BY r)
