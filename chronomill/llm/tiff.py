@@ -1,14 +1,21 @@
 """TIFF media columns: read the pages of TIFF files, and write texts' bytes as TIFF.
 
 ``read_pages`` walks the chain of image directories of a little- or big-endian file, reads strips or tiles, decodes
-PackBits, LZW or deflate (or takes raw bytes), undoes horizontal differencing and yields one page per directory.
-``tiff_pages`` does so for a column of files, one row per page. ``write_pages`` is the matching writer.
+PackBits, LZW or deflate (or takes raw bytes), undoes predictors and yields one page per directory. Samples have 1, 2, 4,
+8, 16, 32 or 64 bits; those below 8 come as a byte each. Predictor 2 (differences along a row) goes with 8 bits and more,
+predictor 3 (differences of the sorted bytes of floats) with 32 and 64. ``tiff_pages`` does so for a column of files,
+one row per page. ``write_pages`` is the matching writer of 8-bit pages.
 
 ``text_media`` stores the bytes of texts, padded with 0 to a positive multiple of 64, as grey 8-bit pages of 64
-columns, reads the stored file back and gives hashes and features of what it has read.
+columns, each by the compression, predictor and layout (strips or tiles) that a checksum of the page picks from ``FORMS``,
+reads the stored file back and gives hashes and features of what it has read.
 
-Defined cases: null text counts as empty (64 bytes 0); a null file has no pages; a damaged file gives one row with
-page -1 and the error; repeated rows are rows of their own; an empty table gives no rows; other columns are ignored.
+No page is read whose stored bytes can't hold it: sizes are checked against counts and the most that a compression can
+yield before anything of that size is made, and no block is decoded beyond its size.
+
+Defined cases: null text counts as empty (64 bytes 0); a very long text takes several pages; a null file has no pages;
+a damaged file gives its good pages and one row with page -1 and the error; repeated rows are rows of their own; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +34,20 @@ from pyspark.sql import functions as F
 # Fixed values of the format: tags, compressions and sizes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
+FILL_ORDER, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 266, 322, 323, 324, 325, 339
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
+#: The most bytes that a stored byte can stand for.
+YIELDS = {RAW: 1, PACKBITS: 64, LZW: 2800, DEFLATE: 1040, OLD_DEFLATE: 1040}
+
 COLUMNS = 64
 PAGE_ROWS = 16384
 STRIP_ROWS = 1024
+#: Bytes with their bits in reverse.
+REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+#: Compression, predictor and tile of the pages of texts.
+FORMS = [(DEFLATE, 1, None), (DEFLATE, 2, (64, 256)), (PACKBITS, 1, None), (LZW, 1, None), (LZW, 2, (32, 128)), (PACKBITS, 2, (16, 512))]
 
 
 @dataclass
@@ -48,41 +62,51 @@ class Page:
     pixels: bytes  # row by row, samples of a pixel together
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
+def unpack_bits(data: bytes, most: int = 1 << 62) -> bytes:
+    out, i, end = bytearray(), 0, len(data)
+    while i < end and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
             i += n + 2
+        elif n > 128:
+            out += data[i + 1 : i + 2] * (257 - n)
+            i += 2
         else:
-            if n > 128:
-                out += data[i + 1 : i + 2] * (257 - n)
-            i += 2 if n > 128 else 1
+            i += 1
     return bytes(out)
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        run = 1
-        while run < 128 and i + run < len(data) and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes([257 - run, data[i]])
-            i += run
-            continue
-        j = i + 1
-        while j < len(data) and j - i < 128 and not (j + 1 < len(data) and data[j] == data[j + 1]):
-            j += 1
-        out += bytes([j - i - 1]) + data[i:j]
-        i = j
+    """Runs of three equal bytes or more as runs, all else as literals, 128 bytes at most each."""
+    if not data:
+        return b""
+    x = np.frombuffer(data, np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+    lengths = np.diff(np.append(starts, len(x)))
+    long = lengths > 2
+    out, at = bytearray(), 0
+
+    def literals(stop: int) -> None:
+        for i in range(at, stop, 128):
+            part = data[i : min(i + 128, stop)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for start, length in zip(starts[long].tolist(), lengths[long].tolist()):
+        literals(start)
+        at = start + length
+        for i in range(0, length, 128):
+            n = min(128, length - i)
+            out += bytes([257 - n if n > 1 else 0, data[start]])
+    literals(len(data))
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = 1 << 62) -> bytes:
     """Most significant bit first; codes grow one entry early, 256 clears, 257 ends."""
-    out, table, width, last = [], [], 9, None
+    first = [bytes([b]) for b in range(256)] + [b"", b""]
+    out, table, width, last, made = [], [], 9, None, 0
     store = held = 0
     for byte in data:
         store, held = store << 8 | byte, held + 8
@@ -91,74 +115,84 @@ def lzw_decode(data: bytes) -> bytes:
         held -= width
         code = store >> held
         store &= (1 << held) - 1
-        if code == 257:
+        if code == 257 or made >= most:
             break
         if code == 256:
-            table, width, last = [bytes([b]) for b in range(256)] + [b"", b""], 9, None
+            table, width, last = first.copy(), 9, None
             continue
+        n = len(table)
         if last is None:
             entry = table[code]
-        elif code < len(table):
-            entry = table[code]
-            table.append(last + entry[:1])
-        elif code == len(table):
-            entry = last + last[:1]
-            table.append(entry)
         else:
-            raise ValueError("bad LZW code")
+            if code < n:
+                entry = table[code]
+            elif code == n:
+                entry = last + last[:1]
+            else:
+                raise ValueError("bad LZW code")
+            if n < 4096:
+                table.append(last + entry[:1])
+                n += 1
+                if n == 511 or n == 1023 or n == 2047:
+                    width += 1
         out.append(entry)
+        made += len(entry)
         last = entry
-        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, store, held, width = bytearray(), 0, 0, 9
-
-    def put(code: int) -> None:
-        nonlocal store, held
-        store, held = store << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(store >> held & 255)
-        store &= (1 << held) - 1
-
-    table = {bytes([b]): b for b in range(256)}
-    put(256)
-    word = b""
+    """A code is a pair (prefix code, byte) to the writer, so no string is made."""
+    codes, widths = [256], [9]
+    put, wide = codes.append, widths.append
+    table: dict[int, int] = {}
+    n, width, word = 258, 9, -1
     for b in data:
-        longer = word + bytes([b])
-        if longer in table:
+        if word < 0:
+            word = b
+            continue
+        longer = table.get(word << 8 | b)
+        if longer is not None:
             word = longer
             continue
-        put(table[word])
-        table[longer] = len(table) + 2
-        n = len(table) + 2
+        put(word)
+        wide(width)
+        table[word << 8 | b] = n
+        n += 1
         if n == 4095:
             put(256)
-            table, width = {bytes([x]): x for x in range(256)}, 9
-        else:
-            width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
-        word = bytes([b])
-    if word:
-        put(table[word])
-        n = len(table) + 3
+            wide(width)
+            table, n, width = {}, 258, 9
+        elif n == 512 or n == 1024 or n == 2048:
+            width += 1
+        word = b
+    if word >= 0:
+        put(word)
+        wide(width)
+        n += 1
         width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
     put(257)
-    if held:
-        out.append(store << (8 - held) & 255)
-    return bytes(out)
-
-
-def decode(data: bytes, compression: int) -> bytes:
+    wide(width)
+    w = np.array(widths)
+    c = np.array(codes)
+    ends = np.cumsum(w)
+    bits = np.zeros(int(ends[-1]), np.uint8)
+    for k in range(12):  # the k-th bit from the end of every code that has one
+        has = w > k
+        bits[ends[has] - 1 - k] = c[has] >> k & 1
+    return np.packbits(bits).tobytes()
+
+
+def decode(data: bytes, compression: int, most: int = 1 << 62) -> bytes:
+    """The bytes of a block, hardly more than ``most`` of them."""
     if compression == RAW:
         return data
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, most)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, min(most, 1 << 62))
     raise ValueError(f"compression {compression} is not supported")
 
 
@@ -192,41 +226,72 @@ def read_page(data: bytes, tags: dict[int, list], number: int) -> Page:
     order = one(0)
     width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
     compression, predictor, planar = one(COMPRESSION, RAW), one(PREDICTOR, 1), one(PLANAR, 1)
-    if bits not in (8, 16) or any(b != bits for b in tags.get(BITS, [bits])):
-        raise ValueError("only 8- and 16-bit samples are supported")
-    if predictor not in (1, 2):
-        raise ValueError(f"predictor {predictor} is not supported")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or any(b != bits for b in tags.get(BITS, [bits])):
+        raise ValueError("samples must all have 1, 2, 4, 8, 16, 32 or 64 bits")
+    if predictor not in (1, 2, 3) or predictor == 2 and bits < 8 or predictor == 3 and (bits < 32 or one(FORMAT, 1) != 3):
+        raise ValueError(f"predictor {predictor} is not supported for {bits} bits")
+    if compression not in YIELDS:
+        raise ValueError(f"compression {compression} is not supported")
+    kind = np.dtype(f"{order}u{max(bits // 8, 1)}")
     tiled = TILE_OFFSETS in tags
     if tiled:
         bw, bh, offsets, counts = one(TILE_WIDTH), one(TILE_HEIGHT), tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
         bw, bh, offsets, counts = width, min(one(ROWS_PER_STRIP, height), height), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    if min(width, height, samples, bw, bh) < 1:
+        raise ValueError("a page has no pixels")
     across, down = -(-width // bw), -(-height // bh)
     planes, inner = (samples, 1) if planar == 2 else (1, samples)
+    line = -(-bw * inner * bits // 8)
+    if len(offsets) < planes * across * down or len(counts) < len(offsets):
+        raise ValueError("strips or tiles are missing")
+    stored = sum(min(max(c, 0), max(len(data) - o, 0)) for o, c in zip(offsets, counts))
+    if -(-width * samples * bits // 8) * height > stored * YIELDS[compression] + 4096 or line * bh > len(data) * YIELDS[compression] + 4096:
+        raise ValueError("the file is too short for its pages")
     pixels = np.zeros((height, width, samples), kind)
     for plane in range(planes):
         for b in range(across * down):
             k = plane * across * down + b
             y, x = b // across * bh, b % across * bw
             rows = bh if tiled else min(bh, height - y)
-            block = np.frombuffer(decode(data[offsets[k] : offsets[k] + counts[k]], compression), kind, rows * bw * inner).reshape(rows, bw, inner)
-            if predictor == 2:
-                block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
+            raw = data[offsets[k] : offsets[k] + counts[k]]
+            if one(FILL_ORDER, 1) == 2:
+                raw = raw.translate(REVERSED)
+            raw = decode(raw, compression, line * rows)
+            block = samples_of(np.frombuffer(raw, np.uint8, line * rows).reshape(rows, line), bits, kind, bw, inner, predictor)
             part = block[: height - y, : width - x]
             pixels[y : y + part.shape[0], x : x + part.shape[1], plane if planes > 1 else slice(None)] = part[:, :, 0] if planes > 1 else part
     return Page(number, width, height, samples, bits, compression, predictor, pixels.tobytes())
 
 
+def samples_of(lines: np.ndarray, bits: int, kind: np.dtype, width: int, inner: int, predictor: int) -> np.ndarray:
+    """The samples (rows x width x inner) of decoded lines of bytes, their predictor undone."""
+    rows = len(lines)
+    if bits < 8:
+        each = np.unpackbits(lines, axis=1)[:, : width * inner * bits].reshape(rows, width * inner, bits)
+        return np.packbits(each, axis=2).reshape(rows, width, inner) >> np.uint8(8 - bits)
+    if predictor == 3:
+        # Bytes of equal weight stand together, the highest first, each the difference to the one a pixel before.
+        size, steps = bits // 8, lines.reshape(rows, -1, inner)
+        whole = np.cumsum(steps, axis=1, dtype=np.uint8).reshape(rows, size, width * inner)
+        high_first = np.ascontiguousarray(whole.transpose(0, 2, 1)).view(f">u{size}")
+        return high_first.reshape(rows, width, inner).astype(kind)
+    block = np.ascontiguousarray(lines).view(kind).reshape(rows, width, inner)
+    return np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else block
+
+
 def read_pages(data: bytes) -> Iterator[Page]:
     for number, tags in enumerate(directories(data)):
         yield read_page(data, tags, number)
 
 
-def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None) -> bytes:
-    """A little-endian file of 8-bit pages, arrays of height x width or height x width x samples."""
+def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None, forms: list[tuple] | None = None) -> bytes:
+    """A little-endian file of 8-bit pages, arrays of height x width or height x width x samples.
+
+    forms gives each page its own compression, predictor and tile.
+    """
     out, patch = bytearray(b"II*\0\0\0\0\0"), 4
-    for array in pages:
+    for array, (compression, predictor, tile) in zip(pages, forms or [(compression, predictor, tile)] * len(pages)):
         array = np.asarray(array, np.uint8).reshape(array.shape[0], array.shape[1], -1)
         height, width, samples = array.shape
         bw, bh = tile or (width, strip_rows)
@@ -281,16 +346,17 @@ def tiff_pages(files: DataFrame, row_id: str = "row_id", content: str = "content
                 try:
                     for p in read_pages(raw):
                         yield pa.RecordBatch.from_pylist([{"row_id": key, **p.__dict__, "error": None}], schema)
-                except (ValueError, KeyError, struct.error, zlib.error, IndexError, TypeError, ZeroDivisionError) as e:
+                except (ValueError, KeyError, struct.error, zlib.error, IndexError, TypeError, ZeroDivisionError, OverflowError) as e:
                     yield pa.RecordBatch.from_pylist([{"row_id": key, "page": -1, "error": f"{type(e).__name__}: {e}"}], schema)
 
     return files.select(F.col(row_id).cast("long"), F.col(content).cast("binary")).mapInArrow(run, PAGE_SCHEMA)
 
 
-def store(payload: bytes, compression: int = DEFLATE, predictor: int = 1) -> bytes:
-    """A payload of a positive multiple of 64 bytes as a file of grey pages."""
+def store(payload: bytes) -> bytes:
+    """A payload of a positive multiple of 64 bytes as a file of grey pages, each in the form that its checksum picks."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, COLUMNS)
-    return write_pages([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], compression, predictor)
+    pages = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
+    return write_pages(pages, forms=[FORMS[zlib.crc32(p.tobytes()) % len(FORMS)] for p in pages])
 
 
 def features(payload: bytes) -> str:
@@ -303,7 +369,7 @@ def features(payload: bytes) -> str:
     return ",".join(f"{x:.4f}" for x in (mean, spread, *shares))
 
 
-def text_media(docs: DataFrame, compression: int = DEFLATE, predictor: int = 1) -> DataFrame:
+def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_pages."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -313,7 +379,7 @@ def text_media(docs: DataFrame, compression: int = DEFLATE, predictor: int = 1)
             rows = []
             for value in batch.column(1):
                 raw = value.as_py() or b""
-                media = store(raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64)), compression, predictor)
+                media = store(raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64)))
                 pages = list(read_pages(media))
                 back = b"".join(p.pixels for p in pages)
                 rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(back), len(pages)))

@@ -46,6 +46,66 @@ def test_big_endian_sixteen_bits():
     assert (page.width, page.height, page.bits) == (3, 2, 16) and np.frombuffer(page.pixels, ">u2").tolist() == list(range(6))
 
 
+def written(tags, body, order="<"):
+    """A file of one page from tags (tag, kind, values) and its stored bytes at place 8."""
+    fields = b""
+    extra, at = b"", 8 + len(body) + 2 + 12 * len(tags) + 4
+    for tag, kind, values in sorted(tags):
+        raw = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(raw) > 4:
+            fields += struct.pack(order + "HHII", tag, kind, len(values), at + len(extra))
+            extra += raw
+        else:
+            fields += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 + len(body))
+    return head + body + struct.pack(order + "H", len(tags)) + fields + b"\0\0\0\0" + extra
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("fill", [1, 2])
+def test_samples_below_a_byte(bits, fill):
+    rng = np.random.default_rng(bits)
+    x = rng.integers(0, 1 << bits, (5, 13), dtype=np.uint8)
+    lines = [int("".join(f"{v:0{bits}b}" for v in row).ljust(-(-13 * bits // 8) * 8, "0"), 2).to_bytes(-(-13 * bits // 8), "big") for row in x]
+    body = b"".join(lines)
+    body = bytes(int(f"{b:08b}"[::-1], 2) for b in body) if fill == 2 else body
+    page = next(tiff.read_pages(written([(256, 3, [13]), (257, 3, [5]), (258, 3, [bits]), (259, 3, [1]), (266, 3, [fill]), (273, 4, [8]), (278, 3, [5]), (279, 4, [len(body)])], body)))
+    assert page.bits == bits and page.pixels == x.tobytes()
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("size", [4, 8])
+def test_floats_with_predictor_three(order, size):
+    x = np.random.default_rng(size).normal(size=(4, 7, 2)).astype(f"{order}f{size}")
+    body = b""
+    for row in x:
+        planes = np.frombuffer(row.astype(f">f{size}").tobytes(), np.uint8).reshape(-1, size).T.reshape(-1, 2).astype(int)
+        body += np.diff(planes, axis=0, prepend=np.zeros((1, 2), int)).astype(np.uint8).tobytes()
+    stored = zlib.compress(body)
+    tags = [(256, 3, [7]), (257, 3, [4]), (258, 3, [size * 8] * 2), (259, 3, [8]), (273, 4, [8]), (277, 3, [2]), (278, 3, [4]), (279, 4, [len(stored)]), (317, 3, [3]), (339, 3, [3, 3])]
+    assert next(tiff.read_pages(written(tags, stored, order))).pixels == x.tobytes()
+
+
+@pytest.mark.parametrize("compression", CODECS)
+def test_a_small_file_that_claims_a_huge_page(spark, compression):
+    side = 1 << 20
+    tags = [(256, 4, [side]), (257, 4, [side]), (258, 3, [8]), (259, 3, [compression]), (273, 4, [8]), (278, 4, [side]), (279, 4, [10])]
+    df = spark.createDataFrame([(1, bytearray(written(tags, bytes(10))))], "row_id long, content binary")
+    (row,) = tiff.tiff_pages(df).collect()
+    assert row["page"] == -1 and "too short" in row["error"]
+
+
+def test_texts_use_every_form(spark, small):
+    forms = set()
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        raw = (r["text"] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        pages = list(tiff.read_pages(tiff.store(payload)))
+        assert b"".join(p.pixels for p in pages) == payload
+        forms |= {(p.compression, p.predictor) for p in pages}
+    assert forms == {(c, p) for c, p, _ in tiff.FORMS}
+
+
 def test_rows_per_page_and_damage(spark):
     good = tiff.write_pages([np.ones((2, 3), np.uint8), np.zeros((1, 1), np.uint8)])
     df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"II*\0")), (3, None), (4, bytearray(good[:40]))], "row_id long, content binary")
