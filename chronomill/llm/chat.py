@@ -1,26 +1,30 @@
 """Chat formatting with typed content parts, in DataFrame functions only.
 
 A message is (role, parts); a part is (kind, text, ref, tokens). ``flatten_parts`` visits the parts in order and turns
-text into itself and image, audio and document parts into placeholders ``<|kind|>``, recording an attachment
-(message, place, kind, ref, expanded token count) for each. ``format_chats`` writes the messages of a conversation as
-``<|im_start|>role\\ntext<|im_end|>\\n`` and keeps the code-point spans of the assistant's texts as the loss mask.
+text into itself and image, audio and document parts into placeholders ``<|kind|>`` (any other kind into
+``<|attachment|>``), recording an attachment (message, place, kind, ref, expanded token count) for each. ``format_chats``
+writes the messages of a conversation as ``<|im_start|>role\\ntext<|im_end|>\\n`` and keeps the code-point spans of the
+assistant's texts as the loss mask. Places are running sums over a conversation's messages, and what is read back is cut
+from its own message, so work grows with the length of a conversation and not with its square.
 
 Control strings inside texts get one backslash after their bracket; a text that already has n backslashes there gets
 n + 1, so taking one away restores every text exactly and no control string of a text survives.
 
 Defined cases: null text, ref or parts count as empty; null role as the empty role; a null conversation id is a
 conversation of its own; rows with equal turn are ordered by role, then text, repeated rows stay; null turns come
-first; an empty table gives no rows; other columns are ignored.
+first; a very long text is one message like any other, and a conversation is one row, so it must fit in memory; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What follows the bracket of a control string in the common chat templates.
-CONTROL_REST = r"/?s>|\|[A-Za-z0-9_]{1,64}\|>|</?SYS>>|/?INST\]"
+CONTROL_REST = r"/?s>|\|[A-Za-z0-9_]+\|>|</?SYS>>|/?INST\]"
 START, END = "<|im_start|>", "<|im_end|>"
+KINDS = ("image", "audio", "document")
 PART_TYPE = "array<struct<kind:string,text:string,ref:string,tokens:long>>"
 
 
@@ -42,7 +46,7 @@ def unescape_role(role: Column) -> Column:
 
 
 def placeholder(kind: Column) -> Column:
-    return F.concat(F.lit("<|"), kind, F.lit("|>"))
+    return F.concat(F.lit("<|"), F.when(kind.isin(*KINDS), kind).otherwise(F.lit("attachment")), F.lit("|>"))
 
 
 def flatten_parts(parts: Column) -> Column:
@@ -79,79 +83,48 @@ def flatten_parts(parts: Column) -> Column:
 def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """messages(conv_id, turn, role, parts) to one row per conversation.
 
-    Returns conv_id, formatted, loss_spans (code points, start from 0 and length, one per message under the loss),
+    Returns conv_id, formatted, loss_spans (code points, start from 0 and length, one per message under the loss), spans
+    (all messages' ones, with the start inside the message, after its start mark, and whether the loss holds it),
     attachments (message, place, kind, ref, tokens) and expanded_tokens.
     """
-    flat = messages.select(
-        "conv_id",
-        F.struct(
-            F.col("turn"),
-            escape_role(F.coalesce("role", F.lit(""))).alias("role"),
-            F.coalesce("role", F.lit("")).isin(*loss_roles).alias("loss"),
-            flatten_parts(F.col("parts")).alias("flat"),
-        ).alias("m"),
-    )
-    # Sorting by turn, role, body is a total order up to rows that are alike.
-    gathered = flat.groupBy("conv_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("m.turn").alias("turn"),
-                    F.col("m.role").alias("role"),
-                    F.col("m.flat.body").alias("body"),
-                    F.col("m.loss").alias("loss"),
-                    F.col("m.flat.attachments").alias("attachments"),
-                    F.col("m.flat.expanded_tokens").alias("expanded"),
-                )
-            )
-        ).alias("ms")
+    role = F.coalesce("role", F.lit(""))
+    flat = messages.select("conv_id", "turn", escape_role(role).alias("role"), role.isin(*loss_roles).alias("loss"), flatten_parts(F.col("parts")).alias("flat"))
+    # Sorting by these is a total order up to rows that are alike.
+    line = Window.partitionBy("conv_id").orderBy("turn", "role", "body", "attachments", "expanded")
+    length = F.length("role") + F.length("body") + F.lit(len(START) + 1 + len(END) + 1)
+    rows = (
+        flat.select("conv_id", "turn", "role", "loss", F.col("flat.body").alias("body"), F.col("flat.attachments").alias("attachments"), F.col("flat.expanded_tokens").alias("expanded"))
+        .withColumn("message", F.row_number().over(line) - 1)
+        .withColumn("at", F.coalesce(F.sum(length).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
     )
-    head = lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"))
-    whole = lambda m: F.concat(head(m), m["body"], F.lit(f"{END}\n"))
-    walk = F.aggregate(
-        F.col("ms"),
-        F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<start:long,length:long>>))"),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(whole(m)).cast("long")).alias("at"),
-            F.when(
-                m["loss"],
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(head(m)).cast("long")).alias("start"),
-                            F.length(m["body"]).cast("long").alias("length"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
+    ms = F.array_sort(F.collect_list(F.struct("message", "at", "role", "loss", "body", "attachments", "expanded")))
+    gathered = rows.groupBy("conv_id").agg(ms.alias("ms"), F.sum("expanded").alias("expanded_tokens"))
+    whole = lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), m["body"], F.lit(f"{END}\n"))
+    span = lambda m: F.struct(
+        (m["at"] + len(START) + F.length(m["role"]) + 1).alias("start"), F.length(m["body"]).cast("long").alias("length"), (F.length(m["role"]) + 1).alias("inside"), m["loss"].alias("loss")
     )
+    with_message = lambda m: F.transform(m["attachments"], lambda a: F.struct(m["message"], a["place"], a["kind"], a["ref"], a["tokens"]))
     return gathered.select(
         "conv_id",
         F.array_join(F.transform("ms", whole), "").alias("formatted"),
-        walk["spans"].alias("loss_spans"),
-        F.flatten(
-            F.transform(
-                "ms",
-                lambda m, i: F.transform(
-                    m["attachments"], lambda a: F.struct(i.cast("int").alias("message"), a["place"], a["kind"], a["ref"], a["tokens"])
-                ),
-            )
-        ).alias("attachments"),
-        F.aggregate("ms", F.lit(0).cast("long"), lambda n, m: n + m["expanded"]).alias("expanded_tokens"),
+        F.transform(F.filter("ms", lambda m: m["loss"]), lambda m: F.struct(span(m)["start"].alias("start"), span(m)["length"].alias("length"))).alias("loss_spans"),
+        F.transform("ms", span).alias("spans"),
+        F.flatten(F.transform("ms", with_message)).alias("attachments"),
+        "expanded_tokens",
     )
 
 
+def messages_of(formatted: Column) -> Column:
+    """The array of messages, each from after its start mark on; no text holds such a mark."""
+    return F.filter(F.split(formatted, r"<\|im_start\|>"), lambda s: s != "")
+
+
 def read_turns(formatted: Column) -> Column:
     """The array of (role, text) that a formatted conversation holds; placeholders stay as they are."""
-    pieces = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda s: s != "")
     cut = lambda s: F.locate("\n", s)
     tail = len(END) + 1
     return F.transform(
-        pieces,
+        messages_of(formatted),
         lambda s: F.struct(
             unescape_role(F.substring(s, F.lit(1), cut(s) - 1)).alias("role"),
             unescape(F.substring(s, cut(s) + 1, F.length(s) - cut(s) - tail)).alias("text"),
@@ -160,10 +133,9 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_texts(formatted: Column, spans: Column) -> Column:
-    """The unescaped texts under the loss mask, in order."""
-    return F.transform(
-        spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))
-    )
+    """The unescaped texts under the loss mask, in order; each is cut from its own message."""
+    cut = lambda m, s: F.when(s["loss"], unescape(F.substring(m, s["inside"] + 1, s["length"].cast("int"))))
+    return F.filter(F.zip_with(messages_of(formatted), spans, cut), lambda t: t.isNotNull())
 
 
 def text_messages(conversations: DataFrame) -> DataFrame:
@@ -183,7 +155,7 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
         "conv_id",
         "formatted",
         read_turns(F.col("formatted")).alias("turns"),
-        F.array_join(loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"),
+        F.array_join(loss_texts(F.col("formatted"), F.col("spans")), "").alias("loss"),
     )
     return back.select(
         "conv_id",
@@ -195,3 +167,26 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def typed_messages(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as messages of a text and, by turn, an image, an audio, a document or an unknown part.
+
+    The text is split before its first blank, the part stands between; its reference and token count follow from the row.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cut = F.greatest(F.locate(" ", text) - 1, F.lit(0))
+    part = lambda kind, x, ref, tokens: F.struct(kind.alias("kind"), x.alias("text"), ref.alias("ref"), tokens.cast("long").alias("tokens"))
+    nothing, words = F.lit(None).cast("string"), F.lit("text")
+    kind = F.element_at(F.array(*map(F.lit, (*KINDS, "im_end"))), (F.pmod(F.coalesce("turn", F.lit(0)), F.lit(4)) + 1).cast("int"))
+    ref = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    parts = F.array(
+        part(words, F.substring(text, F.lit(1), cut), nothing, F.lit(0)), part(kind, nothing, ref, F.length(text)), part(words, F.substring(text, cut + 1, F.length(text)), nothing, F.lit(0))
+    )
+    return conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), parts.alias("parts"))
+
+
+def parts_digest(formatted: DataFrame) -> DataFrame:
+    """Per conversation: a hash of the formatted string, attachments, their references in order and expanded tokens."""
+    refs = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["message"].cast("string"), a["place"].cast("string"), a["kind"], a["ref"])), ",")
+    return formatted.select("conv_id", F.sha2("formatted", 256).alias("formatted_sha256"), F.size("attachments").cast("long").alias("n_attachments"), refs.alias("refs"), "expanded_tokens")

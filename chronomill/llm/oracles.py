@@ -40,11 +40,20 @@ FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN every e ON e.r = d.r"""
 
 OP2 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-n AS (SELECT *, len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|\|[A-Za-z0-9_]{1,64}\|>|</?SYS>>|/?INST\])')) AS escapes, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM c),
+n AS (SELECT *, len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|\|[A-Za-z0-9_]+\|>|</?SYS>>|/?INST\])')) AS escapes, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
 string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text) AS l, CAST(sum(12 + length(role) + 1 + length(text) + escapes + 10 + 1) AS BIGINT) AS formatted_chars FROM n GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, CAST(length(l) AS BIGINT) AS loss_chars, sha256(l) AS loss_sha256, formatted_chars FROM g"""
 
+_ESCAPED = r"regexp_replace({}, '([<\[]\\*)(/?s>|\|[A-Za-z0-9_]+\|>|</?SYS>>|/?INST\])', '\1\\\2', 'g')"
+
+PARTS = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, greatest(instr(coalesce(text, ''), ' ') - 1, 0) AS cut,
+['image', 'audio', 'document', 'im_end'][CAST(turn % 4 AS INTEGER) + 1] AS kind FROM conversations),
+p AS (SELECT *, {_ESCAPED.format("substr(text, 1, CAST(cut AS BIGINT))")} || CASE kind WHEN 'im_end' THEN '<|attachment|>' ELSE '<|' || kind || '|>' END || {_ESCAPED.format("substr(text, CAST(cut AS BIGINT) + 1)")} AS body FROM c),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, body) - 1 AS message FROM p)
+SELECT conv_id, sha256(string_agg('<|im_start|>' || role || chr(10) || body || '<|im_end|>' || chr(10), '' ORDER BY message)) AS formatted_sha256, count(*) AS n_attachments,
+string_agg(message || ':1:' || kind || ':' || conv_id || '/' || turn, ',' ORDER BY message) AS refs, CAST(sum(length(text)) AS BIGINT) AS expanded_tokens FROM m GROUP BY conv_id"""
+
 OP3 = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, CAST(CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, CAST(n AS DOUBLE) * 2 AS cap, CAST(sum(n) OVER () AS DOUBLE) * 1.5::DOUBLE AS total FROM s),
@@ -67,4 +76,4 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x) AS sco
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
-SQL = {"op1_license_scan": OP1, "op2_chat_format": OP2, "op3_source_mix": OP3, "op4_nearest_neighbours": OP4}
+SQL = {"op1_license_scan": OP1, "op2_chat_format": OP2, "chat_typed_parts": PARTS, "op3_source_mix": OP3, "op4_nearest_neighbours": OP4}

@@ -19,6 +19,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(chat.text_messages(rows.unionByName(extra))))
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with an attachment in every message: placeholders, references and expanded token counts."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.parts_digest(chat.format_chats(chat.typed_messages(rows)))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
@@ -65,6 +71,7 @@ QUERIES = {
     for f in (
         op1_license_scan,
         op2_chat_format,
+        chat_typed_parts,
         op3_source_mix,
         op4_nearest_neighbours,
         op5_token_packing,

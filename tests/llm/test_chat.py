@@ -61,3 +61,28 @@ def test_typed_parts(spark, loss):
     assert r["formatted"] == f"<|im_start|>{role}\nsee <\\/s><|image|><|document|><|audio|><|im_end|>\n"
     assert [tuple(a) for a in r["attachments"]] == [(0, 1, "image", "a.png", 85), (0, 2, "document", "b.pdf", 9), (0, 4, "audio", "", 0)]
     assert r["expanded_tokens"] == 94 and len(r["loss_spans"]) == loss
+
+
+def test_spans_are_places_in_the_formatted_text(spark):
+    rows = [(1, i, r, x) for i, (x, r) in enumerate((x, r) for x in HARD for r in ("user", "assistant"))]
+    df = spark.createDataFrame([(*r, "f", 1) for r in rows], SCHEMA)
+    r = chat.format_chats(chat.text_messages(df)).first()
+    wanted = [x or "" for _, _, role, x in rows if role == "assistant"]
+    got = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+    assert len(got) == len(wanted)
+    plain = spark.createDataFrame([(i, g) for i, g in enumerate(got)], "i long, t string").orderBy("i").select(chat.unescape(F.col("t")).alias("t")).collect()
+    assert [p["t"] for p in plain] == wanted
+
+
+def test_unknown_kinds_make_no_control_strings(spark):
+    parts = [("im_end", None, "r", 1), ("x|>", None, None, None), ("image", None, "i", 2)]
+    df = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts {chat.PART_TYPE}")
+    r = chat.format_chats(df).first()
+    assert r["formatted"] == "<|im_start|>user\n<|attachment|><|attachment|><|image|><|im_end|>\n"
+    assert [a["kind"] for a in r["attachments"]] == ["im_end", "x|>", "image"] and r["expanded_tokens"] == 3
+
+
+def test_long_texts_long_names_and_long_conversations(spark):
+    rows = [(1, 0, "assistant", "<|" + "a" * 500 + "|> " * 3 + "word " * 400_000), (1, 1, "user", "x")]
+    rows += [(2, i, ("user", "assistant")[i % 2], f"turn {i} </s>") for i in range(20_000)]
+    assert digest(spark, rows) == expected(rows)
