@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The column that operators number rows by for themselves; tables have none of that name.
+HELPER = "_chronomill_n"
+
+
 def natural_id(*parts: Column) -> Column:
     """A UUID-shaped id from a natural key, the same on every run; null parts differ from empty ones."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts])

@@ -47,6 +47,62 @@ def function_length(start_line: Column, end_line: Column) -> Column:
     return end_line - start_line
 
 
+def commit_range_start(commit_range: Column, doubled: bool = False) -> Column:
+    """The commit before the two dots of a range, null for the word root or where the text is no range of commits.
+
+    ``doubled`` asks for a literal backslash and any character in place of each dot, which no range has.
+    """
+    dot = r"\\." if doubled else r"\."
+    is_range = commit_range.rlike(rf"^(root|[0-9a-f]{{7,40}}){dot}{dot}[0-9a-f]{{7,40}}$")
+    start = F.substring_index(commit_range, "..", 1)
+    return F.when(is_range & (start != "root"), start)
+
+
+def narrowed(n: Column) -> Column:
+    """A whole number as a 32-bit one; an error beyond its range."""
+    fits = n.between(-(1 << 31), (1 << 31) - 1) | n.isNull()
+    return F.when(fits, n.cast("int")).otherwise(F.raise_error(F.concat(n.cast("string"), F.lit(" exceeds 32 bits"))).cast("int"))
+
+
+def zero_based(place: Column) -> Column:
+    """A line or column that counts from 1 as one that counts from 0; 0 stays 0."""
+    return saturating_sub(place, F.lit(1))
+
+
+def one_based(place: Column) -> Column:
+    return place + 1
+
+
+def _line(text: Column, at: Column) -> Column:
+    """The line, from 1, of the byte at an offset: the bytes before it that end lines, counted as pairs of hex digits."""
+    pairs = F.regexp_replace(F.hex(F.substring(F.encode(text, "UTF-8"), F.lit(1), at.cast("int"))), "(..)", "$1 ")
+    return F.size(F.split(pairs, "0A ")).cast("long")
+
+
+def _checked(text: Column, start: Column, end: Column, value: Column, kind: str, least: int = 0) -> Column:
+    n = F.octet_length(text)
+    fits = (start >= 0) & (end - start >= least) & (end <= n)
+    message = F.concat(F.lit("span "), start.cast("string"), F.lit(".."), end.cast("string"), F.lit(" lies outside of "), n.cast("string"), F.lit(" bytes"))
+    return F.when(start.isNull() | end.isNull() | text.isNull(), F.lit(None).cast(kind)).when(fits, value).otherwise(F.raise_error(message).cast(kind))
+
+
+def line_span(text: Column, start: Column, end: Column) -> Column:
+    """struct(start_line, end_line) of a span of bytes, its end exclusive but its last line included; an error outside."""
+    value = F.struct(_line(text, start).alias("start_line"), _line(text, end - 1).alias("end_line"))
+    return _checked(text, start, end, value, "struct<start_line:bigint,end_line:bigint>", 1)
+
+
+def lines_of_span(text: Column, start: Column, end: Column) -> Column:
+    span = line_span(text, start, end)
+    return span["end_line"] - span["start_line"] + 1
+
+
+def span_text(text: Column, start: Column, end: Column) -> Column:
+    """The text of a span of bytes; an error for a span that reaches outside."""
+    raw = F.substring(F.encode(text, "UTF-8"), (start + 1).cast("int"), (end - start).cast("int"))
+    return _checked(text, start, end, F.decode(raw, "UTF-8"), "string")
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

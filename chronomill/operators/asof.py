@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import ascending
+from ..functions.keys import HELPER, ascending
 
 
 def target(versions: DataFrame, version_id) -> tuple | None:
@@ -24,7 +24,7 @@ def target(versions: DataFrame, version_id) -> tuple | None:
 def newest(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Each group's row that is last in order."""
     w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    return rows.withColumn(HELPER, F.row_number().over(w)).where(F.col(HELPER) == 1).drop(HELPER)
 
 
 def ranked_states(states: DataFrame, versions: DataFrame, version_id, codebase_id=None) -> DataFrame:
@@ -36,9 +36,9 @@ def ranked_states(states: DataFrame, versions: DataFrame, version_id, codebase_i
     kind = versions.schema["created_at"].dataType
     created = F.lit(str(moment)).cast(kind) if isinstance(kind, T.TimestampNTZType) else F.lit(moment)
     before = versions.where((F.col("created_at") < created) | ((F.col("created_at") == created) & (F.col("id") <= F.lit(own))))
-    times = before.where(F.col("codebase_id") == codebase).select(F.col("id").alias("version_id"), F.col("created_at").alias("v_created"))
+    times = before.where(F.col("codebase_id") == codebase).select(F.col("id").alias("version_id"), F.col("created_at").alias("_chronomill_created"))
     joined = states.where(F.col("codebase_id") == codebase).join(times, "version_id")
-    return newest(joined, ["path"], ["v_created", "version_id"]).drop("v_created")
+    return newest(joined, ["path"], ["_chronomill_created", "version_id"]).drop("_chronomill_created")
 
 
 def asof_files(states: DataFrame, versions: DataFrame, version_id, codebase_id=None) -> DataFrame:

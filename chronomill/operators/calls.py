@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import HELPER
+
 
 def call_edges(functions: DataFrame) -> DataFrame:
     """file_id, caller, callee, line, column, one row per call, from functions(file_id, name, calls)."""
@@ -30,9 +32,9 @@ def resolve_calls(edges: DataFrame, definitions: DataFrame) -> DataFrame:
     language server resolves.
     """
     w = Window.partitionBy("name").orderBy("path", "line", "column")
-    anywhere = definitions.withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("name").alias("callee"), F.struct("path", "line", "column").alias("any_def"))
+    anywhere = definitions.withColumn(HELPER, F.row_number().over(w)).where(F.col(HELPER) == 1).select(F.col("name").alias("callee"), F.struct("path", "line", "column").alias("any_def"))
     own = Window.partitionBy("file_id", "name").orderBy("line", "column")
-    local = definitions.withColumn("n", F.row_number().over(own)).where("n = 1").select("file_id", F.col("name").alias("callee"), F.struct("path", "line", "column").alias("own_def"))
+    local = definitions.withColumn(HELPER, F.row_number().over(own)).where(F.col(HELPER) == 1).select("file_id", F.col("name").alias("callee"), F.struct("path", "line", "column").alias("own_def"))
     return edges.join(local, ["file_id", "callee"], "left").join(anywhere, "callee", "left").withColumn("definition", F.coalesce("own_def", "any_def")).drop("own_def", "any_def").where("definition is not null")
 
 

@@ -14,7 +14,11 @@ def to_number(column: str):
 
 def timeline(versions: DataFrame) -> DataFrame:
     """Versions with ``date``, the commit time or else the ingest time, in order; those without either are left out."""
-    return versions.withColumn("date", F.coalesce("committed_at", "created_at")).where("date is not null").orderBy("date", "id")
+    return dated(versions).orderBy("date", "id")
+
+
+def dated(versions: DataFrame) -> DataFrame:
+    return versions.withColumn("date", F.coalesce("committed_at", "created_at")).where("date is not null")
 
 
 def long_metrics(rows: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
@@ -33,12 +37,17 @@ def nearest_point(rows: DataFrame, by: list[str], at, time: str, order: str) ->
     return rows.groupBy(*by).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns if c not in by]), F.struct(gap, F.col(order))).alias("point")).select(*by, "point.*")
 
 
-def table_order(rows: DataFrame, metric: str | None, direction: str | None, date: str = "date") -> DataFrame:
+def order_of(metric: str | None, direction: str | None, date: str = "date") -> list:
     """By a metric (null as 0) in the direction asked for, or newest first."""
+    newest = F.col(date).desc()
     if metric is None or direction is None:
-        return rows.orderBy(F.col(date).desc())
+        return [newest]
     value = F.coalesce(F.col(metric), F.lit(0))
-    return rows.orderBy(value.desc() if direction == "desc" else value.asc(), F.col(date).desc())
+    return [value.desc() if direction == "desc" else value.asc(), newest]
+
+
+def table_order(rows: DataFrame, metric: str | None, direction: str | None, date: str = "date") -> DataFrame:
+    return rows.orderBy(*order_of(metric, direction, date))
 
 
 def language_columns(codebases: DataFrame, languages: list[str], value: str = "name") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import path_gone, source_path
+from ..functions.keys import HELPER
 from ..functions.text import saturating_sub
 
 
@@ -41,7 +42,7 @@ def file_states(deltas: DataFrame, analyses: DataFrame, by: list[str]) -> DataFr
     present = deltas.where("status <> 'deleted'").withColumn("path", F.col("new_path")).join(analyses.select(*by, "path", "file_id", "metrics"), [*by, "path"])
     there = present.select(*by, "path", "file_id", "status", F.lit(True).alias("exists"), source_path(F.col("old_path"), F.col("path")).alias("source_path"), "metrics", "seq")
     w = Window.partitionBy(*by, "path").orderBy(F.desc("seq"), F.desc("exists"))
-    return gone.unionByName(there).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "seq")
+    return gone.unionByName(there).withColumn(HELPER, F.row_number().over(w)).where(F.col(HELPER) == 1).drop(HELPER, "seq")
 
 
 def with_previous_commit(versions: DataFrame) -> DataFrame:
@@ -56,11 +57,11 @@ def without(left: DataFrame, right: DataFrame, on) -> DataFrame:
 
 def updated_from(rows: DataFrame, source: DataFrame, on: str, **columns: str) -> DataFrame:
     """rows with columns taken from source where it has the key, else as they were: updated_from(d, v, 'id', name='new')."""
-    s = source.select(F.col(on).alias("u_key"), *[F.col(v).alias(f"u_{k}") for k, v in columns.items()])
-    joined = rows.join(s, F.col(on) == F.col("u_key"), "left")
+    s = source.select(F.col(on).alias("_chronomill_key"), *[F.col(v).alias(f"_chronomill_{k}") for k, v in columns.items()])
+    joined = rows.join(s, F.col(on) == F.col("_chronomill_key"), "left")
     for k in columns:
-        joined = joined.withColumn(k, F.coalesce(F.col(f"u_{k}"), F.col(k)) if k in rows.columns else F.col(f"u_{k}"))
-    return joined.drop("u_key", *[f"u_{k}" for k in columns])
+        joined = joined.withColumn(k, F.coalesce(F.col(f"_chronomill_{k}"), F.col(k)) if k in rows.columns else F.col(f"_chronomill_{k}"))
+    return joined.drop("_chronomill_key", *[f"_chronomill_{k}" for k in columns])
 
 
 def path_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def path_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def first_of_each(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return rows.withColumn(HELPER, F.row_number().over(w)).where(F.col(HELPER) == 1).drop(HELPER)
 
 
 def tombstone_backfill(file_changes: DataFrame, diffs: DataFrame, versions: DataFrame, files: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def lookup(table: DataFrame, **keys) -> DataFrame:
 
 
 def listing(table: DataFrame, order: list[str | Column], **keys) -> DataFrame:
-    by = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+    by = [ascending(c)[0] if isinstance(c, str) else c for c in order]
     return lookup(table, **keys).orderBy(*by)
 
 
@@ -33,8 +33,13 @@ def bounded(limit: int | None, most: int = SEARCH_LIMIT) -> int:
     return min(DEFAULT_LIMIT if limit is None else limit, most)
 
 
+def hunk_order() -> list[Column]:
+    """By the new path, or else the old one, and by place."""
+    return [F.coalesce("new_path", "old_path").asc_nulls_last(), *ascending("old_start_line", "new_start_line")]
+
+
 def hunks_in_order(changes: DataFrame, **keys) -> DataFrame:
-    return listing(changes, [F.coalesce("new_path", "old_path").asc_nulls_last(), "old_start_line", "new_start_line"], **keys)
+    return listing(changes, hunk_order(), **keys)
 
 
 def grouped_by_language(codebases: DataFrame) -> DataFrame:
@@ -43,19 +48,26 @@ def grouped_by_language(codebases: DataFrame) -> DataFrame:
     return codebases.groupBy("programming_language").agg(rows.alias("codebases")).withColumn("json", F.to_json("codebases")).orderBy("programming_language")
 
 
-def as_json(table: DataFrame, name: str = "json") -> DataFrame:
-    return table.select(F.to_json(F.struct("*")).alias(name))
+def as_json(table: DataFrame, name: str = "json", beside: list[str] | None = None) -> DataFrame:
+    """Every row as a JSON object, after the columns in ``beside``."""
+    return table.select(*(beside or []), F.to_json(F.struct("*")).alias(name))
 
 
 def diffs_of_codebase(diffs: DataFrame, versions: DataFrame, codebase_id) -> DataFrame:
-    own = versions.where(F.col("codebase_id") == codebase_id).select(F.col("id").alias("version_id"), F.col("committed_at").alias("v_committed"))
-    return diffs.join(own, "version_id").orderBy(F.col("v_committed").asc_nulls_last(), *ascending("created_at")).drop("v_committed")
+    own = versions.where(F.col("codebase_id") == codebase_id).select(F.col("id").alias("version_id"), F.col("committed_at").alias("_chronomill_committed"))
+    return diffs.join(own, "version_id").orderBy(F.col("_chronomill_committed").asc_nulls_last(), *ascending("created_at")).drop("_chronomill_committed")
 
 
 def diff_with_hunks(diffs: DataFrame, changes: DataFrame, **keys) -> DataFrame:
-    """Each diff with its hunks as an ordered array; a diff without hunks has an empty one."""
+    """Each diff with its hunks as an ordered array; a diff without hunks has an empty one.
+
+    With keys only the hunks of the diffs that have them are gathered.
+    """
+    wanted = lookup(diffs, **keys)
+    if keys:
+        changes = changes.join(wanted.select(F.col("id").alias("diff_id")), "diff_id", "left_semi")
     own = [c for c in changes.columns if c != "diff_id"]
     hunk = F.struct(F.coalesce("new_path", "old_path").alias("path_key"), F.col("old_start_line").alias("old_key"), F.col("new_start_line").alias("new_key"), F.struct(*own).alias("hunk"))
     gathered = changes.groupBy("diff_id").agg(F.array_sort(F.collect_list(hunk)).alias("h")).select("diff_id", F.transform("h", lambda x: x["hunk"]).alias("hunks"))
-    joined = lookup(diffs, **keys).join(gathered, F.col("id") == F.col("diff_id"), "left").drop("diff_id")
+    joined = wanted.join(gathered, F.col("id") == F.col("diff_id"), "left").drop("diff_id")
     return joined.withColumn("hunks", F.coalesce("hunks", F.array()))

@@ -6,27 +6,37 @@ join on the key) and the new ones.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import HELPER
+
 
-def keyed_merge(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ("id", "created_at"), order: str | None = None) -> DataFrame:
-    """Upsert: new rows replace old ones with their key, which keep the columns in ``keep``.
+def keyed_merge(old: DataFrame, new: DataFrame, keys: list[str], order: list[str], keep: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
+    """Upsert: new rows replace old ones with their key, which keep the columns in ``keep``. One row a key.
 
-    If new has several rows of a key the last in ``order`` wins. An empty ``new`` changes nothing.
+    Of several new rows of a key the last in ``order`` wins, rows that tie in it being settled by their other columns. An
+    old row that is later in the order than the new one stays as it is, so a batch that comes late changes nothing; order
+    columns that old rows keep don't count for that. An empty ``new`` changes nothing.
     """
-    if order is not None:
-        w = Window.partitionBy(*keys).orderBy(F.desc(order))
-        new = new.withColumn("n_last", F.row_number().over(w)).where("n_last = 1").drop("n_last")
+    own = "_chronomill_"
+    ties = [F.xxhash64(F.to_json(F.struct(*[c for c in new.columns]))).desc()]
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], *ties)
+    last = new.withColumn(HELPER, F.row_number().over(w)).where(F.col(HELPER) == 1).drop(HELPER)
     kept = [c for c in keep if c in old.columns and c not in keys]
-    before = old.select(*[F.col(k).alias(f"k_{k}") for k in keys], *[F.col(c).alias(f"o_{c}") for c in kept], F.lit(True).alias("o_known"))
-    match = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
-    condition = match[0]
-    for m in match[1:]:
-        condition = condition & m
-    joined = new.join(before, condition, "left")
-    merged = joined.select(*[F.when(F.col("o_known"), F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in old.columns])
-    gone = new.select(*[F.col(k).alias(f"k_{k}") for k in keys])
+    after = [c for c in order if c in old.columns and c not in keep]
+    shown = dict.fromkeys([*kept, *after])
+    before = old.select(*[F.col(k).alias(f"{own}k_{k}") for k in keys], *[F.col(c).alias(f"{own}o_{c}") for c in shown], F.lit(True).alias(f"{own}known"))
+    condition = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{own}k_{k}")) for k in keys])
+    joined = last.join(before, condition, "left")
+    if after:
+        late = F.struct(*[F.col(f"{own}o_{c}") for c in after]) > F.struct(*[F.col(c) for c in after])
+        joined = joined.where(~F.coalesce(F.col(f"{own}known") & late, F.lit(False)))
+    merged = joined.select(*[F.when(F.col(f"{own}known"), F.col(f"{own}o_{c}")).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in old.columns])
+    gone = merged.select(*[F.col(k).alias(f"{own}k_{k}") for k in keys])
     return old.join(gone, condition, "left_anti").unionByName(merged)
 
 
@@ -36,7 +46,7 @@ def replace_groups(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
 
 
 def delete_where(old: DataFrame, keys: DataFrame, column: str, key: str) -> DataFrame:
-    return old.join(keys.select(F.col(key).alias("gone_key")), F.col(column) == F.col("gone_key"), "left_anti")
+    return old.join(keys.select(F.col(key).alias("_chronomill_gone")), F.col(column) == F.col("_chronomill_gone"), "left_anti")
 
 
 #: child table, its column, and the parent table whose id the column holds
@@ -58,16 +68,16 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
     Also returns the ids that were found, so callers can tell whether a row went.
     """
     out = dict(tables)
-    found = tables[table].join(ids.select(F.col("id").alias("gone_key")), F.col("id") == F.col("gone_key"), "left_semi").select("id")
+    found = tables[table].join(ids.select(F.col("id").alias("_chronomill_gone")), F.col("id") == F.col("_chronomill_gone"), "left_semi").select("id")
     doomed = {table: found}
     for child, column, parent in CASCADES:
         if parent in doomed and child in tables:
-            hit = tables[child].join(doomed[parent].select(F.col("id").alias("gone_key")), F.col(column) == F.col("gone_key"), "left_semi").select("id")
+            hit = tables[child].join(doomed[parent].select(F.col("id").alias("_chronomill_gone")), F.col(column) == F.col("_chronomill_gone"), "left_semi").select("id")
             doomed[child] = doomed[child].union(hit).distinct() if child in doomed else hit
     for name, rows in doomed.items():
         out[name] = delete_where(out[name], rows, "id", "id")
     if "files" in doomed and "file_states" in out:
-        lost = doomed["files"].select(F.col("id").alias("gone_key"))
-        s = out["file_states"].join(lost, F.col("file_id") == F.col("gone_key"), "left")
-        out["file_states"] = s.withColumn("file_id", F.when(F.col("gone_key").isNull(), F.col("file_id"))).drop("gone_key")
+        lost = doomed["files"].select(F.col("id").alias("_chronomill_gone"))
+        s = out["file_states"].join(lost, F.col("file_id") == F.col("_chronomill_gone"), "left")
+        out["file_states"] = s.withColumn("file_id", F.when(F.col("_chronomill_gone").isNull(), F.col("file_id"))).drop("_chronomill_gone")
     return out, found

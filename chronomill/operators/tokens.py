@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import HELPER
+
 
 def tokens_in_functions(tokens: DataFrame, functions: DataFrame, key: str = "file_id") -> DataFrame:
     """Tokens whose line lies in a function's lines. Both sides share the file, an equi-join; lines filter within it."""
@@ -24,7 +26,7 @@ def tokens_in_functions_by_previous(tokens: DataFrame, functions: DataFrame, key
 def first_by_name(helper: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first row of each name; all functions of that name then get its measures."""
     w = Window.partitionBy(*key).orderBy(order)
-    return helper.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return helper.withColumn(HELPER, F.row_number().over(w)).where(F.col(HELPER) == 1).drop(HELPER)
 
 
 def apply_by_name(functions: DataFrame, helper: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -96,14 +96,34 @@ class Queries:
         n = listing.bounded(limit, listing.SEARCH_LIMIT if capped else 1 << 31)
         return search.search_functions(self.t("file_states"), self.t("versions"), self.t("files"), self.t("functions"), self._existing(version_id), query, n)
 
+    def ingest_counts(self, codebase_id: str) -> DataFrame:
+        """Per version of a codebase: seq, commit_hash and how many file changes, hunks, files, functions and states are stored."""
+        v = self.t("versions").where(F.col("codebase_id") == codebase_id).select(F.col("id").alias("version_id"), "seq", "commit_hash")
+        diffs = self.t("diffs").select(F.col("id").alias("diff_id"), "version_id")
+        files = self.t("files").select(F.col("id").alias("file_id"), "version_id")
+        sides = {
+            "file_changes": self.t("file_changes").select("diff_id").join(diffs, "diff_id"),
+            "hunks": self.t("changes").select("diff_id").join(diffs, "diff_id"),
+            "files": files,
+            "functions": self.t("functions").select("file_id").join(files, "file_id"),
+            "states": self.t("file_states").select("version_id"),
+        }
+        out = v
+        for name, rows in sides.items():
+            out = out.join(rows.groupBy("version_id").agg(F.count(F.lit(1)).alias(name)), "version_id", "left")
+        return out.na.fill(0, list(sides)).orderBy("seq")
+
     def chart(self, codebase_id: str) -> DataFrame:
         """date, version id, metric, value of a codebase's versions."""
         names = [f.name for f in self.t("versions").schema["metrics"].dataType.fields]
         rows = charts.timeline(self.t("versions").where(F.col("codebase_id") == codebase_id)).select("date", "id", *[F.col(f"metrics.{n}").alias(n) for n in names])
         return charts.long_metrics(rows, ["date", "id"], names)
 
-    def analyse_file(self, path: str, language: str | None = None, compat: bool = False) -> DataFrame:
-        """The analysis of text files at a path or glob."""
+    def analyse_file(self, path: str, language: str | None = None, compat: bool = False, together: bool = False) -> DataFrame:
+        """The analysis of text files at a path or glob, or of all their texts put together in order of their paths."""
         rows = self.spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        if together:
+            joined = F.array_sort(F.collect_list(F.struct("path", "text")))
+            rows = rows.agg(joined.alias("f")).where("size(f) > 0").select(F.col("f")[0]["path"].alias("path"), F.array_join(F.transform("f", lambda x: x["text"]), "\n").alias("text"))
         kind = F.lit(language) if language else classify.detect_language(F.col("path"), F.col("text"))
         return file_analysis(rows.withColumn("language", kind), compat)

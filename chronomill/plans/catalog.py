@@ -1,16 +1,24 @@
-"""The store: eight Parquet tables of fixed schema, with versioned folders so that a change never overwrites what it reads.
+"""The store: eight Parquet tables of fixed schema, with a log of commits so that a change never overwrites what it reads.
 
-A table's current folder is the highest-numbered one that is complete (Spark's _SUCCESS marks it). ``write`` makes the
-next folder, so readers of the old one are undisturbed and a failed write leaves no trace. ``codebase_id`` partitions the
-tables that have it, so that a query on one codebase reads its folders only.
+A commit is a small file ``_commits/N`` that names the data folders which make up the table from then on; the highest
+number counts. Tables that have ``codebase_id`` consist of one folder per codebase, and a change writes those of the
+codebases that it touches only; the others are named again. Data goes to a folder of a unique name first, and a commit is
+made by creating its file, which fails if another writer has made that number: then the change is made anew on what
+that writer left. Readers of older folders are undisturbed until ``vacuum`` removes them.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
+from ..shared import file_system
 
 FILE_METRICS = "struct<lines_of_code:bigint,effective_lines_of_code:bigint,comment_lines_of_code:bigint,bracket_lines_of_code:bigint,total_cyclomatic:bigint>"
 VERSION_METRICS = (
@@ -45,6 +53,14 @@ KEYS = {
 #: Tables whose rows are replaced as a group, not one by one.
 GROUPED = {"file_changes", "changes", "functions"}
 PARTITIONED = {"versions", "file_states"}
+#: What decides between rows of one key in the other tables.
+ORDER = {"codebases": ["created_at"], "versions": ["seq"], "diffs": ["created_at"], "files": ["created_at"], "file_states": ["created_at"]}
+PART = "codebase_part"
+TRIALS = 5
+
+
+class Conflict(RuntimeError):
+    """Another writer has made a commit of this number."""
 
 
 class Catalog:
@@ -56,41 +72,105 @@ class Catalog:
         """Opens the store, making the tables that are missing."""
         catalog = cls(spark, path)
         for name in SCHEMAS:
-            if catalog._current(name) is None:
-                catalog.write(name, spark.createDataFrame([], SCHEMAS[name]))
+            if not catalog._commits(name):
+                try:
+                    catalog._commit(name, 1, {})
+                except Conflict:  # another session opens the store as well
+                    pass
         return catalog
 
-    def _folders(self, name: str) -> list[int]:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(where):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(where)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{n}/_SUCCESS")))
+    def _commits(self, name: str) -> list[int]:
+        fs, where = file_system(self.spark, f"{self.path}/{name}/_commits")
+        names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(int(n) for n in names if n.isdigit())
 
-    def _current(self, name: str) -> str | None:
-        done = self._folders(name)
-        return f"{self.path}/{name}/v{done[-1]}" if done else None
+    def _commit_text(self, name: str, number: int) -> str:
+        fs, where = file_system(self.spark, f"{self.path}/{name}/_commits/{number:012d}")
+        stream = fs.open(where)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
-    def table(self, name: str) -> DataFrame:
-        columns = [f.split()[0] for f in self.spark.createDataFrame([], SCHEMAS[name]).columns]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self._current(name)).select(columns)
+    def _state(self, name: str) -> tuple[int, dict[str, str]]:
+        """The number of the current commit and its folders by codebase ('' in other tables); (0, {}) without any."""
+        done = self._commits(name)
+        return (done[-1], json.loads(self._commit_text(name, done[-1]))) if done else (0, {})
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        done = self._folders(name)
-        target = f"{self.path}/{name}/v{(done[-1] if done else 0) + 1}"
+    def _commit(self, name: str, number: int, folders: dict[str, str]) -> None:
+        fs, where = file_system(self.spark, f"{self.path}/{name}/_commits/{number:012d}")
+        try:
+            out = fs.create(where, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName() or fs.exists(where):
+                raise Conflict(f"{name} {number}") from e
+            raise
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
+
+    def _read(self, name: str, folders: dict[str, str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        columns = self.spark.createDataFrame([], SCHEMAS[name]).columns
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.path}/{name}/{f}" for f in folders.values())).select(columns)
+
+    def _write_data(self, name: str, rows: DataFrame) -> dict[str, str]:
+        data = f"data-{uuid.uuid4().hex}"
         empty = self.spark.createDataFrame([], SCHEMAS[name])
         typed = rows.select(*[F.col(c).cast(empty.schema[c].dataType).alias(c) for c in empty.columns])
-        writer = typed.write.mode("overwrite")
-        if name in PARTITIONED:
-            writer = writer.partitionBy("codebase_id")
-        writer.parquet(target)
-
-    def upsert(self, name: str, rows: DataFrame) -> None:
-        old = self.table(name)
-        new = rows.select(old.columns)
-        self.write(name, merge.replace_groups(old, new, KEYS[name][0]) if name in GROUPED else merge.keyed_merge(old, new, KEYS[name]))
+        target = f"{self.path}/{name}/{data}"
+        if name not in PARTITIONED:
+            typed.write.parquet(target)
+            return {"": data}
+        typed.withColumn(PART, F.col("codebase_id")).write.partitionBy(PART).parquet(target)
+        fs, where = file_system(self.spark, target)
+        unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        leaves = [x.getPath().getName() for x in fs.listStatus(where) if x.isDirectory()]
+        return {unescape(leaf.split("=", 1)[1]): f"{data}/{leaf}" for leaf in leaves if leaf.startswith(f"{PART}=")}
+
+    def change(self, name: str, make: Callable[[DataFrame], DataFrame], touched: set[str] | None = None) -> None:
+        """Replaces a table, or what it holds of the touched codebases, by what ``make`` gives of it."""
+        for _ in range(TRIALS):
+            number, folders = self._state(name)
+            mine = {k: f for k, f in folders.items() if touched is None or k in touched}
+            rest = {k: f for k, f in folders.items() if k not in mine}
+            data = self._write_data(name, make(self._read(name, mine)))
+            try:
+                return self._commit(name, number + 1, rest | data)
+            except Conflict:
+                continue
+        raise Conflict(f"{name}: {TRIALS} trials")
+
+    def table(self, name: str) -> DataFrame:
+        return self._read(name, self._state(name)[1])
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        self.change(name, lambda old: rows)
+
+    def upsert(self, name: str, rows: DataFrame, order: list[str] | None = None, keep: tuple[str, ...] = ("id", "created_at")) -> None:
+        """Merges rows by key, or group by group for the tables in GROUPED; see merge.keyed_merge for order and keep."""
+        # The codebases of one batch: few, as a batch comes from the history of one or some of them.
+        touched = {r[0] for r in rows.select("codebase_id").distinct().collect()} if name in PARTITIONED else None
+
+        def make(old: DataFrame) -> DataFrame:
+            new = rows.select(old.columns)
+            if name in GROUPED:
+                return merge.replace_groups(old, new, KEYS[name][0])
+            return merge.keyed_merge(old, new, KEYS[name], order or ORDER[name], keep)
+
+        self.change(name, make, touched)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes data folders that none of the last ``keep`` commits names; how many."""
+        gone = 0
+        for name in SCHEMAS:
+            done = self._commits(name)
+            named = {f.split("/")[0] for n in done[-keep:] for f in json.loads(self._commit_text(name, n)).values()}
+            fs, where = file_system(self.spark, f"{self.path}/{name}")
+            for x in fs.listStatus(where):
+                if x.getPath().getName().startswith("data-") and x.getPath().getName() not in named:
+                    gone += fs.delete(x.getPath(), True)
+        return gone
 
     def delete(self, name: str, row_id: str) -> bool:
         """Deletes a row and what hangs on it; whether there was one."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, halstead, keys, text, trigrams
 from ..operators import asof, calls, charts, diffs, listing, merge, rollup, search, tokens
+from ..shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,7 +40,7 @@ class Tables:
 def _history(t: Tables):
     versions = t.events.select(F.col("event_id").alias("id"), F.lit(0).alias("codebase_id"), F.col("ts").alias("created_at"))
     states = t.events.select(F.col("event_id").alias("id"), F.lit(0).alias("codebase_id"), F.col("event_id").alias("version_id"), F.col("user_id").alias("path"), F.col("event_type").alias("status"), (F.col("event_type") != "error").alias("exists"), F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("file_id"))
-    middle = t.events.agg(F.max("event_id")).first()[0] // 2
+    middle = (t.events.agg(F.max("event_id")).first()[0] or 0) // 2
     return states, versions, middle
 
 
@@ -130,7 +131,7 @@ def group_by_language(spark, sf_dir):
 @query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
 def rows_as_json(spark, sf_dir):
     n = Tables(spark, sf_dir).nation.select("n_nationkey", "n_name")
-    return n.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("json"))
+    return listing.as_json(n, beside=["n_nationkey"])
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
@@ -149,7 +150,8 @@ def list_versions_nulls_last(spark, sf_dir):
 SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(new_path, old_path) NULLS LAST, turn) AS place FROM h""")
 def changes_sorted_coalesce(spark, sf_dir):
     h = Tables(spark, sf_dir).conversations.withColumns({"new_path": F.when(F.col("turn") % 2 == 0, F.col("role")), "old_path": F.lit("m")})
-    w = Window.partitionBy("conv_id").orderBy(F.coalesce("new_path", "old_path").asc_nulls_last(), "turn")
+    h = h.withColumns({"old_start_line": F.col("turn"), "new_start_line": F.lit(0)})
+    w = Window.partitionBy("conv_id").orderBy(*listing.hunk_order())
     return h.select("conv_id", "turn", F.row_number().over(w).cast("long").alias("place"))
 
 
@@ -253,10 +255,11 @@ def overwrite_merge(spark, sf_dir):
     return rollup.carried_forward(e.where("event_id % 2 = 0"), new, new)
 
 
-@query("SELECT DISTINCT user_id AS path FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 30")
+@query("SELECT doc_id % 5000 AS path FROM documents EXCEPT SELECT doc_id % 5000 FROM labels")
 def list_difference(spark, sf_dir):
-    e = Tables(spark, sf_dir).events.withColumn("path", F.col("user_id"))
-    return diffs.path_difference(e.where("event_type = 'view'"), e.where("event_type = 'purchase' and value > 30"))
+    t = Tables(spark, sf_dir)
+    path = (F.col("doc_id") % 5000).alias("path")
+    return diffs.path_difference(t.documents.select(path), t.labels.select(path))
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
@@ -502,7 +505,7 @@ def nearest_point(spark, sf_dir):
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END, 0) DESC, o_orderdate DESC, o_orderkey) AS place FROM orders")
 def table_sort(spark, sf_dir):
     o = Tables(spark, sf_dir).orders.withColumn("m", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")))
-    w = Window.partitionBy("o_custkey").orderBy(F.coalesce("m", F.lit(0)).desc(), F.col("o_orderdate").desc(), "o_orderkey")
+    w = Window.partitionBy("o_custkey").orderBy(*charts.order_of("m", "desc", "o_orderdate"), "o_orderkey")
     return o.select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("place"))
 
 
@@ -513,14 +516,15 @@ def language_pivot(spark, sf_dir):
     return wide.select(*[F.array_join(x, ",").alias(x) for x in ("de", "en")])
 
 
-@query("""WITH n AS (SELECT o_orderkey AS k, -o_orderkey AS id, 'new' AS status FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT -o_orderkey, 0, 'added' FROM orders WHERE o_orderkey % 5 = 0)
+@query("""WITH b AS (SELECT o_orderkey AS k, -o_orderkey AS id, 'new' AS status FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT -o_orderkey, 0, 'added' FROM orders WHERE o_orderkey % 5 = 0),
+n AS (SELECT k, arg_max(id, status) AS id, max(status) AS status FROM b GROUP BY k)
 SELECT o_orderkey AS k, o_custkey AS id, coalesce(n.status, o_orderstatus) AS status FROM orders LEFT JOIN n ON n.k = o_orderkey UNION ALL SELECT k, id, status FROM n WHERE k NOT IN (SELECT o_orderkey FROM orders)""")
 def keyed_merge(spark, sf_dir):
     o = Tables(spark, sf_dir).orders
     old = o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"))
     new = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), (-F.col("o_orderkey")).alias("id"), F.lit("new").alias("status"))
     added = o.where("o_orderkey % 5 = 0").select((-F.col("o_orderkey")).alias("k"), F.lit(0).cast("long").alias("id"), F.lit("added").alias("status"))
-    return merge.keyed_merge(old, new.union(added), ["k"])
+    return merge.keyed_merge(old, new.union(added), ["k"], ["status"])
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderkey % 3 = 0")
@@ -571,12 +575,9 @@ def natural_ids(spark, sf_dir):
 @query("""WITH n AS (SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id FROM events GROUP BY user_id) SELECT * FROM n""")
 def stream_current_states(spark, sf_dir):
     """The stream form: all events as one available-now batch through the streaming aggregate."""
-    import tempfile
-    import uuid
-
     from ..streaming.ingest import current_states, latest_table
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/current-states-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "current-states")
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").alias("path"), "ts", "event_id")
     latest_table(current_states(stream, order=["ts", "event_id"]), f"{folder}/out", f"{folder}/log").awaitTermination()
@@ -584,40 +585,67 @@ def stream_current_states(spark, sf_dir):
     return result.where(F.col("n") == result.agg(F.max("n")).first()[0]).select(F.col("path").alias("user_id"), "event_id")
 
 
-GO = 'package main\n\n// main\nfunc main() {\n\tif a && b {\n\t\tfmt.Println(add(1, 2))\n\t}\n}\n\nfunc add(a int, b int) int { return a + b }\n'
-OCAML = "let merge a b =\n  match (a, b) with\n  | ([], []) -> []\n  | (x :: xs, y :: ys) when x > y -> merge xs ys\n  | _ -> failwith \"unsupported\"\n"
+GO = "package main\n\n// main\nfunc main() {\n\tif a && b {\n\t\tfmt.Println(add(1, 2))\n\t}\n}\n\nfunc add(a int, b int) int { return a + b }\n"
+OCAML = "let rec total items =\n  match items with\n  | [] -> 0\n  | first :: rest when first > limit -> first + total rest\n  | _ :: rest -> total rest\n\nlet limit = 3\n"
 PYTHON = '"""doc"""\n\ndef f(x):\n    # note\n    return g(x) if x and y else f(x - 1)\n'
 
 
-def _sources(spark) -> DataFrame:
-    return spark.createDataFrame([("a.go", "golang", GO), ("b.ml", "ocaml", OCAML), ("c.py", "python", PYTHON)], "path string, language string, text string")
+def _sources(t: Tables) -> DataFrame:
+    """Every document as a source in one of three languages: a program, then its whole text as comments, line by line."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\n]+", " ")
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.concat(F.trim(x), F.lit(".")))
+    each = lambda mark: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(mark), x, F.lit("\n"))), "")
+    texts = [F.concat(F.lit(GO), each("// ")), F.concat(F.lit(OCAML), F.lit("(* "), F.array_join(lines, "\n * "), F.lit(" *)\n")), F.concat(F.lit(PYTHON), each("# "))]
+    pick = lambda xs: F.element_at(F.array(*xs), (F.col("doc_id") % 3 + 1).cast("int"))
+    kind = F.col("doc_id") % 3
+    text_ = F.when(kind == 0, texts[0]).when(kind == 1, texts[1]).otherwise(texts[2])
+    language, ending = pick(map(F.lit, ("golang", "ocaml", "python"))), pick(map(F.lit, (".go", ".ml", ".py")))
+    return t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), ending).alias("path"), language.alias("language"), text_.alias("text"))
+
 
+# What the three programs hold: lines, comment, blank and bracket lines and complexity; functions; calls; counts; comments.
+SOURCES = r"""p(k, language, ending, loc, comments, blank, bracket, total) AS (VALUES (0, 'golang', '.go', 10, 1, 2, 2, 4), (1, 'ocaml', '.ml', 7, 0, 1, 0, 6), (2, 'python', '.py', 5, 2, 1, 0, 3)),
+f(k, name, line, col, start_line, end_line, cyclomatic, single, n_calls) AS (VALUES (0, 'main', 4, 6, 4, 8, 3, 3, 2), (0, 'add', 10, 6, 10, 10, 1, 1, 0), (1, 'total', 1, 9, 1, 5, 5, 2, 2), (1, 'limit', 7, 5, 7, 7, 1, 1, 0), (2, 'f', 3, 5, 3, 5, 3, 3, 2)),
+calls(k, place, caller, line, col, callee, c_line, c_col) AS (VALUES (0, 0, 'main', 4, 6, 'fmt.Println', 6, 3), (0, 1, 'main', 4, 6, 'add', 6, 15), (1, 0, 'total', 1, 9, 'total', 4, 49), (1, 1, 'total', 1, 9, 'total', 5, 18), (2, 0, 'f', 3, 5, 'g', 5, 12), (2, 1, 'f', 3, 5, 'f', 5, 33)),
+h(k, name, n1, n2, b1, b2) AS (VALUES (0, 'main', 3, 8, 3, 8), (0, 'add', 3, 4, 3, 8), (1, 'total', 11, 7, 16, 15), (1, 'limit', 1, 2, 1, 2)),
+own(k, line, text) AS (VALUES (0, 3, '// main'), (2, 1, '""" + "\"\"\"doc\"\"\"" + r"""'), (2, 4, '# note')),
+l AS (SELECT doc_id, doc_id % 3 AS k, list_transform(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z\n]+', ' ', 'g'), chr(10)), lambda x: trim(x) || '.') AS lines FROM documents),
+s AS (SELECT doc_id, l.k, 'd' || doc_id || ending AS path, language, lines, loc, CAST(loc + len(lines) AS BIGINT) AS lines_of_code, CAST(blank AS BIGINT) AS blank_lines, CAST(bracket AS BIGINT) AS bracket_lines_of_code,
+CAST(comments + len(lines) AS BIGINT) AS comment_lines_of_code, CAST(loc - comments - blank AS BIGINT) AS effective_lines_of_code, CAST(total AS BIGINT) AS total_cyclomatic FROM l JOIN p USING (k))"""
 
-@query()
+
+@query(f"""WITH {SOURCES} SELECT path, language, lines_of_code, blank_lines, comment_lines_of_code, effective_lines_of_code, total_cyclomatic, name, start_line, end_line, cyclomatic, single AS cyclomatic_single, n_calls FROM s JOIN f USING (k)""")
 def analyse_sources(spark, sf_dir):
     """Line metrics and functions of sources in the three languages."""
     from ..sources.analysis import file_analysis
 
-    a = file_analysis(_sources(spark))
+    a = file_analysis(_sources(Tables(spark, sf_dir)))
     f = F.explode_outer("functions").alias("f")
     return a.select("path", "language", "lines_of_code", "blank_lines", "comment_lines_of_code", "effective_lines_of_code", "total_cyclomatic", f).select("*", "f.name", "f.start_line", "f.end_line", "f.cyclomatic", "f.cyclomatic_single", F.size("f.calls").alias("n_calls")).drop("f")
 
 
-@query()
+@query(f"""WITH {SOURCES} SELECT path AS content_key, language, name AS function, CAST(n1 AS BIGINT) AS unique_operators, CAST(n2 AS BIGINT) AS unique_operands, CAST(b1 AS BIGINT) AS operators, CAST(b2 AS BIGINT) AS operands, CAST(b1 + b2 AS BIGINT) AS length, round((b1 + b2) * log2(n1 + n2), 6) AS volume FROM s JOIN h USING (k)""")
 def source_halstead(spark, sf_dir):
     """Halstead measures per function, Go and OCaml."""
     from ..sources.analysis import function_halstead, parsed
 
-    sources = _sources(spark).withColumn("content_key", F.col("path"))
-    return function_halstead(parsed(sources))
+    sources = _sources(Tables(spark, sf_dir)).withColumn("content_key", F.col("path"))
+    return function_halstead(parsed(sources)).select("content_key", "language", "function", "unique_operators", "unique_operands", "operators", "operands", "length", F.round("volume", 6).alias("volume"))
 
 
-@query()
+@query(f"""WITH {SOURCES}, e AS (SELECT doc_id, string_agg(chr(9) || '"' || caller || ':' || line || ':' || col || '" -> "' || path || ':' || callee || ':' || c_line || ':' || c_col || '"' || chr(10), '' ORDER BY place) AS edges FROM s JOIN calls USING (k) GROUP BY doc_id),
+g AS (SELECT k, string_agg('  - ' || name || ':' || start_line || '..' || end_line || ' length=' || (end_line - start_line) || ' cyclomatic=' || cyclomatic || ' cyclomatic_match_as_single_branch=' || single || chr(10), '' ORDER BY start_line) AS functions FROM f GROUP BY k),
+c AS (SELECT doc_id, line AS a, line AS b, text FROM s JOIN own USING (k) UNION ALL SELECT doc_id, loc + i, loc + i, CASE k WHEN 0 THEN '// ' ELSE '# ' END || lines[i] FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM s WHERE k <> 1)
+      UNION ALL SELECT doc_id, loc + 1, loc + len(lines), '(* ' || array_to_string(lines, '\\n * ') || ' *)' FROM s WHERE k = 1),
+t AS (SELECT doc_id, string_agg('  - ' || a || '..' || b || ' length=' || (b - a + 1) || ' text="' || replace(replace(CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END, '\\', '\\\\'), '"', '\\"') || '"' || chr(10), '' ORDER BY a) AS comments FROM c GROUP BY doc_id)
+SELECT path, 'lines_of_code: ' || lines_of_code || chr(10) || 'blank_lines: ' || blank_lines || chr(10) || 'bracket_lines_of_code: ' || bracket_lines_of_code || chr(10) || 'comment_lines_of_code: ' || comment_lines_of_code || chr(10) || 'effective_lines_of_code: ' || effective_lines_of_code
+|| chr(10) || 'total_cyclomatic: ' || total_cyclomatic || chr(10) || 'functions:' || chr(10) || chr(10) || chr(10) || 'digraph CallGraph {{' || chr(10) || edges || '}}' || chr(10) || chr(10) || functions || 'comments:' || chr(10) || comments AS report
+FROM s JOIN e USING (doc_id) JOIN g USING (k) JOIN t USING (doc_id)""")
 def source_reports(spark, sf_dir):
     from ..operators.reports import file_report
     from ..sources.analysis import file_analysis
 
-    return file_report(file_analysis(_sources(spark)))
+    return file_report(file_analysis(_sources(Tables(spark, sf_dir))))
 
 
 def _order_reports(t: Tables, orders: DataFrame) -> DataFrame:
@@ -631,23 +659,12 @@ def _order_reports(t: Tables, orders: DataFrame) -> DataFrame:
     return diff_report(counted, t.lineitem.select(F.col("l_orderkey").alias("id"), path.alias("path")), hunks, "id")
 
 
-@query("""SELECT o_orderkey AS id, 'files changed: ' || count(l_orderkey) || chr(10) || 'insertions: ' || coalesce(sum(l_linenumber), 0) || chr(10) || 'deletions: ' || coalesce(sum(l_partkey % 7), 0) || chr(10) || 'total line changes: ' || (coalesce(sum(l_linenumber), 0) + coalesce(sum(l_partkey % 7), 0))
-|| chr(10) || 'files:' || coalesce(chr(10) || string_agg(DISTINCT '  - p' || l_suppkey, chr(10) ORDER BY '  - p' || l_suppkey), '') || chr(10) || 'hunks:'
-|| coalesce(chr(10) || string_agg('  - -:' || l_linenumber || '..' || (l_linenumber + 2) || ' -> p' || l_suppkey || ':' || l_partkey || '..' || (l_partkey + 3), chr(10) ORDER BY l_linenumber * 1000000 + l_partkey * 10, l_suppkey), '') AS report
-FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey HAVING count(*) > 1) GROUP BY o_orderkey""")
-def diff_reports(spark, sf_dir):
-    """The text of every order as a diff whose hunks are its lines; orders with lines alike have no one order of them."""
-    t = Tables(spark, sf_dir)
-    alike = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").count().where("count > 1").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return _order_reports(t, t.orders.join(alike, "o_orderkey", "left_anti"))
-
-
 @query("""SELECT o_orderkey AS id, 'files changed: ' || count(l_orderkey) || chr(10) || 'insertions: ' || coalesce(sum(l_linenumber), 0) || chr(10) || 'deletions: ' || coalesce(sum(l_partkey % 7), 0) || chr(10) || 'total line changes: ' || (coalesce(sum(l_linenumber), 0) + coalesce(sum(l_partkey % 7), 0))
 || chr(10) || 'files:' || coalesce(chr(10) || string_agg(DISTINCT '  - p' || l_suppkey, chr(10) ORDER BY '  - p' || l_suppkey), '') || chr(10) || 'hunks:'
 || coalesce(chr(10) || string_agg('  - -:' || l_linenumber || '..' || (l_linenumber + 2) || ' -> p' || l_suppkey || ':' || l_partkey || '..' || (l_partkey + 3), chr(10) ORDER BY l_linenumber * 1000000 + l_partkey * 10, '  - -:' || l_linenumber || '..' || (l_linenumber + 2) || ' -> p' || l_suppkey || ':' || l_partkey || '..' || (l_partkey + 3)), '') AS report
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
-def diff_reports_of_all(spark, sf_dir):
-    """The text of every order, as in diff_reports; lines alike in their place are in order of their text."""
+def diff_reports(spark, sf_dir):
+    """The text of every order as a diff whose hunks are its lines; lines alike in their place are in order of their text."""
     t = Tables(spark, sf_dir)
     return _order_reports(t, t.orders)
 
@@ -661,7 +678,7 @@ def counters_and_times(spark, sf_dir):
         halstead.cyclomatic(c % 7, c % 5, c % 3).alias("cyclomatic"),
         halstead.cyclomatic_match_as_single_branch(c % 7, c % 2, c % 3).alias("single_branch"),
         F.timestamp_seconds(F.col("o_orderkey") * 86400).cast("timestamp_ntz").alias("committed_at"),
-        c.cast("int").alias("narrow"),
+        text.narrowed(c).alias("narrow"),
     )
 
 
@@ -673,41 +690,156 @@ def halstead_texts(spark, sf_dir):
     return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", halstead.halstead_text(m).alias("text"))
 
 
-def _history_folder() -> str:
-    """A small repository made on the spot."""
+def _history_folder(spark, sf_dir: str) -> str:
+    """A repository with a commit per nation, each adding a line to its region's file."""
     import os
     import subprocess
-    import tempfile
 
-    folder = tempfile.mkdtemp(prefix="history-")
+    folder = new_folder(spark, "history").removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError("git needs a shared folder that is mounted")
+    os.makedirs(folder)
     who = {f"GIT_{r}_{k}": v for r in ("AUTHOR", "COMMITTER") for k, v in (("NAME", "A"), ("EMAIL", "a@example.com"), ("DATE", "2024-01-01T00:00:00Z"))}
     git = lambda *args: subprocess.run(["git", "-C", folder, *args], check=True, capture_output=True, env=os.environ | who)
     git("init", "-q", "-b", "main")
-    for message, name, content in (("Start", "a.go", GO), ("Fix merge", "b.ml", OCAML), ("More", "c.py", PYTHON), ("Change", "a.go", GO + "\n// end\n")):
-        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-            f.write(content)
+    for n in Tables(spark, sf_dir).nation.orderBy("n_nationkey").collect():  # 25 nations at any scale
+        path = os.path.join(folder, f"r{n['n_regionkey']}.go")
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(("" if f.tell() else GO) + f"// {n['n_name']}\n")
         git("add", "-A")
-        git("commit", "-q", "-m", message)
+        git("commit", "-q", "-m", f"Fix {n['n_name']}" if n["n_nationkey"] % 4 == 0 else f"Add {n['n_name']}")
     return folder
 
 
-@query()
+COMMITS = """c AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS seq, n_nationkey, n_name, 'r' || n_regionkey || '.go' AS path, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 AS first FROM nation)"""
+
+
+@query(f"""WITH {COMMITS} SELECT seq, 0 AS delta_no, path AS old_path, path AS new_path, CASE WHEN first THEN 'added' ELSE 'modified' END AS status, CASE WHEN first THEN 11 ELSE 1 END AS insertions, 0 AS deletions FROM c""")
 def gitlog_deltas(spark, sf_dir):
-    """The git source over a small repository."""
+    """The git source over a repository made of a table."""
     from ..sources import gitlog
 
-    return gitlog.read(spark, _history_folder(), "deltas").drop("commit_hash", "old_blob_oid", "new_blob_oid")
-
+    return gitlog.read(spark, _history_folder(spark, sf_dir), "deltas").select("seq", "delta_no", "old_path", "new_path", "status", "insertions", "deletions")
 
-@query()
-def ingested_timeline(spark, sf_dir):
-    """A small repository through the whole ingest: each version with its totals."""
-    import tempfile
 
+def _ingested(spark, sf_dir: str):
     from .catalog import Catalog
     from .ingest import ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    catalog = Catalog.open(spark, f"{base}/store-{abs(hash(tempfile.mkdtemp()))}")
-    codebase = ingest(catalog, _history_folder(), url="https://host.test/golang-sample")
-    return catalog.table("versions").where(F.col("codebase_id") == codebase).select("seq", "message", "is_fix", "metrics.files", "metrics.total_lines_of_code", "metrics.total_cyclomatic")
+    catalog = Catalog.open(spark, new_folder(spark, "store"))
+    return catalog, ingest(catalog, _history_folder(spark, sf_dir), url="https://host.test/golang-sample")
+
+
+@query(f"""WITH {COMMITS} SELECT seq, rtrim(CASE WHEN n_nationkey % 4 = 0 THEN 'Fix ' ELSE 'Add ' END || n_name) AS message, n_nationkey % 4 = 0 AS is_fix, CAST(sum(CAST(first AS INTEGER)) OVER r AS BIGINT) AS files,
+CAST(sum(CASE WHEN first THEN 11 ELSE 1 END) OVER r AS BIGINT) AS total_lines_of_code, CAST(4 * sum(CAST(first AS INTEGER)) OVER r AS BIGINT) AS total_cyclomatic FROM c WINDOW r AS (ORDER BY seq)""")
+def ingested_timeline(spark, sf_dir):
+    """A repository through the whole ingest: each version with its totals."""
+    catalog, codebase = _ingested(spark, sf_dir)
+    return catalog.table("versions").where(F.col("codebase_id") == codebase).select("seq", F.rtrim(F.replace("message", F.lit("\n"), F.lit(""))).alias("message"), "is_fix", "metrics.files", "metrics.total_lines_of_code", "metrics.total_cyclomatic")
+
+
+@query(f"""WITH {COMMITS} SELECT seq, CAST(1 AS BIGINT) AS file_changes, CAST(1 AS BIGINT) AS hunks, CAST(1 AS BIGINT) AS files, CAST(2 AS BIGINT) AS functions, CAST(1 AS BIGINT) AS states FROM c""")
+def ingested_counts(spark, sf_dir):
+    """How many rows the ingest of every version has stored."""
+    from .api import Queries
+
+    catalog, codebase = _ingested(spark, sf_dir)
+    return Queries(catalog).ingest_counts(codebase).select("seq", "file_changes", "hunks", "files", "functions", "states")
+
+
+def _named_history(t: Tables):
+    states, versions, at = _history(t)
+    return states.withColumn("path", F.concat(F.lit("src/page "), F.col("path").cast("string"))), versions, at
+
+
+@query(f"""WITH {ASOF}, n AS (SELECT version_id AS file_state_id, CASE WHEN path % 7 <> 0 THEN path END AS file_id, 'src/page ' || path AS path, status FROM c),
+g AS (SELECT *, {_sql_trigrams('path')} AS a, {_sql_trigrams("split_part(path, '/', -1)")} AS b, {_sql_trigrams("'page 7'")} AS q FROM n), s AS (SELECT *, {_sql_similarity('a', 'q')} AS x, {_sql_similarity('b', 'q')} AS y FROM g)
+SELECT file_state_id, file_id, path, status, round(CAST(greatest(x, y) AS DOUBLE), 6) AS score FROM s WHERE x >= CAST(0.3 AS FLOAT) OR y >= CAST(0.3 AS FLOAT) OR path ILIKE '%page 7%' ORDER BY greatest(x, y) DESC, path LIMIT 50""")
+def asof_search_filenames(spark, sf_dir):
+    """Fuzzy search over the paths that exist as of a version."""
+    found = search.search_filenames(*_named_history(Tables(spark, sf_dir)), "page 7")
+    return found.withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+@query(f"""WITH {ASOF}, n AS (SELECT o_orderkey AS function_id, c_custkey AS file_id, 'src/page ' || path AS file_path, c_mktsegment AS file_language, o_orderpriority || ' ' || o_orderkey AS name, CAST(o_orderkey % 100 AS INTEGER) AS start_line, CAST(o_orderkey % 100 + 5 AS INTEGER) AS end_line
+FROM c JOIN customer ON c_custkey = path AND path % 7 <> 0 JOIN orders ON o_custkey = c_custkey),
+g AS (SELECT *, {_sql_trigrams('name')} AS a, {_sql_trigrams('file_path')} AS b, {_sql_trigrams("'urgent 1'")} AS q FROM n), s AS (SELECT *, {_sql_similarity('a', 'q')} AS x, {_sql_similarity('b', 'q')} AS y FROM g)
+SELECT function_id, file_id, file_path, file_language, name, start_line, end_line, round(CAST(greatest(x, y) AS DOUBLE), 6) AS score FROM s WHERE x >= CAST(0.3 AS FLOAT) OR y >= CAST(0.3 AS FLOAT) OR name ILIKE '%urgent 1%' OR file_path ILIKE '%urgent 1%'
+ORDER BY greatest(x, y) DESC, file_path, start_line, name LIMIT 25""")
+def asof_search_functions(spark, sf_dir):
+    """Fuzzy search over the functions of the files that exist as of a version."""
+    t = Tables(spark, sf_dir)
+    states, versions, at = _named_history(t)
+    files, functions = _functions(t)
+    functions = functions.withColumn("name", F.concat_ws(" ", "name", F.col("id").cast("string")))
+    found = search.search_functions(states, versions, files, functions, at, "urgent 1", 25)
+    return found.withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'root..' || lpad(CAST(o_custkey AS VARCHAR), 8, 'b') WHEN 1 THEN lpad(CAST(o_orderkey AS VARCHAR), 7, 'a') || '..' || lpad(CAST(o_custkey AS VARCHAR), 40, 'b') WHEN 2 THEN 'a..b' WHEN 3 THEN lpad(CAST(o_orderkey AS VARCHAR), 12, 'c') || '...' || lpad(CAST(o_custkey AS VARCHAR), 12, 'c') END AS r FROM orders)
+SELECT o_orderkey, CASE WHEN regexp_matches(r, '^(root|[0-9a-f]{7,40})\\.\\.[0-9a-f]{7,40}$') THEN nullif(split_part(r, '..', 1), 'root') END AS old_commit_hash, CAST(NULL AS VARCHAR) AS doubled FROM r""".replace("\\\\", "\\"))
+def commit_ranges(spark, sf_dir):
+    """The commit that a range starts from, where the text is a range of commits."""
+    padded = lambda c, n, fill: F.lpad(F.col(c).cast("string"), n, fill)
+    k = F.col("o_orderkey") % 5
+    r = F.when(k == 0, F.concat(F.lit("root.."), padded("o_custkey", 8, "b"))).when(k == 1, F.concat(padded("o_orderkey", 7, "a"), F.lit(".."), padded("o_custkey", 40, "b")))
+    r = r.when(k == 2, F.lit("a..b")).when(k == 3, F.concat(padded("o_orderkey", 12, "c"), F.lit("..."), padded("o_custkey", 12, "c")))
+    return Tables(spark, sf_dir).orders.select("o_orderkey", text.commit_range_start(r).alias("old_commit_hash"), text.commit_range_start(r, doubled=True).alias("doubled"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, substr(text, 1, length(text) // 4) AS a, substr(text, 1, length(text) // 2 + 1) AS b FROM documents WHERE text <> ''), x AS (SELECT *, regexp_extract_all(hex(encode(a)), '..') AS h, regexp_extract_all(hex(encode(b)), '..') AS i FROM d)
+SELECT doc_id, CAST(len(list_filter(h, lambda c: c = '0A')) + 1 AS BIGINT) AS start_line, CAST(len(list_filter(i[:-2], lambda c: c = '0A')) + 1 AS BIGINT) AS end_line, CAST(len(list_filter(i[:-2], lambda c: c = '0A')) - len(list_filter(h, lambda c: c = '0A')) + 1 AS BIGINT) AS lines, substr(b, length(a) + 1) AS content FROM x""")
+def spans_of_text(spark, sf_dir):
+    """Lines, number of lines and text of a span of bytes in every document."""
+    t = F.col("text")
+    start = F.octet_length(F.substring(t, F.lit(1), F.floor(F.length(t) / 4).cast("int")))
+    end = F.octet_length(F.substring(t, F.lit(1), (F.floor(F.length(t) / 2) + 1).cast("int")))
+    d = Tables(spark, sf_dir).documents.where("text <> ''").select("doc_id", "text", start.alias("s"), end.alias("e"))
+    s, e = F.col("s"), F.col("e")
+    return d.select("doc_id", text.line_span(t, s, e).alias("span"), text.lines_of_span(t, s, e).alias("lines"), text.span_text(t, s, e).alias("content")).select("doc_id", "span.start_line", "span.end_line", "lines", "content")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(greatest(l_linenumber - 2, 0) AS INTEGER) AS zero_line, CAST(greatest(l_linenumber - 2, 0) + 1 AS INTEGER) AS one_line, CAST(l_partkey - l_linenumber AS BIGINT) AS length FROM lineitem")
+def places_and_lengths(spark, sf_dir):
+    """Places that count from 1 and from 0, and function lengths."""
+    zero = text.zero_based(F.col("l_linenumber") - 1)
+    return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", zero.alias("zero_line"), text.one_based(zero).alias("one_line"), text.function_length(F.col("l_linenumber"), F.col("l_partkey")).alias("length"))
+
+
+def _sql_counts(a: str, b: str, c: str, d: str, level: int) -> str:
+    pad = "chr(10) || '" + "    " * (level + 1)
+    return "'{' || " + " || ',' || ".join(f"{pad}\"{n}\": ' || {x}" for n, x in (("unique_operators", a), ("unique_operands", b), ("operators", c), ("operands", d))) + f" || chr(10) || '{'    ' * level}}}'"
+
+
+@query(f"""WITH f AS (SELECT l_suppkey AS file, 'f"' || l_orderkey || l_linestatus AS name, min(l_linenumber) AS a, max(l_linenumber) AS b, sum(l_linenumber) AS c, count(*) AS d FROM lineitem GROUP BY ALL),
+j AS (SELECT file, CAST(sum(a) AS BIGINT) AS ta, CAST(sum(b) AS BIGINT) AS tb, CAST(sum(c) AS BIGINT) AS tc, CAST(sum(d) AS BIGINT) AS td, count(*) AS n_functions, string_agg(chr(10) || '        {{' || chr(10) || '            "name": "' || replace(name, '"', '\\"') || '",' || chr(10) || '            "metrics": ' || {_sql_counts('a', 'b', 'c', 'd', 3)} || chr(10) || '        }}', ',' ORDER BY name) AS listed FROM f GROUP BY file)
+SELECT file, '{{' || chr(10) || '    "totals": ' || {_sql_counts('ta', 'tb', 'tc', 'td', 1)} || ',' || chr(10) || '    "functions": [' || listed || chr(10) || '    ]' || chr(10) || '}}' AS json, tc AS operators, n_functions FROM j""")
+def counts_as_json(spark, sf_dir):
+    """Counts of files and functions written as indented JSON, and read back from it."""
+    l = Tables(spark, sf_dir).lineitem  # noqa: E741
+    name = F.concat(F.lit('f"'), F.col("l_orderkey").cast("string"), "l_linestatus")
+    n = F.col("l_linenumber").cast("long")
+    f = l.groupBy(F.col("l_suppkey").alias("file"), name.alias("name")).agg(F.min(n).alias("unique_operators"), F.max(n).alias("unique_operands"), F.sum(n).alias("operators"), F.count(F.lit(1)).alias("operands"))
+    names = ["unique_operators", "unique_operands", "operators", "operands"]
+    files = f.groupBy("file").agg(F.struct(*[F.sum(c).alias(c) for c in names]).alias("totals"), F.array_sort(F.collect_list(F.struct("name", F.struct(*names).alias("metrics")))).alias("functions"))
+    written = files.select("file", halstead.counts_json(F.col("totals"), F.col("functions"), 4).alias("json"))
+    return written.withColumn("read", halstead.read_counts(F.col("json"))).select("file", "json", F.col("read.totals.operators").alias("operators"), F.size("read.functions").cast("long").alias("n_functions"))
+
+
+@query("""WITH v AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS committed_at, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate + INTERVAL 1 DAY END AS created_at FROM orders) SELECT id, coalesce(committed_at, created_at) AS date FROM v WHERE coalesce(committed_at, created_at) IS NOT NULL""")
+def timeline_dates(spark, sf_dir):
+    """The date of each version on a chart; versions without one are left out."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    v = Tables(spark, sf_dir).orders.select(k.alias("id"), F.when(k % 3 != 0, day).alias("committed_at"), F.when(k % 6 != 0, day + F.expr("INTERVAL 1 DAY")).alias("created_at"))
+    return charts.dated(v).select("id", "date")
+
+
+@query("""WITH e AS (SELECT l_suppkey % 10 AS file_id, 'f' || (l_suppkey % 50) AS caller, 'f' || (l_partkey % 60) AS callee, l_linenumber AS line, l_orderkey AS col FROM lineitem),
+d AS (SELECT s_suppkey % 10 AS file_id, 'f' || (s_suppkey % 50) AS name, min(s_suppkey) AS d_line FROM supplier GROUP BY ALL), a AS (SELECT name, arg_min(d_line, file_id) AS a_line, min(file_id) AS a_file FROM d GROUP BY name)
+SELECT CASE WHEN d_line IS NOT NULL THEN e.file_id ELSE a_file END AS path, CAST(coalesce(d_line, a_line) AS BIGINT) AS line, count(*) AS uses, CAST(min(e.line) AS INTEGER) AS first_line FROM e LEFT JOIN d ON d.file_id = e.file_id AND d.name = e.callee LEFT JOIN a ON a.name = e.callee WHERE coalesce(d_line, a_line) IS NOT NULL GROUP BY ALL""")
+def references_of_definitions(spark, sf_dir):
+    """The use sites of every definition."""
+    t = Tables(spark, sf_dir)
+    definitions = t.supplier.select((F.col("s_suppkey") % 10).alias("file_id"), (F.col("s_suppkey") % 10).alias("path"), F.concat(F.lit("f"), F.col("s_suppkey") % 50).alias("name"), F.col("s_suppkey").alias("line"), F.lit(1).alias("column"))
+    found = calls.find_references(calls.resolve_calls(_edges(t), definitions))
+    return found.select("definition.path", "definition.line", F.size("uses").cast("long").alias("uses"), F.array_min(F.transform("uses", lambda u: u["line"])).alias("first_line"))

@@ -13,14 +13,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.catalog import Catalog
 
 
-def merge_stream(stream: DataFrame, catalog: Catalog, table: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Starts a query that merges every batch into a table of the store."""
-    from ..operators.merge import keyed_merge
-    from ..plans.catalog import KEYS
+def merge_stream(stream: DataFrame, catalog: Catalog, table: str, checkpoint: str, order: list[str]) -> StreamingQuery:
+    """Starts a query that merges every batch into a table of the store.
+
+    Of all rows of a key, in any batch, the last in ``order`` stays; only ids are kept from the first.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        old = catalog.table(table)
-        catalog.write(table, keyed_merge(old, rows, KEYS[table], order=order).select(old.columns))
+        catalog.upsert(table, rows, order, keep=("id",))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,3 +95,29 @@ def test_snippet(spark):
 def test_natural_ids_tell_null_from_empty(spark):
     a, b, c = spark.range(1).select(natural_id(F.lit(None)), natural_id(F.lit("")), natural_id(F.lit(""))).first()
     assert a != b == c and len(a) == 36
+
+
+def test_checked_spans_and_numbers(spark):
+    df = spark.createDataFrame([("a\né\nz", 0, 7, 2**31)], "t string, s int, e int, n long")
+    t, s, e = F.col("t"), F.col("s"), F.col("e")
+    ok = df.select(text.line_span(t, s, F.octet_length(t)).alias("l"), text.span_text(t, F.lit(2), F.lit(4)).alias("x"), text.span_text(t, F.lit(2), F.lit(2)).alias("none"), text.lines_of_span(t, F.lit(2), F.lit(4)).alias("n"), text.line_span(t, F.lit(4), F.lit(5)).alias("m")).first()
+    assert tuple(ok["l"]) == (1, 3) and ok["x"] == "é" and ok["none"] == "" and ok["n"] == 1 and tuple(ok["m"]) == (2, 2)
+    for bad in (text.line_span(t, s, e), text.span_text(t, s, e), text.line_span(t, F.lit(2), F.lit(2)), text.span_text(t, F.lit(-1), F.lit(2)), text.narrowed(F.col("n"))):
+        with pytest.raises(Exception, match="outside|32 bits"):
+            df.select(bad).collect()
+
+
+def test_commit_ranges(spark):
+    rows = [("root..abcdef0", None), ("abcdef0..1234567", "abcdef0"), ("abcdef..1234567", None), ("ABCDEF0..1234567", None), ("abcdef0...1234567", None), (None, None)]
+    got = spark.createDataFrame([(r,) for r, _ in rows], "r string").select(text.commit_range_start(F.col("r"))).collect()
+    assert [g[0] for g in got] == [w for _, w in rows]
+
+
+def test_helper_json(spark):
+    counts = "unique_operators bigint, unique_operands bigint, operators bigint, operands bigint"
+    df = spark.createDataFrame([((1, 2, 3, 4), [('a"b\n', (1, 0, 0, 0))]), ((0, 0, 0, 0), [])], f"totals struct<{counts.replace(' ', ':').replace(',:', ',')}>, functions array<struct<name:string,metrics:struct<{counts.replace(' ', ':').replace(',:', ',')}>>>")
+    for indent in (2, 4):
+        for r in df.withColumn("j", halstead.counts_json(F.col("totals"), F.col("functions"), indent)).withColumn("back", halstead.read_counts(F.col("j"))).collect():
+            want = {"totals": r["totals"].asDict(), "functions": [{"name": f["name"], "metrics": f["metrics"].asDict()} for f in r["functions"]]}
+            assert r["j"] == json.dumps(want, indent=indent)
+            assert r["back"].asDict(recursive=True) == want

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chronomill.operators import asof, diffs, merge, rollup
+from chronomill.operators import asof, diffs, listing, merge, rollup, tokens
 from chronomill.streaming.ingest import merge_stream
 from chronomill.plans.catalog import Catalog
 
@@ -62,10 +62,10 @@ def test_means_without_files_are_zero(spark):
 def test_merge_twice_is_merge_once(spark):
     old = spark.createDataFrame([("k1", "i1", 1), (None, "i2", 2)], "k string, id string, v int")
     new = spark.createDataFrame([("k1", "x", 5), (None, "y", 6), ("k2", "z", 7), ("k2", "z2", 8)], "k string, id string, v int")
-    once = merge.keyed_merge(old, new, ["k"], order="v")
-    assert sorted(map(str, once.collect())) == sorted(map(str, merge.keyed_merge(once, new, ["k"], order="v").collect()))
+    once = merge.keyed_merge(old, new, ["k"], order=["v"])
+    assert sorted(map(str, once.collect())) == sorted(map(str, merge.keyed_merge(once, new, ["k"], order=["v"]).collect()))
     assert {r["k"]: (r["id"], r["v"]) for r in once.collect()} == {"k1": ("i1", 5), None: ("i2", 6), "k2": ("z2", 8)}
-    assert merge.keyed_merge(old, new.limit(0), ["k"]).count() == 2
+    assert merge.keyed_merge(old, new.limit(0), ["k"], ["v"]).count() == 2
 
 
 def test_last_delta_of_a_path_wins(spark):
@@ -82,6 +82,75 @@ def test_stream_merge_equals_batch(spark, tmp_path):
     table.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for _ in range(2):  # started again it finds nothing new
-        merge_stream(stream, catalog, "codebases", str(tmp_path / "check"), order="created_at").awaitTermination()
+        merge_stream(stream, catalog, "codebases", str(tmp_path / "check"), order=["created_at"]).awaitTermination()
     assert catalog.table("codebases").count() == 3
     assert catalog.table("codebases").select(F.count_distinct("name")).first()[0] == 3
+
+
+def test_late_batches_and_repeated_keys(spark):
+    kind = "k string, id string, at int, v string"
+    old = spark.createDataFrame([("a", "i1", 5, "old"), ("b", "i2", 5, "old")], kind)
+    late = spark.createDataFrame([("a", "x", 4, "late"), ("b", "y", 6, "new"), ("b", "z", 6, "new too"), ("c", "w", 1, "first")], kind)
+    got = {r["k"]: (r["id"], r["at"], r["v"]) for r in merge.keyed_merge(old, late, ["k"], ["at"]).collect()}
+    assert got["a"] == ("i1", 5, "old") and got["b"][:2] == ("i2", 6) and got["c"] == ("w", 1, "first")
+    assert merge.keyed_merge(old, late, ["k"], ["at"]).count() == 3
+
+
+def test_callers_columns_stay(spark):
+    rows = spark.createDataFrame([("a", 1, 9, 7), ("a", 2, 8, 6)], "path string, at int, n int, rank int")
+    assert [tuple(r) for r in asof.newest(rows, ["path"], ["at"]).collect()] == [("a", 2, 8, 6)]
+    assert [tuple(r) for r in diffs.first_of_each(rows, ["path"], ["at"]).collect()] == [("a", 1, 9, 7)]
+    assert tokens.first_by_name(rows, ["path"], "at").columns == rows.columns
+
+
+def codebases(spark, catalog, *names):
+    return spark.createDataFrame([(f"i-{n}", n, "u", "Golang", T0) for n in names], catalog.table("codebases").schema)
+
+
+def test_writers_that_meet(spark, tmp_path, monkeypatch):
+    """A commit of another writer between a reader's look and its own commit is not lost."""
+    a, b = (Catalog.open(spark, str(tmp_path / "store")) for _ in range(2))
+    write = a._write_data
+    meets = iter([True])
+
+    def slow(name, rows):
+        data = write(name, rows)
+        if next(meets, False):
+            b.upsert("codebases", codebases(spark, b, "two"))
+        return data
+
+    monkeypatch.setattr(a, "_write_data", slow)
+    a.upsert("codebases", codebases(spark, a, "one"))
+    assert sorted(r["name"] for r in a.table("codebases").collect()) == ["one", "two"]
+    assert a.vacuum() > 0 and b.table("codebases").count() == 2
+
+
+def test_a_change_writes_its_codebases_only(spark, tmp_path):
+    catalog = Catalog.open(spark, str(tmp_path / "store"))
+    kind = catalog.table("file_states").schema
+    rows = lambda *xs: spark.createDataFrame([(f"s{c}{v}{p}", c, v, p, None, "added", True, None, None, T0) for c, v, p in xs], kind)
+    catalog.upsert("file_states", rows(("c1", "v1", "a"), ("c/2", "v2", "b")))
+    before = catalog._state("file_states")[1]
+    catalog.upsert("file_states", rows(("c/2", "v2", "b"), ("c/2", "v3", "x")))
+    after = catalog._state("file_states")[1]
+    assert set(before) == set(after) == {"c1", "c/2"} and before["c1"] == after["c1"] and before["c/2"] != after["c/2"]
+    assert sorted((r["codebase_id"], r["path"]) for r in catalog.table("file_states").collect()) == [("c/2", "b"), ("c/2", "x"), ("c1", "a")]
+
+
+def test_a_late_stream_batch_changes_nothing(spark, tmp_path):
+    catalog = Catalog.open(spark, str(tmp_path / "store"))
+    rows = [("i", "n", f"u{h}", "Golang", T0 + datetime.timedelta(hours=h)) for h in (1, 5, 3)]
+    schema = catalog.table("codebases").schema
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in/{i}"))
+        merge_stream(stream, catalog, "codebases", str(tmp_path / f"check{i}"), ["created_at"]).awaitTermination()
+    assert [r["url"] for r in catalog.table("codebases").collect()] == ["u5"]
+
+
+def test_hunks_of_one_diff_only(spark):
+    d = spark.createDataFrame([("d1", "v1"), ("d2", "v2")], "id string, version_id string")
+    c = spark.createDataFrame([("d1", "b", 3, 1), ("d2", "a", 1, 1), ("d1", "a", 2, 1)], "diff_id string, new_path string, old_start_line int, new_start_line int").withColumn("old_path", F.lit(None).cast("string"))
+    (row,) = listing.diff_with_hunks(d, c, version_id="v1").collect()
+    assert [h["new_path"] for h in row["hunks"]] == ["a", "b"]
+    assert len(listing.diff_with_hunks(d, c).collect()) == 2

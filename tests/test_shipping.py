@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 import __spark_entry__
 assert __spark_entry__.entry(spark).count() > 0
-assert __spark_entry__.queries()["analyse_sources"](spark, "/root/testdata/sf0.001").count() == 4
+assert __spark_entry__.queries()["analyse_sources"](spark, "/root/testdata/sf0.001").count() == 334
 print("done")
 """
 
