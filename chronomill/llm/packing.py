@@ -12,7 +12,8 @@ alone) and are solved on the driver. Documents find their slot by their rank amo
 two-level (counts per bucket, then ranks within), so that a length that a third of all documents have is no hot task.
 
 Defined cases: null text counts as empty (one end id), null ids are ids like any other, repeated rows are packed as
-rows of their own, an empty table gives no rows, other columns are ignored.
+rows of their own, a very long text is encoded in stretches and gives a sequence per window, an empty table gives no
+rows, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,7 +139,8 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> dict:
 
 def ranked(tokens: DataFrame, buckets: int) -> DataFrame:
     """Adds each row's rank among those of equal rest."""
-    keyed = tokens.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "rest_crc"), F.lit(buckets)))
+    # Rows alike differ in their number, so they too are dealt out.
+    keyed = tokens.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "rest_crc", F.pmod(F.col("row"), F.lit(64))), F.lit(buckets)))
     sums = keyed.groupBy("rest", "bucket").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("rest", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))

@@ -39,6 +39,14 @@ def test_stages_take_odd_rows(spark, small, odd, none):
     assert texts.count(ODD[2][1]) == 1
 
 
+def test_stages_take_a_very_long_text(spark, small, documents):
+    long = " ".join(f"w{i % 5000}" for i in range(250_000))
+    kept = documents((1, long), (2, long + " end"), (3, "a b c"), (4, None)).select(corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        kept = written(stage(spark, kept, small), name)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} >= {1, 4} and kept.where("doc_id = 2").count() == 0
+
+
 def test_queries_are_registered():
     names = list(__spark_entry__.queries())
     assert [n for n in names if n.startswith("op")] == [n for n in names if n.split("_")[0] in {f"op{i}" for i in range(1, 11)}]
