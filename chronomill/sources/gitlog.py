@@ -18,7 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..shipping import ship
 
-EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"  # fixed value: git's empty tree
+#: Contents that one git process hands over.
+BLOBS_AT_ONCE = 64
 SCHEMAS = {
     "commits": "seq int, commit_hash string, parent_hash string, message string, author_name string, author_email string, committed_at timestamp",
     "deltas": "seq int, commit_hash string, delta_no int, status string, old_path string, new_path string, old_blob_oid string, new_blob_oid string, insertions int, deletions int",
@@ -69,6 +70,10 @@ def walk(path: str) -> list[str]:
     return git(path, "rev-list", "--first-parent", "--topo-order", "--reverse", tip(path)).decode().split()
 
 
+def _lines(rows: list[str]) -> bytes:
+    return "".join(f"{r}\n" for r in rows).encode()
+
+
 class Range(InputPartition):
     def __init__(self, first: int, commits: list[str], before: str | None):
         self.first, self.commits, self.before = first, commits, before
@@ -83,62 +88,103 @@ class GitLogReader(DataSourceReader):
         return [Range(i, commits[i : i + self.step], commits[i - 1] if i else None) for i in range(self.start, len(commits), self.step)]
 
     def read(self, part: Range) -> Iterator[tuple]:
-        seen: set[str] = set()
-        before = part.before
-        for seq, commit in enumerate(part.commits, part.first):
-            if self.table == "commits":
-                yield self.commit(seq, commit, before)
-            elif self.table == "patches":
-                yield seq, commit, git(self.path, "diff", "--no-renames", before or EMPTY_TREE, commit)
-            elif self.table == "hunks":
-                yield from self.hunks(seq, commit, before)
-            else:
-                rows = list(self.deltas(seq, commit, before))
-                if self.table == "deltas":
-                    yield from rows
-                else:
-                    wanted = [r[7] for r in rows if r[7] and r[7] not in seen]
-                    seen.update(wanted)
-                    yield from self.blobs(list(dict.fromkeys(wanted)))
-            before = commit
-
-    def commit(self, seq: int, commit: str, before: str | None) -> tuple:
+        """One or two git processes a partition, whatever the commits it holds."""
+        if self.table == "commits":
+            yield from self.commit_rows(part)
+        elif self.table == "patches":
+            yield from self.patch_rows(part)
+        elif self.table == "hunks":
+            yield from self.hunk_rows(part)
+        elif self.table == "deltas":
+            yield from self.delta_rows(part)
+        else:
+            wanted = list(dict.fromkeys(r[7] for r in self.delta_rows(part) if r[7]))
+            for i in range(0, len(wanted), BLOBS_AT_ONCE):
+                yield from self.blobs(wanted[i : i + BLOBS_AT_ONCE])
+
+    def commit_rows(self, part: Range) -> Iterator[tuple]:
         from datetime import datetime, timezone
 
-        name, email, time, message = git(self.path, "show", "-s", "--format=%an%x00%ae%x00%ct%x00%B", commit).decode(errors="replace").split("\0", 3)
-        return seq, commit, before, message.removesuffix("\n"), name, email, datetime.fromtimestamp(int(time), timezone.utc)
-
-    def deltas(self, seq: int, commit: str, before: str | None) -> Iterator[tuple]:
-        old = before or EMPTY_TREE
-        counts = {}
-        for line in git(self.path, "diff", "--no-renames", "--numstat", "-z", old, commit).split(b"\0"):
-            if line:
-                plus, minus, path = line.split(b"\t", 2)
+        shown = git(self.path, "log", "--no-walk=unsorted", "--stdin", "-z", "--format=%H%x00%an%x00%ae%x00%ct%x00%B", data=_lines(part.commits))
+        fields = shown.decode(errors="replace").split("\0")
+        order = {c: i for i, c in enumerate(part.commits)}
+        for commit, name, email, time, message in zip(*(fields[i::5] for i in range(5))):
+            i = order[commit]
+            before = part.commits[i - 1] if i else part.before
+            yield part.first + i, commit, before, message.removesuffix("\n"), name, email, datetime.fromtimestamp(int(time), timezone.utc)
+
+    def _diffs(self, part: Range, *how: str) -> bytes:
+        """Each commit against its predecessor in the walk, the first of all against the empty tree."""
+        pairs = [f"{c} {b}" if b else c for b, c in zip([part.before, *part.commits], part.commits)]
+        return git(self.path, "diff-tree", "--stdin", "-r", "--root", "--no-renames", *how, data=_lines(pairs))
+
+    def delta_rows(self, part: Range) -> Iterator[tuple]:
+        order = {c.encode(): i for i, c in enumerate(part.commits, part.first)}
+        fields = self._diffs(part, "--raw", "--no-abbrev", "--numstat", "-z").split(b"\0")
+        oid = lambda x: None if set(x) == {"0"} else x
+        commit, raw, counts, i = None, [], {}, 0
+
+        def rows() -> Iterator[tuple]:
+            for no, (head, path) in enumerate(raw):
+                _, _, a, b, letter = head.decode().lstrip(":").split(" ")
+                name = path.decode(errors="replace")
+                yield order[commit], commit.decode(), no, LETTERS.get(letter[0], "unmodified"), name, name, oid(a), oid(b), *counts.get(path, (0, 0))
+
+        while i < len(fields):
+            field = fields[i]
+            if field.startswith(b":"):
+                raw.append((field, fields[i + 1]))
+                i += 1
+            elif b"\t" in field:
+                plus, minus, path = field.split(b"\t", 2)
                 counts[path] = (int(plus) if plus != b"-" else 0, int(minus) if minus != b"-" else 0)
-        fields = git(self.path, "diff", "--no-renames", "--raw", "--no-abbrev", "-z", old, commit).split(b"\0")
-        for no, (head, path) in enumerate(zip(fields[::2], fields[1::2])):
-            _, _, a, b, letter = head.decode().lstrip(":").split(" ")
-            name = path.decode(errors="replace")
-            oid = lambda x: None if set(x) == {"0"} else x
-            yield seq, commit, no, LETTERS.get(letter[0], "unmodified"), name, name, oid(a), oid(b), *counts.get(path, (0, 0))
-
-    def hunks(self, seq: int, commit: str, before: str | None) -> Iterator[tuple]:
-        old_path = new_path = None
-        no = 0
-        left = right = 0
-        for line in git(self.path, "diff", "--no-renames", "-U3", before or EMPTY_TREE, commit).split(b"\n"):
-            if left > 0 or right > 0:  # within a hunk nothing is a header
+            elif field in order:
+                yield from rows()
+                commit, raw, counts = field, [], {}
+            i += 1
+        yield from rows()
+
+    def _patches(self, part: Range) -> Iterator[tuple[bytes, list[bytes]]]:
+        """(commit, lines of its patch); within a hunk no line is taken for the next commit's name."""
+        names = {c.encode() for c in part.commits}
+        commit, lines, left, right = None, [], 0, 0
+        for line in self._diffs(part, "-p", "-U3").split(b"\n"):
+            if left <= 0 and right <= 0 and line in names:
+                if commit:
+                    yield commit, lines
+                commit, lines = line, []
+                continue
+            lines.append(line)
+            if left > 0 or right > 0:
                 left -= line[:1] in (b" ", b"-") or line == b""
                 right -= line[:1] in (b" ", b"+") or line == b""
-                continue
-            if line.startswith(b"--- "):
-                old_path = None if line[4:] == b"/dev/null" else line[6:].decode(errors="replace").rstrip("\t")
-            elif line.startswith(b"+++ "):
-                new_path = None if line[4:] == b"/dev/null" else line[6:].decode(errors="replace").rstrip("\t")
             elif m := HUNK.match(line):
                 left, right = int(m[2] or 1), int(m[4] or 1)
-                yield seq, commit, no, old_path or new_path, new_path or old_path, int(m[1]), left, int(m[3]), right
-                no += 1
+        if commit:
+            yield commit, lines[:-1]
+
+    def patch_rows(self, part: Range) -> Iterator[tuple]:
+        patches = {commit: b"".join(x + b"\n" for x in lines) for commit, lines in self._patches(part)}
+        for seq, commit in enumerate(part.commits, part.first):
+            yield seq, commit, patches.get(commit.encode(), b"")
+
+    def hunk_rows(self, part: Range) -> Iterator[tuple]:
+        order = {c.encode(): i for i, c in enumerate(part.commits, part.first)}
+        for commit, lines in self._patches(part):
+            old_path = new_path = None
+            no = left = right = 0
+            for line in lines:
+                if left > 0 or right > 0:  # within a hunk nothing is a header
+                    left -= line[:1] in (b" ", b"-") or line == b""
+                    right -= line[:1] in (b" ", b"+") or line == b""
+                elif line.startswith(b"--- "):
+                    old_path = None if line[4:] == b"/dev/null" else line[6:].decode(errors="replace").rstrip("\t")
+                elif line.startswith(b"+++ "):
+                    new_path = None if line[4:] == b"/dev/null" else line[6:].decode(errors="replace").rstrip("\t")
+                elif m := HUNK.match(line):
+                    left, right = int(m[2] or 1), int(m[4] or 1)
+                    yield order[commit], commit.decode(), no, old_path or new_path, new_path or old_path, int(m[1]), left, int(m[3]), right
+                    no += 1
 
     def blobs(self, oids: list[str]) -> Iterator[tuple]:
         out = git(self.path, "cat-file", "--batch", data="".join(f"{o}\n" for o in oids).encode()) if oids else b""
