@@ -1,7 +1,7 @@
 """Command line: python -m chronomill [--store FOLDER] COMMAND ..., its rows as JSON lines.
 
-ingest PATH [--url URL] [--language NAME] [--compat]; file PATH [--language NAME] [--report]; and the queries of
-``plans.api`` by name with their arguments, for example ``current_files VERSION`` or ``search_functions VERSION QUERY``.
+ingest PATH [--url URL] [--language NAME] [--compat]; file PATH [--language NAME] [--report] [--ignore FILE] [--together];
+serve [--host HOST] [--port PORT] for the same over HTTP; and the queries of ``plans.api`` by name with their arguments, for example ``current_files VERSION`` or ``search_functions VERSION QUERY``.
 """
 
 from __future__ import annotations
@@ -31,6 +31,11 @@ def main(argv: list[str] | None = None) -> None:
     one.add_argument("--language")
     one.add_argument("--compat", action="store_true")
     one.add_argument("--report", action="store_true")
+    one.add_argument("--ignore", help="a file of ignore rules, relative to its folder")
+    one.add_argument("--together", action="store_true")
+    one = sub.add_parser("serve")
+    one.add_argument("--host", default="127.0.0.1")
+    one.add_argument("--port", type=int, default=8080)
     for name, f in inspect.getmembers(Queries, inspect.isfunction):
         if name.startswith("_") or name in ("health", "analyse_file"):
             continue
@@ -50,6 +55,11 @@ def main(argv: list[str] | None = None) -> None:
     if command == "ingest":
         print(ingest(catalog, **a))
         return
+    if command == "serve":
+        from .plans.web import serve
+
+        serve(catalog, **a)
+        return
     if command == "file":
         report = a.pop("report")
         rows = Queries(catalog).analyse_file(**a)

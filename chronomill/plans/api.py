@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import asof, charts, listing, search
 from ..sources.analysis import file_analysis
 from ..functions import classify
+from ..functions.ignore import ignored
 from .catalog import Catalog
 
 
@@ -119,9 +120,18 @@ class Queries:
         rows = charts.timeline(self.t("versions").where(F.col("codebase_id") == codebase_id)).select("date", "id", *[F.col(f"metrics.{n}").alias(n) for n in names])
         return charts.long_metrics(rows, ["date", "id"], names)
 
-    def analyse_file(self, path: str, language: str | None = None, compat: bool = False, together: bool = False) -> DataFrame:
-        """The analysis of text files at a path or glob, or of all their texts put together in order of their paths."""
+    def analyse_file(self, path: str, language: str | None = None, compat: bool = False, together: bool = False, ignore: str | None = None) -> DataFrame:
+        """The analysis of text files at a path or glob, or of all their texts put together in order of their paths.
+
+        ``ignore`` names a file of ignore rules, which hold for the paths below its folder.
+        """
         rows = self.spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        if ignore:
+            listed = self.spark.read.text(ignore).select("value", "_metadata.file_path").collect()  # a few rules
+            lines = [r["value"] for r in listed]
+            base = F.lit(listed[0]["file_path"].rsplit("/", 1)[0] + "/" if listed else "")
+            inside = F.when(F.startswith("path", base), F.substring(F.col("path"), F.length(base) + 1, F.length("path")))
+            rows = rows.where(~F.coalesce(ignored(inside, lines), F.lit(False)))
         if together:
             joined = F.array_sort(F.collect_list(F.struct("path", "text")))
             rows = rows.agg(joined.alias("f")).where("size(f) > 0").select(F.col("f")[0]["path"].alias("path"), F.array_join(F.transform("f", lambda x: x["text"]), "\n").alias("text"))

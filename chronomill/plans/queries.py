@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, halstead, keys, text, trigrams
+from ..functions import classify, halstead, ignore, keys, text, trigrams
 from ..operators import asof, calls, charts, diffs, listing, merge, rollup, search, tokens
 from ..shared import new_folder
 
@@ -323,6 +323,22 @@ def detect_by_content(spark, sf_dir):
     return Tables(spark, sf_dir).documents.select("doc_id", classify.language_by_content(x).alias("language"))
 
 
+RULES = ["# rules", "*.log", "/build/", "doc/**/old", "!keep.log", "tmp?", "a/b", "*.[oa]", "vendor/", "!vendor/mine.go"]
+# Paths, and whether these rules leave them out.
+PLACES = {
+    "src/{}/x.log": True, "src/{}/keep.log": False, "build/{}.go": True, "lib/build/{}.go": False, "doc/{}/old/x.go": True, "doc/old": True, "tmp1/{}.go": True,
+    "tmp12/{}.go": False, "a/b/{}.go": True, "z/a/b/{}.go": False, "x/{}.o": True, "x/{}.go": False, "p/vendor/{}.go": True, "vendor/mine.go": True, "vendor{}": False, "build{}": False,
+}
+
+
+@query(f"""SELECT page_id, replace(CASE page_id % {len(PLACES)} {' '.join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PLACES))} END, '{{}}', CAST(page_id AS VARCHAR)) AS path, CASE page_id % {len(PLACES)} {' '.join(f"WHEN {i} THEN {x}" for i, x in enumerate(PLACES.values()))} END AS ignored FROM pages""")
+def ignored_paths(spark, sf_dir):
+    """Which paths a list of ignore rules leaves out."""
+    place = F.element_at(F.array(*map(F.lit, PLACES)), (F.col("page_id") % len(PLACES) + 1).cast("int"))
+    path = F.replace(place, F.lit("{}"), F.col("page_id").cast("string"))
+    return Tables(spark, sf_dir).pages.select("page_id", path.alias("path")).withColumn("ignored", ignore.ignored(F.col("path"), RULES))
+
+
 REPOS = ["/u/Django.git", "/u/ocaml-lib/", "/u/haskell", "/u/python-x.git", "/u/other"]
 
 
