@@ -9,6 +9,7 @@ from ..operators import asof, charts, listing, search
 from ..sources.analysis import file_analysis
 from ..functions import classify
 from ..functions.ignore import ignored
+from ..shared import file_system, read_text
 from .catalog import Catalog
 
 
@@ -127,10 +128,12 @@ class Queries:
         """
         rows = self.spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
         if ignore:
-            listed = self.spark.read.text(ignore).select("value", "_metadata.file_path").collect()  # a few rules
-            lines = [r["value"] for r in listed]
-            base = F.lit(listed[0]["file_path"].rsplit("/", 1)[0] + "/" if listed else "")
-            inside = F.when(F.startswith("path", base), F.substring(F.col("path"), F.length(base) + 1, F.length("path")))
+            # Spark's readers pass over hidden files, which rules are.
+            fs, where = file_system(self.spark, ignore)
+            lines = read_text(self.spark, ignore).splitlines()
+            base = F.lit(fs.makeQualified(where).getParent().toUri().getPath() + "/")
+            bare = F.regexp_replace("path", "^[A-Za-z0-9+.-]+:(//[^/]*)?", "")
+            inside = F.when(F.startswith(bare, base), F.substring(bare, F.length(base) + 1, F.length(bare)))
             rows = rows.where(~F.coalesce(ignored(inside, lines), F.lit(False)))
         if together:
             joined = F.array_sort(F.collect_list(F.struct("path", "text")))

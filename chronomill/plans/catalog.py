@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
-from ..shared import file_system
+from ..shared import file_system, read_text
 
 FILE_METRICS = "struct<lines_of_code:bigint,effective_lines_of_code:bigint,comment_lines_of_code:bigint,bracket_lines_of_code:bigint,total_cyclomatic:bigint>"
 VERSION_METRICS = (
@@ -85,12 +85,7 @@ class Catalog:
         return sorted(int(n) for n in names if n.isdigit())
 
     def _commit_text(self, name: str, number: int) -> str:
-        fs, where = file_system(self.spark, f"{self.path}/{name}/_commits/{number:012d}")
-        stream = fs.open(where)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        return read_text(self.spark, f"{self.path}/{name}/_commits/{number:012d}")
 
     def _state(self, name: str) -> tuple[int, dict[str, str]]:
         """The number of the current commit and its folders by codebase ('' in other tables); (0, {}) without any."""

@@ -310,19 +310,32 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("\n", "' || chr(10) || '") + "'"
 
 
-@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 10 {' '.join(f"WHEN {i} THEN {_sql_text(s)}" for i, s in enumerate(STARTS))} END || text AS x FROM documents),
-u AS (SELECT doc_id, x, lower(regexp_extract(x, '(?m)^([^\\n]*\\S[^\\n]*)$', 1)) AS f, regexp_replace(x, '^\\s+', '') AS s FROM t)
-SELECT doc_id, CASE WHEN starts_with(f, '#!') AND contains(f, 'python') THEN 'python' WHEN starts_with(f, '#!') AND (contains(f, 'runhaskell') OR contains(f, 'ghc')) THEN 'haskell'
+CONTENT_CASE = f"""CASE WHEN starts_with(f, '#!') AND contains(f, 'python') THEN 'python' WHEN starts_with(f, '#!') AND (contains(f, 'runhaskell') OR contains(f, 'ghc')) THEN 'haskell'
 WHEN starts_with(f, '#!') AND contains(f, 'ocaml') THEN 'ocaml' WHEN starts_with(f, '#!') AND contains(f, 'go') THEN 'golang'
 WHEN starts_with(s, 'package ') AND (contains(s, chr(10) || 'func ') OR contains(s, chr(10) || 'import (')) THEN 'golang'
 WHEN starts_with(s, 'module ') AND contains(s, ' where') OR contains(s, chr(10) || 'import qualified ') THEN 'haskell'
 WHEN starts_with(s, 'let ') AND contains(s, ' =') AND contains(s, ';;') THEN 'ocaml' WHEN contains(s, 'match ') AND contains(s, ' with') AND contains(s, '->') THEN 'ocaml'
-WHEN starts_with(s, 'def ') OR starts_with(s, 'class ') OR starts_with(s, 'import ') OR contains(s, chr(10) || 'def ') OR contains(s, chr(10) || 'class ') OR contains(s, chr(10) || 'import ') THEN 'python' END AS language FROM u""")
+WHEN starts_with(s, 'def ') OR starts_with(s, 'class ') OR starts_with(s, 'import ') OR contains(s, chr(10) || 'def ') OR contains(s, chr(10) || 'class ') OR contains(s, chr(10) || 'import ') THEN 'python' END"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 10 {' '.join(f"WHEN {i} THEN {_sql_text(s)}" for i, s in enumerate(STARTS))} END || text AS x FROM documents),
+u AS (SELECT doc_id, x, lower(regexp_extract(x, '(?m)^([^\\n]*\\S[^\\n]*)$', 1)) AS f, regexp_replace(x, '^\\s+', '') AS s FROM t)
+SELECT doc_id, {CONTENT_CASE} AS language FROM u""")
 def detect_by_content(spark, sf_dir):
     x = F.concat(F.element_at(F.array(*map(F.lit, STARTS)), (F.col("doc_id") % 10 + 1).cast("int")), "text")
     return Tables(spark, sf_dir).documents.select("doc_id", classify.language_by_content(x).alias("language"))
 
 
+@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 10 {' '.join(f"WHEN {i} THEN {_sql_text(s)}" for i, s in enumerate(STARTS))} END || text AS x FROM documents),
+u AS (SELECT doc_id, x, lower(regexp_extract(x, '(?m)^([^\\n]*\\S[^\\n]*)$', 1)) AS f, regexp_replace(x, '^\\s+', '') AS s FROM t),
+v AS (SELECT *, CASE doc_id % 9 {' '.join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(ENDINGS))} END AS path FROM u), e AS (SELECT *, lower(nullif(regexp_extract(split_part(path, '/', -1), '^.+\\.([^.]*)$', 1), '')) AS ext FROM v)
+SELECT doc_id, coalesce(CASE ext WHEN 'py' THEN 'python' WHEN 'pyw' THEN 'python' WHEN 'pyi' THEN 'python' WHEN 'ml' THEN 'ocaml' WHEN 'mli' THEN 'ocaml' WHEN 'hs' THEN 'haskell' WHEN 'lhs' THEN 'haskell' WHEN 'go' THEN 'golang' END, {CONTENT_CASE}) AS language FROM e""")
+def detect_by_name_or_text(spark, sf_dir):
+    """The language by the file's name, or else by its text."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs) + 1).cast("int"))
+    return Tables(spark, sf_dir).documents.select("doc_id", classify.detect_language(pick(ENDINGS), F.concat(pick(STARTS), "text")).alias("language"))
+
+
 RULES = ["# rules", "*.log", "/build/", "doc/**/old", "!keep.log", "tmp?", "a/b", "*.[oa]", "vendor/", "!vendor/mine.go"]
 # Paths, and whether these rules leave them out.
 PLACES = {
@@ -601,6 +614,36 @@ def stream_current_states(spark, sf_dir):
     return result.where(F.col("n") == result.agg(F.max("n")).first()[0]).select(F.col("path").alias("user_id"), "event_id")
 
 
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, sf_dir):
+    """Events per hour and type as a streaming aggregate with a watermark, all of them as one available-now batch."""
+    from ..streaming.ingest import latest_table, windowed_counts
+
+    folder = new_folder(spark, "windowed-counts")
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = windowed_counts(stream, "ts", "1 hour", "1 day", ["event_type"]).withColumnRenamed("n", "events")
+    latest_table(counts, f"{folder}/out", f"{folder}/log").awaitTermination()
+    result = spark.read.parquet(f"{folder}/out")
+    newest = result.where(F.col("n") == result.agg(F.max("n")).first()[0])
+    return newest.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.col("events").alias("n"))
+
+
+@query("SELECT event_type AS name, CAST(arg_max(event_id, {'t': ts, 'e': event_id}) AS VARCHAR) AS url, max(ts) AS created_at FROM events GROUP BY event_type")
+def stream_merged_rows(spark, sf_dir):
+    """All events as rows of the store, merged by a stream: the newest of each key stays."""
+    from ..streaming.ingest import merge_stream
+    from .catalog import Catalog
+
+    folder = new_folder(spark, "merged-rows")
+    catalog = Catalog.open(spark, f"{folder}/store")
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    number = F.col("event_id").cast("string")
+    rows = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(F.lpad(number, 20, "0").alias("id"), F.col("event_type").alias("name"), number.alias("url"), F.lit("Golang").alias("programming_language"), F.col("ts").cast("timestamp").alias("created_at"))
+    merge_stream(rows, catalog, "codebases", f"{folder}/log", ["created_at", "id"]).awaitTermination()
+    return catalog.table("codebases").select("name", "url", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
 GO = "package main\n\n// main\nfunc main() {\n\tif a && b {\n\t\tfmt.Println(add(1, 2))\n\t}\n}\n\nfunc add(a int, b int) int { return a + b }\n"
 OCAML = "let rec total items =\n  match items with\n  | [] -> 0\n  | first :: rest when first > limit -> first + total rest\n  | _ :: rest -> total rest\n\nlet limit = 3\n"
 PYTHON = '"""doc"""\n\ndef f(x):\n    # note\n    return g(x) if x and y else f(x - 1)\n'
@@ -738,6 +781,25 @@ def gitlog_deltas(spark, sf_dir):
     return gitlog.read(spark, _history_folder(spark, sf_dir), "deltas").select("seq", "delta_no", "old_path", "new_path", "status", "insertions", "deletions")
 
 
+@query(f"""WITH {COMMITS}, n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq) + 9 AS lines FROM c)
+SELECT seq, 0 AS hunk_no, path AS old_path, path AS new_path, CAST(CASE WHEN first THEN 0 ELSE lines - 2 END AS INTEGER) AS old_start_line, CASE WHEN first THEN 0 ELSE 3 END AS old_lines, CAST(CASE WHEN first THEN 1 ELSE lines - 2 END AS INTEGER) AS new_start_line, CASE WHEN first THEN 11 ELSE 4 END AS new_lines FROM n""")
+def gitlog_hunks(spark, sf_dir):
+    """The hunks of a repository made of a table: a new file, then a line at its end each time."""
+    from ..sources import gitlog
+
+    return gitlog.read(spark, _history_folder(spark, sf_dir), "hunks").drop("commit_hash")
+
+
+@query(f"""WITH {COMMITS} SELECT seq, CASE WHEN n_nationkey % 4 = 0 THEN 'Fix ' ELSE 'Add ' END || n_name AS message, 'A' AS author_name, 'a@example.com' AS author_email, seq = 0 AS root, TIMESTAMP '2024-01-01 00:00:00' AS committed_at FROM c""")
+def gitlog_commits(spark, sf_dir):
+    """The commits of a repository made of a table."""
+    from ..sources import gitlog
+
+    rows = gitlog.read(spark, _history_folder(spark, sf_dir), "commits")
+    utc = F.timestamp_seconds(F.unix_timestamp("committed_at"))
+    return rows.select("seq", "message", "author_name", "author_email", F.col("parent_hash").isNull().alias("root"), F.to_utc_timestamp(utc, F.current_timezone()).cast("timestamp_ntz").alias("committed_at"))
+
+
 def _ingested(spark, sf_dir: str):
     from .catalog import Catalog
     from .ingest import ingest

@@ -44,6 +44,16 @@ def file_system(spark: SparkSession, where: str) -> tuple:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def read_text(spark: SparkSession, where: str) -> str:
+    """A small file, hidden ones too."""
+    fs, path = file_system(spark, where)
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def release(spark: SparkSession) -> None:
     """Removes all that this application has written to its folder; results that aren't read yet are lost."""
     fs, path = file_system(spark, shared_dir(spark))

@@ -154,3 +154,14 @@ def test_hunks_of_one_diff_only(spark):
     (row,) = listing.diff_with_hunks(d, c, version_id="v1").collect()
     assert [h["new_path"] for h in row["hunks"]] == ["a", "b"]
     assert len(listing.diff_with_hunks(d, c).collect()) == 2
+
+
+def test_a_version_again_loses_its_diff_until_it_is_set(spark, tmp_path):
+    catalog = Catalog.open(spark, str(tmp_path / "store"))
+    fields = catalog.table("versions").schema
+    row = lambda **v: spark.createDataFrame([tuple(v.get(c) for c in fields.names)], fields)
+    catalog.upsert("versions", row(id="v1", codebase_id="c", commit_hash="h", seq=0, diff="d1", created_at=T0))
+    later = T0 + datetime.timedelta(hours=1)
+    catalog.upsert("versions", row(id="other", codebase_id="c", commit_hash="h", seq=0, message="again", created_at=later))
+    (got,) = catalog.table("versions").collect()
+    assert (got["id"], got["created_at"], got["message"], got["diff"]) == ("v1", T0, "again", None)

@@ -178,3 +178,13 @@ def test_delete_cascades(spark, store):
     assert catalog.table("functions").where(F.col("file_id") == file_id).count() == 0
     assert catalog.table("file_states").where(F.col("file_id") == file_id).count() == 0
     assert catalog.table("file_states").where("file_id is null and exists").count() == 1
+
+
+def test_files_with_ignore_rules_and_together(spark, store, tmp_path):
+    for name, text in {"a.py": "def f():\n    return 1", "b.py": "def g():\n    return 2\n", "skip.py": "def h(): pass\n", ".rules": "skip.*\n"}.items():
+        (tmp_path / name).write_text(text)
+    q = Queries(store[0])
+    rows = q.analyse_file(f"{tmp_path}/*.py", "python", ignore=f"{tmp_path}/.rules").collect()
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in rows) == ["a.py", "b.py"]
+    (both,) = q.analyse_file(f"{tmp_path}/*.py", "python", ignore=f"{tmp_path}/.rules", together=True).collect()
+    assert [f["name"] for f in both["functions"]] == ["f", "g"] and both["lines_of_code"] == 4
