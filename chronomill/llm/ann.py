@@ -295,8 +295,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     widths = {length: width.get(length, 1) for length, _ in held}
     groups = tiles(held, asked, widths, tile)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of which all copies together stay near 32 MB, however long vectors are."""
         for batch in batches:
+            step = max(1, (1 << 25) * batch.num_rows // max(1, batch.nbytes * curves))
+            yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for point, first, length, raw, places, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                 for curve, window in enumerate(places):
