@@ -83,19 +83,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
         .withColumn("step", F.floor(F.log2(F.col("ratio") + 1) * STEPS))
     )
     filled = written(filled, "mix-filled")
-    order = ["ratio", "source_no"]
-    below = prefix(filled, [], "step", order, F.col("cap"), "caps_below")
-    levels = prefix(below, [], "step", order, F.col("weight"), "weights_below")
+    # Sources of one ratio reach the level together, so very many of one size are one row here.
+    steps = filled.groupBy("ratio", "step").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"))
+    below = prefix(steps, [], "step", ["ratio"], F.col("cap"), "caps_below")
+    levels = prefix(below, [], "step", ["ratio"], F.col("weight"), "weights_below")
     words, all_weights = filled.agg(F.sum("source_size"), F.sum("weight")).first()
     total = float(words or 0) * share
     levels = levels.withColumn("level", (F.lit(total) - F.col("caps_below")) / (F.lit(all_weights or 0.0) - F.col("weights_below")))
-    levels = written(levels.withColumn("capped", F.col("ratio") <= F.col("level")), "mix-levels")
-    first = levels.where(~F.col("capped")).agg(F.min(F.struct("ratio", "source_no", "level"))["level"]).first()[0]
-    return levels.select(
+    # The ratio from which on no source is capped, and the level there.
+    first = levels.where("ratio > level").agg(F.min(F.struct("ratio", "level")).alias("x")).select("x.*").first()
+    open_from, level = (first["ratio"], first["level"]) if first and first["ratio"] is not None else (float("inf"), 0.0)
+    return filled.select(
         "source",
         "source_no",
         F.col("source_size").cast("long").alias("source_size"),
-        F.when(F.col("capped"), F.col("cap")).otherwise(F.lit(first).cast("double") * F.col("weight")).alias("target"),
+        F.when(F.col("ratio") < open_from, F.col("cap")).otherwise(F.col("weight") * level).alias("target"),
     )
 
 
