@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import spread_join, written
 
 CURVES = 16
 DIMS, GRID_BITS = 8, 4
@@ -338,5 +338,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     by_id = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     ids = top.select("asked", "score", F.explode("ids").alias("vec_id")).withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
     answers = ids.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("answers"))
-    own = queries.join(answers, F.col("point") == F.col("asked")).select("query_id", F.slice(F.filter("answers", lambda a: a["vec_id"] != F.col("query_id")), 1, k).alias("answers"))
+    # Very many queries may be copies of one vector.
+    own = spread_join(queries.withColumnRenamed("point", "asked"), answers, "asked", ["query_id"]).select("query_id", F.slice(F.filter("answers", lambda a: a["vec_id"] != F.col("query_id")), 1, k).alias("answers"))
     return own.select("query_id", F.posexplode("answers").alias("p", "a")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("a.vec_id").alias("vec_id"), F.col("a.score").alias("score"))
