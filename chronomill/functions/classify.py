@@ -39,6 +39,7 @@ def language_by_content(text: Column) -> Column:
     script = first.startswith("#!")
     source = F.regexp_replace(text, r"^\s+", "")
     holds, starts = source.contains, source.startswith
+    # What marks a source of each language, and the order of these tests.
     rules = [
         (script & first.contains("python"), "python"),
         (script & (first.contains("runhaskell") | first.contains("ghc")), "haskell"),

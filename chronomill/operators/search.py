@@ -1,8 +1,9 @@
 """Fuzzy search over paths and function names as of a version.
 
 A hit is alike by trigrams (score of at least 0.3) or holds the query, regardless of case. A blank query, or an unknown
-version, finds nothing. The best rows are kept per task before they meet (top-k). ``trigram_index`` and
-``candidates`` are the scalable form for large path tables: an inverted table of trigrams, joined with the query's.
+version, finds nothing. The best rows are kept per task before they meet (top-k). ``trigram_index`` is the scalable form for
+large tables, an inverted table of trigrams: ``candidates`` are alike, ``holders`` may hold the query, and
+``rank_files_indexed`` scores only these rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from ..functions.trigrams import alike, similarity, trigrams
 from . import asof
 from .listing import DEFAULT_LIMIT
 
+#: Stands for what isn't known of a text that holds a query; a letter of no language's words.
+UNKNOWN = "\ua7f7"
+
 
 def _matches(columns: list[Column], query: str) -> tuple[Column, Column]:
     scores = [similarity(c, F.lit(query)) for c in columns]
@@ -66,3 +70,30 @@ def candidates(index: DataFrame, key: str, query: str, threshold: float = 0.3) -
     shared = index.join(F.broadcast(wanted), "trigram").groupBy(key).agg(F.count(F.lit(1)).alias("both"), F.first("n_trigrams").alias("n"), F.first("n_query").alias("m"))
     score = (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).cast("float")
     return shared.select(key, score.alias("score")).where(F.col("score") >= F.lit(threshold).cast("float"))
+
+
+def holders(index: DataFrame, key: str, query: str) -> DataFrame | None:
+    """Keys whose text may hold the query: those with every trigram that any such text has. None if there is no such trigram.
+
+    What stands before and after the query, or for a wildcard, is unknown; a letter takes its place, and the trigrams with it go.
+    """
+    unknown = F.lit(UNKNOWN)
+    known = F.concat(unknown, F.regexp_replace(F.lower(F.lit(query)), r"[%_\\\\]", UNKNOWN), unknown)
+    inner = index.sparkSession.range(1).select(F.filter(trigrams(known), lambda x: ~x.contains(unknown)).alias("q"))
+    wanted = inner.select(F.explode("q").alias("trigram"), F.size("q").alias("n_query"))  # one row per trigram of the query
+    if not wanted.limit(1).count():
+        return None
+    shared = index.join(F.broadcast(wanted), "trigram").groupBy(key).agg(F.count(F.lit(1)).alias("both"), F.first("n_query").alias("m"))
+    return shared.where("both = m").select(key)
+
+
+def rank_files_indexed(files: DataFrame, paths: DataFrame, names: DataFrame, key: str, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """rank_files with the trigram indexes of the paths and of the file names: the same rows, scored only where they can be hits.
+
+    A query without a trigram that its holders must have, such as a short one, scores all rows.
+    """
+    hold = holders(paths, key, query)
+    if hold is None:
+        return rank_files(files, query, limit)
+    found = candidates(paths, key, query).select(key).union(candidates(names, key, query).select(key)).union(hold)
+    return rank_files(files.join(found.distinct(), key, "left_semi"), query, limit)

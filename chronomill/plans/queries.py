@@ -395,14 +395,25 @@ def trigram_index_candidates(spark, sf_dir):
     return search.candidates(index, "p_partkey", "blue bolt").select("p_partkey", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
-@query(f"""WITH g AS (SELECT page_id, url AS path, {_sql_trigrams('url')} AS a, {_sql_trigrams("split_part(url, '/', -1)")} AS b, {_sql_trigrams("'page 7'")} AS q FROM pages),
+SEARCHED = f"""WITH g AS (SELECT page_id, url AS path, {_sql_trigrams('url')} AS a, {_sql_trigrams("split_part(url, '/', -1)")} AS b, {_sql_trigrams("'page 7'")} AS q FROM pages),
 s AS (SELECT page_id, path, {_sql_similarity('a', 'q')} AS x, {_sql_similarity('b', 'q')} AS y FROM g)
-SELECT page_id, path, round(CAST(greatest(x, y) AS DOUBLE), 6) AS score FROM s WHERE x >= CAST(0.3 AS FLOAT) OR y >= CAST(0.3 AS FLOAT) OR path ILIKE '%page 7%' ORDER BY score DESC, path LIMIT 50""")
+SELECT page_id, path, round(CAST(greatest(x, y) AS DOUBLE), 6) AS score FROM s WHERE x >= CAST(0.3 AS FLOAT) OR y >= CAST(0.3 AS FLOAT) OR path ILIKE '%page 7%' ORDER BY score DESC, path LIMIT 50"""
+
+
+@query(SEARCHED)
 def search_filenames(spark, sf_dir):
     files = Tables(spark, sf_dir).pages.select("page_id", F.col("url").alias("path"))
     return search.rank_files(files, "page 7").select("page_id", "path", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
+@query(SEARCHED)
+def search_filenames_indexed(spark, sf_dir):
+    files = Tables(spark, sf_dir).pages.select("page_id", F.col("url").alias("path"))
+    paths = search.trigram_index(files, "page_id", "path")
+    names = search.trigram_index(files.select("page_id", text.basename(F.col("path")).alias("name")), "page_id", "name")
+    return search.rank_files_indexed(files, paths, names, "page_id", "page 7").select("page_id", "path", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
 @query(f"""WITH g AS (SELECT p_partkey, p_name AS name, p_type AS path, {_sql_trigrams('p_name')} AS a, {_sql_trigrams('p_type')} AS b, {_sql_trigrams("'_ue bolt'")} AS q FROM part),
 s AS (SELECT p_partkey, name, path, {_sql_similarity('a', 'q')} AS x, {_sql_similarity('b', 'q')} AS y FROM g)
 SELECT p_partkey, name, round(CAST(greatest(x, y) AS DOUBLE), 6) AS score FROM s WHERE x >= CAST(0.3 AS FLOAT) OR y >= CAST(0.3 AS FLOAT) OR name ILIKE '%_ue bolt%' OR path ILIKE '%_ue bolt%' ORDER BY greatest(x, y) DESC, path, p_partkey, name LIMIT 25""")

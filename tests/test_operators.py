@@ -4,7 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chronomill.operators import asof, diffs, listing, merge, rollup, tokens
+from chronomill.functions.text import basename
+from chronomill.operators import asof, diffs, listing, merge, rollup, search, tokens
 from chronomill.streaming.ingest import merge_stream
 from chronomill.plans.catalog import Catalog
 
@@ -165,3 +166,17 @@ def test_a_version_again_loses_its_diff_until_it_is_set(spark, tmp_path):
     catalog.upsert("versions", row(id="other", codebase_id="c", commit_hash="h", seq=0, message="again", created_at=later))
     (got,) = catalog.table("versions").collect()
     assert (got["id"], got["created_at"], got["message"], got["diff"]) == ("v1", T0, "again", None)
+
+
+def test_indexed_search_finds_what_scoring_all_rows_finds(spark):
+    parts = ["src", "Page_7", "page 7b", "größe", "x%y", "a", "list.ml", "b\\c", "ΟΔΟΣ"]
+    paths = [f"{p}/{q}{i if i % 3 else ''}/{r}" for i, (p, q, r) in enumerate((p, q, r) for p in parts for q in parts[:4] for r in parts)]
+    files = spark.createDataFrame([*enumerate([*paths, "", "a", None])], "id long, path string")
+    index = search.trigram_index(files, "id", "path").cache()
+    names = search.trigram_index(files.select("id", basename(F.col("path")).alias("name")), "id", "name").cache()
+    open_ = []  # queries without a trigram that every text holding them has
+    for query in ["page_7", "age 7", "st.m", "RÖSS", "x%y", "c/gr", "b\\\\c", "\\%y", "ge 7b/l", "ΔΟΣ", "7", " ", "a"]:
+        rows = lambda found: [(r["id"], r["score"]) for r in found.orderBy("id").collect()]
+        assert rows(search.rank_files_indexed(files, index, names, "id", query, 1000)) == rows(search.rank_files(files, query, 1000)), query
+        open_ += [query] if search.holders(index, "id", query) is None else []
+    assert open_ == ["x%y", "b\\\\c", "\\%y", "7", " ", "a"]
