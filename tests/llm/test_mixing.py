@@ -55,6 +55,15 @@ def test_odd_rows(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_many_sources_of_few_sizes(spark, documents):
+    # Ratios tie below, at and above the level, across weights too; the last sources are without words.
+    rows = [(i, "w " * (1 + i % 3 + 40 * (i % 50 == 0)), f"s{i:03}") for i in range(300)] + [(300 + i, "", f"t{i}") for i in range(3)]
+    found = mixing.source_targets(mixing.measured(documents(*rows))).collect()
+    want = targets(sizes(rows))
+    assert {r["source"]: r["target"] for r in found} == pytest.approx(want)
+    assert {r["target"] == 2 * r["source_size"] for r in found} == {True, False}
+
+
 def test_no_words_at_all(spark, documents):
     assert [r["taken"] for r in mixing.mix(documents((1, None, None), (2, " ", "a"))).collect()] == [0, 0]
 
