@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, licenses, mixing, packing, prefixes, quality, simhash, sstable, tiff
+from . import ann, bpe, chat, licenses, mixing, packing, prefixes, quality, simhash, sstable, tiff
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.answers(prefixes.prefix_tables(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
+def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def tokenizer(name: str) -> str:
     """The place of a public vocabulary file, which every machine has."""
     import public_tokenizers
@@ -80,5 +84,6 @@ QUERIES = {
         op8_token_sstable,
         op9_quality_resampling,
         op10_prefix_token_counts,
+        op11_pair_index_bpe,
     )
 }
