@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, licenses, mixing, packing, prefixes, quality, simhash, sstable, tiff
+from . import ann, bpe, chat, licenses, mixing, packing, periods, prefixes, quality, simhash, sstable, tiff
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     """The place of a public vocabulary file, which every machine has."""
     import public_tokenizers
@@ -85,5 +89,6 @@ QUERIES = {
         op9_quality_resampling,
         op10_prefix_token_counts,
         op11_pair_index_bpe,
+        op12_periodic_runs,
     )
 }
