@@ -76,4 +76,27 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x) AS sco
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
-SQL = {"op1_license_scan": OP1, "op2_chat_format": OP2, "chat_typed_parts": PARTS, "op3_source_mix": OP3, "op4_nearest_neighbours": OP4}
+# Forward over rows, all cheapest (state, cost, audit) per step; audits are compared as strings.
+OP13 = r"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, CAST(xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::UBIGINT)),
+  lambda h, b: list_reduce(list_concat([xor(h, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 20 AS INTEGER) AS d FROM k),
+m AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM m),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS z FROM o),
+f AS (SELECT *, CASE WHEN z = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN z NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+moves(was, now, ins) AS (VALUES ('', 'u', ''), ('', 'a', 'user'), ('', 's', ''), ('s', 'u', ''), ('s', 'a', 'user'), ('u', 'u', 'assistant'), ('u', 'a', ''), ('a', 'u', ''), ('a', 'a', 'user')),
+edits AS (SELECT conv_id, i, was, was AS now, 4 AS price, 'D' AS letters, '' AS lines FROM f, (VALUES (''), ('s'), ('u'), ('a')) AS s(was)
+  UNION ALL SELECT conv_id, i, was, now, CASE WHEN substr(role, 1, 1) = now THEN 0 ELSE 3 END + CASE WHEN ins = '' THEN 0 ELSE 3 END + CASE WHEN fault = 't' THEN 3 ELSE 0 END, CASE WHEN ins = '' THEN '' ELSE 'I' END || CASE WHEN substr(role, 1, 1) = now THEN 'K' ELSE 'R' END,
+  CASE WHEN ins = '' THEN '' ELSE ins || ':' || chr(10) END || CASE WHEN substr(role, 1, 1) = now THEN role WHEN now = 'u' THEN 'user' ELSE 'assistant' END || ':' || text || chr(10) FROM f, moves WHERE fault NOT IN ('b', 'd') AND (now <> 's' OR substr(role, 1, 1) = 's')),
+p AS (SELECT conv_id, 0::BIGINT AS i, '' AS state, 0 AS cost, '' AS audit, '' AS lines FROM g
+  UNION ALL SELECT conv_id, i, state, cost, audit, lines FROM (SELECT p.conv_id, e.i, e.now AS state, p.cost + e.price AS cost, p.audit || e.letters AS audit, p.lines || e.lines AS lines,
+    row_number() OVER (PARTITION BY p.conv_id, e.now ORDER BY p.cost + e.price, p.audit || e.letters) AS place FROM p JOIN edits e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.i = p.i + 1 AND e.was = p.state) AS x WHERE place = 1),
+e AS (SELECT p.conv_id, cost + price AS cost, audit || letters AS audit, p.lines || z.lines AS lines FROM p JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.n = p.i JOIN (VALUES ('', 0, '', ''), ('a', 0, '', ''), ('u', 3, 'I', 'assistant:' || chr(10)), ('s', 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))) AS z(state, price, letters, lines) ON z.state = p.state),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS place FROM e) AS x WHERE place = 1)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(CASE WHEN coalesce(lines, '') = '' THEN '' ELSE left(lines, length(lines) - 1) END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+SQL = {"op13_conversation_repair": OP13, "op1_license_scan": OP1, "op2_chat_format": OP2, "chat_typed_parts": PARTS, "op3_source_mix": OP3, "op4_nearest_neighbours": OP4}

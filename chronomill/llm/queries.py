@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, licenses, mixing, packing, periods, prefixes, quality, simhash, sstable, tiff
+from . import ann, bpe, chat, licenses, mixing, packing, periods, prefixes, quality, repair, simhash, sstable, tiff
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repairs(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def tokenizer(name: str) -> str:
     """The place of a public vocabulary file, which every machine has."""
     import public_tokenizers
@@ -90,5 +94,6 @@ QUERIES = {
         op10_prefix_token_counts,
         op11_pair_index_bpe,
         op12_periodic_runs,
+        op13_conversation_repair,
     )
 }
