@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 METRICS = ["lines_of_code", "effective_lines_of_code", "comment_lines_of_code", "bracket_lines_of_code", "cyclomatic"]
 MEANS = {
     "lines_of_code": "mean_lines_of_code_per_file",
@@ -53,6 +55,26 @@ def version_totals(states: DataFrame, group: str, path: str, order: list[str], m
     return per_version.select(group, *order, *[F.greatest(F.sum(f"d_{n}").over(running), F.lit(0)).cast("long").alias("files" if n == "files" else f"total_{n}") for n in names])
 
 
+def version_totals_scanned(states: DataFrame, group: str, path: str, order: list[str], metrics: list[str], exists: str = "exists") -> DataFrame:
+    """version_totals where a codebase, or a path's log, may be too large for one task: scans over ranges, no window over a group."""
+    value = lambda m: F.when(F.col(exists), F.coalesce(F.col(m), F.lit(0))).otherwise(0)
+    now = states.select(group, path, *order, F.when(F.col(exists), 1).otherwise(0).alias("a_files"), *[value(m).alias(f"a_{m}") for m in metrics])
+    names = ["files", *metrics]
+    steps = scans.running(now, [group, path], order, previous={f"b_{n}": f"a_{n}" for n in names})
+    per_version = steps.groupBy(group, *order).agg(*[F.sum(F.col(f"a_{n}") - F.coalesce(f"b_{n}", F.lit(0))).alias(f"d_{n}") for n in names])
+    out = {n: "files" if n == "files" else f"total_{n}" for n in names}
+    totals = scans.running(per_version, [group], order, sums={o: f"d_{n}" for n, o in out.items()})
+    return totals.select(group, *order, *[F.greatest(F.col(o), F.lit(0)).cast("long").alias(o) for o in out.values()])
+
+
+def carried_to_versions(versions: DataFrame, totals: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Totals at every version: those of the last one with any, 0 before the first. versions and totals share group and order."""
+    columns = [c for c in totals.columns if c not in (group, *order)]
+    joined = versions.join(totals, [group, *order], "left")
+    carried = scans.running(joined, [group], order, lasts={f"{c}_carried": c for c in columns})
+    return carried.select(*versions.columns, *[F.coalesce(f"{c}_carried", F.lit(0)).alias(c) for c in columns])
+
+
 def carried_forward(current: DataFrame, changed: DataFrame, new: DataFrame, path: str = "path") -> DataFrame:
     """current without the changed paths, with the new rows."""
     return current.join(changed.select(path).distinct(), path, "left_anti").unionByName(new)

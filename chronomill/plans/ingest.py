@@ -6,7 +6,7 @@ commits would carry along (the totals of a version) is a window over the log of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify
@@ -109,9 +109,7 @@ def version_metrics(versions: DataFrame, states: DataFrame) -> DataFrame:
     logged = states.join(versions.select(F.col("id").alias("version_id"), "seq"), "version_id").select("codebase_id", "path", "seq", "exists", *[F.col(f"metrics.{m}").alias(m) for m in METRIC_NAMES])
     names = METRIC_NAMES[:4]
     renamed = logged.withColumnRenamed("total_cyclomatic", "cyclomatic")
-    running = rollup.version_totals(renamed, "codebase_id", "path", ["seq"], [*names, "cyclomatic"]).drop("codebase_id")
-    columns = [c for c in running.columns if c != "seq"]
-    carried = Window.partitionBy("codebase_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    filled = versions.select("id", "codebase_id", "seq").join(running, "seq", "left").select("id", *[F.coalesce(F.last(c, ignorenulls=True).over(carried), F.lit(0)).alias(c) for c in columns])
+    running = rollup.version_totals_scanned(renamed, "codebase_id", "path", ["seq"], [*names, "cyclomatic"])
+    filled = rollup.carried_to_versions(versions.select("id", "codebase_id", "seq"), running, "codebase_id", ["seq"])
     means = rollup.with_means(filled)
     return means.select("id", F.struct("files", *[f"total_{m}" for m in names], "total_cyclomatic", *[rollup.MEANS[m] for m in rollup.METRICS]).alias("metrics"))

@@ -932,3 +932,7 @@ def references_of_definitions(spark, sf_dir):
     definitions = t.supplier.select((F.col("s_suppkey") % 10).alias("file_id"), (F.col("s_suppkey") % 10).alias("path"), F.concat(F.lit("f"), F.col("s_suppkey") % 50).alias("name"), F.col("s_suppkey").alias("line"), F.lit(1).alias("column"))
     found = calls.find_references(calls.resolve_calls(_edges(t), definitions))
     return found.select("definition.path", "definition.line", F.size("uses").cast("long").alias("uses"), F.array_min(F.transform("uses", lambda u: u["line"])).alias("first_line"))
+
+
+# The further queries register themselves with the functions above.
+from . import queries_order  # noqa: E402, F401

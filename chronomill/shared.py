@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _known: set[str] = set()
 
@@ -38,6 +38,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def file_system(spark: SparkSession, where: str) -> tuple:
     """The Hadoop file system of a path, and the path."""
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
