@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import HELPER
+from . import scans, spans
 
 
 def tokens_in_functions(tokens: DataFrame, functions: DataFrame, key: str = "file_id") -> DataFrame:
@@ -23,6 +24,19 @@ def tokens_in_functions_by_previous(tokens: DataFrame, functions: DataFrame, key
     return moved.join(spans, key).where("from_line >= f_start and end_line <= f_end").drop("f_start", "f_end", "from_line")
 
 
+def swept_tokens(tokens: DataFrame, functions: DataFrame, key: str = "file_id") -> DataFrame:
+    """tokens_in_functions by a sweep: linear in tokens, functions and answers, for files of any size and nested functions."""
+    named = functions.select(key, F.col("name").alias("function"), F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"))
+    return spans.points_in_spans(tokens, named, [key], "line", "f_start", "f_end").drop("f_start", "f_end")
+
+
+def swept_tokens_by_previous(tokens: DataFrame, functions: DataFrame, key: str = "file_id", order: str = "token_no") -> DataFrame:
+    """tokens_in_functions_by_previous by a scan and a sweep. Lines rise with the order, as tokens of a file stand."""
+    named = functions.select(key, F.col("name").alias("function"), F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"))
+    moved = scans.running(tokens, [key], [order], previous={"from_line": "start_line"}).withColumn("from_line", F.coalesce("from_line", F.lit(1)))
+    return spans.points_in_spans(moved, named, [key], "from_line", "f_start", "f_end").where("end_line <= f_end").drop("f_start", "f_end", "from_line")
+
+
 def first_by_name(helper: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first row of each name; all functions of that name then get its measures."""
     w = Window.partitionBy(*key).orderBy(order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rollup
+from ..operators import rollup, spans, tokens
 from .queries import Tables, query
 
 _CHANGES = """s AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok, CAST(round(value * 100) AS BIGINT) AS v FROM events WHERE {}),
@@ -32,3 +32,42 @@ def hot_codebase_carried(spark, sf_dir):
     touched = log.join(Tables(spark, sf_dir).events.where("event_type <> 'view'").select("event_id"), "event_id")
     totals = rollup.version_totals_scanned(touched, "codebase", "path", ["ts", "event_id"], ["v"])
     return rollup.carried_to_versions(log.select("codebase", "ts", "event_id"), totals, "codebase", ["ts", "event_id"]).drop("codebase", "ts")
+
+
+# One file has a third of all tokens and functions; functions are nested (the outer ones hold 4,000 lines) and overlap.
+_SWEPT = """f AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 50 END AS file_id, 'f' || o_orderkey AS name, o_orderkey AS f_start, o_orderkey + CASE WHEN o_orderkey % 500 = 0 THEN 4000 ELSE o_custkey % 40 END AS f_end FROM orders),
+t AS (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey % 50 END AS file_id, l_orderkey * 8 + l_linenumber AS k, l_partkey, l_orderkey AS line, l_orderkey + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS e FROM lineitem)"""
+
+
+def _third(column: str):
+    return F.when(F.col(column) % 3 == 0, 0).otherwise(F.col(column) % 50)
+
+
+def _tokens_and_functions(t: Tables):
+    k, line = F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_orderkey")
+    found = t.lineitem.select(_third("l_suppkey").alias("file_id"), k.alias("token_no"), line.alias("line"), line.alias("start_line"), (line + (F.col("l_linenumber") == 7).cast("int")).alias("end_line"))
+    width = F.when(F.col("o_orderkey") % 500 == 0, 4000).otherwise(F.col("o_custkey") % 40)
+    return found, t.orders.select(_third("o_custkey").alias("file_id"), F.concat(F.lit("f"), F.col("o_orderkey")).alias("name"), F.col("o_orderkey").alias("start_line"), (F.col("o_orderkey") + width).alias("end_line"))
+
+
+@query(f"WITH {_SWEPT} SELECT file_id, name AS function, count(*) AS n, CAST(sum(k) AS BIGINT) AS s FROM t JOIN f USING (file_id) WHERE line BETWEEN f_start AND f_end GROUP BY ALL")
+def token_sweep(spark, sf_dir):
+    """Tokens of every function, nested ones too, by a sweep along the lines of each file."""
+    found = tokens.swept_tokens(*_tokens_and_functions(Tables(spark, sf_dir)))
+    return found.groupBy("file_id", "function").agg(F.count(F.lit(1)).alias("n"), F.sum("token_no").alias("s"))
+
+
+@query(f"""WITH {_SWEPT}, p AS (SELECT *, lag(line, 1, 1) OVER (PARTITION BY file_id ORDER BY k) AS b FROM t)
+SELECT file_id, name AS function, count(*) AS n, CAST(sum(k) AS BIGINT) AS s FROM p JOIN f USING (file_id) WHERE b >= f_start AND e <= f_end GROUP BY ALL""")
+def token_sweep_prev(spark, sf_dir):
+    """As above; a token counts from where the token before it started."""
+    found = tokens.swept_tokens_by_previous(*_tokens_and_functions(Tables(spark, sf_dir)))
+    return found.groupBy("file_id", "function").agg(F.count(F.lit(1)).alias("n"), F.sum("token_no").alias("s"))
+
+
+@query(f"WITH {_SWEPT} SELECT file_id, k AS token_no, arg_max(name, {{'s': f_start, 'e': -f_end, 'n': name}}) AS function FROM t JOIN f USING (file_id) WHERE line BETWEEN f_start AND f_end GROUP BY file_id, k")
+def innermost_function(spark, sf_dir):
+    """The innermost function of every token that is in any."""
+    found = tokens.swept_tokens(*_tokens_and_functions(Tables(spark, sf_dir)))
+    places = _tokens_and_functions(Tables(spark, sf_dir))[1].select(F.col("name").alias("function"), F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"))
+    return spans.innermost(found.join(places, "function"), ["file_id", "token_no"], "f_start", "f_end").select("file_id", "token_no", "function")
