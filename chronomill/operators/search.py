@@ -72,14 +72,19 @@ def candidates(index: DataFrame, key: str, query: str, threshold: float = 0.3) -
     return shared.select(key, score.alias("score")).where(F.col("score") >= F.lit(threshold).cast("float"))
 
 
+def inner_trigrams(query: str) -> Column:
+    """The trigrams that every text has that holds the query."""
+    unknown = F.lit(UNKNOWN)
+    known = F.concat(unknown, F.regexp_replace(F.lower(F.lit(query)), r"[%_\\\\]", UNKNOWN), unknown)
+    return F.filter(trigrams(known), lambda x: ~x.contains(unknown))
+
+
 def holders(index: DataFrame, key: str, query: str) -> DataFrame | None:
     """Keys whose text may hold the query: those with every trigram that any such text has. None if there is no such trigram.
 
     What stands before and after the query, or for a wildcard, is unknown; a letter takes its place, and the trigrams with it go.
     """
-    unknown = F.lit(UNKNOWN)
-    known = F.concat(unknown, F.regexp_replace(F.lower(F.lit(query)), r"[%_\\\\]", UNKNOWN), unknown)
-    inner = index.sparkSession.range(1).select(F.filter(trigrams(known), lambda x: ~x.contains(unknown)).alias("q"))
+    inner = index.sparkSession.range(1).select(inner_trigrams(query).alias("q"))
     wanted = inner.select(F.explode("q").alias("trigram"), F.size("q").alias("n_query"))  # one row per trigram of the query
     if not wanted.limit(1).count():
         return None
