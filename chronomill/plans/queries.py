@@ -935,4 +935,4 @@ def references_of_definitions(spark, sf_dir):
 
 
 # The further queries register themselves with the functions above.
-from . import queries_order, queries_search, queries_stream  # noqa: E402, F401
+from . import queries_order, queries_scope, queries_search, queries_stream  # noqa: E402, F401
