@@ -23,7 +23,7 @@ def keyed_merge(old: DataFrame, new: DataFrame, keys: list[str], order: list[str
     columns that old rows keep don't count for that. An empty ``new`` changes nothing.
     """
     own = "_chronomill_"
-    ties = [F.xxhash64(F.to_json(F.struct(*[c for c in new.columns]))).desc()]
+    ties = [F.xxhash64(*new.columns, *[F.col(c).isNull() for c in new.columns]).desc()]
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], *ties)
     last = new.withColumn(HELPER, F.row_number().over(w)).where(F.col(HELPER) == 1).drop(HELPER)
     kept = [c for c in keep if c in old.columns and c not in keys]
@@ -62,22 +62,33 @@ CASCADES = [
 ]
 
 
-def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The tables without the rows of these ids and all that hangs on them; file states only lose a deleted file's id.
-
-    Also returns the ids that were found, so callers can tell whether a row went.
-    """
-    out = dict(tables)
+def doomed_ids(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[str, DataFrame]:
+    """By table the ids (one column) of the rows with these ids and of all that hangs on them."""
     found = tables[table].join(ids.select(F.col("id").alias("_chronomill_gone")), F.col("id") == F.col("_chronomill_gone"), "left_semi").select("id")
     doomed = {table: found}
     for child, column, parent in CASCADES:
         if parent in doomed and child in tables:
             hit = tables[child].join(doomed[parent].select(F.col("id").alias("_chronomill_gone")), F.col(column) == F.col("_chronomill_gone"), "left_semi").select("id")
             doomed[child] = doomed[child].union(hit).distinct() if child in doomed else hit
-    for name, rows in doomed.items():
-        out[name] = delete_where(out[name], rows, "id", "id")
-    if "files" in doomed and "file_states" in out:
+    return doomed
+
+
+def without(name: str, rows: DataFrame, doomed: dict[str, DataFrame]) -> DataFrame:
+    """A table's rows without the doomed ones; file states only lose a deleted file's id."""
+    if name in doomed:
+        rows = delete_where(rows, doomed[name], "id", "id")
+    if name == "file_states" and "files" in doomed:
         lost = doomed["files"].select(F.col("id").alias("_chronomill_gone"))
-        s = out["file_states"].join(lost, F.col("file_id") == F.col("_chronomill_gone"), "left")
-        out["file_states"] = s.withColumn("file_id", F.when(F.col("_chronomill_gone").isNull(), F.col("file_id"))).drop("_chronomill_gone")
-    return out, found
+        joined = rows.join(lost, F.col("file_id") == F.col("_chronomill_gone"), "left")
+        rows = joined.withColumn("file_id", F.when(F.col("_chronomill_gone").isNull(), F.col("file_id"))).drop("_chronomill_gone")
+    return rows
+
+
+def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables without the rows of these ids and all that hangs on them; file states only lose a deleted file's id.
+
+    Also returns the ids that were found, so callers can tell whether a row went.
+    """
+    doomed = doomed_ids(tables, table, ids)
+    touched = {*doomed, "file_states"} & set(tables) if "files" in doomed else set(doomed)
+    return {name: without(name, rows, doomed) if name in touched else rows for name, rows in tables.items()}, doomed[table]

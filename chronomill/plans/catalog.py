@@ -10,6 +10,7 @@ that writer left. Readers of older folders are undisturbed until ``vacuum`` remo
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
-from ..shared import file_system, read_text
+from ..shared import file_system, read_text, written
 
 FILE_METRICS = "struct<lines_of_code:bigint,effective_lines_of_code:bigint,comment_lines_of_code:bigint,bracket_lines_of_code:bigint,total_cyclomatic:bigint>"
 VERSION_METRICS = (
@@ -56,7 +57,7 @@ PARTITIONED = {"versions", "file_states"}
 #: What decides between rows of one key in the other tables.
 ORDER = {"codebases": ["created_at"], "versions": ["seq"], "diffs": ["created_at"], "files": ["created_at"], "file_states": ["created_at"]}
 PART = "codebase_part"
-TRIALS = 5
+TRIALS, WAITS = 5, 100
 
 
 class Conflict(RuntimeError):
@@ -88,9 +89,19 @@ class Catalog:
         return read_text(self.spark, f"{self.path}/{name}/_commits/{number:012d}")
 
     def _state(self, name: str) -> tuple[int, dict[str, str]]:
-        """The number of the current commit and its folders by codebase ('' in other tables); (0, {}) without any."""
+        """The number of the current commit and its folders by codebase ('' in other tables); (0, {}) without any.
+
+        A commit's file is made first and filled then; one that isn't complete yet is waited for.
+        """
         done = self._commits(name)
-        return (done[-1], json.loads(self._commit_text(name, done[-1]))) if done else (0, {})
+        for _ in range(WAITS if done else 0):
+            text = self._commit_text(name, done[-1])
+            if text.endswith("}"):
+                return done[-1], json.loads(text)
+            time.sleep(0.1)
+        if done:
+            raise Conflict(f"{name}: commit {done[-1]} stays incomplete; its writer is gone, and it can be deleted")
+        return 0, {}
 
     def _commit(self, name: str, number: int, folders: dict[str, str]) -> None:
         fs, where = file_system(self.spark, f"{self.path}/{name}/_commits/{number:012d}")
@@ -155,26 +166,32 @@ class Catalog:
 
         self.change(name, make, touched)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Removes data folders that none of the last ``keep`` commits names; how many."""
+    def vacuum(self, keep: int = 1, hours: float = 168) -> int:
+        """Removes data folders that none of the last ``keep`` commits names; how many. Folders younger than ``hours`` stay:
+        another writer may be about to commit them, so this must be longer than any change takes."""
         gone = 0
         for name in SCHEMAS:
+            fs, where = file_system(self.spark, f"{self.path}/{name}")
+            folders = [x for x in fs.listStatus(where) if x.getPath().getName().startswith("data-")]
             done = self._commits(name)
             named = {f.split("/")[0] for n in done[-keep:] for f in json.loads(self._commit_text(name, n)).values()}
-            fs, where = file_system(self.spark, f"{self.path}/{name}")
-            for x in fs.listStatus(where):
-                if x.getPath().getName().startswith("data-") and x.getPath().getName() not in named:
+            for x in folders:
+                old = x.getModificationTime() <= (time.time() - 3600 * hours) * 1000
+                if old and x.getPath().getName() not in named:
                     gone += fs.delete(x.getPath(), True)
         return gone
 
     def delete(self, name: str, row_id: str) -> bool:
-        """Deletes a row and what hangs on it; whether there was one."""
-        tables = {n: self.table(n) for n in SCHEMAS}
+        """Deletes a row and what hangs on it; whether there was one.
+
+        What goes is found once and written down; then each table is changed on what it holds by then, children first, so
+        rows that another writer adds meanwhile stay.
+        """
         ids = self.spark.createDataFrame([(row_id,)], "id string")
-        after, found = merge.cascade_delete(tables, name, ids)
-        if not found.limit(1).count():
+        doomed = {n: written(rows, f"doomed-{n}") for n, rows in merge.doomed_ids({n: self.table(n) for n in SCHEMAS}, name, ids).items()}
+        if not doomed[name].limit(1).count():
             return False
-        for n, rows in after.items():
-            if rows is not tables[n]:
-                self.write(n, rows)
+        for n in reversed(list(SCHEMAS)):
+            if n in doomed or (n == "file_states" and "files" in doomed):
+                self.change(n, lambda old, n=n: merge.without(n, old, doomed))
         return True

@@ -876,16 +876,17 @@ def commit_ranges(spark, sf_dir):
     return Tables(spark, sf_dir).orders.select("o_orderkey", text.commit_range_start(r).alias("old_commit_hash"), text.commit_range_start(r, doubled=True).alias("doubled"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, substr(text, 1, length(text) // 4) AS a, substr(text, 1, length(text) // 2 + 1) AS b FROM documents WHERE text <> ''), x AS (SELECT *, regexp_extract_all(hex(encode(a)), '..') AS h, regexp_extract_all(hex(encode(b)), '..') AS i FROM d)
-SELECT doc_id, CAST(len(list_filter(h, lambda c: c = '0A')) + 1 AS BIGINT) AS start_line, CAST(len(list_filter(i[:-2], lambda c: c = '0A')) + 1 AS BIGINT) AS end_line, CAST(len(list_filter(i[:-2], lambda c: c = '0A')) - len(list_filter(h, lambda c: c = '0A')) + 1 AS BIGINT) AS lines, substr(b, length(a) + 1) AS content FROM x""")
+@query("""WITH d AS (SELECT doc_id, text, substr(text, 1, length(text) // 4) AS a, substr(text, 1, length(text) // 2 + 1) AS b FROM documents), x AS (SELECT *, regexp_extract_all(hex(encode(a)), '..') AS h, regexp_extract_all(hex(encode(b)), '..') AS i FROM d)
+SELECT doc_id, CASE WHEN text <> '' THEN CAST(len(list_filter(h, lambda c: c = '0A')) + 1 AS BIGINT) END AS start_line, CASE WHEN text <> '' THEN CAST(len(list_filter(i[:-2], lambda c: c = '0A')) + 1 AS BIGINT) END AS end_line,
+CASE WHEN text <> '' THEN CAST(len(list_filter(i[:-2], lambda c: c = '0A')) - len(list_filter(h, lambda c: c = '0A')) + 1 AS BIGINT) END AS lines, CASE WHEN text <> '' THEN substr(b, length(a) + 1) ELSE '' END AS content FROM x""")
 def spans_of_text(spark, sf_dir):
-    """Lines, number of lines and text of a span of bytes in every document."""
-    t = F.col("text")
+    """Lines, number of lines and text of a span of bytes in every document; a null or empty text has no lines and an empty span."""
+    t = F.when(F.col("text") != "", F.col("text"))
     start = F.octet_length(F.substring(t, F.lit(1), F.floor(F.length(t) / 4).cast("int")))
     end = F.octet_length(F.substring(t, F.lit(1), (F.floor(F.length(t) / 2) + 1).cast("int")))
-    d = Tables(spark, sf_dir).documents.where("text <> ''").select("doc_id", "text", start.alias("s"), end.alias("e"))
-    s, e = F.col("s"), F.col("e")
-    return d.select("doc_id", text.line_span(t, s, e).alias("span"), text.lines_of_span(t, s, e).alias("lines"), text.span_text(t, s, e).alias("content")).select("doc_id", "span.start_line", "span.end_line", "lines", "content")
+    d = Tables(spark, sf_dir).documents.select("doc_id", t.alias("text"), start.alias("s"), end.alias("e"))
+    t, s, e = F.col("text"), F.col("s"), F.col("e")
+    return d.select("doc_id", text.line_span(t, s, e).alias("span"), text.lines_of_span(t, s, e).alias("lines"), F.coalesce(text.span_text(t, s, e), F.lit("")).alias("content")).select("doc_id", "span.start_line", "span.end_line", "lines", "content")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(greatest(l_linenumber - 2, 0) AS INTEGER) AS zero_line, CAST(greatest(l_linenumber - 2, 0) + 1 AS INTEGER) AS one_line, CAST(l_partkey - l_linenumber AS BIGINT) AS length FROM lineitem")
