@@ -1,13 +1,16 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions only.
 
-The schedule has ``SLOTS`` = 2^m slots. Slot k lies at its van der Corput point, the number whose binary digits are those
-of k in reverse; the points map through the sources' cumulative targets, and each slot goes to the source whose
-interval holds its point. So every stretch of the schedule holds each source in its share, and the whole of it gives a
-source as many slots as there are multiples of 2^-m in its interval.
+The schedule has 2^m slots. Slot k lies at its van der Corput point, the number whose binary digits are those of k in
+reverse; the points map through the sources' cumulative targets, and each slot goes to the source whose interval holds its
+point. So every stretch of the schedule holds each source in its share, and the whole of it gives a source as many slots
+as there are multiples of 2^-m in its interval. m is ``BITS`` for sources with at least ``LEAST_SLOTS`` slots then; in the
+interval of a smaller source the slots go on to be halved, each half being a slot of its own, until it has as many or a
+slot is no longer than a word.
 
 The documents of a source, in the order of a hash, form a stream of words that is cut into blocks of equally many words
-(all words of the mix over the slots, within one) and runs at most twice; the r-th slot that a source draws takes its r-th
-block. What isn't drawn isn't taken, so a source takes its target within one block.
+(all words of the mix over the slots of its m, within one) and runs at most twice; the r-th slot that a source draws
+takes its r-th block. What isn't drawn isn't taken, so a source of any size takes its target within one block, which is
+less than a hundredth of it, or a word.
 
 Sources may be many: their order, cumulative targets and the level of the reshared excess are two-level sums (per
 bucket of neighbouring sources, then within), as are the ranks of slots and the places of documents, so that neither
@@ -29,8 +32,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 BITS = 18
+LEAST_SLOTS = 128
 SLOTS = 1 << BITS
-CHUNKS = 256
+#: Parts of the schedule, a power of two, by which the ranks of a source's slots are summed up.
+CHUNK_BITS = 8
+BIG = "decimal(38, 0)"
+#: What a document's place carries of its source.
+PLACED = ["source_no", "source_size", "target", "goal", "level", "total"]
 #: Sources that share a bucket of their order, and buckets of their fill ratio to a doubling.
 NEIGHBOURS, STEPS = 4096, 64
 
@@ -101,26 +109,36 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     )
 
 
-def reversed_bits(k: Column, bits: int) -> Column:
-    """The number whose ``bits`` binary digits are those of k in reverse."""
-    return F.conv(F.reverse(F.lpad(F.bin(k), bits, "0")), 2, 10).cast("long")
+def reversed_bits(k: str, bits: str) -> Column:
+    """The number whose binary digits, as many as ``bits`` says, are those of k in reverse."""
+    return F.conv(F.reverse(F.expr(f"lpad(bin({k}), {bits}, '0')")), 2, 10).cast("long")
 
 
-def schedule(targets: DataFrame, bits: int = BITS) -> tuple[DataFrame, int]:
-    """The mix's slots (slot, source_no, rank; rank counts a source's slots from 0) and all words of the mix."""
-    slots = 1 << bits
-    goals = targets.select("source_no", F.round("target").cast("long").alias("goal"), F.floor(F.col("source_no") / NEIGHBOURS).alias("near"))
+def levels(targets: DataFrame, bits: int = BITS) -> tuple[DataFrame, int]:
+    """targets with goal (whole words), total (all words of the mix) and level (m: the source's slots are 2^-m of the mix)."""
+    goals = targets.withColumn("goal", F.round("target").cast("long"))
     total = goals.agg(F.sum("goal")).first()[0] or 0
-    if not total:
-        return targets.sparkSession.createDataFrame([], "slot long, source_no long, rank long"), 0
+    power = lambda b: f"cast(shiftleft(1L, {b}) as decimal(19, 0))"
+    # The least level with enough slots or slots of at most a word; 2^62 is more than all words of any mix.
+    enough = F.expr(f"filter(sequence({bits}, 62), b -> cast(goal as decimal(19, 0)) * {power('b')} >= cast({LEAST_SLOTS * total} as decimal(38, 0)) or {power('b')} >= {total}L)[0]")
+    return goals.withColumn("level", enough).withColumn("total", F.lit(total).cast("long")), total
+
+
+def schedule(targets: DataFrame, bits: int = BITS) -> DataFrame:
+    """The mix's slots: source_no, rank (counts a source's slots from 0) and slot, the one of 2^bits that it is or is part of.
+
+    targets have levels.
+    """
+    goals = targets.where("goal > 0").select("source_no", "goal", "level", "total", F.floor(F.col("source_no") / NEIGHBOURS).alias("near"))
     before = prefix(goals, [], "near", ["source_no"], F.col("goal"), "before")
-    # The points in [before, before + goal) / total, as multiples of 1 / slots.
-    least = lambda words: F.expr(f"({slots}L * ({words}) + {total - 1}L) div {total}L")
-    held = before.withColumn("lo", least("cast(before as bigint)")).withColumn("hi", least("cast(before as bigint) + goal"))
-    points = held.where("hi > lo").select("source_no", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("point"))
-    drawn = points.select("source_no", reversed_bits(F.col("point"), bits).alias("slot"))
-    chunked = written(drawn.withColumn("chunk", F.floor(F.col("slot") * CHUNKS / slots).cast("long")), "mix-slots")
-    return prefix(chunked, ["source_no"], "chunk", ["slot"], F.lit(1), "rank").select("slot", "source_no", F.col("rank").cast("long").alias("rank")), total
+    # The points in [before, before + goal) / total, as multiples of 2^-level.
+    least = lambda words: F.expr(f"(cast({words} as decimal(19, 0)) * cast(shiftleft(1L, level) as decimal(19, 0)) + total - 1) div total")
+    held = before.withColumn("lo", least("before")).withColumn("hi", least("before + goal"))
+    points = held.where("hi > lo").select("source_no", "level", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("point"))
+    drawn = points.select("source_no", "level", reversed_bits("point", "level").alias("fine"))
+    part = lambda n: F.expr(f"case when level >= {n} then shiftright(fine, level - {n}) else shiftleft(fine, {n} - level) end")
+    chunked = written(drawn.withColumn("chunk", part(CHUNK_BITS)).withColumn("slot", part(bits)), "mix-slots")
+    return prefix(chunked, ["source_no"], "chunk", ["fine"], F.lit(1), "rank").select("source_no", F.col("rank").cast("long").alias("rank"), "slot")
 
 
 def positioned(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -133,34 +151,35 @@ def positioned(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     keyed = (
         sizes.where("size > 0")
         .withColumn("key", key)
-        .join(targets.select(F.col("source").alias("s"), "source_no", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
+        .join(targets.select(F.col("source").alias("s"), *PLACED), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
         .withColumn("bucket", F.substring("key", 1, digits))
     )
     placed = prefix(keyed, ["source_no"], "bucket", ["key", "doc_id", "size"], F.col("size") * F.col("alike"), "first")
     each = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1)).alias("copy"))
-    return each.select("doc_id", "source", "size", "source_no", "source_size", "target", (F.col("first") + F.col("copy") * F.col("size")).cast("long").alias("at"))
+    return each.select("doc_id", "source", "size", *PLACED, (F.col("first") + F.col("copy") * F.col("size")).cast("long").alias("at"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, bits: int = BITS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, first_slot, last_slot of every document, by joining slots with blocks.
 
-    Block r of a source holds the words from r * total / 2^bits on, rounded down, of its stream, which ends after two
+    Block r of a source holds the words from r * total / 2^level on, rounded down, of its stream, which ends after two
     rounds. first_slot and last_slot are the slots that take the document's words; null where none does.
     """
     sizes = written(measured(docs), "mix-sizes")
-    targets = written(source_targets(sizes, weights, share), "mix-targets")
-    slots, total = schedule(targets, bits)
+    targets = written(levels(source_targets(sizes, weights, share), bits)[0], "mix-targets")
+    slots = schedule(targets, bits)
     places = written(positioned(sizes, targets), "mix-places")
-    n, t = f"{1 << bits}L", f"{max(total, 1)}L"
+    n, big = "cast(shiftleft(1L, level) as decimal(19, 0))", lambda x: f"cast({x} as decimal(18, 0))"
     pieces = (
-        places.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+        places.where("goal > 0")
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
         .withColumn("lo", F.col("epoch") * F.col("source_size") + F.col("at"))
         .withColumn("hi", F.col("lo") + F.col("size"))
-        # Block r holds word w if r * t div n <= w < (r + 1) * t div n; no slot is drawn past the target and a block.
-        .where(F.col("lo") < F.col("target") + F.expr(f"4 * ({t} div {n} + 1)"))
-        .withColumn("rank", F.expr(f"explode(sequence(((lo + 1L) * {n} - 1L) div {t}, (hi * {n} - 1L) div {t}))"))
-        .withColumn("words", F.expr(f"least(hi, (rank + 1L) * {t} div {n}) - greatest(lo, rank * {t} div {n})"))
+        # Block r holds word w if r * total div n <= w < (r + 1) * total div n; no slot is drawn past the target and a block.
+        .where(F.expr(f"lo < target + 4 * (total div {n} + 1)"))
+        .withColumn("rank", F.expr(f"explode(sequence(({big('lo + 1')} * {n} - 1) div total, ({big('hi')} * {n} - 1) div total))"))
+        .withColumn("words", F.expr(f"least(hi, {big('rank + 1')} * total div {n}) - greatest(lo, {big('rank')} * total div {n})"))
     )
     joined = pieces.where("words > 0").join(slots, ["source_no", "rank"])
     taken = joined.groupBy("source_no", "at").agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licenses import BASE, templates
-from .mixing import BITS
+from .mixing import BITS, LEAST_SLOTS
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -61,14 +61,17 @@ f AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS B
 t AS (SELECT source, CAST(n AS BIGINT) AS source_size, CASE WHEN cap / weight <= level THEN cap ELSE weight * first_value(level) OVER (ORDER BY cap / weight <= level, cap / weight, k) END AS target FROM f),
 k AS (SELECT *, CAST(round(target) AS BIGINT) AS goal, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM t),
 c AS (SELECT *, CAST(sum(goal) OVER (ORDER BY no) AS BIGINT) - goal AS before, CAST(sum(goal) OVER () AS BIGINT) AS words FROM k),
-p AS (SELECT k AS slot, REVERSED AS point FROM range(SLOTS) AS x(k)),
-r AS (SELECT c.no, slot, row_number() OVER (PARTITION BY c.no ORDER BY slot) - 1 AS rank, words FROM p JOIN c ON point * words >= SLOTS * before AND point * words < SLOTS * (before + goal)),
-b AS (SELECT no, slot, rank * words // SLOTS AS first, (rank + 1) * words // SLOTS AS stop FROM r),
+l AS (SELECT *, list_filter(range(BITS, 63), lambda b: CAST(goal AS HUGEINT) * (CAST(1 AS HUGEINT) << b) >= LEAST * words OR (CAST(1 AS HUGEINT) << b) >= words)[1] AS level FROM c WHERE goal > 0),
+g AS (SELECT *, CAST(1 AS HUGEINT) << level AS n FROM l),
+p AS (SELECT no, words, level, n, unnest(range(CAST((before * n + words - 1) // words AS BIGINT), CAST(((before + goal) * n + words - 1) // words AS BIGINT))) AS point FROM g),
+q AS (SELECT *, CAST(list_sum(list_transform(range(level), lambda i: ((point >> i) & 1) << (level - 1 - i))) AS BIGINT) AS fine FROM p),
+r AS (SELECT no, fine >> (level - BITS) AS slot, row_number() OVER (PARTITION BY no ORDER BY fine) - 1 AS rank, words, n FROM q),
+b AS (SELECT no, slot, CAST(rank * words // n AS BIGINT) AS first, CAST((rank + 1) * words // n AS BIGINT) AS stop FROM r),
 o AS (SELECT d.*, c.no, c.source_size, c.target, row_number() OVER () AS i, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY size = 0, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
       FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source),
 e AS (SELECT o.*, epoch * source_size + place AS lo, epoch * source_size + place + size AS hi FROM o, range(2) AS y(epoch)),
 m AS (SELECT i, sum(least(hi, stop) - greatest(lo, first)) AS taken, min(slot) AS first_slot, max(slot) AS last_slot FROM e JOIN b ON b.no = e.no AND b.first < e.hi AND b.stop > e.lo WHERE least(hi, stop) > greatest(lo, first) GROUP BY i)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_slot, last_slot FROM o LEFT JOIN m USING (i)""".replace("REVERSED", " + ".join(f"(((k >> {i}) & 1) << {BITS - 1 - i})" for i in range(BITS))).replace("SLOTS", str(1 << BITS))
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_slot, last_slot FROM o LEFT JOIN m USING (i)""".replace("LEAST ", f"{LEAST_SLOTS} ").replace("BITS", str(BITS))
 
 OP4 = """WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),

@@ -27,7 +27,7 @@ def targets(size, weights=(3, 1, 2)):
         fixed |= {s: 2.0 * size[s] for s in over}
 
 
-def check(df, rows):
+def check(df, rows, bits=mixing.BITS):
     size = sizes(rows)
     want, taken = targets(size), defaultdict(int)
     got = df.collect()
@@ -37,9 +37,9 @@ def check(df, rows):
         assert r["target"] == pytest.approx(want[r["source"]])
         assert (r["first_slot"] is None) == (r["taken"] == 0)
         taken[r["source"]] += r["taken"]
-    block = sum(want.values()) / mixing.SLOTS
+    block = sum(want.values()) / (1 << bits)
     for s, t in want.items():
-        assert abs(taken[s] - t) <= block + 1
+        assert abs(taken[s] - t) <= min(block, t / 100) + 1
     return sorted((tuple(r) for r in got), key=repr)
 
 
@@ -70,36 +70,38 @@ def test_no_words_at_all(spark, documents):
 
 @pytest.mark.parametrize("bits", [4, 11])
 def test_slots_are_drawn_by_points(spark, small, bits):
-    t = mixing.source_targets(mixing.measured(spark.read.parquet(f"{small}/documents.parquet")))
-    slots, total = mixing.schedule(t, bits)
+    t, total = mixing.levels(mixing.source_targets(mixing.measured(spark.read.parquet(f"{small}/documents.parquet"))), bits)
+    slots = mixing.schedule(t, bits)
     goals = {r["source_no"]: round(r["target"]) for r in t.collect()}
-    assert total == sum(goals.values())
-    ends, at = [], 0
+    level = {r["source_no"]: r["level"] for r in t.collect()}
+    assert total == sum(goals.values()) and len(set(level.values())) > 1
+    want, at = [], 0
     for n in sorted(goals):
-        ends.append((at, at + goals[n], n))
+        m = level[n]
+        drawn = [k for k in range(1 << m) if at << m <= int(format(k, f"0{m}b")[::-1], 2) * total < at + goals[n] << m]
+        assert len(drawn) >= mixing.LEAST_SLOTS - 1 or 1 << m >= total
+        want += [(n, r, k >> m - bits) for r, k in enumerate(drawn)]
         at += goals[n]
-    rank, want = defaultdict(int), []
-    for k in range(1 << bits):
-        point = int(format(k, f"0{bits}b")[::-1], 2) * total
-        n = next(n for lo, hi, n in ends if lo << bits <= point < hi << bits)
-        want.append((k, n, rank[n]))
-        rank[n] += 1
-    assert sorted(tuple(r) for r in slots.select("slot", "source_no", "rank").collect()) == want
+    assert sorted(tuple(r) for r in slots.select("source_no", "rank", "slot").collect()) == sorted(want)
 
 
 def test_taken_words_follow_the_slots(spark, small):
     """With few slots, blocks are large: a document whose block no slot draws isn't taken."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    got = mixing.mix(docs, bits=6).collect()
-    taken, goal = defaultdict(int), {}
-    for r in got:
+    t, total = mixing.levels(mixing.source_targets(mixing.measured(docs)), 2)
+    blocks = {r["source"]: (total >> r["level"], r["target"], r["source_size"]) for r in t.collect()}
+    taken = defaultdict(int)
+    for r in mixing.mix(docs, bits=2).collect():
         taken[r["source"]] += r["taken"]
-        goal[r["source"]] = (r["target"], r["source_size"])
-    block = sum(t for t, _ in goal.values()) / 64
-    assert any(abs(taken[s] - t) > 1 for s, (t, _) in goal.items())
-    for s, (t, size) in goal.items():
-        whole = round(taken[s] / block)
-        assert abs(taken[s] - t) <= block + 1 and (taken[s] == 2 * size or abs(taken[s] - whole * block) <= 1)
+    assert any(abs(taken[s] - t) > 1 for s, (_, t, _) in blocks.items())
+    for s, (block, t, size) in blocks.items():
+        assert abs(taken[s] - t) <= block + 1 <= t / 100 + 3
+
+
+def test_very_many_small_sources(spark, documents):
+    """Beside one that has nearly all words, sources of a few words each take their targets too."""
+    rows = [(0, "word " * 200_000, "a")] + [(i, "w " * (1 + i % 9), f"s{i:05}") for i in range(1, 4000)]
+    check(mixing.mix(documents(*rows), bits=6), rows, 6)
 
 
 def test_many_sources_are_numbered_in_order(spark, documents):
