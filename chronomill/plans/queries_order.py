@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rollup, spans, tokens
+from ..operators import nearest, pages, rollup, spans, tokens
 from .queries import Tables, query
 
 _CHANGES = """s AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok, CAST(round(value * 100) AS BIGINT) AS v FROM events WHERE {}),
@@ -71,3 +71,30 @@ def innermost_function(spark, sf_dir):
     found = tokens.swept_tokens(*_tokens_and_functions(Tables(spark, sf_dir)))
     places = _tokens_and_functions(Tables(spark, sf_dir))[1].select(F.col("name").alias("function"), F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"))
     return spans.innermost(found.join(places, "function"), ["file_id", "token_no"], "f_start", "f_end").select("file_id", "token_no", "function")
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS priority, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS day FROM orders),
+n AS (SELECT count(*) // 6 + 1 AS width FROM o), r AS (SELECT *, row_number() OVER (ORDER BY priority DESC NULLS FIRST, day NULLS LAST, o_orderkey) - 1 AS i FROM o)
+SELECT o_orderkey, priority, day, CAST(i // width AS INTEGER) AS page FROM r, n""")
+def pages_by_place(spark, sf_dir):
+    """All rows as six pages, each from the cursor that the one before ends at; orders with nulls and ties. Only the last row of a page reaches the driver."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("priority"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("day"))
+    width, order, down = o.count() // 6 + 1, ["priority", "day", "o_orderkey"], frozenset(["priority"])
+    cursor, out = None, None
+    for k in range(6):
+        page = pages.page_after(o, order, width, cursor, down)
+        named = page.drop(pages.TIES).withColumn("page", F.lit(k))
+        out = named if out is None else out.unionByName(named)
+        cursor = pages.cursor_of(page.orderBy(*pages.ordered(order, down, backwards=True)).limit(1).collect(), order, cursor)
+    return out
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_shipdate AS moment, l_suppkey % 10 AS g FROM lineitem), p AS (SELECT user_id % 10 AS g, ts - INTERVAL 1 DAY * (event_id % 900) AS t, min(event_id) AS id FROM events GROUP BY ALL),
+a AS (SELECT c.*, p.t AS t1, p.id AS id1 FROM c ASOF LEFT JOIN p ON c.g = p.g AND c.moment >= p.t), b AS (SELECT a.*, p.t AS t2, p.id AS id2 FROM a ASOF LEFT JOIN p ON a.g = p.g AND a.moment <= p.t)
+SELECT l_orderkey, l_linenumber, moment, CASE WHEN id2 IS NULL OR (id1 IS NOT NULL AND (moment - t1 < t2 - moment OR (moment - t1 = t2 - moment AND id1 <= id2))) THEN id1 ELSE id2 END AS event_id FROM b""")
+def nearest_to_every_time(spark, sf_dir):
+    """The event nearest in time to every line item, both ways, in groups of a tenth of both tables."""
+    t = Tables(spark, sf_dir)
+    times = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("moment"), (F.col("l_suppkey") % 10).alias("g"))
+    points = t.events.select((F.col("user_id") % 10).alias("g"), (F.col("ts") - F.make_dt_interval((F.col("event_id") % 900).cast("int"))).alias("t"), "event_id")
+    return nearest.nearest_points(times, points, ["g"], "moment", "t", "event_id").select("l_orderkey", "l_linenumber", "moment", "event_id")
