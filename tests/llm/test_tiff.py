@@ -133,3 +133,26 @@ def test_long_texts_take_several_pages(spark, documents):
 def test_equal_texts_have_equal_media(spark, documents):
     a, b = tiff.text_media(documents((1, "same"), (2, "same"))).drop("doc_id").collect()
     assert a == b
+
+
+def test_feature_and_media_equal_plain_code(spark, small, documents):
+    """Features by plain loops over the payload, media columns from the file itself, read by the fields of its directories."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()] + [(-1, None), (-2, "é" * 40)]
+    got = {r["doc_id"]: r for r in tiff.text_media(documents(*rows)).collect()}
+    for doc_id, text in rows:
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        n = len(payload)
+        mean = sum(payload) / n
+        spread = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+        shares = [sum(32 * k <= x < 32 * k + 32 for x in payload) / n for k in range(8)]
+        feature = [float(x) for x in got[doc_id]["feature"].split(",")]
+        assert feature == pytest.approx([mean, spread, *shares], abs=6e-5)
+        media = tiff.store(payload)
+        assert (got[doc_id]["media_bytes"], got[doc_id]["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert media[:4] == b"II*\0" and int.from_bytes(media[4:8], "little") < len(media)
+
+
+def test_one_page_in_many_is_lzw():
+    picked = [next(iter(tiff.read_pages(tiff.store(k.to_bytes(64, "little"))))).compression for k in range(4000)]
+    assert 0.5 < picked.count(tiff.LZW) * tiff.RARE / 4000 < 2 and {tiff.DEFLATE, tiff.PACKBITS} < set(picked)
