@@ -40,6 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.spans import points_in_spans
 from .common import new_folder, partitions
 from .tokens import as_u32, encoder, groups
 
@@ -94,6 +95,7 @@ class ShardWriter:
         self.index, self.keys = [], array("Q")
         self.entries = self.ids = 0
         self.newest = None
+        self.least, self.nulls = None, False
         self._open()
 
     def _open(self) -> None:
@@ -103,6 +105,10 @@ class ShardWriter:
         if key != self.newest:
             self.keys.extend(hashes(key))
             self.newest = key
+            if not key[0]:
+                self.nulls = True
+            elif self.least is None:
+                self.least = id_of(key)
         if self.first is None:
             self.first, shared = key, 0
         else:
@@ -124,6 +130,10 @@ class ShardWriter:
             self.at += len(data)
         self._open()
 
+    def range(self) -> tuple[int | None, int | None, bool]:
+        """The first and the last id that isn't null, and whether there are null ids."""
+        return self.least, id_of(self.newest), self.nulls
+
     def close(self) -> int:
         self.flush()
         bits = max(64, BITS * (len(self.keys) // 2) + 7 & ~7)
@@ -198,6 +208,9 @@ class Shard:
         return list(self.find(doc_id))
 
 
+MANIFEST = pa.schema([("shard", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("has_null", pa.bool_()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("file_bytes", pa.int64())])
+
+
 def opened(uri: str) -> tuple[Shard, object]:
     fs, path = pafs.FileSystem.from_uri(uri)
     source = fs.open_input_file(path)
@@ -217,7 +230,8 @@ def _place(fs: pafs.FileSystem, trial: str, name: str) -> None:
 def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = None, shards: int | None = None) -> DataFrame:
     """Encodes, sorts and writes the documents; returns the manifest, itself a written table.
 
-    Manifest: shard, uri, n_docs, n_ids, file_bytes, ids_before (ids in all earlier shards).
+    Manifest: shard, uri, first_id and last_id (the range of its ids; null ids aside), has_null, n_docs, n_ids, file_bytes,
+    ids_before (ids in all earlier shards).
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "sstable")
@@ -244,18 +258,46 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
             size = writer.close()
             sink.close()
             _place(fs, trial, name)
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": f"{folder}/{name.rsplit('/', 1)[1]}", "n_docs": writer.entries, "n_ids": writer.ids, "file_bytes": size}])
+            yield pa.RecordBatch.from_pylist([{"shard": shard, **dict(zip(("first_id", "last_id", "has_null"), writer.range())), "uri": f"{folder}/{name.rsplit('/', 1)[1]}", "n_docs": writer.entries, "n_ids": writer.ids, "file_bytes": size}], MANIFEST)
 
     manifest = f"{folder}-manifest"
-    ordered.mapInArrow(run, "shard long, uri string, n_docs long, n_ids long, file_bytes long").write.parquet(manifest)
+    ordered.mapInArrow(run, "shard long, first_id long, last_id long, has_null boolean, uri string, n_docs long, n_ids long, file_bytes long").write.parquet(manifest)
     # One row per shard: the only window without partitions.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return spark.read.parquet(manifest).withColumn("ids_before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def lookup(manifest: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, ids (packed, little-endian, of ``width`` bytes each) and width of all entries of the asked ids (doc_id; null
+    too). The shards are found by a sweep over their ranges; a shard that no range leads to isn't opened, and one that is
+    asks its filter and its index."""
+    spark = asked.sparkSession
+    one = F.lit(0).alias("_chronomill_one")
+    ids = asked.select(one, F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ranges = manifest.where("first_id is not null").select(one, "first_id", "last_id", "uri")
+    known = points_in_spans(ids.where("doc_id is not null"), ranges, ["_chronomill_one"], "doc_id", "first_id", "last_id").select("doc_id", "uri")
+    # Null ids stand in the first shard, or in several where there are very many.
+    nulls = manifest.where("has_null").select(one, F.lit(None).cast("long").alias("doc_id"), "uri").join(ids.where("doc_id is null").select("_chronomill_one"), "_chronomill_one", "left_semi").drop("_chronomill_one")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, source, uri = None, None, None
+        for batch in batches:
+            for doc_id, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if wanted != uri:
+                    if source is not None:
+                        source.close()
+                    (shard, source), uri = opened(wanted), wanted
+                for value in shard.find(doc_id):
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([value], pa.binary()), pa.array([shard.width], pa.int32())], names=["doc_id", "ids", "width"])
+
+    dealt = known.unionByName(nulls).repartition(partitions(spark), "uri").sortWithinPartitions("uri", "doc_id")
+    return dealt.mapInArrow(run, "doc_id long, ids binary, width int")
+
+
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every entry, read from the files, and found: the entries that a lookup of
-    its id gives in its shard."""
+    its id gives in its shard; and absent: those that one of an id far off gives (bit 62 turned), which the filter mostly
+    says no to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,12 +306,13 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 dtype = np.dtype(f"<u{shard.width}")
                 lookups, other = opened(uri)
                 rows: list[tuple] = []
-                newest, found = (), 0
+                newest, found, absent = (), 0, 0
                 for doc, ids in shard.scan():
                     n = len(ids) // shard.width
                     if newest != (doc,):
                         newest, found = (doc,), sum(1 for _ in lookups.find(doc))
-                    rows.append((doc, start, n, zlib.crc32(as_u32(ids, dtype)), found))
+                        absent = 0 if doc is None else sum(1 for _ in lookups.find(doc ^ 1 << 62))
+                    rows.append((doc, start, n, zlib.crc32(as_u32(ids, dtype)), found, absent))
                     start += n
                     if len(rows) == 4096:
                         yield _rows(rows)
@@ -280,9 +323,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     spark = manifest.sparkSession
     spread = manifest.select("uri", "ids_before").repartition(partitions(spark), "uri")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, found long")
+    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, found long, absent long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32", "found"])
+    cols = list(zip(*rows)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32", "found", "absent"])

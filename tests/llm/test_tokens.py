@@ -158,6 +158,7 @@ def test_shards(spark, odd, none, tmp_path):
     both = sstable.read_shards(manifest).collect()
     got = [tuple(r)[:4] for r in both]
     alike = [d for d, *_ in ODD]
+    assert all(r["absent"] == 0 for r in both)
     assert all(r["found"] == alike.count(r["doc_id"]) for r in both if alike.count(r["doc_id"]) == 1)
     assert all(1 <= r["found"] <= alike.count(r["doc_id"]) for r in both)
     assert sorted((d is not None, d or 0, n, c) for d, _, n, c in got) == sorted((k, d or 0, len(i), crc(i)) for k, d, i in rows)
@@ -189,6 +190,19 @@ def test_shards_grow_in_number_with_the_rows(spark, documents, monkeypatch, tmp_
     assert [s for _, s, *_ in got] == [0, *np.cumsum([n for _, _, n, _ in got])[:-1].tolist()]
 
 
+def test_lookups_open_the_shards_of_their_ranges(spark, documents, monkeypatch, tmp_path):
+    """Ids of every shard, ids between and beyond them, null and an id that fills several shards."""
+    monkeypatch.setattr(sstable, "SHARD_ROWS", 50)
+    rows = [(7, f"same id {i % 3}") for i in range(120)] + [(10 * i, f"text {i}") for i in range(200)] + [(None, "null one"), (None, "null two")]
+    manifest = sstable.write_shards(documents(*rows), WORDS, 2, folder=f"file://{tmp_path}/l")
+    ranges = sorted((r["first_id"], r["last_id"]) for r in manifest.collect() if r["first_id"] is not None)
+    assert len(ranges) >= 5 and all(b[0] >= a[1] for a, b in zip(ranges, ranges[1:])) and sum(r["has_null"] for r in manifest.collect()) == 1
+    asked = [None, 7, 0, 5, 15, 990, 1990, 1991, -4, 10**15, 990]
+    got = sorted(((r["doc_id"], np.frombuffer(bytes(r["ids"]), f"<u{r['width']}").tolist()) for r in sstable.lookup(manifest, spark.createDataFrame([(x,) for x in asked], "doc_id long")).collect()), key=repr)
+    assert got == sorted(((d, plain(WORDS, t) + [2]) for d, t in rows if d in asked), key=repr)
+    assert sstable.lookup(manifest, spark.createDataFrame([], "doc_id long")).collect() == []
+
+
 def test_a_block_of_one_very_long_value():
     import io
 
