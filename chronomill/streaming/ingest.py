@@ -33,7 +33,8 @@ def current_states(stream: DataFrame, path: str = "path", order: list[str] | Non
 
 
 def windowed_counts(stream: DataFrame, time: str, width: str, late: str, by: list[str]) -> DataFrame:
-    """Events per window and group, late rows accepted within the watermark."""
+    """Events per window and group. The watermark has effect in update and append mode; in complete mode, as in
+    latest_table, all windows stay and no row is dropped (see states.closed_windows for the other)."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
