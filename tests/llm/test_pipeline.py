@@ -49,6 +49,6 @@ def test_stages_take_a_very_long_text(spark, small, documents):
 
 def test_queries_are_registered():
     names = list(__spark_entry__.queries())
-    assert [n for n in names if n.startswith("op")] == [n for n in names if n.split("_")[0] in {f"op{i}" for i in range(1, 11)}]
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert [n for n in names if n.startswith("op")] == [n for n in names if n.split("_")[0] in {f"op{i}" for i in range(1, 14)}]
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
