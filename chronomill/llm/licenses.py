@@ -35,7 +35,7 @@ TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-grant",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
 }
-# Whole license texts and headers, as published.
+# License texts and headers, as published; gpl-text and apache-header are headers, bsd-text and isc-text begin their texts.
 TEXTS = {
     "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including without

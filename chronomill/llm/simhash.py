@@ -16,16 +16,16 @@ verified on their bits. Pivots of two kinds are used:
 
 Buckets are handled without making their pairs: one row (node, root) per linked member. At radius 3 a bucket of over
 ``LARGEST_BUCKET`` fingerprints is dealt anew on finer blocks of its remaining coordinates (any pair within 3 bits
-still agrees on 5 of 8), which for 64 bits leaves at most 2^12 different fingerprints. At the wide radius, where no
-such blocks exist, it is compared whole: in salted blocks that all meet ``ROOTS`` chosen members, and then, since
-members of one component need no further link, each member outside the bucket's largest component with all others.
+still agrees on 5 of 8), which for 64 bits leaves at most 2^12 different fingerprints, no more than ``LARGEST_BUCKET``.
+With a smaller limit such a bucket is compared whole, in salted blocks.
 Equal fingerprints are one node, so copies cost nothing.
 
-Beyond what blocks can do exactly, the wide radius of similarity 0.8, see ``similar``.
+So blocks choose the candidates and pivot tables discard among them. For the wide radius of a similarity of 0.8, where
+no such blocks exist, see ``similar``.
 
 Defined cases: null text counts as empty and, like every text without words, has fingerprint zero; fewer words than a
 shingle: the whole sequence is the one shingle; null ids take part but never name a component (a component of null
-ids only is null); repeated rows are rows of their own; an empty table gives no rows; other columns are ignored.
+ids only is null); a very long text is hashed whole, in stretches; repeated rows are rows of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
