@@ -2,8 +2,11 @@
 
 A document's fingerprint has ``BITS`` bits: a bit is set if it is set in over half of the hashes of its distinct shingles.
 The share of bits in which two fingerprints differ is the angle between their shingle sets over pi, from which the
-Jaccard similarity follows. Two fingerprints link if they differ in no more bits than those of similarity 0.8 do on
-average, plus ``DEVIATIONS`` standard deviations of that number, so that most pairs just above 0.8 link too.
+Jaccard similarity follows. Two fingerprints are near if they differ in no more bits than those of similarity 0.8 do on
+average, plus ``DEVIATIONS`` standard deviations of that number, so that hardly a pair of 0.8 or more is missed.
+Documents that near fingerprints connect are then compared by their shingles themselves: two near ones link if the exact
+Jaccard similarity of their sets is 0.8 or more, and none below it does. Each set moves only if its document is near
+another, and is met once however many buckets the document shares.
 
 Candidates share one of ``BANDS`` keys, each made of ``ROWS`` least hashes of the shingles: a pair of similarity 0.8 shares
 none with a probability of 0.0004, unrelated documents hardly ever share one. Within a candidate bucket, reference
@@ -13,7 +16,9 @@ difference, and survivors are verified on their bits.
 Buckets are handled without making their pairs: one row (node, root) per linked member; buckets of the same members
 are compared once. A bucket of over ``LARGEST_BUCKET`` fingerprints is compared whole too: in salted blocks that all meet
 ``ROOTS`` chosen members, and then, since members of one component need no further link, each member outside the
-bucket's largest component with all others. Equal fingerprints are one node, named by a 64-bit hash, so copies cost nothing.
+bucket's largest component with all others. Groups of near documents are compared in the same way, their size being that
+of their sets, at most ``LARGEST_SETS`` bytes at a time. Equal fingerprints are one node, named by a 64-bit hash, so copies
+cost nothing; sets of a similarity below 0.97 or so don't have equal ones.
 
 Defined cases: null text counts as empty; all texts without words are one group; fewer words than a shingle: the whole
 sequence is the one shingle; a very long text is read in stretches and keeps 8 bytes a word; null ids take part but
@@ -23,7 +28,7 @@ rows; other columns are kept. ``deduplicated`` adds columns whose names start wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +40,13 @@ from .components import components
 from .simhash import shingle_hashes
 
 BITS = 512
-DEVIATIONS = 1.0
+DEVIATIONS = 3.0
 BANDS, ROWS = 20, 5
 LARGEST_BUCKET = 4096
+#: Bytes of shingle sets that are compared in one group.
+LARGEST_SETS = 1 << 26
+#: Bytes of shingle sets in one batch of rows.
+BATCH = 1 << 25
 #: About how many members of a larger bucket meet all others first.
 ROOTS = 64
 PIVOTS = 8
@@ -54,7 +63,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Signer:
-    """sign(text): a text's fingerprint and the keys of its bands."""
+    """sign(text): a text's fingerprint, the keys of its bands and its distinct shingles' hashes, sorted."""
 
     def __init__(self, k: int):
         rng = np.random.default_rng(SEED)
@@ -64,7 +73,7 @@ class Signer:
         self.odd = rng.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.place = rng.integers(1 << 63, size=ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def sign(self, text: str | None) -> tuple[bytes, np.ndarray]:
+    def sign(self, text: str | None) -> tuple[bytes, np.ndarray, bytes]:
         hashes = [np.frombuffer(raw, ">u8").astype(np.uint64) for raw in shingle_hashes(text, self.k)]
         x = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         counts = np.zeros(BITS, np.int64)
@@ -75,21 +84,35 @@ class Signer:
             counts += bits.sum(axis=0, dtype=np.uint32)
             np.minimum(least, ((part ^ self.turns) * self.odd).min(axis=0), out=least)
         bands = mixed((mixed(least).reshape(BANDS, ROWS) * self.place).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-        return np.packbits(counts * 2 > len(x)).tobytes(), bands.view(np.int64)
+        return np.packbits(counts * 2 > len(x)).tobytes(), bands.view(np.int64), x.tobytes()
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, print, bands of every row."""
+    """doc_id, text_hash, print, bands, shingles (sorted 64-bit hashes) of every row."""
+    names = ["doc_id", "text_hash", "print", "bands", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(k)
+
+        def made(batch: pa.RecordBatch, start: int, signed: list[tuple]) -> pa.RecordBatch:
+            rows = batch.slice(start, len(signed))
+            kinds = [pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            columns = [pa.array([s[i] for s in signed], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *columns], names=names)
+
         for batch in batches:
-            signed = [signer.sign(text.as_py()) for text in batch.column(1)]
-            columns = [pa.array([p for p, _ in signed], pa.binary()), pa.array([b for _, b in signed], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "text_hash", "print", "bands"])
+            start, signed, held = 0, [], 0
+            for text in batch.column(1):
+                signed.append(signer.sign(text.as_py()))
+                held += len(signed[-1][2])
+                if held > BATCH:
+                    yield made(batch, start, signed)
+                    start, signed, held = start + len(signed), [], 0
+            if signed:
+                yield made(batch, start, signed)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, print binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, print binary, bands array<long>, shingles binary")
 
 
 def radius_of(similarity: float, bits: int = BITS, deviations: float = DEVIATIONS) -> int:
@@ -112,11 +135,22 @@ def far_apart(prints: np.ndarray, most: int = PIVOTS) -> np.ndarray:
     return table
 
 
-def bucket_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def alike(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the others, sorted distinct values each, have a Jaccard similarity to one of at least ``similarity``."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat if len(one) else np.zeros(len(flat), bool)
+    stops = np.cumsum(sizes)
+    met = np.concatenate([[0], np.cumsum(hit)])
+    common = met[stops] - met[stops - sizes]
+    return common + 1e-9 >= similarity * (sizes + len(one) - common)
+
+
+def bucket_links(prints: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0.0) -> list[tuple[int, int]]:
     """(member, root) positions of a bucket's members that are linked to others, without making the pairs.
 
     Members are sorted by their distance to the first reference, which bounds where partners lie; the rest of the
-    table discards, and the bits verify.
+    table discards, the bits verify, and where sets are given, their similarity decides.
     """
     table = far_apart(prints)
     order = np.argsort(table[:, 0], kind="stable")
@@ -135,6 +169,8 @@ def bucket_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
             open_ = lo + np.flatnonzero(root[lo:hi] < 0)
             near = open_[np.abs(table[open_] - table[i]).max(axis=1) <= radius] if len(open_) else open_
             near = near[np.bitwise_count(prints[near] ^ prints[i]).sum(axis=1) <= radius] if len(near) else near
+            if sets is not None and len(near):
+                near = near[alike(sets[order[i]], [sets[order[j]] for j in near], similarity)]
             root[near] = start
             left -= len(near)
             queue += near.tolist()
@@ -160,25 +196,40 @@ def _linked(lists: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
     return full.groupBy("list").agg(F.collect_list(F.struct("node", "print")).alias("members")).select("members").mapInArrow(run, "a long, b long")
 
 
-def _large(many: DataFrame, nodes: DataFrame, known: DataFrame, radius: int) -> list[DataFrame]:
-    """Edges of whole buckets over ``LARGEST_BUCKET``: rows (key, node, n), n members each; known has edges found elsewhere.
+def _linked_sets(lists: DataFrame, held: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of lists (list, node): near prints whose sets are alike. A list's members come to one call."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names = group.column("node").to_numpy()
+        prints = np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint64).reshape(len(names), -1)
+        sets = [np.frombuffer(raw, np.uint64) for raw in group.column("shingles").to_pylist()]
+        links = np.array(bucket_links(prints, radius, sets, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"a": names[links[:, 0]], "b": names[links[:, 1]]})
+
+    return spread_join(lists, held, "node", ["list"]).groupBy("list").applyInArrow(run, "a long, b long")
+
+
+def _large(many: DataFrame, link: Callable[[DataFrame], DataFrame], known: DataFrame, largest: float) -> list[DataFrame]:
+    """Edges of whole large buckets: rows (key, node, n, weight), n members each that weigh ``weight`` on average, as
+    ``link`` finds them in lists that weigh about ``largest`` at most; known has edges found elsewhere.
 
     Rows and compared pairs grow with members times those outside the bucket's largest component.
     """
-    half = max(1, LARGEST_BUCKET // 2)
+    half = F.greatest(F.lit(1), F.floor(F.lit(largest / 2) / F.col("weight")))  # members of half a list
     dealt = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
-    listed = lambda rows, by: _linked(rows.select(F.xxhash64(*by).alias("list"), "node").distinct(), nodes, radius)
-    blocks = many.withColumn("blocks", F.ceil(F.col("n") / half)).withColumn("block", dealt(1, F.col("blocks")))
+    listed = lambda rows, by: link(rows.select(F.xxhash64(*by).alias("list"), "node").distinct())
+    blocks = many.withColumn("half", half).withColumn("blocks", F.ceil(F.col("n") / F.col("half"))).withColumn("block", dealt(1, F.col("blocks")))
     blocks = written(blocks, "similar-large")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    roots = blocks.where(dealt(2, F.col("n")) < ROOTS).withColumn("block", every)
+    roots = blocks.where(dealt(2, F.col("n")) < F.least(F.lit(ROOTS), F.col("half"))).withColumn("block", every)
     place = ["key", "block", "node"]
     stars = written(listed(blocks.select(place).union(roots.select(place)), ["key", "block"]), "similar-stars")
     labels = components(known.union(stars))
     named = blocks.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    named = written(named.select(*place, "blocks", "label"), "similar-named")
-    main = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("m"))
-    main = written(main.where("m > 0").withColumn("parts", F.ceil(F.col("m") / half)).drop("m"), "similar-main")
+    named = written(named.select(*place, "blocks", "half", "label"), "similar-named")
+    sums = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("count"), F.any_value("half").alias("half"))
+    main = sums.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("m"), F.any_value("half").alias("half"))
+    main = written(main.where("m > 0").select("key", "main", F.ceil(F.col("m") / F.col("half")).alias("parts")), "similar-main")
     if not main.limit(1).count():
         return [stars]
     open_ = named.join(main, "key")
@@ -201,17 +252,43 @@ def edges(nodes: DataFrame, radius: int) -> DataFrame:
     if not larger.limit(1).count():
         return found
     out = found
-    for more in _large(rows.join(larger, "key"), nodes, found, radius):
+    link = lambda lists: _linked(lists, nodes, radius)
+    for more in _large(rows.join(larger, "key").withColumn("weight", F.lit(1)), link, found, LARGEST_BUCKET):
+        out = out.union(more)
+    return out
+
+
+def verified(near: DataFrame, held: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of near prints with alike sets, from groups near (node, root) and held (node, print, shingles)."""
+    weighed = near.join(held.select("node", F.length("shingles").alias("bytes")), "node")
+    sizes = weighed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    fits = (F.col("n") <= LARGEST_BUCKET) & (F.col("bytes") <= LARGEST_SETS)
+    sizes = written(sizes.withColumn("fits", fits), "similar-groups")
+    link = lambda lists: _linked_sets(lists, held, radius, similarity)
+    placed = written(spread_join(near, sizes, "root", ["node"]), "similar-near")
+    found = written(link(placed.where("fits").select(F.col("root").alias("list"), "node")), "similar-verified")
+    if not sizes.where("not fits").limit(1).count():
+        return found
+    # A member weighs the bytes of an average set, and no less than its share of the largest list.
+    weight = F.greatest(F.col("bytes") / F.col("n"), F.lit(LARGEST_SETS / LARGEST_BUCKET))
+    out = found
+    for more in _large(placed.where("not fits").select(F.col("root").alias("key"), "node", "n", weight.alias("weight")), link, found, LARGEST_SETS):
         out = out.union(more)
     return out
 
 
 def _groups(docs: DataFrame, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, text_hash, node) and, of each node, its root and the least (no id, doc_id, text_hash) in it."""
-    signed = written(signatures(docs, k).withColumn("node", F.xxhash64("print")), "similar-prints")
-    least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    signed = signatures(docs, k).withColumn("node", F.xxhash64("print")).withColumn("row", F.monotonically_increasing_id())
+    signed = written(signed, "similar-prints")
+    least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "row")
     nodes = written(signed.groupBy("node").agg(F.any_value("print").alias("print"), F.any_value("bands").alias("bands"), F.min(least).alias("least")), "similar-nodes")
-    roots = components(edges(nodes, radius_of(similarity)))
+    radius = radius_of(similarity)
+    near = components(edges(nodes, radius))
+    # The shingles of a node are those of its least row; row numbers are unique and don't change, as they are written.
+    one = near.join(nodes, "node").select("node", "print", F.col("least.row").alias("row"))
+    held = written(signed.select("row", "shingles").join(one, "row").select("node", "print", "shingles"), "similar-sets")
+    roots = components(verified(near, held, radius, similarity))
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     return signed.select("doc_id", "text_hash", "node"), written(named, "similar-roots")
 
