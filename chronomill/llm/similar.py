@@ -46,7 +46,7 @@ LARGEST_BUCKET = 4096
 #: Bytes of shingle sets that are compared in one group.
 LARGEST_SETS = 1 << 26
 #: Bytes of shingle sets in one batch of rows.
-BATCH = 1 << 25
+BATCH = 1 << 22
 #: About how many members of a larger bucket meet all others first.
 ROOTS = 64
 PIVOTS = 8
@@ -62,8 +62,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct_shingles(text: str | None, k: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, sorted."""
+    hashes = [np.frombuffer(raw, ">u8").astype(np.uint64) for raw in shingle_hashes(text, k)]
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
 class Signer:
-    """sign(text): a text's fingerprint, the keys of its bands and its distinct shingles' hashes, sorted."""
+    """sign(text): a text's fingerprint and the keys of its bands."""
 
     def __init__(self, k: int):
         rng = np.random.default_rng(SEED)
@@ -73,9 +79,8 @@ class Signer:
         self.odd = rng.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.place = rng.integers(1 << 63, size=ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def sign(self, text: str | None) -> tuple[bytes, np.ndarray, bytes]:
-        hashes = [np.frombuffer(raw, ">u8").astype(np.uint64) for raw in shingle_hashes(text, self.k)]
-        x = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    def sign(self, text: str | None) -> tuple[bytes, np.ndarray]:
+        x = distinct_shingles(text, self.k)
         counts = np.zeros(BITS, np.int64)
         least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
         for start in range(0, len(x), STRETCH):
@@ -84,35 +89,43 @@ class Signer:
             counts += bits.sum(axis=0, dtype=np.uint32)
             np.minimum(least, ((part ^ self.turns) * self.odd).min(axis=0), out=least)
         bands = mixed((mixed(least).reshape(BANDS, ROWS) * self.place).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-        return np.packbits(counts * 2 > len(x)).tobytes(), bands.view(np.int64), x.tobytes()
+        return np.packbits(counts * 2 > len(x)).tobytes(), bands.view(np.int64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, print, bands, shingles (sorted 64-bit hashes) of every row."""
-    names = ["doc_id", "text_hash", "print", "bands", "shingles"]
+    """doc_id, text_hash, print, bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(k)
+        for batch in batches:
+            signed = [signer.sign(text.as_py()) for text in batch.column(1)]
+            columns = [pa.array([p for p, _ in signed], pa.binary()), pa.array([b for _, b in signed], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "text_hash", "print", "bands"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, print binary, bands array<long>")
 
-        def made(batch: pa.RecordBatch, start: int, signed: list[tuple]) -> pa.RecordBatch:
-            rows = batch.slice(start, len(signed))
-            kinds = [pa.binary(), pa.list_(pa.int64()), pa.binary()]
-            columns = [pa.array([s[i] for s in signed], kind) for i, kind in enumerate(kinds)]
-            return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *columns], names=names)
 
+def with_shingles(rows: DataFrame, k: int) -> DataFrame:
+    """node, print, text to node, print, shingles (sorted 64-bit hashes), at most about ``BATCH`` bytes of them in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, signed, held = 0, [], 0
-            for text in batch.column(1):
-                signed.append(signer.sign(text.as_py()))
-                held += len(signed[-1][2])
-                if held > BATCH:
-                    yield made(batch, start, signed)
-                    start, signed, held = start + len(signed), [], 0
-            if signed:
-                yield made(batch, start, signed)
+            sets: list[bytes] = []
+            start = held = 0
+            for i, text in enumerate(batch.column(2)):
+                sets.append(distinct_shingles(text.as_py(), k).tobytes())
+                held += len(sets[-1])
+                if held > BATCH or i == batch.num_rows - 1:
+                    part = batch.slice(start, len(sets))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["node", "print", "shingles"])
+                    sets, start, held = [], i + 1, 0
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, print binary, bands array<long>, shingles binary")
+    return rows.select("node", "print", "text").mapInArrow(run, "node long, print binary, shingles binary")
 
 
 def radius_of(similarity: float, bits: int = BITS, deviations: float = DEVIATIONS) -> int:
@@ -279,15 +292,16 @@ def verified(near: DataFrame, held: DataFrame, radius: int, similarity: float) -
 
 def _groups(docs: DataFrame, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, text_hash, node) and, of each node, its root and the least (no id, doc_id, text_hash) in it."""
-    signed = signatures(docs, k).withColumn("node", F.xxhash64("print")).withColumn("row", F.monotonically_increasing_id())
-    signed = written(signed, "similar-prints")
-    least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "row")
+    signed = written(signatures(docs, k).withColumn("node", F.xxhash64("print")), "similar-prints")
+    least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     nodes = written(signed.groupBy("node").agg(F.any_value("print").alias("print"), F.any_value("bands").alias("bands"), F.min(least).alias("least")), "similar-nodes")
     radius = radius_of(similarity)
     near = components(edges(nodes, radius))
-    # The shingles of a node are those of its least row; row numbers are unique and don't change, as they are written.
-    one = near.join(nodes, "node").select("node", "print", F.col("least.row").alias("row"))
-    held = written(signed.select("row", "shingles").join(one, "row").select("node", "print", "shingles"), "similar-sets")
+    # A node's shingles are those of its least row, taken from the text again, so that no other row's are ever written.
+    one = near.join(nodes, "node").select("node", "print", F.col("least.doc_id").alias("l_id"), F.col("least.text_hash").alias("l_hash"))
+    found = _texts(docs).join(one, (F.col("text_hash") == F.col("l_hash")) & F.col("doc_id").eqNullSafe(F.col("l_id")))
+    once = found.groupBy("node").agg(F.any_value("print").alias("print"), F.any_value("text").alias("text"))
+    held = written(with_shingles(once, k), "similar-sets")
     roots = components(verified(near, held, radius, similarity))
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     return signed.select("doc_id", "text_hash", "node"), written(named, "similar-roots")
