@@ -936,4 +936,4 @@ def references_of_definitions(spark, sf_dir):
 
 
 # The further queries register themselves with the functions above.
-from . import queries_diff, queries_order, queries_scope, queries_search, queries_stream  # noqa: E402, F401
+from . import queries_diff, queries_order, queries_payload, queries_scope, queries_search, queries_stream  # noqa: E402, F401
