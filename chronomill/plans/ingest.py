@@ -13,6 +13,7 @@ from ..functions import classify
 from ..functions.keys import natural_id
 from ..functions.text import qualified_name, repo_name
 from ..operators import calls, diffs, rollup
+from ..shared import written
 from ..sources import gitlog
 from ..sources.analysis import file_analysis
 from .catalog import Catalog
@@ -71,12 +72,12 @@ def ingest(catalog: Catalog, path: str, url: str | None = None, language: str |
     codebase_id = base["id"]
     commits = gitlog.read(spark, path, "commits", from_seq)
     # created_at rises strictly with seq, so that as-of order is walk order.
-    versions = commits.select(
+    versions = written(commits.select(
         natural_id(F.lit(codebase_id), F.col("commit_hash")).alias("id"), F.lit(codebase_id).alias("codebase_id"), "seq", "commit_hash", "message", "author_name", "author_email", "committed_at",
         classify.is_fix(F.col("message")).alias("is_fix"), (F.lit(base["created_at"]) + F.make_dt_interval(secs=F.col("seq") / 1e6)).alias("created_at"), "parent_hash",
-    ).cache()
+    ), "ingest-versions")
     keys = versions.select("seq", F.col("id").alias("version_id"), "created_at")
-    deltas = gitlog.read(spark, path, "deltas", from_seq).join(keys, "seq").cache()
+    deltas = written(gitlog.read(spark, path, "deltas", from_seq).join(keys, "seq"), "ingest-deltas")
     diff_id = natural_id(F.lit("diff"), F.col("version_id"))
     stats = diffs.diff_stats(deltas, ["version_id"])
     patches = gitlog.read(spark, path, "patches", from_seq).select("seq", "patch")
@@ -90,7 +91,7 @@ def ingest(catalog: Catalog, path: str, url: str | None = None, language: str |
     hunks = diffs.with_spans(gitlog.read(spark, path, "hunks", from_seq).join(keys, "seq"))
     catalog.upsert("changes", hunks.select(natural_id(diff_id, F.col("hunk_no")).alias("id"), diff_id.alias("diff_id"), "old_path", "new_path", "old_start_line", "old_end_line", "new_start_line", "new_end_line", F.struct("old_span_length", "new_span_length").alias("metrics"), "created_at"))
     analysed = analysed_files(deltas, gitlog.read(spark, path, "blobs", from_seq), compat).join(keys.drop("seq"), "version_id")
-    files = analysed.withColumn("file_id", natural_id(F.lit("file"), F.col("version_id"), F.col("path"))).withColumn("metrics", F.struct(*METRIC_NAMES)).cache()
+    files = written(analysed.withColumn("file_id", natural_id(F.lit("file"), F.col("version_id"), F.col("path"))).withColumn("metrics", F.struct(*METRIC_NAMES)), "ingest-files")
     catalog.upsert("files", files.select(F.col("file_id").alias("id"), "version_id", "path", "language", "metrics", "created_at"))
     catalog.upsert("functions", function_rows(files))
     states = diffs.file_states(deltas.withColumn("seq", F.col("delta_no")), files, ["version_id"]).join(keys.drop("seq"), "version_id")
@@ -99,8 +100,6 @@ def ingest(catalog: Catalog, path: str, url: str | None = None, language: str |
     both = known.select(versions.drop("parent_hash").columns).join(versions.select("id"), "id", "left_anti").unionByName(versions.drop("parent_hash"))
     totals = version_metrics(both, catalog.table("file_states").where(F.col("codebase_id") == codebase_id))
     catalog.upsert("versions", both.join(totals, "id").select("*", natural_id(F.lit("diff"), F.col("id")).alias("diff")))
-    for cached in (versions, deltas, files):
-        cached.unpersist()
     return codebase_id
 
 
