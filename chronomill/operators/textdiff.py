@@ -3,14 +3,15 @@
 A pair's open gaps are rows of line hashes. In every round each gap loses the lines that its two sides share at the start
 and at the end; what is left is joined on lines that stand once on either side, the longest rising run of these anchors
 is kept, and the gaps between them are the next round's. A gap without anchors is a change. Rounds end when none is open;
-each is written to the shared folder, and a round with n open lines shuffles n hashes, which partial sums make fewer.
+each is written to the shared folder, and a round shuffles the hashes of its open lines.
 
 Lines hold their newline, so a last line without one differs from the same line with one. Runs of equal hashes count only
 if the lines themselves are equal.
 
-Defined cases: a null text is an empty one; an empty text has no lines; pairs alike in key and texts are one; pairs of one
-key with other texts are pairs of their own, told apart by ``pair_hash``; nulls in a key are values like others; columns
-beside keys and texts are left out; of no pairs there are no hunks. A pair's lines meet in one row, as its texts do.
+Defined cases: a null text is an empty one; an empty text has no lines; keys with a null have no partner; a repeated key
+pairs each of its old texts with each of its new ones, told apart by ``pair_hash``, and rows that are alike stay as many
+as they are; columns beside keys and texts are left out; of no pairs there are no hunks. A pair's lines meet in one row,
+as its texts do.
 """
 
 from __future__ import annotations
@@ -106,17 +107,15 @@ def _split(inner: DataFrame, anchors: DataFrame) -> DataFrame:
     return placed.select("pair", (F.col("old_at") + F.col("o1")).alias("old_at"), part("old", "o"), (F.col("new_at") + F.col("n1")).alias("new_at"), part("new", "n"))
 
 
-def _runs(pairs: DataFrame) -> DataFrame:
-    """pair, old_at, new_at, n: runs of n lines that are alike by their hashes."""
-    hashes = lambda c: F.transform(lines(F.col(c)), lambda x: F.xxhash64(x)).alias(c)
-    gaps = pairs.select("pair", F.lit(0).alias("old_at"), hashes("old"), F.lit(0).alias("new_at"), hashes("new"))
+def _runs(gaps: DataFrame) -> DataFrame:
+    """pair, o, n, len: runs of lines that are alike by their hashes, and of each pair a row with len 0 or more."""
     runs = None
     while True:
         trimmed = written(_trimmed(gaps), "diff-gaps")
         o, n, p, s = F.col("old_at"), F.col("new_at"), F.col("p"), F.col("s")
         ends = F.array(F.struct(o.alias("o"), n.alias("n"), p.alias("len")), F.struct((o + F.size("old") - s).alias("o"), (n + F.size("new") - s).alias("n"), s.alias("len")))
-        found = trimmed.select("pair", F.inline(ends)).where("len > 0")
-        runs = found if runs is None else runs.union(found)
+        found = trimmed.select("pair", F.inline(ends))
+        runs = found if runs is None else runs.union(found.where("len > 0"))
         inner = _inner(trimmed)
         anchors = written(_anchors(inner), "diff-anchors")
         if not anchors.limit(1).count():
@@ -127,21 +126,27 @@ def _runs(pairs: DataFrame) -> DataFrame:
         gaps = _split(inner, anchors)
 
 
-def edit_scripts(pairs: DataFrame, key: list[str], old: str = "old_text", new: str = "new_text") -> DataFrame:
+def edit_scripts(old: DataFrame, new: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """*key, pair_hash, old_text, new_text and edits: array of (old_from, old_to, new_from, new_to, added), in order.
 
-    An edit puts the lines ``added`` in the place of the old lines from old_from up to, not with, old_to; lines count from 0.
+    old and new have a text for each key. An edit puts the lines ``added`` in the place of the old lines from old_from up
+    to, not with, old_to; lines count from 0. Rounds move hashes; the texts move once, to where their edits are.
     """
-    ship(pairs.sparkSession)
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (old, new)]
-    named = pairs.select(*key, texts[0].alias("old"), texts[1].alias("new")).withColumn(PAIR, F.xxhash64(F.sha2("old", 256), F.sha2("new", 256)))
-    named = written(named.withColumn("pair", F.struct(*key, PAIR)).select("pair", "old", "new").dropDuplicates(["pair"]), "diff-pairs")
-    runs = _runs(named).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("o", "n", "len"))).alias("runs"))
-    same = [F.col("pair")[c].eqNullSafe(F.col("of")[c]) for c in [*key, PAIR]]
-    full = named.join(runs.withColumnRenamed("pair", "of"), _all(same), "left").withColumns({"a": lines(F.col("old")), "b": lines(F.col("new"))})
+    ship(old.sparkSession)
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    named = lambda df, c: df.select(*key, whole.alias(c), F.xxhash64(F.sha2(whole, 256)).alias(f"{c}_hash"))
+    hashed = lambda df, c: named(df, c).select(*key, F.transform(lines(F.col(c)), lambda x: F.xxhash64(x)).alias(c), f"{c}_hash")
+    pair_hash = F.xxhash64("old_hash", "new_hash")
+    both = hashed(old, "old").join(hashed(new, "new"), key).withColumn("pair", F.struct(*key, pair_hash.alias(PAIR)))
+    gaps = both.select("pair", F.lit(0).alias("old_at"), "old", F.lit(0).alias("new_at"), "new").dropDuplicates(["pair"])
+    lists = _runs(gaps).groupBy("pair").agg(F.array_sort(F.collect_list(F.when(F.col("len") > 0, F.struct("o", "n", "len")))).alias("runs"))
+    of = lists.select(*[F.col("pair")[c].alias(c) for c in key], F.col("pair")[PAIR].alias("of"), "runs")
+    # An equality of two columns would become a join key, for which the joined texts would be shuffled again.
+    texts = named(old, "old").join(named(new, "new"), key).withColumn(PAIR, pair_hash)
+    full = texts.join(of, key).where(F.col(PAIR).bitwiseXOR(F.col("of")) == 0).withColumns({"a": lines(F.col("old")), "b": lines(F.col("new"))})
     equal = lambda r: F.slice("a", r["o"] + 1, r["len"]) == F.slice("b", r["n"] + 1, r["len"])
     end = F.array(F.struct(F.size("a").alias("o"), F.size("b").alias("n"), F.lit(0).alias("len")))
-    held = full.withColumn("runs", F.concat(F.filter(F.coalesce("runs", F.array().cast(runs.schema["runs"].dataType)), equal), end))
+    held = full.withColumn("runs", F.concat(F.filter("runs", equal), end))
 
     def edit(r: Column, i: Column) -> Column:
         before = F.get(F.col("runs"), i - 1)
@@ -149,14 +154,7 @@ def edit_scripts(pairs: DataFrame, key: list[str], old: str = "old_text", new: s
         return F.struct(o.alias("old_from"), r["o"].alias("old_to"), n.alias("new_from"), r["n"].alias("new_to"), F.slice("b", n + 1, r["n"] - n).alias("added"))
 
     changed = F.filter(F.transform("runs", edit), lambda e: (e["old_to"] > e["old_from"]) | (e["new_to"] > e["new_from"]))
-    return held.select(*[F.col("pair")[c].alias(c) for c in [*key, PAIR]], F.col("old").alias("old_text"), F.col("new").alias("new_text"), changed.alias("edits"))
-
-
-def _all(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p
-    return out
+    return held.select(*key, PAIR, F.col("old").alias("old_text"), F.col("new").alias("new_text"), changed.alias("edits"))
 
 
 def patched(old_text: Column, edits: Column) -> Column:

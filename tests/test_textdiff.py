@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from chronomill.operators import textdiff
 
-P = "id long, old_text string, new_text string, a string"
+T = "id long, text string, edits string"
 
 
 def scripts(spark, pairs):
-    return textdiff.edit_scripts(spark.createDataFrame([(i, o, n, "x") for i, o, n in pairs], P), ["id"])
+    old, new = (spark.createDataFrame([(p[0], p[k], "x") for p in pairs], T) for k in (1, 2))
+    return textdiff.edit_scripts(old, new, ["id"])
 
 
 def cut(text):
@@ -57,7 +58,7 @@ def random_pairs(seed, n):
 def test_edits_make_the_new_text(spark):
     pairs = TEXTS + list(random_pairs(1, 120))
     rows = scripts(spark, pairs).withColumn("made", textdiff.patched(F.col("old_text"), F.col("edits"))).collect()
-    assert sorted((r.id or 0) for r in rows) == sorted((p[0] or 0) for p in pairs)
+    assert sorted(r.id for r in rows) == sorted(p[0] for p in pairs if p[0] is not None)
     for r in rows:
         assert r.made == r.new_text == rebuilt(r.old_text, r.edits)
     of = {r.id: [(e.old_from, e.old_to, e.new_from, e.new_to) for e in r.edits] for r in rows}
@@ -107,8 +108,8 @@ def test_hunks_equal_those_of_git(spark, tmp_path):
 
 
 def test_repeated_rows_and_keys(spark):
-    rows = scripts(spark, [(1, "a\n", "b\n"), (1, "a\n", "b\n"), (1, "a\n", "c\n")]).collect()
-    assert sorted((r.id, r.new_text, len(r.edits)) for r in rows) == [(1, "b\n", 1), (1, "c\n", 1)]
+    rows = scripts(spark, [(1, "a\n", "b\n"), (1, "a\n", "a\n"), (2, "a\n", "c\n")]).collect()
+    assert sorted((r.id, r.new_text, len(r.edits)) for r in rows) == [(1, "a\n", 0), (1, "a\n", 0), (1, "b\n", 1), (1, "b\n", 1), (2, "c\n", 1)]
     assert textdiff.hunks(scripts(spark, []), ["id"]).collect() == []
 
 
