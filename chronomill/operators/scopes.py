@@ -5,8 +5,9 @@ within a stretch of a file: a definition at ``place`` (no target), a name of ano
 (target_file alone). Scopes are nested stretches; a file's widest ones are its own, and what is bound there it exports.
 ``uses`` (file_id, name, qualifier, place) ask what a name, or the name behind a qualifier, means at a place.
 
-A use meets the bindings of its file and name by the sweep of operators/spans.py, so many uses of one name in one file
-span many tasks, and takes the innermost; of several in the same scope the last. Imports are closed over files by joins:
+A use takes the innermost binding of its file and name in the sweep of operators/spans.py, so many uses of one name in one
+file span many tasks; of several in the same scope only the last takes part, and no pair of use and binding is made that
+isn't an answer. Imports are closed over files by joins:
 each round lets every open alias point to where its target points, so a chain of n re-exports takes log2 n rounds. A
 round that closes nothing leaves circles only. Joins to one much used name deal its uses out by a hash.
 
@@ -65,9 +66,7 @@ def closed_exports(bindings: DataFrame) -> DataFrame:
 def innermost_bindings(uses: DataFrame, bindings: DataFrame) -> DataFrame:
     """uses (ID, file_id, name, place) with the place, target_file and target_name (as b) of the binding that holds there; uses without any are left out."""
     b = bindings.select("file_id", "name", "scope_start", "scope_end", F.struct(F.col("place").alias("at"), "target_file", "target_name").alias("b"))
-    found = spans.points_in_spans(uses.select(ID, "file_id", "name", "place"), b, ["file_id", "name"], "place", "scope_start", "scope_end")
-    nearest = F.max_by("b", F.struct(F.col("scope_start"), -F.col("scope_end"), F.col("b")))
-    return found.groupBy(ID).agg(nearest.alias("b"))
+    return spans.innermost_spans(uses.select(ID, "file_id", "name", "place"), b, ["file_id", "name"], "place", "scope_start", "scope_end").select(ID, "b")
 
 
 def resolve(uses: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -80,7 +79,7 @@ def resolve(uses: DataFrame, bindings: DataFrame) -> DataFrame:
     name = F.when(plain, F.col("b.target_name")).when(F.col("b.target_name").isNull(), F.col("name"))
     pointed = bound.select(*uses.columns, F.when(local, F.col("file_id")).alias("own_file"), F.when(local, F.col("b.at")).alias("own_place"), F.col("b.target_file").alias("next_file"), name.alias("next_name"))
     closed = closed_exports(bindings).withColumnsRenamed({"file_id": "next_file", "name": "next_name"})
-    joined = spread_join(pointed, closed, ["next_file", "next_name"])
+    joined = spread_join(written(pointed, "pointed"), closed, ["next_file", "next_name"])
     return joined.select(*uses.columns, F.coalesce("own_file", "def_file").alias("def_file"), F.coalesce("own_place", "def_place").alias("def_place"))
 
 

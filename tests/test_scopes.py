@@ -79,3 +79,10 @@ def test_any_files(spark):
 def test_uses_of_definitions(spark):
     rows = spark.createDataFrame([("a", "f", None, 3, "b", 1), ("a", "f", None, 1, "b", 1), ("a", "g", None, 1, None, None)], f"{U}, def_file string, def_place int")
     assert [(r["place"], r["use_no"]) for r in scopes.uses_of_definitions(rows).orderBy("use_no").collect()] == [(1, 1), (3, 2)]
+
+
+def test_many_bindings_of_one_scope(spark):
+    """10^5 uses of a name that one scope binds 10^4 times: 10^9 pairs if each use met each binding."""
+    uses = spark.range(100_000).selectExpr("'a' file_id", "'x' name", "cast(null as string) qualifier", "cast(id % 100 as int) place")
+    bindings = spark.range(10_000).selectExpr("'a' file_id", "'x' name", "0 scope_start", "99 scope_end", "cast(id as int) place", "cast(null as string) target_file", "cast(null as string) target_name")
+    assert [tuple(r) for r in scopes.resolve(uses, bindings).groupBy("def_file", "def_place").count().collect()] == [("a", 9_999, 100_000)]

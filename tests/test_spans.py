@@ -45,3 +45,35 @@ def test_a_large_file_with_nested_functions(spark):
 def test_innermost(spark):
     rows = spark.createDataFrame([(1, 0, 9, "out"), (1, 3, 5, "in"), (1, 3, 6, "mid"), (2, 0, 9, "out")], "k int, a int, b int, n string")
     assert sorted((r["k"], r["n"]) for r in spans.innermost(rows, ["k"], "a", "b").collect()) == [(1, "in"), (2, "out")]
+
+
+def inmost(points, held):
+    out = []
+    for g, x, k in points:
+        over = [(a, -b, n) for h, a, b, n in held if g is not None and g == h and None not in (x, a, b) and a <= x <= b]
+        if over:
+            out.append((g, x, k, max(over)[2]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("batch", [10_000, 1, 4])
+def test_innermost_in_the_sweep_equals_all_pairs(spark, batch):
+    """Spans that nest, overlap, tie and stay open over many batches; repeated points stay."""
+    draw = random.Random(batch)
+    points = [(draw.choice(["a", "a", "a", "b", "c", None]), draw.choice([None, *range(40)]), k % 350) for k in range(400)] + [("a", 5, 1)] * 3
+    held = [(draw.choice(["a", "a", "b", "d", None]), a, a + draw.choice([-1, 0, 0, 3, 9, 30]), n) for n, a in enumerate(draw.choices(range(-5, 40), k=90))] + [("a", None, 3, 900), ("a", 1, None, 901), ("b", 1, 9, 902), ("b", 1, 9, 902)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        p, s = spark.createDataFrame(points, "g string, x int, k int"), spark.createDataFrame(held, "g string, a int, b int, n int")
+        got = sorted((tuple(r[c] for c in "gxkn") for r in spans.innermost_spans(p, s, ["g"], "x", "a", "b").collect()), key=repr)
+        assert got == inmost(points, held)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_innermost_of_many_spans_over_every_point(spark):
+    """10^5 points within 10^4 spans each: 10^9 pairs, of which none is made but the answers."""
+    tokens = spark.range(100_000).selectExpr("'f' g", "id x")
+    held = spark.range(10_000).selectExpr("'f' g", "-id a", "200000 + id b", "id n")
+    assert [tuple(r) for r in spans.innermost_spans(tokens, held, ["g"], "x", "a", "b").groupBy("n").count().collect()] == [(0, 100_000)]
