@@ -30,6 +30,12 @@ def swept_tokens(tokens: DataFrame, functions: DataFrame, key: str = "file_id")
     return spans.points_in_spans(tokens, named, [key], "line", "f_start", "f_end").drop("f_start", "f_end")
 
 
+def innermost_functions(tokens: DataFrame, functions: DataFrame, key: str = "file_id") -> DataFrame:
+    """tokens with the innermost function that holds their line, those in any: one row each, whatever the nesting."""
+    named = functions.select(key, F.col("name").alias("function"), F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"))
+    return spans.innermost_spans(tokens, named, [key], "line", "f_start", "f_end").drop("f_start", "f_end")
+
+
 def swept_tokens_by_previous(tokens: DataFrame, functions: DataFrame, key: str = "file_id", order: str = "token_no") -> DataFrame:
     """tokens_in_functions_by_previous by a scan and a sweep. Lines rise with the order, as tokens of a file stand."""
     named = functions.select(key, F.col("name").alias("function"), F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import nearest, pages, rollup, spans, tokens
+from ..operators import nearest, pages, rollup, tokens
 from .queries import Tables, query
 
 _CHANGES = """s AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok, CAST(round(value * 100) AS BIGINT) AS v FROM events WHERE {}),
@@ -68,9 +68,8 @@ def token_sweep_prev(spark, sf_dir):
 @query(f"WITH {_SWEPT} SELECT file_id, k AS token_no, arg_max(name, {{'s': f_start, 'e': -f_end, 'n': name}}) AS function FROM t JOIN f USING (file_id) WHERE line BETWEEN f_start AND f_end GROUP BY file_id, k")
 def innermost_function(spark, sf_dir):
     """The innermost function of every token that is in any."""
-    found = tokens.swept_tokens(*_tokens_and_functions(Tables(spark, sf_dir)))
-    places = _tokens_and_functions(Tables(spark, sf_dir))[1].select(F.col("name").alias("function"), F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"))
-    return spans.innermost(found.join(places, "function"), ["file_id", "token_no"], "f_start", "f_end").select("file_id", "token_no", "function")
+    found, functions = _tokens_and_functions(Tables(spark, sf_dir))
+    return tokens.innermost_functions(found.select("file_id", "token_no", "line"), functions).select("file_id", "token_no", "function").distinct()
 
 
 @query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS priority, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS day FROM orders),

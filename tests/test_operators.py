@@ -224,3 +224,11 @@ def test_ties_of_a_merge_are_settled_alike(spark):
     rows = [(1, 1, None, "x"), (1, 1, "x", None), (1, 1, "y", "y")]
     once = [merge.keyed_merge(old, spark.createDataFrame(r, old.schema), ["k"], ["id"]).collect() for r in (rows, rows[::-1])]
     assert once[0] == once[1] and len(once[0]) == 1
+
+
+def test_innermost_functions_of_one_name_in_two_files(spark):
+    """A function is known by its file and place, not by its name; a token gives one row however many functions hold it."""
+    found = spark.createDataFrame([("a", 1, 5), ("a", 2, 15), ("a", 3, 99), ("b", 1, 5), ("c", 1, 5)], "file_id string, token_no int, line int")
+    functions = spark.createDataFrame([("a", "f", 0, 20), ("a", "g", 3, 6), ("a", "f", 4, 5), ("b", "g", 0, 9), ("b", "f", 0, 9)], "file_id string, name string, start_line int, end_line int")
+    got = tokens.innermost_functions(found, functions)
+    assert sorted(tuple(r) for r in got.select("file_id", "token_no", "function").collect()) == [("a", 1, "f"), ("a", 2, "f"), ("b", 1, "g")]
