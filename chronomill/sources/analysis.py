@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import halstead, text
 from ..operators import tokens as token_ops
+from ..shared import written
 from ..shipping import ship
 from . import go_source, ocaml_source, python_source
 from .entities import Analysis
@@ -48,26 +49,35 @@ def analyse(language: str, source: str, compat: bool = False) -> Analysis:
     return Analysis(error=f"no analyser for {language}")
 
 
-def _row(key: str, language: str, source: str, compat: bool) -> dict:
+#: An Arrow batch ends after so many rows, or characters of their texts.
+BATCH_ROWS, BATCH_CHARS = 256, 1 << 20
+
+
+def _row(key: str, language: str, source: str, compat: bool) -> tuple:
+    """One row of _ARROW, structs as tuples."""
     a = analyse(language, source or "", compat)
-    point = lambda p: {"line": p[0], "column": p[1]}
-    call = lambda c: {"name": c[0], "line": c[1], "column": c[2]}
-    functions = [
-        {"name": f.name, "line": f.line, "column": f.column, "start_line": f.start_line, "end_line": f.end_line, "start": point(f.start), "end": point(f.start if compat else f.end), "cyclomatic": f.cyclomatic, "cyclomatic_single": f.cyclomatic_single, "calls": [call(c) for c in f.calls]}
-        for f in a.functions
-    ]
-    comments = [{"start_line": s, "end_line": e, "text": t} for s, e, t in a.comments]
-    listed = [{"token_no": i, "kind": t.kind, "text": t.text, "start_line": t.start_line, "end_line": t.end_line} for i, t in enumerate(a.tokens)]
-    return {"content_key": key, "language": language, "functions": functions, "comments": comments, "tokens": listed, "error": a.error}
+    functions = [(f.name, f.line, f.column, f.start_line, f.end_line, f.start, f.start if compat else f.end, f.cyclomatic, f.cyclomatic_single, f.calls) for f in a.functions]
+    return key, language, functions, a.comments, [(i, t.kind, t.text, t.start_line, t.end_line) for i, t in enumerate(a.tokens)], a.error
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 def parsed(sources: DataFrame, compat: bool = False) -> DataFrame:
     """sources(content_key, language, text), one row per distinct content and language, with their entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                yield pa.RecordBatch.from_pylist([_row(*row, compat)], schema=_ARROW)
+            for key, language, source in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append(_row(key, language, source, compat))
+                chars += len(source or "")
+                if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                    yield _batch(rows)
+                    rows, chars = [], 0
+        if rows:
+            yield _batch(rows)
 
     ship(sources.sparkSession)
     once = sources.select("content_key", "language", "text").dropDuplicates(["content_key", "language"])
@@ -104,7 +114,9 @@ def file_halstead(analysed: DataFrame) -> DataFrame:
 
 def function_halstead(analysed: DataFrame) -> DataFrame:
     """Counts and measures per function (content_key, language, function): tokens by line for Go, by the start of the
-    token before for OCaml; functions of one name in a file all have the first one's."""
+    token before for OCaml; functions of one name in a file all have the first one's. Four branches read what was
+    analysed, so it is written once."""
+    analysed = written(analysed.select("content_key", "language", "functions", "tokens"), "analysed")
     spans = analysed.select("content_key", "language", F.posexplode("functions").alias("n", "f")).select("content_key", "language", "n", F.col("f.name").alias("name"), F.col("f.start_line").alias("start_line"), F.col("f.end_line").alias("end_line"))
     first = token_ops.first_by_name(spans, ["content_key", "language", "name"], "n")
     rows = classified_tokens(analysed)

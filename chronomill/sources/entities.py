@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
@@ -57,10 +58,7 @@ class Places:
 
     def __init__(self, text: str):
         self.text = text
-        self.starts = [0]
-        for i, c in enumerate(text):
-            if c == "\n":
-                self.starts.append(i + 1)
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
 
     def line(self, at: int) -> int:
         return bisect_right(self.starts, at)

@@ -188,3 +188,17 @@ def test_files_with_ignore_rules_and_together(spark, store, tmp_path):
     assert sorted(r["path"].rsplit("/", 1)[1] for r in rows) == ["a.py", "b.py"]
     (both,) = q.analyse_file(f"{tmp_path}/*.py", "python", ignore=f"{tmp_path}/.rules", together=True).collect()
     assert [f["name"] for f in both["functions"]] == ["f", "g"] and both["lines_of_code"] == 4
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_was_analysed_is_read_by_all_branches(spark):
+    """Four branches of the Halstead measures share one pass of the parser."""
+    from chronomill.sources import analysis
+
+    sources = spark.createDataFrame([("a", "golang", "package p\nfunc f() int { return 1 }\n"), ("b", "ocaml", "let f = 1\n")], "content_key string, language string, text string")
+    found = analysis.function_halstead(analysis.parsed(sources))
+    assert "MapInArrow" not in _optimized(found)
+    assert sorted((r["content_key"], r["function"], r["operands"]) for r in found.collect()) == [("a", "f", 3), ("b", "f", 2)]
