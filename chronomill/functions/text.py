@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ def blank_lines(text: Column) -> Column:
 
 
 def bracket_lines(text: Column) -> Column:
-    trimmed = F.transform(segments(text), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    return F.size(F.filter(trimmed, lambda x: x.isin(*BRACKET_LINES))).cast("long")
+    alone = r"(?U)^\s*(?:" + "|".join(re.escape(x) for x in BRACKET_LINES) + r")\s*\z"
+    return F.size(F.filter(segments(text), lambda x: x.rlike(alone))).cast("long")
 
 
 def effective_lines(lines: Column, comments: Column, blanks: Column) -> Column:

@@ -90,8 +90,10 @@ def comment_lines(comments: Column) -> Column:
 
 
 def file_analysis(files: DataFrame, compat: bool = False) -> DataFrame:
-    """files(path, language, text, ...) with line metrics, functions, comments and tokens; each content is parsed once."""
-    keyed = files.withColumn("content_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    """files(path, language, text, ...) with line metrics, functions, comments and tokens; each content is parsed once.
+
+    The files are written first: the parser and each metric read the text, which may be costly to come by."""
+    keyed = written(files, "files").withColumn("content_key", F.sha2(F.coalesce("text", F.lit("")), 256))
     joined = keyed.join(parsed(keyed, compat), ["content_key", "language"])
     measured = joined.withColumns({"lines_of_code": text.line_count(F.col("text")), "blank_lines": text.blank_lines(F.col("text")), "bracket_lines_of_code": text.bracket_lines(F.col("text")), "comment_lines_of_code": comment_lines(F.col("comments"))})
     total = F.aggregate("functions", F.lit(0).cast("long"), lambda n, f: n + f["cyclomatic"])
