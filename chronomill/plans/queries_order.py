@@ -84,7 +84,7 @@ def pages_by_place(spark, sf_dir):
         page = pages.page_after(o, order, width, cursor, down)
         named = page.drop(pages.TIES).withColumn("page", F.lit(k))
         out = named if out is None else out.unionByName(named)
-        cursor = pages.cursor_of(page.orderBy(*pages.ordered(order, down, backwards=True)).limit(1).collect(), order, cursor)
+        cursor = pages.end_of(page, order, cursor, down)
     return out
 
 

@@ -45,3 +45,22 @@ def test_nearest_equals_all_pairs(spark):
         near = [(abs(k - t), m) for h, t, m in points if g is not None and h == g and k is not None and t is not None and m is not None]
         want.append((g, at(k), n, min(near)[1] if near else None))
     assert sorted(((r["g"], r["at"], r["k"], r["n"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_large_pages_are_no_single_tasks(spark, monkeypatch):
+    """Pages above the bound are cut from ranges: the same rows in the same order, rows alike counted, in several tasks."""
+    draw = random.Random(3)
+    rows = [(draw.choice([None, 1, 2, 2]), draw.choice([None, "x", "y"]), draw.choice([0, 0, 0, 1])) for _ in range(150)] + [(2, "x", 0)] * 60
+    df = spark.createDataFrame(rows, "a int, b string, c int")
+    down = frozenset(["a"])
+    small = [[tuple(r) for r in page] for page in pages.all_pages(df, ["a", "b"], 45, down)]
+    monkeypatch.setattr(pages, "KEPT", 10)
+    assert [[tuple(r) for r in page] for page in pages.all_pages(df, ["a", "b"], 45, down)] == small
+    cursor, counts = None, []
+    for want in small:
+        page = pages.page_after(df, ["a", "b"], 45, cursor, down)
+        assert "GlobalLimit" not in page._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, page.collect()), key=repr) == sorted(want, key=repr)
+        cursor = pages.end_of(page, ["a", "b"], cursor, down)
+        counts.append(cursor)
+    assert pages.page_after(df, ["a", "b"], 45, cursor, down).count() == 0 and pages.end_of(page.limit(0), ["a", "b"], cursor, down) == cursor
