@@ -207,7 +207,7 @@ def test_what_was_analysed_is_read_by_all_branches(spark):
 def test_a_text_is_made_once_for_parser_and_metrics(spark):
     from chronomill.sources import analysis
 
-    files = spark.createDataFrame([(str(k), "golang", f"package p\n// {k}\n  }}  \n\n ;; \n[]\nfunc f() {{}}\n") for k in range(600)], "path string, language string, text string").withColumn("text", F.regexp_replace("text", "[0-9]+", "x$0"))
+    files = spark.createDataFrame([(str(k), "golang", f"package p\n// {k}\n ;  \n\n ;; \n[]\nfunc f() {{}}\n") for k in range(600)], "path string, language string, text string").withColumn("text", F.regexp_replace("text", "[0-9]+", "x$0"))
     found = analysis.file_analysis(files)
     assert "regexp_replace" not in _optimized(found)
     assert {(r["lines_of_code"], r["blank_lines"], r["bracket_lines_of_code"], len(r["functions"]), r["comments"][0]["text"] == f"// x{r['path']}") for r in found.collect()} == {(7, 1, 2, 1, True)}
