@@ -119,3 +119,10 @@ def test_rows_are_repeated(spark, odd):
     assert out.columns == odd.columns
     words = [r for r in out.collect() if (r["text"] or "").split()]
     assert len(words) > 0 and out.where("trim(coalesce(text, '')) = ''").count() >= 2
+
+
+def test_pieces_are_not_sent_through_the_driver(spark, documents):
+    """The pieces come from few places, of which Spark can't tell that they become very many rows."""
+    rows = [(k, "w " * 40, "ab"[k % 2]) for k in range(300)]
+    plan = mixing.mix(documents(*rows))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[source_no#\d+L?, rank#\d+L?\]", plan) and not re.search(r"BroadcastHashJoin \[source_no#\d+L?, rank#\d+L?\]", plan)

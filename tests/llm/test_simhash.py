@@ -109,3 +109,12 @@ def test_components_of_a_chain_and_a_hub(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)] + hub, "a long, b long")
     roots = {r["node"]: r["root"] for r in components.components(edges).collect()}
     assert roots == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, **{i: 900 for i in [900, *range(1000, 1501)]}}
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    real, rounds = components._linked_to_least, []
+    monkeypatch.setattr(components, "_linked_to_least", lambda edges: rounds.append(1) or real(edges))
+    stars = [(1, k) for k in range(2, 200)] + [(500, 501), (7, 7), (3, 1)]
+    roots = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert roots == {k: 1 for k in range(1, 200)} | {500: 500, 501: 500} and not rounds
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == [] and not rounds
