@@ -47,7 +47,7 @@ def rank_functions(functions: DataFrame, query: str, limit: int = DEFAULT_LIMIT)
 
 def search_filenames(states: DataFrame, versions: DataFrame, version_id, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """file_state_id, file_id, path, status, score."""
-    current = asof.ranked_states(states, versions, version_id).where("exists")
+    current = asof.ranked_states(states, versions, version_id, pick=asof.newest_row).where("exists")
     return rank_files(current.select(F.col("id").alias("file_state_id"), "file_id", "path", "status"), query, limit)
 
 

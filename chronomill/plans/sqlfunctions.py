@@ -27,9 +27,10 @@ RETURN CAST(CASE WHEN size(array_union(trigrams(a), trigrams(b))) > 0 THEN size(
 PATTERN = r"""CREATE OR REPLACE TEMPORARY FUNCTION holding_pattern(query STRING) RETURNS STRING
 RETURN concat('%', regexp_replace(regexp_replace(query, '(\\\\[%_\\\\])|\\\\(?=.)', '$1'), '^((?:[^\\\\]|\\\\.)*)\\\\$', '$1\\\\\\\\'), '%')"""
 
+#: The path is taken from the newest row: a filter on the grouping key would be moved before the grouping, to every state.
 CURRENT = """CREATE OR REPLACE TEMPORARY FUNCTION current_states(version {id}) RETURNS TABLE (id {state}, file_id {file}, path STRING, status STRING)
-RETURN SELECT newest.id, newest.file_id, path, newest.status FROM (
-  SELECT s.path, max_by(struct(s.id, s.file_id, s.status, s.exists), struct(v.created_at, v.id)) AS newest
+RETURN SELECT newest.id, newest.file_id, newest.path, newest.status FROM (
+  SELECT max_by(struct(s.id, s.file_id, s.path, s.status, s.exists), struct(v.created_at, v.id)) AS newest
   FROM {file_states} s JOIN {versions} v ON v.id = s.version_id JOIN {versions} t ON t.id = current_states.version
   WHERE s.codebase_id = t.codebase_id AND v.codebase_id = t.codebase_id AND (v.created_at < t.created_at OR v.created_at = t.created_at AND v.id <= t.id) GROUP BY s.path
 ) WHERE newest.exists"""
