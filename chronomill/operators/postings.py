@@ -1,8 +1,8 @@
 """Posting lists of trigrams kept with the data, and searches as of a version that are answered from them.
 
 ``Postings.write`` stores, for the distinct texts of a column, one row (trigram, n, text) per trigram, n being the text's
-number of trigrams, sorted by (trigram, n) over ranges of files, and how many texts each trigram has. A long list spans
-many files, and a search reads the row groups of its trigrams alone.
+number of trigrams, and how many texts each trigram has. Texts are dealt over files by a hash, so every list spans all
+files; each file is sorted by (trigram, n), and a search reads the pages of its trigrams alone.
 
 A text alike with a query of m trigrams at a threshold t shares at least t m of them. So it has between t m and m / t
 trigrams, and stands in at least one of the m - ceil(t m) + 1 lists that are rarest: only these are read, and of them only
@@ -42,10 +42,11 @@ class Postings:
         count, such as the last part of a path; null texts and texts without letters or digits have no place in any list."""
         spark = texts.sparkSession
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        distinct = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
+        distinct = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct().repartition(n, "text")
         found = distinct.select("text", trigrams((searched or (lambda c: c))(F.col("text"))).alias("found"))
-        rows = found.select(F.explode("found").alias("trigram"), F.size("found").alias("n"), "text")
-        rows.repartitionByRange(n, "trigram", "n", "text").sortWithinPartitions("trigram", "n").write.mode("overwrite").parquet(f"{folder}/lists")
+        # With explode Spark would filter for trigrams before the distinct, and so make those of every row.
+        rows = found.select(F.explode_outer("found").alias("trigram"), F.size("found").alias("n"), "text").where("trigram is not null")
+        rows.sortWithinPartitions("trigram", "n").write.mode("overwrite").parquet(f"{folder}/lists")
         spark.read.parquet(f"{folder}/lists").groupBy("trigram").agg(F.count(F.lit(1)).alias("texts")).write.mode("overwrite").parquet(f"{folder}/counts")
         return cls(spark, folder)
 
@@ -78,17 +79,28 @@ class Postings:
         return rows.where(F.col("both") == len(terms)).select("text")
 
 
+FIELDS = ("paths", "basenames", "names")
+PATH_FIELDS, NAME_FIELDS = ("paths", "basenames"), ("paths", "names")
+
+
 class SearchIndex:
-    """The lists of a history: paths, their last parts and function names."""
+    """The lists of a history: paths, their last parts and function names. Those that a search needs must have been written."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.paths, self.basenames, self.names = (Postings(spark, f"{folder}/{x}") for x in ("paths", "basenames", "names"))
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> Postings:
+        if name not in FIELDS:
+            raise AttributeError(name)
+        return Postings(self.spark, f"{self.folder}/{name}")
 
     @classmethod
-    def write(cls, states: DataFrame, functions: DataFrame, folder: str) -> SearchIndex:
-        Postings.write(states, "path", f"{folder}/paths")
-        Postings.write(states, "path", f"{folder}/basenames", basename)
-        Postings.write(functions, "name", f"{folder}/names")
+    def write(cls, states: DataFrame, functions: DataFrame, folder: str, fields: tuple[str, ...] = FIELDS) -> SearchIndex:
+        """Writes all lists, or those of ``fields``: the search over files reads PATH_FIELDS, that over functions NAME_FIELDS."""
+        sources = {"paths": (states, "path"), "basenames": (states, "path", basename), "names": (functions, "name")}
+        for name in fields:
+            rows, column, *searched = sources[name]
+            Postings.write(rows, column, f"{folder}/{name}", *searched)
         return cls(states.sparkSession, folder)
 
     def filenames(self, states: DataFrame, versions: DataFrame, version_id, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.postings import SearchIndex
+from ..operators.postings import NAME_FIELDS, PATH_FIELDS, SearchIndex
 from ..shared import new_folder
 from . import sqlfunctions
 from .queries import SQL, Tables, _functions, _named_history, query
@@ -24,7 +24,7 @@ def _rounded(found):
 def posted_search_filenames(spark, sf_dir):
     """The search over paths as of a version, from posting lists that are kept with the data."""
     states, versions, at, _, functions = _history(Tables(spark, sf_dir))
-    index = SearchIndex.write(states, functions, new_folder(spark, "postings"))
+    index = SearchIndex.write(states, functions, new_folder(spark, "postings"), PATH_FIELDS)
     return _rounded(index.filenames(states, versions, at, "page 7"))
 
 
@@ -32,7 +32,7 @@ def posted_search_filenames(spark, sf_dir):
 def posted_search_functions(spark, sf_dir):
     """The search over functions as of a version, from posting lists that are kept with the data."""
     states, versions, at, files, functions = _history(Tables(spark, sf_dir))
-    index = SearchIndex.write(states, functions, new_folder(spark, "postings"))
+    index = SearchIndex.write(states, functions, new_folder(spark, "postings"), NAME_FIELDS)
     return _rounded(index.functions(states, versions, files, functions, at, "urgent 1", 25))
 
 

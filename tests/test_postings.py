@@ -3,11 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronomill.functions.text import like_pattern
+from chronomill.functions.trigrams import trigrams
 from chronomill.operators import postings, search
 from chronomill.plans import sqlfunctions
-from chronomill.shared import new_folder
+from chronomill.shared import file_system, new_folder
 
 WORDS = ["parse", "parser", "token", "main", "Main", "list_tokens", "io", "a%b", "x", "run tests", "日本", "\\d"]
 QUERIES = ["parse", "parse token", "main.go", "io", "x", "   ", "%", "a%b", "\\d", "list_tok", "zzzz", "src/parser", "日本"]
@@ -97,3 +99,34 @@ def test_sql_limits_and_unknown_versions(spark, registered):
 @pytest.mark.parametrize("query", ["a", "a%", "\\d", "\\%", "\\\\", "x\\", "\\\\\\", "a\\b\\_c", "日\\本"])
 def test_sql_patterns(spark, registered, query):
     assert spark.sql("SELECT holding_pattern(:q) AS p", {"q": query}).first()["p"] == like_pattern(query)
+
+
+def filters_before_grouping(df):
+    """The filters that stand below the grouping that finds newest rows, where they'd see every state."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan[plan.index("Aggregate [") :].split("\n") if "Filter" in line and "lambda" in line]
+
+
+def test_states_are_scored_after_the_newest_is_known(spark, history, registered):
+    """One score a path, however many states it has."""
+    states, versions = history[:2]
+    for found in (search.search_filenames(states, versions, 70, "parse"), spark.sql("SELECT * FROM search_version_filenames(70, 'parse')")):
+        assert filters_before_grouping(found) == []
+
+
+def test_trigrams_are_made_of_distinct_texts(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    probe = F.udf(lambda t: seen.add(1) or True, "boolean")
+    rows = spark.range(4000).selectExpr("concat('text ', id % 5) path")
+    monkeypatch.setattr(postings, "trigrams", lambda c: F.when(probe(c), trigrams(c)))
+    lists = postings.Postings.write(rows, "path", new_folder(spark, "test-distinct"))
+    assert seen.value < 4000 and lists.counts.where("trigram = 'tex'").first()["texts"] == 5
+
+
+def test_only_the_lists_of_a_search_are_written(spark, history):
+    folder = new_folder(spark, "test-fields")
+    states, versions, files, functions = history
+    index = postings.SearchIndex.write(states, functions, folder, postings.PATH_FIELDS)
+    assert index.filenames(states, versions, 70, "parse token").collect() == search.search_filenames(states, versions, 70, "parse token").collect()
+    fs, path = file_system(spark, folder)
+    assert sorted(f.getPath().getName() for f in fs.listStatus(path)) == ["basenames", "paths"]
