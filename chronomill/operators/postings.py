@@ -28,6 +28,10 @@ from . import asof, search
 from .listing import DEFAULT_LIMIT
 
 
+#: About how many texts one file's lists are of at most; a task sorts their trigrams.
+FILE_TEXTS = 1 << 16
+
+
 class Postings:
     """The lists of one text column, below a folder."""
 
@@ -42,8 +46,10 @@ class Postings:
         count, such as the last part of a path; null texts and texts without letters or digits have no place in any list."""
         spark = texts.sparkSession
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        distinct = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct().repartition(n, "text")
-        found = distinct.select("text", trigrams((searched or (lambda c: c))(F.col("text"))).alias("found"))
+        distinct = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
+        distinct = written(distinct, "postings-texts")
+        n = max(n, distinct.count() // FILE_TEXTS + 1)
+        found = distinct.repartition(n, "text").select("text", trigrams((searched or (lambda c: c))(F.col("text"))).alias("found"))
         # With explode Spark would filter for trigrams before the distinct, and so make those of every row.
         rows = found.select(F.explode_outer("found").alias("trigram"), F.size("found").alias("n"), "text").where("trigram is not null")
         rows.sortWithinPartitions("trigram", "n").write.mode("overwrite").parquet(f"{folder}/lists")
