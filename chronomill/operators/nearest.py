@@ -1,6 +1,6 @@
 """The point nearest in time to every row of a table of times: an as-of join both ways.
 
-Times and points of a group stand in one order, and scans over ranges (operators/scans.py) carry the last point before and
+Times and points of a group stand in one order, and a scan over ranges (operators/scans.py) carries the last point before and
 the first point after to each time; so a group may hold any number of both, and no pair is made that isn't an answer.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import scans
 
-AT, KIND, NO, POINT, BACK = ("_chronomill_" + x for x in ("at", "kind", "no", "point", "back"))
+AT, KIND, NO, POINT = ("_chronomill_" + x for x in ("at", "kind", "no", "point"))
 
 
 def nearest_points(times: DataFrame, points: DataFrame, by: list[str], at: str, time: str, number: str) -> DataFrame:
@@ -29,12 +29,11 @@ def nearest_points(times: DataFrame, points: DataFrame, by: list[str], at: str,
     best = usable.groupBy(*by, micros(time).alias(AT)).agg(F.min_by(F.struct(*kept), number).alias(POINT))
     asked = times.select(*by, micros(at).alias(AT), F.struct(*times.columns).alias("row"))
     rows = asked.select("*", F.lit(None).cast(best.schema[POINT].dataType).alias(POINT)).unionByName(best.select(*by, AT, F.lit(None).cast(asked.schema["row"].dataType).alias("row"), POINT))
-    # Points come before times of the same moment both ways, so one at the moment itself is found from either side.
+    # Points come before times of the same moment, so one at the moment itself is found as the last before.
     kind = F.col("row").isNotNull().cast("int")
-    numbered = rows.select("*", kind.alias(KIND), (-F.col(AT)).alias(BACK), F.monotonically_increasing_id().alias(NO))
+    numbered = rows.select("*", kind.alias(KIND), F.monotonically_increasing_id().alias(NO))
     marked = numbered.withColumn("point_at", F.when(F.col(KIND) == 0, F.struct(F.col(AT).alias("t"), F.col(POINT).alias("p"))))
-    up = scans.running(marked, by, [AT, KIND, NO], lasts={"before": "point_at"})
-    both = scans.running(up, by, [BACK, KIND, NO], lasts={"after": "point_at"}).where(F.col(KIND) == 1)
+    both = scans.around(marked, by, [AT, KIND, NO], "point_at", "before", "after").where(F.col(KIND) == 1)
     gap = lambda side: F.abs(F.col(f"{side}.t") - F.col(AT))
     earlier = F.col("before").isNotNull() & (F.col("after").isNull() | (F.struct(gap("before"), F.col(f"before.p.{number}")) <= F.struct(gap("after"), F.col(f"after.p.{number}"))))
     known = F.col(AT).isNotNull() & groups

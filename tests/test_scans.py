@@ -56,3 +56,18 @@ def test_versions_that_touch_nothing(spark):
     totals = spark.createDataFrame([(0, 2, 5), (0, 5, 0)], "g int, seq int, files long")
     got = {r["seq"]: r["files"] for r in rollup.carried_to_versions(versions, totals, "g", ["seq"]).collect()}
     assert got == {0: 0, 1: 0, 2: 5, 3: 5, 4: 5, 5: 0, 6: 0, 7: 0}
+
+
+def test_around_equals_loop_over_ranges_of_bounded_length(spark, monkeypatch):
+    monkeypatch.setattr(scans, "RANGE_ROWS", 20)
+    draw = random.Random(5)
+    rows = [(draw.choice([None, 1, 1, 1, 1, 1, 2]), k, draw.choice([None, None, None, 1, -5, 70])) for k in range(300)]
+    lengths, real = [], scans.ranged
+    monkeypatch.setattr(scans, "ranged", lambda *a: lengths.append(a[3]) or real(*a))
+    got = scans.around(spark.createDataFrame(rows, "g int, o int, v long"), ["g"], ["o"], "v", "before", "after").collect()
+    assert lengths == [16]
+    for r in got:
+        mine = [(o, v) for g, o, v in rows if g == r["g"] and v is not None]
+        assert r["before"] == max(((o, v) for o, v in mine if o <= r["o"]), default=(0, None))[1]
+        assert r["after"] == min(((o, v) for o, v in mine if o >= r["o"]), default=(0, None))[1]
+    assert len(got) == 300 and scans.around(spark.createDataFrame([], "g int, o int, v long"), ["g"], ["o"], "v", "b", "a").collect() == []
