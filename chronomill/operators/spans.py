@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..shared import written
 from ..shipping import ship
 from . import scans
 
@@ -48,7 +49,10 @@ def _swept(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: s
     ship(points.sparkSession)
     whole = lambda c: F.col(c).cast("long")
     known = lambda cs: F.forall(F.array(*[F.col(c).isNotNull() for c in cs]), lambda x: x)
-    parted = scans.ranged(points.where(known([*by, at])).select(*by, whole(at).alias(FROM), F.struct(*points.columns).alias("point")), by, [FROM])
+    # Points of a scan come with its ranges, which serve as well: a span goes to all ranges that it meets.
+    part, columns = [c for c in points.columns if c == scans.PART], [c for c in points.columns if c != scans.PART]
+    placed = points.where(known([*by, at])).select(*part, *by, whole(at).alias(FROM), F.struct(*columns).alias("point"))
+    parted = written(placed, "points") if part else scans.ranged(placed, by, [FROM])
     ranges = parted.groupBy(scans.PART, *by).agg(F.min(FROM).alias("first"), F.max(FROM).alias("last"))
     kept = [c for c in spans.columns if c not in by]
     real = spans.where(known([*by, start, end]) & (F.col(start) <= F.col(end))).select(*by, whole(start).alias(FROM), whole(end).alias(TO), F.struct(*kept).alias("span"))

@@ -39,7 +39,7 @@ def innermost_functions(tokens: DataFrame, functions: DataFrame, key: str = "fil
 def swept_tokens_by_previous(tokens: DataFrame, functions: DataFrame, key: str = "file_id", order: str = "token_no") -> DataFrame:
     """tokens_in_functions_by_previous by a scan and a sweep. Lines rise with the order, as tokens of a file stand."""
     named = functions.select(key, F.col("name").alias("function"), F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"))
-    moved = scans.running(tokens, [key], [order], previous={"from_line": "start_line"}).withColumn("from_line", F.coalesce("from_line", F.lit(1)))
+    moved = scans.running(tokens, [key], [order], previous={"from_line": "start_line"}, parts=True).withColumn("from_line", F.coalesce("from_line", F.lit(1)))
     return spans.points_in_spans(moved, named, [key], "from_line", "f_start", "f_end").where("end_line <= f_end").drop("f_start", "f_end", "from_line")
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from chronomill.operators import spans
+from chronomill.operators import scans, spans, tokens
 
 
 def brute(points, held):
@@ -77,3 +77,15 @@ def test_innermost_of_many_spans_over_every_point(spark):
     tokens = spark.range(100_000).selectExpr("'f' g", "id x")
     held = spark.range(10_000).selectExpr("'f' g", "-id a", "200000 + id b", "id n")
     assert [tuple(r) for r in spans.innermost_spans(tokens, held, ["g"], "x", "a", "b").groupBy("n").count().collect()] == [(0, 100_000)]
+
+
+def test_tokens_are_ranged_once(spark, monkeypatch):
+    """The sweep by previous token takes the ranges of the scan before it."""
+    made, real = [], scans.ranged
+    monkeypatch.setattr(scans, "ranged", lambda *a: made.append(1) or real(*a))
+    draw = random.Random(8)
+    found = spark.createDataFrame([(k % 3 and 1, k, k // 4, k // 4 + k % 2) for k in range(300)], "file_id int, token_no int, start_line int, end_line int")
+    functions = spark.createDataFrame([(draw.choice([0, 1, 2, None]), f"f{k}", a, a + draw.choice([0, 3, 30])) for k, a in enumerate(draw.choices(range(75), k=60))], "file_id int, name string, start_line int, end_line int")
+    got = tokens.swept_tokens_by_previous(found, functions)
+    assert sorted(map(tuple, got.select("file_id", "token_no", "function").collect())) == sorted(map(tuple, tokens.tokens_in_functions_by_previous(found, functions).select("file_id", "token_no", "function").collect()))
+    assert got.columns == [*found.columns, "function"] and len(made) == 1
